@@ -144,7 +144,8 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.nd
     token_at = np.concatenate([[0], np.cumsum(count)])
     for r in range(len(offsets) - 1):
         if count[r] >= n:
-            yield np.unique(grams[at[r] : at[r + 1]])
+            own = np.sort(grams[at[r] : at[r + 1]])
+            yield own[np.concatenate([[True], own[1:] != own[:-1]])]
         elif count[r]:
             own = tokens[token_at[r] : token_at[r + 1]]
             yield ngram_hashes(own, np.zeros(len(own), np.int64), len(own))[0]

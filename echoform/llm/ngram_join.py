@@ -167,6 +167,13 @@ class Node:
         self.least, self.most, self.only = 1 << 60, 0, None
 
 
+def _first(own: Node | None, children) -> Iterator[Node]:
+    """The children, own before the others."""
+    if own is not None:
+        yield own
+    yield from (c for c in children if c is not own)
+
+
 class Trie:
     """Prefix tree of sets of ranks with paths compressed, joined as it is filled."""
 
@@ -218,7 +225,7 @@ class Trie:
                         self.parent[max(a, b)] = min(a, b)
             if node.children:
                 own = node.children.get(int(ranks[n - left])) if left else None
-                stack.append((node, (c for c in ((own,) if own else ()) + tuple(node.children.values())), depth, both))
+                stack.append((node, _first(own, node.children.values()), depth, both))
         self.mark[ranks] = False
         self._store(ranks, x)
 
