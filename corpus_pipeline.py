@@ -24,35 +24,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoform.llm import decontam, mixing, ngram_join, suffix_dedup, toxicity
-from echoform.llm._spark import release, written
+from echoform.llm._spark import release, split, written
+from echoform.session import ship
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs, toxicity.fit(docs, labels, held=-1))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
+    release(ship(spark))
     found = ngram_join.link(docs, words=5, per_cent=80)
     # Ids that are no component's least go; a row whose id is null, or that repeats a kept id, stays.
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    maybe, never = split(docs, "doc_id", gone)
+    return maybe.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(never)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
+    release(ship(spark))
     out = suffix_dedup.strip(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
+    release(ship(spark))
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
+    release(ship(spark))
     return mixing.mix(docs).drop("_tie")
 
 

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,17 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[str] = []
-
+from echoform.sources.tables import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not place:
-        place = tempfile.mkdtemp(prefix="echoform-")
-        atexit.register(shutil.rmtree, place, True)
-        spark.sparkContext.setCheckpointDir(place)
-    return place.rstrip("/")
+_written: list[str] = []
 
 
 def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
@@ -99,7 +88,7 @@ class Membership:
         self.bits, self.hashes = bits, hashes
         self.words = spark.sparkContext.broadcast(words)
 
-    def positions(self, df: DataFrame, column: str, name: str = "_at") -> DataFrame:
+    def positions(self, df: DataFrame, column: str, name: str = "__at") -> DataFrame:
         """df with the positions of a column's values in the filter, for contains()."""
         return df.withColumn(name, F.array(*[F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(1 << self.bits)) for k in range(self.hashes)]))
 
@@ -108,6 +97,22 @@ class Membership:
         return ((words[at >> 6] >> (at & 63)) & 1).all(axis=1)
 
 
+def split(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among the ids, rows whose key is not): only the first need a join, so only their texts move."""
+    filter_ = Membership(ids)
+    at = filter_.positions(df, key)
+
+    def side(want: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                places = batch.column(batch.num_columns - 1).flatten().to_numpy().reshape(len(batch), -1)
+                yield batch.filter(pa.array(filter_.contains(places) == want, pa.bool_())).select(list(range(batch.num_columns - 1)))
+
+        return at.mapInArrow(run, df.schema)
+
+    return side(True), side(False)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one blob: count, lengths in bytes, contents."""
     parts = [a.tobytes() for a in arrays]

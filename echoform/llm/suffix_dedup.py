@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoform.llm._spark import Membership, bucket_bits, pack, per_bucket, unpack, written
+from echoform.llm._spark import Membership, bucket_bits, pack, per_bucket, split, unpack, written
 from echoform.llm._text import BYTE, bytes_of, chunks, powers, prefix_hash, row_of, splitmix
 
 LENGTH, GRAM = 50, 24
@@ -476,11 +476,14 @@ def strip(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     parts = found.hits.mapInArrow(cut, "_id long, _text_id long, _kept string").groupBy("_id", "_text_id").agg(F.first("_kept").alias("_kept"))
     # Rows that lose something are told by id and text; only their texts are put in place.
-    body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    rows = documents.withColumn("_id", F.coalesce(F.col(key).cast("long"), F.lit(LAST))).withColumn("sha", F.sha2(body, 256)).withColumn("_text_id", F.expr(TEXT_ID)).drop("sha")
+    sha = F.sha2(F.coalesce(F.col(text).cast("binary"), F.lit(b"")), 256)
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("_id"), sha.alias("sha"))
+    rows = rows.select("row", "_id", F.expr(TEXT_ID).alias("_text_id"))
     copies = found.table.where(F.col("copy") & (F.col("n_bytes") >= LENGTH)).select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text_id"), F.lit("").alias("_kept")).distinct()
-    kept = rows.join(parts.unionByName(copies), ["_id", "_text_id"], "left")
-    return kept.withColumn(text, F.coalesce("_kept", F.col(text))).select(*documents.columns)
+    changed = written(parts.unionByName(copies), "changed")
+    maybe, never = split(rows, "_id", changed.select("_id"))
+    kept = maybe.join(changed, ["_id", "_text_id"], "left").select(*[F.coalesce("_kept", F.col("row")[c]).alias(c) if c == text else F.col("row")[c].alias(c) for c in documents.columns])
+    return kept.unionByName(never.select(*[F.col("row")[c].alias(c) for c in documents.columns]))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
