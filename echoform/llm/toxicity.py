@@ -22,7 +22,6 @@ labels). Repeated rows give repeated results.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -43,12 +42,6 @@ SAVINGS, SHARES = (1, 2, 4, 6), (0.3, 0.45)
 CACHE = 400_000
 
 
-def _words(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
-    raw = np.frombuffer((text or "").encode(), np.uint8)
-    _, _, start, end = token_hashes(raw, np.array([0, len(raw)]), ALNUM)
-    return LOWER[raw].tobytes(), start, end
-
-
 @dataclass
 class Model:
     toxic: bytes
@@ -111,34 +104,43 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def segments(toxic: list[set[bytes]], ordinary: list[set[bytes]], z_least: float = 3.0, ratio_least: float = 4.0) -> list[bytes]:
-    """Words far more frequent among toxic documents: by log ratio over its standard error, least first."""
-    a, b = Counter(w for d in toxic for w in d), Counter(w for d in ordinary for w in d)
-    p, q = len(toxic) + 1, len(ordinary) + 1
-    kept = []
-    for w, n in a.items():
-        ratio = (n + 0.5) / p / ((b[w] + 0.5) / q)
-        z = np.log(ratio) / np.sqrt(1 / (n + 0.5) + 1 / (b[w] + 0.5))
-        if n >= 3 and z > z_least and ratio > ratio_least:
-            kept.append((z, w))
-    return [w for _, w in sorted(kept)]
+def segments(toxic: list[np.ndarray], ordinary: list[np.ndarray], z_least: float = 3.0, ratio_least: float = 4.0) -> np.ndarray:
+    """Words far more frequent among toxic documents, by log ratio over its standard error, least first.
+
+    Words and documents are given as arrays of distinct word hashes; so are the words found.
+    """
+    none = [np.zeros(0, np.uint64)]
+    words, n = np.unique(np.concatenate(toxic + none), return_counts=True)
+    others, m = np.unique(np.concatenate(ordinary + none), return_counts=True)
+    at = np.minimum(np.searchsorted(others, words), max(0, len(others) - 1))
+    m = np.where(others[at] == words, m[at], 0) if len(others) else np.zeros(len(words))
+    ratio = (n + 0.5) / (len(toxic) + 1) / ((m + 0.5) / (len(ordinary) + 1))
+    z = np.log(ratio) / np.sqrt(1 / (n + 0.5) + 1 / (m + 0.5))
+    kept = np.flatnonzero((n >= 3) & (z > z_least) & (ratio > ratio_least))
+    return words[kept[np.lexsort((words[kept], z[kept]))]]
 
 
 def train(sample: list[tuple[str | None, int]], counts: dict[int, int]) -> Model:
     """Model from (text, label) rows; counts: labelled rows of each class."""
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    if len({label for _, label in sample}) < 2:
-        return Model(b"", b"", prior)
-    docs = []
-    for text, label in sample:
-        low, start, end = _words(text)
-        docs.append((label, [low[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]))
-    pieces = [b" " + b" ".join(ws[i : i + 12]) + b" " for k, (label, ws) in enumerate(docs) if not label for i in range(12 * (k % 5), len(ws), 60)]
-    ordinary = _dictionary([p for p in pieces if len(p) > 8], DICTIONARY)
-    marks = segments([set(ws) for label, ws in docs if label], [set(ws) for label, ws in docs if not label])
-    model = Model((b" " + b" ".join(marks) + b" ")[-DICTIONARY:] + ordinary, ordinary, prior)
     y = np.array([label for _, label in sample], float)
+    if len(set(y.tolist())) < 2:
+        return Model(b"", b"", prior)
     raw, offsets = bytes_of(pa.array([t for t, _ in sample], pa.large_string()))
+    low = LOWER[raw].tobytes()
+    hashes, rows, start, end = (np.concatenate(x) for x in zip(*(_tokens(raw, offsets, i, j) for i, j in chunks(offsets, 1 << 22)), strict=True))
+    at = np.searchsorted(rows, np.arange(len(sample) + 1))
+    pieces, found = [], {0: [], 1: []}
+    for k in range(len(sample)):
+        found[int(y[k])].append(np.unique(hashes[at[k] : at[k + 1]]))
+        if not y[k]:
+            for i in range(int(at[k]) + 12 * (k % 5), int(at[k + 1]), 60):
+                pieces.append(b" " + b" ".join(low[start[w] : end[w]] for w in range(i, min(i + 12, int(at[k + 1])))) + b" ")
+    ordinary = _dictionary([p for p in pieces if len(p) > 8], DICTIONARY)
+    marks = segments(found[1], found[0])
+    place = {int(hashes[w]): w for w in np.flatnonzero(np.isin(hashes, marks)).tolist()}
+    toxic = b" " + b" ".join(low[start[place[h]] : end[place[h]]] for h in marks.tolist()) + b" "
+    model = Model(toxic[-DICTIONARY:] + ordinary, ordinary, prior)
     x = np.concatenate([model.features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in chunks(offsets, 1 << 22)])
     mean, spread = x.mean(0), x.std(0) + 1e-9
     mean[0], spread[0] = 0, 1
@@ -148,6 +150,12 @@ def train(sample: list[tuple[str | None, int]], counts: dict[int, int]) -> Model
     return model
 
 
+def _tokens(raw: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.ndarray, ...]:
+    """Hashes, rows, starts and ends of the words of rows i to j, in terms of the whole buffer."""
+    h, rows, start, end = token_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM)
+    return h, rows + i, start + offsets[i], end + offsets[i]
+
+
 def fit(documents: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, label: str = "toxic", per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES) -> Model:
     """Model from labelled documents outside the held-out fold."""
     sample, counts = labelled_sample(documents, labels, label, fold(F.col("_id"), folds) != held, per_class, most_bytes)
