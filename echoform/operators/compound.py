@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from echoform.functions.prep import complement_code
 from echoform.operators.kernels import Kernel
-from echoform.operators.learners import Bicluster, Clusterer, Fusion, MapClassifier, TwoSided
+from echoform.operators.learners import Bicluster, Clusterer, Fusion, MapClassifier, OnlineValidity, TwoSided
 from echoform.operators.metrics import pearson
 from echoform.operators.search import Categories, learn
 from echoform.operators.train import Fitted, apply, first_label, fold
@@ -216,6 +216,23 @@ def validity_guided(rows: DataFrame, kernel: Kernel, index: str = "ch", by: Sequ
     return grouped.select("_g", order, x).groupBy("_g").applyInPandas(run, "sample_id long, cluster_id long")
 
 
+def validity_offline(rows: DataFrame, kernel: Kernel, by: Sequence[str] = (), order: str = "sample_id", x: str = "x") -> DataFrame:
+    """(sample_id, cluster_id): fuzzy clustering under the incremental index, all rows starting in cluster 0.
+
+    The start needs all rows of a model before the first is learnt, so a model is one task and keys should be of bounded size.
+    """
+
+    def run(key, pdf):
+        pdf = pdf.sort_values(order)
+        data = [np.asarray(v, float) for v in pdf[x]]
+        learner = OnlineValidity(kernel, offline=True)
+        learner.start(data)
+        return pd.DataFrame({"sample_id": pdf[order].to_numpy(), "cluster_id": [learner.step(v)[0] for v in data]})
+
+    grouped = rows.withColumn("_g", F.concat_ws("|", *by) if by else F.lit(""))
+    return grouped.select("_g", order, x).groupBy("_g").applyInPandas(run, "sample_id long, cluster_id long")
+
+
 def validity(data: np.ndarray, labels: np.ndarray, index: str) -> float:
     """Calinski-Harabasz, Davies-Bouldin or mean silhouette of one labelling; 0 below two clusters."""
     names, which = np.unique(labels, return_inverse=True)

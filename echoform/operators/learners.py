@@ -508,9 +508,10 @@ class CalinskiHarabasz:
         self.clusters, (self.n, self.mean) = self._with(x, label, -1), self._all(x, -1)
 
     def _moved(self, x, old, new) -> dict:
+        """Clusters after a move; one that its last row leaves is gone."""
         if old == new:
             return self.clusters
-        clusters = self._with(x, old, -1)
+        clusters = {k: v for k, v in self.clusters.items() if k != old} if self.clusters[old][0] <= 1 else self._with(x, old, -1)
         held, self.clusters = self.clusters, clusters
         try:
             return self._with(x, new, 1)

@@ -461,6 +461,17 @@ def online_validity(spark, sf_dir):
     return _labels(fold(_suppliers(spark, sf_dir, True), OnlineValidity(Fuzzy(0.5, 0.01)), "sample_id", ["x"]))
 
 
+@query()
+def offline_validity(spark, sf_dir):
+    return compound.validity_offline(_suppliers(spark, sf_dir, True), Fuzzy(0.5, 0.01))
+
+
+@query("SELECT s_suppkey, round(acos(greatest(-1, least(1, sin(radians(s_nationkey)) * sin(radians(10.0)) + cos(radians(s_nationkey)) * cos(radians(10.0)) * cos(radians(s_acctbal / 100 - 20.0))))) / pi(), 6) AS angle FROM supplier")
+def great_circle(spark, sf_dir):
+    a, b = prep.features("s_nationkey", F.col("s_acctbal") / 100), vector([10, 20])
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(metrics.great_circle(a, b), 6).alias("angle"))
+
+
 @query()
 def parameter_sweep(spark, sf_dir):
     rows = _embedded(spark, sf_dir).select("sample_id", "x", "y")

@@ -77,3 +77,16 @@ def blobs(spark: SparkSession, n: int, centres: Sequence[Sequence[float]], sprea
     label = F.floor(F.col("id") * k / n).cast("int")
     rows = spark.range(n).withColumn("y", label)
     return rows.select(F.col("id").alias("sample_id"), F.array(*[F.get(F.get(points, F.col("y")), F.lit(i)) + spread * normal(100 * i) for i in range(len(centres[0]))]).alias("x"), "y")
+
+
+def rings(spark: SparkSession, n: int, moons: bool = False, noise: float = 0.05, seed: int = 0) -> DataFrame:
+    """Two circles, one inside the other, or two half moons that interlock: (sample_id, x, y)."""
+    y = F.col("id") % 2
+    turn = F.floor(F.col("id") / 2) / F.lit(n / 2) * (F.pi() if moons else 2 * F.pi())
+    shake = lambda salt: noise * (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(1 << 40)) / F.lit(float(1 << 40)) - 0.5)
+    if moons:
+        point = [F.when(y == 0, F.cos(turn)).otherwise(1 - F.cos(turn)), F.when(y == 0, F.sin(turn)).otherwise(0.5 - F.sin(turn))]
+    else:
+        radius = F.when(y == 0, F.lit(1.0)).otherwise(F.lit(0.5))
+        point = [radius * F.cos(turn), radius * F.sin(turn)]
+    return spark.range(n).select(F.col("id").alias("sample_id"), F.array(*[p + shake(k) for k, p in enumerate(point)]).alias("x"), y.cast("int").alias("y"))

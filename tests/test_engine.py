@@ -17,7 +17,7 @@ from echoform.operators.search import Categories, learn, resonant
 from echoform.operators.sequences import SequenceClusterer, needleman_wunsch
 from echoform.operators.train import Fitted, apply, fold
 from echoform.plans.native import native_fit
-from echoform.sources.tables import blobs, load_kernels, load_weights, save_model
+from echoform.sources.tables import blobs, load_kernels, load_weights, rings, save_model
 
 CORNERS = [(0, 0), (0, 0.08), (0, 1), (1, 1), (1, 0)]
 
@@ -248,8 +248,8 @@ def test_validity_guided(spark):
     xs = np.random.default_rng(11).random((30, 2))
     for index in ("ch", "db", "silhouette"):
         assert compound.validity_guided(frame(spark, xs, True), Fuzzy(0.4, 0.01), index).count() == 30
-    for offline in (False,):
-        assert len(labels(fold(frame(spark, xs, True), OnlineValidity(Fuzzy(0.4, 0.01), offline), "sample_id", ["x"]))) == 30
+    assert len(labels(fold(frame(spark, xs, True), OnlineValidity(Fuzzy(0.4, 0.01)), "sample_id", ["x"]))) == 30
+    assert compound.validity_offline(frame(spark, xs, True), Fuzzy(0.4, 0.01)).count() == 30
 
 
 def test_vat_and_merging(spark):
@@ -268,6 +268,14 @@ def test_alignment():
     assert [s.step(x)[0] for x in ("small ring", "small rink", "zzzz")] == [0, 0, 1]
 
 
+def test_toy_sources(spark):
+    for moons in (False, True):
+        got = rings(spark, 40, moons).collect()
+        assert len(got) == 40 and {r["y"] for r in got} == {0, 1} and all(len(r["x"]) == 2 for r in got)
+    far = spark.createDataFrame([([0.0, 0.0], [0.0, 180.0])], "a array<double>, b array<double>")
+    assert math.isclose(far.select(metrics.great_circle(F.col("a"), F.col("b"))).first()[0], 1.0)
+
+
 def test_sweep_and_bicluster(spark):
     rows = blobs(spark, 60, [(0.2, 0.2), (0.8, 0.8)], 0.03)
     rows = rows.withColumn("x", prep.complement_code(F.transform("x", lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v)))))
