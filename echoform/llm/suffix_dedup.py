@@ -169,23 +169,32 @@ def shared_anchors(blobs: DataFrame) -> DataFrame:
 
 
 class Suffixes:
-    """Suffixes of a buffer, compared over LENGTH bytes by prefix polynomial hashes."""
+    """Suffixes of pieces that lie side by side in a buffer, compared over LENGTH bytes by prefix polynomial hashes.
 
-    def __init__(self, raw: np.ndarray):
-        self.raw, self.prefix = raw, prefix_hash(BYTE[raw])
-        self.down = powers(len(raw) + 1)[1]
+    Powers count from the start of each piece, so that tables of powers stay as short as pieces are.
+    """
+
+    def __init__(self, raw: np.ndarray, size: np.ndarray):
+        self.raw, self.local = raw, places(size)
+        self.up, self.down = powers(int(size.max()) + 1 if len(size) else 1)
+        self.prefix = np.zeros(len(raw) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(BYTE[raw] * self.up[self.local], out=self.prefix[1:])
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension of the suffixes at a and b, LENGTH at most, by binary search."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), LENGTH, np.int64)
+        out = np.full(len(a), LENGTH, np.int64)
         with np.errstate(over="ignore"):
-            while True:
-                open_ = low < high
-                if not open_.any():
-                    return low
+            shift, p, q = self.down[self.local[a]] * self.up[self.local[b]], self.prefix[a], self.prefix[b]
+            k = np.flatnonzero((self.prefix[a + LENGTH] - p) * shift != self.prefix[b + LENGTH] - q)
+            a, b, shift, p, q = a[k], b[k], shift[k], p[k], q[k]
+            low, high = np.zeros(len(k), np.int64), np.full(len(k), LENGTH - 1, np.int64)
+            for _ in range(LENGTH.bit_length()):
                 mid = (low + high + 1) >> 1
-                same = (self.prefix[a + mid] - self.prefix[a]) * self.down[a] == (self.prefix[b + mid] - self.prefix[b]) * self.down[b]
+                same = (self.prefix[a + mid] - p) * shift == self.prefix[b + mid] - q
                 low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        out[k] = low
+        return out
 
     def less(self, a: np.ndarray, b: np.ndarray, ties: np.ndarray) -> np.ndarray:
         """Whether the suffix at a comes before that at b; ties where they agree."""
@@ -194,7 +203,7 @@ class Suffixes:
         k = np.where(end, 0, k)
         return np.where(end, ties, self.raw[a + k] < self.raw[b + k])
 
-    def sort(self, at: np.ndarray, segment: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    def sort(self, at: np.ndarray, segment: np.ndarray, step: int = 1 << 15) -> np.ndarray:
         """Order of the suffixes at the given places, inside segments (runs of equal numbers), by mergesort.
 
         Each level merges neighbouring runs: an element's new place is its place in its
@@ -309,7 +318,7 @@ def _pairs_in(mark: np.ndarray, row: np.ndarray, wanted: np.ndarray, row_wanted:
     return np.isin(mix(mark, row), mix(wanted, row_wanted))
 
 
-def repeats(blobs: DataFrame) -> DataFrame:
+def repeats(blobs: DataFrame, step: int = 1 << 16) -> DataFrame:
     """(doc_id, text_id, start, stop): spans of bytes covered by strings that start in a document with a smaller id too."""
 
     def work(bucket: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -323,10 +332,7 @@ def repeats(blobs: DataFrame) -> DataFrame:
         size, before = size.astype(np.int64), before.astype(np.int64)
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
         # Equal pieces become one. They are told by anchor, shape and hash, and then compared byte by byte.
-        prefix = prefix_hash(BYTE[raw])
-        down = powers(len(raw) + 1)[1]
-        with np.errstate(over="ignore"):
-            h = splitmix((prefix[begin + size] - prefix[begin]) * down[begin] + (size << 8 | before).astype(np.uint64))
+        h = piece_hashes(raw, begin, size)
         order = np.lexsort((doc, h, mark))
         fresh = np.ones(len(order), bool)
         a, b = order[:-1], order[1:]
@@ -338,40 +344,42 @@ def repeats(blobs: DataFrame) -> DataFrame:
         piece[order] = np.cumsum(fresh) - 1
         kept = order[fresh]
         least = np.minimum.reduceat(doc[order], np.flatnonzero(fresh))
-        # Windows of the distinct pieces: (anchor, place of the anchor in the window) is a segment.
+        # Windows of the distinct pieces. Where an anchor has several, (anchor, place of the anchor in the window) is a segment.
         windows = size[kept] - LENGTH + 1
-        at_piece = np.repeat(np.arange(len(kept)), windows)
-        shift = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        at = begin[kept][at_piece] + shift
-        owner = least[at_piece]
-        groups = np.bincount(np.unique(mark[kept], return_inverse=True)[1])
-        several = (groups > 1)[np.unique(mark[kept], return_inverse=True)[1]][at_piece]
-        smallest = owner.copy()
-        if several.any():
-            w = np.flatnonzero(several)
-            place = before[kept][at_piece[w]] - shift[w]
-            segment = (mark[kept][at_piece[w]] & (1 << 40) - 1) * 64 + place
+        smallest = np.repeat(least, windows)
+        _, group, members = np.unique(mark[kept], return_inverse=True, return_counts=True)
+        several = np.flatnonzero(members[group] > 1)
+        if len(several):
+            own, shape = kept[several], windows[several]
+            taken = size[own]
+            suffixes = Suffixes(raw[np.repeat(begin[own], taken) + places(taken)], taken)
+            shift = places(shape).astype(np.int64)
+            segment = group[several].repeat(shape) * 64 + before[own].repeat(shape) - shift
+            at = (np.cumsum(taken) - taken).repeat(shape) + shift
+            w = (np.cumsum(windows) - windows)[several].repeat(shape) + shift
             arranged = np.argsort(segment, kind="stable")
-            w, segment = w[arranged], segment[arranged]
-            number = classes(Suffixes(raw), at[w], segment)
+            w = w[arranged]
+            number = classes(suffixes, at[arranged], segment[arranged])
             low = np.full(number.max() + 1, LAST, np.int64)
-            np.minimum.at(low, number, owner[w])
+            np.minimum.at(low, number, smallest[w])
             smallest[w] = low[number]
-        # Every occurrence of a piece: its windows whose class has a smaller id, as runs.
-        total = windows[piece]
-        occurrence = np.repeat(np.arange(len(piece)), total)
-        offset = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
-        window = (np.cumsum(windows) - windows)[piece[occurrence]] + offset
-        hit = np.flatnonzero(smallest[window] < doc[occurrence])
-        if not len(hit):
-            return
-        o, t = occurrence[hit], offset[hit]
-        edge = np.ones(len(hit), bool)
-        edge[1:] = (o[1:] != o[:-1]) | (t[1:] != t[:-1] + 1)
-        s = np.flatnonzero(edge)
-        e = np.append(s[1:], len(hit)) - 1
-        who = o[s]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[who]), pa.array(text[who]), pa.array((first[who] + t[s]).astype(np.int32)), pa.array((first[who] + t[e] + LENGTH).astype(np.int32))], ["doc_id", "text_id", "start", "stop"])
+        # Every occurrence of a piece: its windows whose class has a smaller id, as runs. Some occurrences at a time, as an anchor of a common passage has very many.
+        place_of = np.cumsum(windows) - windows
+        for c in range(0, len(piece), step):
+            own = piece[c : c + step]
+            total = windows[own]
+            occurrence = np.repeat(np.arange(len(own)), total)
+            offset = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
+            hit = np.flatnonzero(smallest[np.repeat(place_of[own], total) + offset] < doc[c : c + step][occurrence])
+            if not len(hit):
+                continue
+            o, t = occurrence[hit], offset[hit]
+            edge = np.ones(len(hit), bool)
+            edge[1:] = (o[1:] != o[:-1]) | (t[1:] != t[:-1] + 1)
+            s = np.flatnonzero(edge)
+            e = np.append(s[1:], len(hit)) - 1
+            who = o[s] + c
+            yield pa.RecordBatch.from_arrays([pa.array(doc[who]), pa.array(text[who]), pa.array((first[who] + t[s]).astype(np.int32)), pa.array((first[who] + t[e] + LENGTH).astype(np.int32))], ["doc_id", "text_id", "start", "stop"])
 
     return per_bucket(blobs, work, "doc_id long, text_id long, start int, stop int")
 
@@ -385,6 +393,22 @@ def _same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray,
     return out
 
 
+def places(size: np.ndarray) -> np.ndarray:
+    """Position of each byte in its piece."""
+    return (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint16 if not len(size) or size.max() < 1 << 16 else np.int64)
+
+
+def piece_hashes(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, limit: int = 1 << 20) -> np.ndarray:
+    """A hash of each piece's bytes, some pieces at a time."""
+    out = np.zeros(len(size), np.uint64)
+    for i, j in chunks(np.append(begin, len(raw)), limit):
+        part = Suffixes(raw[begin[i] : begin[i] + size[i:j].sum()], size[i:j])
+        at = begin[i:j] - begin[i]
+        with np.errstate(over="ignore"):
+            out[i:j] = splitmix(part.prefix[at + size[i:j]] - part.prefix[at])
+    return out
+
+
 def merge_spans(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of spans as maximal runs, in order; spans that touch are one run."""
     order = np.argsort(start, kind="stable")
