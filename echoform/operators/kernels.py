@@ -43,6 +43,10 @@ class Kernel:
     def resonates(self, match: float, rho: float, strict: bool) -> bool:
         return match > rho if strict else match >= rho
 
+    def matches(self, w: np.ndarray, x: np.ndarray, cache: Cache) -> np.ndarray:
+        """Matches of all categories."""
+        return np.array([self.match(w, x, cache, j) for j in range(len(w))])
+
     def track(self, match: float, rho: float, epsilon: float, method: str) -> tuple[float, bool]:
         """(vigilance, whether to go on) after a category that resonates was refused."""
         new = {"MT+": match + epsilon, "MT-": match - epsilon, "MT0": match, "MT1": math.inf, "MT~": rho}[method]
@@ -78,6 +82,9 @@ class Fuzzy(Kernel):
     def match(self, w, x, cache, j):
         return cache["both"][j] / cache["d"]
 
+    def matches(self, w, x, cache):
+        return cache["both"] / cache["d"]
+
     def update(self, w, x, cache, j, beta=None):
         beta = self.beta if beta is None else beta
         return beta * np.minimum(x, w) + (1 - beta) * w
@@ -139,6 +146,9 @@ class ART1(Kernel):
         d = len(x)
         return np.count_nonzero((x != 0) & (w[j, d:] != 0)) / d
 
+    def matches(self, w, x, cache):
+        return np.count_nonzero((x != 0) & (w[:, len(x) :] != 0), axis=1) / len(x)
+
     def update(self, w, x, cache, j, beta=None):
         top = x * (w[len(x) :] != 0) if len(x) else x
         below = self.L - 1 + top.sum()
@@ -173,6 +183,9 @@ class ART2A(Kernel):
     def match(self, w, x, cache, j):
         return cache["dot"][j] if cache["dot"][j] >= cache["floor"] else -1.0
 
+    def matches(self, w, x, cache):
+        return np.where(cache["dot"] >= cache["floor"], cache["dot"], -1.0)
+
     def update(self, w, x, cache, j, beta=None):
         beta = self.beta if beta is None else beta
         return beta * x + (1 - beta) * w
@@ -201,6 +214,9 @@ class Hypersphere(Kernel):
     def match(self, w, x, cache, j):
         return 1 - cache["most"][j] / self.r_hat
 
+    def matches(self, w, x, cache):
+        return 1 - cache["most"] / self.r_hat
+
     def update(self, w, x, cache, j, beta=None):
         beta, radius, r = self.beta if beta is None else beta, w[-1], cache["r"][j]
         ratio = min(radius, r) / (r + self.alpha) if r + self.alpha else 1.0
@@ -242,6 +258,9 @@ class Ellipsoid(Kernel):
     def match(self, w, x, cache, j):
         return 1 - (w[j, -1] + cache["most"][j]) / self.r_hat
 
+    def matches(self, w, x, cache):
+        return 1 - (w[:, -1] + cache["most"]) / self.r_hat
+
     def update(self, w, x, cache, j, beta=None):
         beta, d, radius, r = self.beta if beta is None else beta, len(x), w[-1], cache["r"][j]
         ratio = min(radius, r) / r if r else 1.0
@@ -290,6 +309,9 @@ class Gaussian(Kernel):
     def match(self, w, x, cache, j):
         return cache["e"][j]
 
+    def matches(self, w, x, cache):
+        return cache["e"]
+
     def update(self, w, x, cache, j, beta=None):
         d, count = len(x), w[-1] + 1
         mean = (1 - 1 / count) * w[:d] + x / count
@@ -392,6 +414,9 @@ class QuadraticNeuron(Kernel):
     def match(self, w, x, cache, j):
         return cache["t"][j]
 
+    def matches(self, w, x, cache):
+        return cache["t"]
+
     def update(self, w, x, cache, j, beta=None):
         d, t, gap, s = len(x), cache["t"][j], cache["gap"][j], w[-1]
         pull = 2 * s * s * t * gap

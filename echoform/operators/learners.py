@@ -87,13 +87,18 @@ class MapClassifier(Learner):
     vigilant: bool = False
     cats: Categories = field(default_factory=Categories)
     classes: dict[int, int] = field(default_factory=dict)
+    _class: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64), repr=False)
     inputs = ("x", "y")
     outputs = 2
 
     def step(self, x, y):
         y = int(y)
-        j = learn(self.kernel, self.cats, x, lambda c: self.classes.get(c, y) == y, self.method, self.epsilon)
-        self.classes[j] = y
+        while len(self._class) < self.cats.size + 1:
+            room = np.zeros(max(16, 2 * len(self._class)), np.int64)
+            room[: len(self._class)] = self._class
+            self._class = room
+        j = learn(self.kernel, self.cats, x, self._class[: self.cats.size] == y, self.method, self.epsilon)
+        self.classes[j] = self._class[j] = y
         return j, y
 
     def predict(self, x, y=None):
@@ -104,7 +109,11 @@ class MapClassifier(Learner):
         return _export("a", self.cats, self.classes)
 
     def load(self, rows):
-        self.cats, self.classes = _load(rows, "a")
+        self.load_module(rows, "a")
+
+    def load_module(self, rows, module):
+        self.cats, self.classes = _load(rows, module)
+        self._class = np.array([self.classes.get(j, -1) for j in range(self.cats.size)], np.int64)
 
 
 @dataclass
@@ -334,7 +343,7 @@ class Deep(Learner):
         if self.base is not None:
             self.base.cats, _ = _load(rows, "base")
         for i, layer in enumerate(self.layers):
-            layer.cats, layer.classes = _load(rows, f"layer{i}")
+            layer.load_module(rows, f"layer{i}")
 
 
 class Smart(Deep):

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import numpy as np
 
 METHODS = ("MT+", "MT-", "MT0", "MT1", "MT~")
-Allowed = Callable[[int], bool]
+#: Which categories may take the row: a test, or flags of all categories.
+Allowed = Callable[[int], bool] | np.ndarray
 
 
 class Categories:
@@ -78,19 +79,44 @@ def resonant(kernel, cats: Categories, x: np.ndarray, allowed: Allowed | None =
     if not cats.size:
         return -1, {}
     t, cache = kernel.activate(cats.w, x, cats.n)
-    rho = kernel.rho
-    for j in by_activation(t).tolist():
-        if allowed is not None and method == "MT~" and not allowed(j):
-            continue
+    order = by_activation(t)
+    if allowed is not None and method == "MT~":
+        order = order[allowed[order]] if isinstance(allowed, np.ndarray) else np.array([j for j in order.tolist() if allowed(j)], int)
+        allowed = None
+    if kernel.inverted:
+        return _one_by_one(kernel, cats, x, cache, order, allowed, method, epsilon, strict), cache
+    match, rho = kernel.matches(cats.w, x, cache)[order], kernel.rho
+    passed = np.flatnonzero(match > rho if strict else match >= rho)
+    for k in passed.tolist():
+        if allowed is None:
+            return int(order[k]), cache
+        if not (match[k] > rho if strict else match[k] >= rho):
+            continue  # the vigilance has moved past it
+        j = int(order[k])
+        if allowed[j] if isinstance(allowed, np.ndarray) else allowed(j):
+            return j, cache
+        lower = rho
+        rho, go_on = kernel.track(float(match[k]), rho, epsilon, method)
+        if not go_on:
+            break
+        if rho < lower:  # categories that failed before may pass now
+            return _one_by_one(kernel, cats, x, cache, order[k + 1 :], allowed, method, epsilon, strict, rho), cache
+    return -1, cache
+
+
+def _one_by_one(kernel, cats: Categories, x: np.ndarray, cache: dict, order: np.ndarray, allowed, method: str, epsilon: float, strict: bool, rho: float | None = None) -> int:
+    """The search for kernels whose match is costly, or once the vigilance has fallen."""
+    rho = kernel.rho if rho is None else rho
+    for j in order.tolist():
         m = kernel.match(cats.w, x, cache, j)
         if not kernel.resonates(m, rho, strict):
             continue
-        if allowed is None or method == "MT~" or allowed(j):
-            return j, cache
+        if allowed is None or (allowed[j] if isinstance(allowed, np.ndarray) else allowed(j)):
+            return j
         rho, go_on = kernel.track(m, rho, epsilon, method)
         if not go_on:
             break
-    return -1, cache
+    return -1
 
 
 def learn(kernel, cats: Categories, x: np.ndarray, allowed: Allowed | None = None, method: str = "MT+", epsilon: float = 0.0) -> int:
@@ -108,6 +134,9 @@ def nearest(kernel, cats: Categories, x: np.ndarray, vigilant: bool = False) ->
         return -1
     t, cache = kernel.activate(cats.w, x, cats.n)
     order = by_activation(t)
+    if vigilant and not kernel.inverted:
+        passed = order[kernel.matches(cats.w, x, cache)[order] >= kernel.rho]
+        return int(passed[0]) if len(passed) else 0
     if vigilant:
         return next((j for j in order.tolist() if kernel.resonates(kernel.match(cats.w, x, cache, j), kernel.rho, False)), 0)
     return int(order[0]) if len(order) else 0

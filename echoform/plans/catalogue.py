@@ -48,7 +48,7 @@ def flat(x, names, digits=6):
 # Preparation
 
 
-@query("SELECT " + ", ".join(f"min({c}) AS min_{c}, max({c}) AS max_{c}" for c in NUMBERS) + " FROM lineitem")
+@query("SELECT " + ", ".join(f"min({c}) + 0.0 AS min_{c}, max({c}) + 0.0 AS max_{c}" for c in NUMBERS) + " FROM lineitem")
 def find_bounds(spark, sf_dir):
     b = prep.find_bounds(table(spark, sf_dir, "lineitem"), columns=NUMBERS)
     return b.select(*[F.get(a, F.lit(i)).alias(f"{n}_{c}") for i, c in enumerate(NUMBERS) for a, n in (("d_min", "min"), ("d_max", "max"))])
@@ -78,13 +78,13 @@ def complement_code(spark, sf_dir):
     return rows.select(*LINE, *flat(F.col("x"), [f"c{i}" for i in range(8)]))
 
 
-@query("SELECT p_partkey, round((p_size / 50.0 + 1 - p_retailprice / 4000.0) / 2, 6) AS m FROM part")
+@query("SELECT p_partkey, round((p_size / 50.0 + 1 - p_retailprice / 4000.0) / 2, 9) AS m FROM part")
 def de_complement_code(spark, sf_dir):
     w = prep.features(F.col("p_size") / 50, F.col("p_retailprice") / 4000)
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(F.get(prep.de_complement_code(w), F.lit(0)), 6).alias("m"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(F.get(prep.de_complement_code(w), F.lit(0)), 9).alias("m"))
 
 
-@query("SELECT p_partkey, round(least(greatest(p_size, 10.0), 40.0), 6) AS c0, round(least(greatest(p_retailprice, 950.0), 1500.0), 6) AS c1 FROM part")
+@query("SELECT p_partkey, round(least(greatest(p_size, 10.0), 40.0)::DOUBLE, 6) AS c0, round(least(greatest(p_retailprice, 950.0), 1500.0), 6) AS c1 FROM part")
 def clip_rows(spark, sf_dir):
     x = prep.clip(prep.features("p_size", "p_retailprice"), vector([10, 950]), vector([40, 1500]))
     return table(spark, sf_dir, "part").select("p_partkey", *flat(x, ["c0", "c1"]))
@@ -108,7 +108,7 @@ def validate_rows(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(prep.invalid(x, "fuzzy", 4)).alias("bad"))
 
 
-@query("SELECT p_partkey, round(p_size / 50.0, 6) AS a, 0.5 AS b, 0.5 AS c, round(p_retailprice / 4000, 6) AS d FROM part")
+@query("SELECT p_partkey, round(p_size / 50.0, 6) AS a, 0.5::DOUBLE AS b, 0.5::DOUBLE AS c, round(p_retailprice / 4000, 6) AS d FROM part")
 def join_split_channels(spark, sf_dir):
     joined = prep.join_channels([prep.features(F.col("p_size") / 50), None, prep.features(F.col("p_retailprice") / 4000)], [1, 2, 1])
     a, b, c = prep.split_channels(joined, [1, 2, 1])
@@ -162,26 +162,26 @@ _kernel_query("binary_fuzzy", native.fuzzy(2, 0.01, 1.0), [(1, 0, 0, 1), (1, 1,
 _kernel_query("art1", native.art1(2, 2.0), [(0.6, 0.6, 1, 1), (1, 0, 1, 0), (0, 1, 0, 1)], 4, "x1 * w1 + x2 * w2", "((x1 <> 0 AND w3 <> 0)::INT + (x2 <> 0 AND w4 <> 0)::INT) / 2", ["(2 / (1 + x1 * w3 + x2 * w4) * x1 * w3)::FLOAT::DOUBLE", "(2 / (1 + x1 * w3 + x2 * w4) * x2 * w4)::FLOAT::DOUBLE", "x1 * w3", "x2 * w4"], ["x1 * 2 / 3", "x2 * 2 / 3", "x1", "x2"], binary=True)
 _kernel_query("art2a", native.art2a(0.1, 0.5), [(0.2, 0.8), (0.9, 0.1), (0.02, 0.01)], 2, "x1 * w1 + x2 * w2", "CASE WHEN x1 * w1 + x2 * w2 >= 0.1 * (x1 + x2) THEN x1 * w1 + x2 * w2 ELSE -1 END", ["0.5 * x1 + 0.5 * w1", "0.5 * x2 + 0.5 * w2"], ["x1", "x2"])
 _r = "sqrt((x1 - w1) ** 2 + (x2 - w2) ** 2)"
-_kernel_query("hypersphere", native.hypersphere(2, 0.01, 0.5, 1.5), [(0.2, 0.3, 0.1), (0.7, 0.6, 0.3), (0.5, 0.5, 0)], 3, f"(1.5 - greatest(w3, {_r})) / (1.51 - w3)", f"1 - greatest(w3, {_r}) / 1.5", [*[f"w{i} + 0.25 * (x{i} - w{i}) * (1 - least(w3, {_r}) / ({_r} + 0.01))" for i in (1, 2)], f"w3 + 0.25 * (greatest(w3, {_r}) - w3)"], ["x1", "x2", "0.0"])
+_kernel_query("hypersphere", native.hypersphere(2, 0.01, 0.5, 1.5), [(0.2, 0.3, 0.1), (0.7, 0.6, 0.3), (0.5, 0.5, 0)], 3, f"(1.5 - greatest(w3, {_r})) / (1.51 - w3)", f"1 - greatest(w3, {_r}) / 1.5", [*[f"w{i} + 0.25 * (x{i} - w{i}) * (1 - least(w3, {_r}) / ({_r} + 0.01))" for i in (1, 2)], f"w3 + 0.25 * (greatest(w3, {_r}) - w3)"], ["x1", "x2", "0.0::DOUBLE"])
 _s = "((x1 - w1) ** 2 + (x2 - w2) ** 2)"
 _e = f"CASE WHEN w3 <> 0 OR w4 <> 0 THEN sqrt(greatest(0, {_s} - 0.36 * (w3 * (x1 - w1) + w4 * (x2 - w2)) ** 2)) / 0.8 ELSE sqrt({_s}) END"
 _q = f"(CASE WHEN ({_e}) = 0 THEN 1 ELSE least(w5, {_e}) / ({_e}) END)"
 _c = [f"(w{i} + 0.25 * (x{i} - w{i}) * (1 - {_q}))" for i in (1, 2)]
 _z = f"sqrt((x1 - {_c[0]}) ** 2 + (x2 - {_c[1]}) ** 2)"
-_kernel_query("ellipsoid", native.ellipsoid(2, 0.01, 0.5, 0.8, 2.0), [(0.2, 0.3, 0.6, 0.8, 0.1), (0.7, 0.6, 0, 0, 0.2), (0.5, 0.5, 0, 0, 0)], 5, f"(2 - w5 - greatest(w5, {_e})) / (2.01 - 2 * w5)", f"1 - (w5 + greatest(w5, {_e})) / 2", [*_c, *[f"CASE WHEN w5 <> 0 AND {_z} <> 0 THEN (x{i} - {_c[i - 1]}) / {_z} ELSE w{i + 2} END" for i in (1, 2)], f"w5 + 0.25 * (greatest(w5, {_e}) - w5)"], ["x1", "x2", "0.0", "0.0", "0.0"])
+_kernel_query("ellipsoid", native.ellipsoid(2, 0.01, 0.5, 0.8, 2.0), [(0.2, 0.3, 0.6, 0.8, 0.1), (0.7, 0.6, 0, 0, 0.2), (0.5, 0.5, 0, 0, 0)], 5, f"(2 - w5 - greatest(w5, {_e})) / (2.01 - 2 * w5)", f"1 - (w5 + greatest(w5, {_e})) / 2", [*_c, *[f"CASE WHEN w5 <> 0 AND {_z} <> 0 THEN (x{i} - {_c[i - 1]}) / {_z} ELSE w{i + 2} END" for i in (1, 2)], f"w5 + 0.25 * (greatest(w5, {_e}) - w5)"], ["x1", "x2", "0.0::DOUBLE", "0.0::DOUBLE", "0.0::DOUBLE"])
 _g = "exp(-0.5 * ((w1 - x1) ** 2 * w5 + (w2 - x2) ** 2 * w6))"
 _m = [f"((1 - 1 / (w8 + 1)) * w{i} + x{i} / (w8 + 1))" for i in (1, 2)]
 _v = [f"((1 - 1 / (w8 + 1)) * w{i + 2} ** 2 + ({_m[i - 1]} - x{i}) ** 2 / (w8 + 1))" for i in (1, 2)]
-_kernel_query("gaussian", native.gaussian(2, 0.01, 0.5, 9.0), [(0.2, 0.3, 0.5, 0.5, 4, 4, 0.25, 1), (0.7, 0.6, 0.2, 0.4, 25, 6.25, 0.08, 5), (0.5, 0.1, 1, 1, 1, 1, 1, 3)], 8, f"{_g} / (0.01 + w7) * w8 / 9", _g, [*_m, *[f"sqrt({v})" for v in _v], *[f"1 / {v}" for v in _v], f"sqrt({_v[0]} * {_v[1]})", "w8 + 1"], ["x1", "x2", "0.5", "0.5", "4.0", "4.0", "0.25", "1.0"])
+_kernel_query("gaussian", native.gaussian(2, 0.01, 0.5, 9.0), [(0.2, 0.3, 0.5, 0.5, 4, 4, 0.25, 1), (0.7, 0.6, 0.2, 0.4, 25, 6.25, 0.08, 5), (0.5, 0.1, 1, 1, 1, 1, 1, 3)], 8, f"{_g} / (0.01 + w7) * w8 / 9", _g, [*_m, *[f"sqrt({v})" for v in _v], *[f"1 / {v}" for v in _v], f"sqrt({_v[0]} * {_v[1]})", "w8 + 1"], ["x1", "x2", "0.5::DOUBLE", "0.5::DOUBLE", "4.0::DOUBLE", "4.0::DOUBLE", "0.25::DOUBLE", "1.0::DOUBLE"])
 _d = "(w3 * w6 - w4 * w5)"
 _bm = [f"((1 - 1 / (w7 + 1)) * w{i} + x{i} / (w7 + 1))" for i in (1, 2)]
 _bc = [f"(w7 / (w7 + 1) * w{3 + 2 * i + j} + (x{i + 1} - {_bm[i]}) * (x{j + 1} - {_bm[j]}) / (w7 + 1))" for i in (0, 1) for j in (0, 1)]
-_kernel_query("bayesian", native.bayesian2(9.0, 0.05), [(0.2, 0.3, 0.1, 0.02, 0.02, 0.2, 1), (0.7, 0.6, 0.05, 0, 0, 0.05, 5), (0.5, 0.1, 0.3, -0.1, -0.1, 0.2, 3)], 7, f"exp(-0.5 * (w6 * (x1 - w1) ** 2 - (w4 + w5) * (x1 - w1) * (x2 - w2) + w3 * (x2 - w2) ** 2) / {_d}) / (2 * pi() * sqrt({_d})) * w7 / 9", f"{_bc[0]} * {_bc[3]} - {_bc[1]} * {_bc[2]}", [*_bm, *_bc, "w7 + 1"], ["x1", "x2", "0.05", "0.0", "0.0", "0.05", "1.0"])
+_kernel_query("bayesian", native.bayesian2(9.0, 0.05), [(0.2, 0.3, 0.1, 0.02, 0.02, 0.2, 1), (0.7, 0.6, 0.05, 0, 0, 0.05, 5), (0.5, 0.1, 0.3, -0.1, -0.1, 0.2, 3)], 7, f"exp(-0.5 * (w6 * (x1 - w1) ** 2 - (w4 + w5) * (x1 - w1) * (x2 - w2) + w3 * (x2 - w2) ** 2) / {_d}) / (2 * pi() * sqrt({_d})) * w7 / 9", f"{_bc[0]} * {_bc[3]} - {_bc[1]} * {_bc[2]}", [*_bm, *_bc, "w7 + 1"], ["x1", "x2", "0.05::DOUBLE", "0.0::DOUBLE", "0.0::DOUBLE", "0.05::DOUBLE", "1.0::DOUBLE"])
 _zz = ["(w1 * x1 + w2 * x2)", "(w3 * x1 + w4 * x2)"]
 _f = f"(({_zz[0]} - w5) ** 2 + ({_zz[1]} - w6) ** 2)"
 _t = f"exp(-w7 * w7 * {_f})"
 _p = [f"(2 * w7 * w7 * {_t} * ({_zz[i]} - w{5 + i}))" for i in (0, 1)]
-_kernel_query("quadratic", native.quadratic(2, 0.5, 0.1, 0.2, 0.3), [(1, 0, 0, 1, 0.3, 0.3, 0.5), (0.9, 0.1, -0.1, 1.1, 0.6, 0.5, 1.5), (1, 0.2, 0.2, 1, 0, 0, 1)], 7, _t, _t, [*[f"w{2 * i + j + 1} - 0.2 * {_p[i]} * x{j + 1}" for i in (0, 1) for j in (0, 1)], f"w5 + 0.1 * {_p[0]}", f"w6 + 0.1 * {_p[1]}", f"w7 - 0.3 * 2 * w7 * {_t} * {_f}"], ["1.0", "0.0", "0.0", "1.0", "x1", "x2", "0.5"])
+_kernel_query("quadratic", native.quadratic(2, 0.5, 0.1, 0.2, 0.3), [(1, 0, 0, 1, 0.3, 0.3, 0.5), (0.9, 0.1, -0.1, 1.1, 0.6, 0.5, 1.5), (1, 0.2, 0.2, 1, 0, 0, 1)], 7, _t, _t, [*[f"w{2 * i + j + 1} - 0.2 * {_p[i]} * x{j + 1}" for i in (0, 1) for j in (0, 1)], f"w5 + 0.1 * {_p[0]}", f"w6 + 0.1 * {_p[1]}", f"w7 - 0.3 * 2 * w7 * {_t} * {_f}"], ["1.0::DOUBLE", "0.0::DOUBLE", "0.0::DOUBLE", "1.0::DOUBLE", "x1", "x2", "0.5::DOUBLE"])
 
 
 # Fits
@@ -343,9 +343,9 @@ def binary_fuzzy_artmap(spark, sf_dir):
 
 @query()
 def artmap_regression(spark, sf_dir):
-    days = F.datediff(F.col("o_orderdate"), F.lit("1992-01-01")).cast("double")
-    rows = prep.prepare(table(spark, sf_dir, "orders").withColumn("d", days).withColumn("m", F.month("o_orderdate")), ["d", "m"], complement=True)
-    rows = prep.prepare(rows, ["o_totalprice"], complement=True, out="t").select(F.col("o_orderkey").alias("sample_id"), "x", "t")
+    parts = table(spark, sf_dir, "part").withColumn("area", F.col("p_size") * F.col("p_size"))
+    rows = prep.prepare(parts, ["p_size", "p_retailprice"], complement=True)
+    rows = prep.prepare(rows, ["area"], complement=True, out="t").select(F.col("p_partkey").alias("sample_id"), "x", "t")
     fitted = fold(rows, TwoSided(Fuzzy(0.8, 0.01), Fuzzy(0.9, 0.01)), "sample_id", ["x", "t"])
     got = compound.regress(rows, fitted, ["x", "t"])
     return got.select("sample_id", "cluster_b", F.round(F.get("value", F.lit(0)), 6).alias("value"))
@@ -420,13 +420,13 @@ def sarsa_targets(spark, sf_dir):
 
 @query("SELECT user_id AS sample_id, a AS action_id, round(r, 6) AS reward FROM (SELECT user_id, a, r, row_number() OVER (PARTITION BY user_id ORDER BY r DESC, a) AS k FROM (SELECT user_id, length(event_type) AS a, avg(value) AS r FROM events GROUP BY ALL)) WHERE k = 1")
 def best_action(spark, sf_dir):
-    rewards = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("sample_id"), F.length("event_type").alias("action_id")).agg(F.avg("value").alias("reward"))
+    rewards = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("sample_id"), F.length("event_type").cast("long").alias("action_id")).agg(F.avg("value").alias("reward"))
     return compound.best_action(rewards).withColumn("reward", F.round("reward", 6))
 
 
 @query()
 def probabilistic_action(spark, sf_dir):
-    rewards = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("sample_id"), F.length("event_type").alias("action_id")).agg(F.avg("value").alias("reward"))
+    rewards = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("sample_id"), F.length("event_type").cast("long").alias("action_id")).agg(F.avg("value").alias("reward"))
     return compound.probabilistic_action(rewards, 0.5)
 
 
