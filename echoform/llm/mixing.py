@@ -77,7 +77,8 @@ def mix(documents: DataFrame, weight: Column | None = None, weights: Sequence[fl
     u = (F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
     rows = documents.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), (-F.log(u) / F.greatest(weight, F.lit(LEAST_WEIGHT))).alias("_key"), F.xxhash64(text).alias("_tie"))
     by = [F.col("source").asc_nulls_last(), "_key", "doc_id", "_tie"]
-    dealt = written(rows.repartitionByRange(shuffle_partitions(spark), *by).withColumn("_range", F.spark_partition_id()), "mix")
+    # Written first: dealing by ranges reads its input twice, and texts should be read once.
+    dealt = written(written(rows, "keys").repartitionByRange(shuffle_partitions(spark), *by).withColumn("_range", F.spark_partition_id()), "mix")
     ranges = dealt.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
     start = F.coalesce(F.sum("_sum").over(Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     aims = targets(dealt.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
