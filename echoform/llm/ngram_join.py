@@ -17,8 +17,8 @@ components, so equal sets are collapsed first and no group is spread into pairs.
 4. Prefix trees. A group's sets meet in one task. They are ordered by the group's own
    frequencies, most frequent first, so that similar sets share long paths of the
    tree; a set walks the tree with its overlap so far, and leaves a subtree when the
-   sizes and lengths that remain cannot reach the threshold, or when all of the
-   subtree is in its component already. Overlaps are exact.
+   sizes and lengths that remain cannot reach the threshold. Small subtrees are rows of
+   bits that a set is compared with at once. Overlaps are exact.
 5. Groups of more shingles than GROUP_TOKENS are cut into blocks and every two blocks
    meet in a task, so no link is lost and no task grows with a group. The links'
    components are merged at the end.
@@ -44,7 +44,7 @@ from echoform.llm._text import bytes_of, chunks, shingle_sets
 from echoform.llm.components import components
 
 #: Shingles of the sets that one task joins at most (apart from a single set of more).
-GROUP_TOKENS = 3_000_000
+GROUP_TOKENS = 1_000_000
 SPARE = 0.1
 
 
@@ -160,107 +160,106 @@ def shared_tokens(heads: DataFrame) -> DataFrame:
 
 
 class Node:
-    __slots__ = ("children", "ends", "least", "most", "only", "tokens")
+    """A subtree: the sets from lo to hi in order, which share `tokens` after their parents' paths.
 
-    def __init__(self, tokens: np.ndarray):
-        self.tokens, self.children, self.ends = tokens, {}, []
-        self.least, self.most, self.only = 1 << 60, 0, None
+    A leaf keeps what is left of its sets as rows of bits over their tokens, so that a
+    set is compared with all of them at once.
+    """
 
-
-def _first(own: Node | None, children) -> Iterator[Node]:
-    """The children, own before the others."""
-    if own is not None:
-        yield own
-    yield from (c for c in children if c is not own)
+    __slots__ = ("bits", "children", "columns", "hi", "least", "lo", "most", "tokens")
 
 
 class Trie:
-    """Prefix tree of sets of ranks with paths compressed, joined as it is filled."""
-
-    def __init__(self, per_cent: int, width: int):
-        self.root, self.per_cent = Node(np.zeros(0, np.int64)), per_cent
-        self.mark, self.parent = np.zeros(width, bool), []
-
-    def find(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
-
-    def links(self, n: int, m: int, both: int) -> bool:
+    """Prefix tree over sorted sets of ranks, walked by each set in turn for those before it.
+
+    Subtrees of at most BULK sets and LEAF_TOKENS tokens are leaves.
+    """
+
+    BULK, LEAF_TOKENS = 512, 250_000
+
+    def __init__(self, sets: list[np.ndarray], per_cent: int):
+        self.per_cent, self.sets = per_cent, sets
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.root = self._build()
+
+    def _build(self) -> Node:
+        root = Node()
+        todo = [(root, 0, len(self.sets), 0)]
+        while todo:
+            node, lo, hi, depth = todo.pop()
+            first, last = self.sets[lo], self.sets[hi - 1]  # in order, so what these share all between them share
+            k = min(len(first), len(last))
+            differ = np.flatnonzero(first[depth:k] != last[depth:k])
+            end = depth + int(differ[0]) if len(differ) else k
+            node.lo, node.hi, node.tokens, node.children, node.bits = lo, hi, first[depth:end], [], None
+            node.least, node.most = int(self.sizes[lo:hi].min()), int(self.sizes[lo:hi].max())
+            if hi - lo <= self.BULK and self.at[hi] - self.at[lo] <= self.LEAF_TOKENS or hi - lo == 1:
+                rest = [s[end:] for s in self.sets[lo:hi]]
+                node.columns = np.unique(np.concatenate(rest))
+                node.bits = np.stack([self._bits(node.columns, r) for r in rest])
+                continue
+            at = lo
+            while at < hi:
+                if len(self.sets[at]) == end:
+                    stop = at + 1
+                else:
+                    stop = self._until(at, hi, end)
+                child = Node()
+                node.children.append(child)
+                todo.append((child, at, stop, end))
+                at = stop
+        return root
+
+    def _until(self, at: int, hi: int, depth: int) -> int:
+        """First set after at that differs from it at depth, by binary search."""
+        token = self.sets[at][depth]
+        while at < hi - 1:
+            mid = (at + hi) // 2
+            at, hi = (mid, hi) if self.sets[mid][depth] == token else (at, mid)
+        return hi
+
+    @staticmethod
+    def _bits(columns: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Which of the columns are among the tokens, packed into words."""
+        out = np.zeros(-(-len(columns) // 64) * 64, np.uint8)
+        if len(columns) and len(tokens):
+            k = np.minimum(np.searchsorted(columns, tokens), len(columns) - 1)
+            out[k[columns[k] == tokens]] = 1
+        return np.packbits(out).view(np.uint64)
+
+    def links(self, n, m, both):
         return 100 * both >= self.per_cent * (n + m - both)
 
-    def _uniform(self, node: Node, own: int) -> bool:
-        return node.only is not None and node.only >= 0 and self.find(node.only) == own
-
-    def add(self, ranks: np.ndarray) -> None:
-        """Link a set (sorted ranks) with those in the tree, then store it."""
-        x = len(self.parent)
-        self.parent.append(x)
-        n = len(ranks)
-        self.mark[ranks] = True
-        # A node's children are taken one by one, that of the set's own path first, so that all are passed over once the set is linked with them.
-        stack = [(self.root, iter((self.root,)), 0, 0)]
+    def before(self, x: int, mark: np.ndarray) -> Iterator[np.ndarray]:
+        """Sets before x that it links with, leaf by leaf. mark: scratch flags for all ranks."""
+        ranks, n = self.sets[x], int(self.sizes[x])
+        mark[ranks] = True
+        stack = [(self.root, 0, 0)]
         while stack:
-            above, children, depth, both = stack[-1]
-            node = None if self._uniform(above, self.find(x)) else next(children, None)
-            if node is None:
-                stack.pop()
-                continue
-            if not node.most or self._uniform(node, self.find(x)):
+            node, depth, both = stack.pop()
+            if node.lo >= x:
                 continue
             left = n
+            depth += len(node.tokens)
             if len(node.tokens):
-                both += int(np.count_nonzero(self.mark[node.tokens]))
-                depth += len(node.tokens)
+                both += int(np.count_nonzero(mark[node.tokens]))
                 left -= int(np.searchsorted(ranks, node.tokens[-1], "right"))
+            elif depth:
+                left = n  # nothing new is known of what is left
             # Most that a set of m below can overlap: both + min(m - depth, left). It is best, against what is needed, at m = depth + left.
             m = min(max(depth + left, node.least), node.most)
             if not self.links(n, m, both + min(m - depth, left)):
                 continue
-            for y in node.ends:  # one at most, as the sets are distinct
-                if self.links(n, depth, both):
-                    a, b = self.find(x), self.find(y)
-                    if a != b:
-                        self.parent[max(a, b)] = min(a, b)
-            if node.children:
-                own = node.children.get(int(ranks[n - left])) if left else None
-                stack.append((node, _first(own, node.children.values()), depth, both))
-        self.mark[ranks] = False
-        self._store(ranks, x)
-
-    def _touch(self, node: Node, n: int, x: int) -> None:
-        node.least, node.most = min(node.least, n), max(node.most, n)
-        if node.only is None:
-            node.only = x
-        elif node.only >= 0 and self.find(node.only) != self.find(x):
-            node.only = -1
-
-    def _store(self, ranks: np.ndarray, x: int) -> None:
-        node, at, n = self.root, 0, len(ranks)
-        self._touch(node, n, x)
-        while at < n:
-            child = node.children.get(int(ranks[at]))
-            if child is None:
-                child = Node(ranks[at:])
-                node.children[int(ranks[at])] = child
-                self._touch(child, n, x)
-                child.ends.append(x)
-                return
-            own = child.tokens
-            k = min(len(own), n - at)
-            differ = np.flatnonzero(own[:k] != ranks[at : at + k])
-            k = int(differ[0]) if len(differ) else k
-            if k < len(own):
-                upper = Node(own[:k])
-                upper.least, upper.most, upper.only = child.least, child.most, child.only
-                child.tokens = own[k:]
-                upper.children[int(own[k])] = child
-                node.children[int(ranks[at])] = upper
-                child = upper
-            self._touch(child, n, x)
-            node, at = child, at + k
-        node.ends.append(x)
+            if node.bits is None:
+                stack.extend((child, depth, both) for child in node.children)
+                continue
+            top = min(x, node.hi) - node.lo
+            shared = both + np.bitwise_count(node.bits[:top] & self._bits(node.columns, ranks)).sum(1, dtype=np.int64)
+            hit = np.flatnonzero(self.links(n, self.sizes[node.lo : node.lo + top], shared))
+            if len(hit):
+                yield hit + node.lo
+        mark[ranks] = False
 
 
 def join_sets(sets: list[np.ndarray], per_cent: int) -> list[int]:
@@ -270,10 +269,23 @@ def join_sets(sets: list[np.ndarray], per_cent: int) -> list[int]:
     rank = np.empty(len(count), np.int64)
     rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
     ranks, at = rank[which], np.cumsum([0, *map(len, sets)])
-    trie = Trie(per_cent, len(count))
-    for k in range(len(sets)):
-        trie.add(np.sort(ranks[at[k] : at[k + 1]]))
-    return [trie.find(k) for k in range(len(sets))]
+    own = [np.sort(ranks[at[k] : at[k + 1]]) for k in range(len(sets))]
+    order = sorted(range(len(sets)), key=lambda k: own[k].astype(">i8").tobytes())
+    trie, mark, parent = Trie([own[k] for k in order], per_cent), np.zeros(len(count), bool), list(range(len(sets)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x in range(1, len(sets)):
+        for found in trie.before(x, mark):
+            for y in found.tolist():
+                a, b = find(order[x]), find(order[y])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+    return [find(k) for k in range(len(sets))]
 
 
 def link(documents: DataFrame, words: int = 5, per_cent: int = 80, key: str = "doc_id", text: str = "text", group_tokens: int = GROUP_TOKENS) -> DataFrame:
