@@ -35,7 +35,7 @@ from echoform.llm._labels import fold, labelled_sample, logistic
 from echoform.llm._text import ALNUM, LOWER, bytes_of, chunks, token_hashes
 
 #: Documents of each class in the training sample at most, and bytes of each.
-PER_CLASS, MOST_BYTES = 3000, 1 << 16
+PER_CLASS, MOST_BYTES = 1500, 1 << 15
 FRAME = bytes(range(1, 9)) + bytes(range(14, 26))
 LEVEL, DICTIONARY = 6, 8192
 SAVINGS, SHARES = (1, 2, 4, 6), (0.3, 0.45)
@@ -128,7 +128,7 @@ def train(sample: list[tuple[str | None, int]], counts: dict[int, int]) -> Model
         return Model(b"", b"", prior)
     raw, offsets = bytes_of(pa.array([t for t, _ in sample], pa.large_string()))
     low = LOWER[raw].tobytes()
-    hashes, rows, start, end = (np.concatenate(x) for x in zip(*(_tokens(raw, offsets, i, j) for i, j in chunks(offsets, 1 << 22)), strict=True))
+    hashes, rows, start, end = (np.concatenate(x) for x in zip(*(_tokens(raw, offsets, i, j) for i, j in chunks(offsets, 1 << 18)), strict=True))
     at = np.searchsorted(rows, np.arange(len(sample) + 1))
     pieces, found = [], {0: [], 1: []}
     for k in range(len(sample)):
@@ -141,7 +141,7 @@ def train(sample: list[tuple[str | None, int]], counts: dict[int, int]) -> Model
     place = {int(hashes[w]): w for w in np.flatnonzero(np.isin(hashes, marks)).tolist()}
     toxic = b" " + b" ".join(low[start[place[h]] : end[place[h]]] for h in marks.tolist()) + b" "
     model = Model(toxic[-DICTIONARY:] + ordinary, ordinary, prior)
-    x = np.concatenate([model.features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in chunks(offsets, 1 << 22)])
+    x = np.concatenate([model.features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in chunks(offsets, 1 << 20)])
     mean, spread = x.mean(0), x.std(0) + 1e-9
     mean[0], spread[0] = 0, 1
     share = np.where(y > 0, prior / y.mean(), (1 - prior) / (1 - y.mean()))
@@ -153,7 +153,7 @@ def train(sample: list[tuple[str | None, int]], counts: dict[int, int]) -> Model
 def _tokens(raw: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.ndarray, ...]:
     """Hashes, rows, starts and ends of the words of rows i to j, in terms of the whole buffer."""
     h, rows, start, end = token_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM)
-    return h, rows + i, start + offsets[i], end + offsets[i]
+    return h, (rows + i).astype(np.int32), (start + offsets[i]).astype(np.int32), (end + offsets[i]).astype(np.int32)
 
 
 def fit(documents: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, label: str = "toxic", per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES) -> Model:
@@ -176,7 +176,7 @@ def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "
 
 def scores(model: Model, column: pa.Array) -> np.ndarray:
     raw, offsets = bytes_of(column)
-    got = [model.score(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in chunks(offsets, 1 << 22)]
+    got = [model.score(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in chunks(offsets, 1 << 21)]
     return np.concatenate(got) if got else np.zeros(0)
 
 
