@@ -7,7 +7,16 @@ with the template over the sum of both numbers. Size bounds prune first: a Dice
 needs sizes a and b with min(a, b) >= t / 2 * (a + b), so a paragraph whose bigrams
 are too few or too many for every template is never compared, and only templates that
 fit its size are. A text without any of the words that a match cannot lack is passed over
-(see needed_words). The whole text is one more unit, for licences spread over lines.
+(see needed_words and gate_words). The whole text is one more unit.
+
+Windows of words over the whole text, across line feeds, find statements inside longer
+lines or wrapped over lines. A template of up to SHORT bigrams is compared with every
+window that can reach the least Dice. A longer one is compared with windows of its length
+at each place to which one of its ANCHORS (bigrams spread over it that stand in it once)
+aligns it. A window counts unless a matched paragraph under it shares as many bigrams;
+paragraphs under a window that shares more do not count (nor does the whole text, if a
+window shares as many at a higher Dice); of windows that overlap, the one that shares most
+bigrams counts.
 
 Everything stays inside the row that it began in: no shuffle, no join; the templates
 are literals, a bounded list that callers give. A template of one word has itself as
@@ -20,7 +29,9 @@ give repeated results. Extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+import re
+from collections import Counter
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +59,8 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 LEAST_DICE = 0.8
+#: Templates of more bigrams are placed by their anchors, so many at most.
+SHORT, ANCHORS = 40, 64
 
 
 def normal_words(text: Column) -> Column:
@@ -62,9 +75,10 @@ def bigrams(words: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) == 1, words).otherwise(pairs))
 
 
-def _template_grams(spark: SparkSession, templates: Mapping[str, str]) -> list[tuple[str, list[str]]]:
-    rows = spark.createDataFrame(sorted(templates.items()), "name string, body string").select("name", bigrams(normal_words(F.col("body"))).alias("grams"))
-    return [(r["name"], list(r["grams"])) for r in rows.collect() if r["grams"]]
+def _template_grams(spark: SparkSession, templates: Mapping[str, str]) -> list[tuple[str, list[str], list[str]]]:
+    """(name, distinct bigrams, words) of each template."""
+    rows = spark.createDataFrame(sorted(templates.items()), "name string, body string").select("name", normal_words(F.col("body")).alias("words")).select("name", "words", bigrams(F.col("words")).alias("grams"))
+    return [(r["name"], list(r["grams"]), list(r["words"])) for r in rows.collect() if r["grams"]]
 
 
 def needed_words(known: list[tuple[str, list[str]]], least: float) -> str:
@@ -82,32 +96,156 @@ def needed_words(known: list[tuple[str, list[str]]], least: float) -> str:
     return "|".join(f"\\Q{w}\\E" for w in sorted(out)) or "(?!)"
 
 
+def gate_words(known: list[tuple[str, list[str]]], least: float) -> set[str]:
+    """Words of which every match of each template has at least one, few for many long templates.
+
+    As in needed_words, a match has one of any n - i + 1 of a template's bigrams; words of
+    six letters or more are taken, the one that covers most of what is open first, until so
+    many bigrams of each template have one (any words, where the long ones do not suffice).
+    """
+    open_, out = [], set()
+    for _, grams in known:
+        n = len(grams)
+        open_.append([n - max(1, math.ceil(least * n * (1 + least / (2 - least)) / 2 - 1e-9)) + 1, set(grams)])
+    for fewest in (6, 1):
+        while any(need > 0 for need, _ in open_):
+            gain = Counter()
+            for need, grams in open_:
+                if need > 0:
+                    own = Counter(w for g in grams for w in set(g.split(" ")) if len(w) >= fewest)
+                    gain.update({w: min(c, need) for w, c in own.items()})
+            if not gain:
+                break
+            word = min(gain, key=lambda w: (-gain[w], w))
+            out.add(word)
+            for row in open_:
+                hit = {g for g in row[1] if word in g.split(" ")}
+                row[0] -= len(hit)
+                row[1] -= hit
+    return out
+
+
+def _anchors(words: list[str]) -> dict[str, int]:
+    """Bigrams that stand once in a template and their places: of each of ANCHORS stretches the one with the longest word."""
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    seen, out = Counter(pairs), {}
+    step = max(1, -(-len(pairs) // ANCHORS))
+    for at in range(0, len(pairs), step):
+        once = [k for k in range(at, min(at + step, len(pairs))) if seen[pairs[k]] == 1]
+        if once:
+            k = max(once, key=lambda k: (max(map(len, pairs[k].split(" "))), -k))
+            out[pairs[k]] = k
+    return out
+
+
+def _literals(values: list[str]) -> Column:
+    """A literal array<string>, from one literal."""
+    return F.split(F.lit("\t".join(values)), "\t")
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once."""
+    return F.transform(F.array(value), lambda x: f(x))[0]
+
+
+def _windows(text: list[tuple[str, list[str]]], long: list[tuple[str, list[str], list[str]]], least: float) -> Column:
+    """Windows (from the bigram s to e, both counted from 0) of _grams with a Dice of least or more: shared, dice, name, s, e, first and last line."""
+    low, high = least / (2 - least), (2 - least) / least
+    grams, lines, total = F.col("_grams"), F.col("_line"), F.size("_grams")
+
+    def scored(s: Column, e: Column, name: str, own: Column, n: int) -> Column:
+        def of(inside: Column) -> Column:
+            return _let(F.size(F.array_intersect(inside, own)), lambda k: F.struct(k.alias("shared"), (2 * k / (F.size(inside) + n)).alias("dice"), F.lit(name).alias("name"), s.alias("s"), e.alias("e"), F.get(lines, s).alias("first"), F.get(lines, e + 1).alias("last")))
+
+        return _let(F.array_distinct(F.slice(grams, s + 1, e - s + 1)), of)
+
+    good = lambda w: w["dice"] >= least - 1e-12
+    best = lambda ws: F.array_max(F.transform(ws, lambda w: F.struct(w["shared"].alias("shared"), w["dice"].alias("dice"), w.alias("w"))))["w"]
+    out = []
+    for name, own in text:
+        n, list_ = len(own), _literals(own)
+        fewest, most = math.ceil(n * low - 1e-9), math.floor(n * high + 1e-9)
+
+        def every(hits: Column) -> Column:
+            # The best window begins and ends with a bigram of the template: others only lengthen it.
+            def ends(h: Column, i: Column) -> Column:
+                to = F.filter(F.slice(hits, i + 1, most), lambda x: (x["k"] - h["k"] + 1).between(fewest, most))
+                return best(F.filter(F.transform(to, lambda x: scored(h["k"], x["k"], name, list_, n)), good))
+
+            return F.when(F.size(hits) >= fewest, F.filter(F.transform(hits, ends), lambda w: w.isNotNull()))
+
+        out.append(_let(F.filter("_hits", lambda h: F.array_contains(list_, h["g"])), every))
+    for name, own, words in long:
+        n, list_, places = len(own), _literals(own), _anchors(words)
+        place = F.create_map(*[F.lit(x) for g, k in places.items() for x in (g, k)])
+        starts = F.array_distinct(F.transform(F.filter("_hits", lambda h: F.array_contains(_literals(list(places)), h["g"])), lambda h: F.greatest(F.lit(0), h["k"] - F.element_at(place, h["g"]))))
+        length = len(words) - 1
+
+        def at(found: Column) -> Column:
+            tried = F.transform(found, lambda s: scored(s, F.least(s + length, total) - 1, name, list_, n))
+            whole = F.when((F.size(found) > 0) & total.between(n * low, n * high), F.array(scored(F.lit(0), total - 1, name, list_, n)))
+            return F.filter(F.concat(tried, F.coalesce(whole, F.slice(tried, 1, 0))), good)
+
+        out.append(_let(starts, at))
+    return F.flatten(F.filter(F.array(*out), lambda w: w.isNotNull()))
+
+
 def scan(documents: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = LEAST_DICE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, licence and dice of the best match, and all matched licences (sorted), with how many paragraphs matched."""
-    known = _template_grams(documents.sparkSession, templates)
+    """doc_id, licence and dice of the best match, and all matched licences (sorted), with how many paragraphs and windows matched."""
+    every = _template_grams(documents.sparkSession, templates)
+    known, long = [(k, g) for k, g, _ in every if len(g) <= SHORT], [x for x in every if len(x[1]) > SHORT]
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     low, high = least / (2 - least), (2 - least) / least
     sizes = [len(g) for _, g in known]
     fewest, most = min(sizes, default=1) * low, max(sizes, default=0) * high
-    units = F.array_distinct(F.concat(F.split(body, "\n"), F.array(body)))
-    units = F.when(F.lower(body).rlike(needed_words(known, least)), F.filter(units, lambda p: F.lower(p).rlike(needed_words(known, least)))).otherwise(F.array().cast("array<string>"))
-    grams = F.filter(F.transform(units, lambda p: bigrams(normal_words(p))), lambda g: F.size(g).between(int(fewest), int(most) + 1))
+    needed = needed_words(known, least)
+    wanted = "|".join([needed, *(f"\\Q{w}\\E" for w in sorted(gate_words([(k, g) for k, g, _ in long], least)) if not re.search(needed, w))])
+    nothing = F.array().cast("array<string>")
 
     def fits(g: Column) -> list[Column]:
         out = []
         for name, own in known:
             n = len(own)
-            dice = 2 * F.size(F.array_intersect(g, F.array(*[F.lit(x) for x in own]))) / (F.size(g) + n)
-            out.append(F.when(F.size(g).between(F.lit(n * low - 1e-9), F.lit(n * high + 1e-9)), F.struct((-dice).alias("d"), F.lit(name).alias("name"))))
+            shared = F.size(F.array_intersect(g, F.array(*[F.lit(x) for x in own])))
+            out.append(F.when(F.size(g).between(F.lit(n * low - 1e-9), F.lit(n * high + 1e-9)), _let(shared, lambda k: F.struct((-(2 * k / (F.size(g) + n))).alias("d"), F.lit(name).alias("name"), k.alias("shared")))))
         return out
 
     good = lambda g: F.array_sort(F.filter(F.array(*fits(g)), lambda m: m.isNotNull() & (m["d"] <= -least + 1e-12)))
-    found = F.filter(F.transform(grams, good), lambda m: F.size(m) > 0) if known else F.array().cast("array<array<struct<d:double,name:string>>>")
-    best = F.array_sort(F.transform(F.col("_found"), lambda m: m[0]))
-    rows = documents.select(F.col(key).alias("doc_id"), found.alias("_found"))
+    rows = documents.select(F.col(key).alias("doc_id"), body.alias("_body"))
+    rows = rows.withColumn("_lines", F.when(F.lower("_body").rlike(wanted), F.split("_body", "\n")).otherwise(nothing))
+    units = F.when(F.size("_lines") > 0, F.filter(F.array_distinct(F.concat("_lines", F.array("_body"))), lambda p: F.lower(p).rlike(needed))).otherwise(nothing)
+    of = F.filter(F.transform(units, lambda p: F.struct(p.alias("p"), bigrams(normal_words(p)).alias("g"))), lambda u: F.size(u["g"]).between(int(fewest), int(most) + 1))
+    matched = F.transform(of, lambda u: F.struct(u["p"].alias("p"), good(u["g"]).alias("m")))
+    none = F.array().cast("array<struct<p:string,d:double,name:string,shared:int>>")
+    unit = lambda u: F.struct(u["p"].alias("p"), u["m"][0]["d"].alias("d"), u["m"][0]["name"].alias("name"), u["m"][0]["shared"].alias("shared"))
+    rows = rows.withColumn("_units", F.transform(F.filter(matched, lambda u: F.size(u["m"]) > 0), unit) if known else none)
+
+    # Words with their lines, bigrams across line feeds, and the places of those that templates look for.
+    rows = rows.withColumn("_words", F.flatten(F.transform("_lines", lambda p, j: F.transform(normal_words(p), lambda w: F.struct(w.alias("w"), j.alias("j"))))))
+    pair = F.size("_words") - 1
+    rows = rows.withColumn("_grams", F.when(pair > 0, F.zip_with(F.slice("_words", 1, F.greatest(pair, F.lit(0))), F.slice("_words", 2, F.greatest(pair, F.lit(0))), lambda a, b: F.concat_ws(" ", a["w"], b["w"]))).otherwise(nothing)).withColumn("_line", F.transform("_words", lambda w: w["j"]))
+    looked = sorted({g for _, own in known for g in own} | {g for *_, w in long for g in _anchors(w)})
+    rows = rows.withColumn("_hits", F.filter(F.transform("_grams", lambda g, k: F.when(g.isin(looked), F.struct(g.alias("g"), k.alias("k")))), lambda h: h.isNotNull()))
+    some = F.array().cast("array<struct<shared:int,dice:double,name:string,s:int,e:int,first:int,last:int>>")
+    rows = rows.withColumn("_windows", F.when(F.size("_hits") > 0, _windows(known, long, least)).otherwise(some) if every else some)
+
+    # A paragraph keeps its place unless a window over it shares more; of windows that overlap, the one that shares most stays.
+    whole = lambda u: (u["p"] == F.col("_body")) & (F.size("_lines") > 1)
+    more = lambda w, u: (w["shared"] > u["shared"]) | (whole(u) & (w["shared"] == u["shared"]) & (w["dice"] > -u["d"]))
+    over = lambda w, u: whole(u) | F.array_contains(F.slice("_lines", w["first"] + 1, w["last"] - w["first"] + 1), u["p"])
+    left = F.filter("_windows", lambda w: ~F.exists("_units", lambda u: ~more(w, u) & over(w, u)))
+    ranked = F.transform(left, lambda w: F.struct((-w["shared"]).alias("a"), (-w["dice"]).alias("b"), w["name"].alias("c"), w["s"].alias("d"), w.alias("w")))
+    taken = F.aggregate(F.array_sort(ranked), some, lambda got, r: F.when(F.exists(got, lambda x: (x["s"] <= r["w"]["e"]) & (r["w"]["s"] <= x["e"])), got).otherwise(F.concat(got, F.array(r["w"]))))
+    rows = rows.withColumn("_taken", F.when(F.size("_windows") > 0, taken).otherwise(some))
+    free = lambda u: F.when(whole(u), ~F.exists("_taken", lambda w: more(w, u))).otherwise(
+        F.exists(F.transform("_lines", lambda p, j: (p == u["p"]) & ~F.exists("_taken", lambda w: more(w, u) & j.between(w["first"], w["last"]))), lambda x: x)
+    )
+    named = lambda m, d: F.struct(d.alias("d"), m["name"].alias("name"))
+    kept = F.when(F.size("_taken") > 0, F.filter("_units", free)).otherwise(F.col("_units"))
+    rows = rows.withColumn("_found", F.array_sort(F.concat(F.transform(kept, lambda m: named(m, m["d"])), F.transform("_taken", lambda m: named(m, -m["dice"])))))
     return rows.select(
-        "doc_id", F.get(best, F.lit(0))["name"].alias("licence"), F.coalesce(-F.get(best, F.lit(0))["d"], F.lit(0.0)).alias("dice"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("_found", lambda m: m[0]["name"]))), ",").alias("licences"), F.size("_found").cast("long").alias("n_matches"),
+        "doc_id", F.get("_found", F.lit(0))["name"].alias("licence"), F.coalesce(-F.get("_found", F.lit(0))["d"], F.lit(0.0)).alias("dice"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("_found", lambda m: m["name"]))), ",").alias("licences"), F.size("_found").cast("long").alias("n_matches"),
     )
 
 

@@ -397,6 +397,15 @@ def test_licences(spark):
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
 
 
+def test_licences_in_windows(spark):
+    rows = [
+        (1, "Our library is fast. Released under the MIT License.", "s"), (2, "Head of it\nThis work is licensed under the GNU General Public License,\nversion 3.\nfoo bar", "s"),
+        (3, "x\nReleased under the\nMIT License. And this: Licensed under CC BY 4.0. " + "word " * 30, "s"), (4, "a b c\n\nReleased under the\n\nBSD 3-Clause License.\n" * 3 + "end of it all " * 9, "s"), (5, "Released under no\nLicense. MIT", "s"),
+    ]
+    got = {r["doc_id"]: (r["licence"], round(r["dice"], 3), r["licences"], r["n_matches"]) for r in licences.scan(docs(spark, rows)).collect()}
+    assert got == {1: ("MIT", 1.0, "MIT", 1), 2: ("GPL-3.0", 1.0, "GPL-3.0", 1), 3: ("CC-BY-4.0", 1.0, "CC-BY-4.0,MIT", 2), 4: ("BSD-3-Clause", 1.0, "BSD-3-Clause", 3), 5: (None, 0.0, "", 0)}
+
+
 # All of them
 
 
