@@ -29,9 +29,9 @@ give repeated results. Extra columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Callable, Mapping
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,10 +59,17 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 LEAST_DICE = 0.8
+#: Whole licences (-text) and the notices that files carry, by SPDX identifier. The AGPL's terms are the GPL's with section 13 and the name changed, as they are published.
+TEXTS = Path(__file__).resolve().parent / "licence_texts"
 #: Templates of more bigrams are placed by their anchors, so many at most.
 SHORT, ANCHORS = 40, 64
 
 
+def every_template() -> dict[str, str]:
+    """Short statements, whole licences and notices."""
+    return TEMPLATES | {p.stem: p.read_text() for p in sorted(TEXTS.glob("*.txt"))}
+
+
 def normal_words(text: Column) -> Column:
     """Words of a text: lower case, runs of letters and digits, dots kept between digits."""
     plain = F.regexp_replace(F.lower(text), r"(?<![0-9])\.|\.(?![0-9])|[^\p{L}\p{N}.]+", " ")
@@ -81,8 +88,8 @@ def _template_grams(spark: SparkSession, templates: Mapping[str, str]) -> list[t
     return [(r["name"], list(r["grams"]), list(r["words"])) for r in rows.collect() if r["grams"]]
 
 
-def needed_words(known: list[tuple[str, list[str]]], least: float) -> str:
-    """Pattern of words of which every match has at least one.
+def needed_words(known: list[tuple[str, list[str]]], least: float) -> set[str]:
+    """Words of which every match has at least one.
 
     A match of a template of n bigrams shares at least i = least * n * (1 + low) / 2 of
     them, low being the size bound; so it has one of any n - i + 1 of them, and the
@@ -93,7 +100,16 @@ def needed_words(known: list[tuple[str, list[str]]], least: float) -> str:
         n = len(grams)
         shared = max(1, math.ceil(least * n * (1 + least / (2 - least)) / 2 - 1e-9))
         out |= set(sorted((max(g.split(" "), key=len) for g in grams), key=len, reverse=True)[: n - shared + 1])
-    return "|".join(f"\\Q{w}\\E" for w in sorted(out)) or "(?!)"
+    return out
+
+
+def _any_of(words: set[str]) -> str:
+    """Pattern of whole words, by first letter, so that few alternatives are tried at a place."""
+    first = {}
+    for w in sorted(words):
+        first.setdefault(w[0], []).append(w[1:])
+    tails = "|".join(rf"\Q{c}\E(?:{'|'.join(rf'\Q{t}\E' if t else '' for t in ts)})(?![a-z0-9])" for c, ts in first.items())
+    return rf"(?<![a-z0-9])(?:{tails})" if words else "(?!)"
 
 
 def gate_words(known: list[tuple[str, list[str]]], least: float) -> set[str]:
@@ -112,7 +128,7 @@ def gate_words(known: list[tuple[str, list[str]]], least: float) -> set[str]:
             gain = Counter()
             for need, grams in open_:
                 if need > 0:
-                    own = Counter(w for g in grams for w in set(g.split(" ")) if len(w) >= fewest)
+                    own = Counter([w for g in grams for w in set(g.split(" ")) if len(w) >= fewest])
                     gain.update({w: min(c, need) for w, c in own.items()})
             if not gain:
                 break
@@ -177,8 +193,8 @@ def _windows(text: list[tuple[str, list[str]]], long: list[tuple[str, list[str],
         out.append(_let(F.filter("_hits", lambda h: F.array_contains(list_, h["g"])), every))
     for name, own, words in long:
         n, list_, places = len(own), _literals(own), _anchors(words)
-        place = F.create_map(*[F.lit(x) for g, k in places.items() for x in (g, k)])
-        starts = F.array_distinct(F.transform(F.filter("_hits", lambda h: F.array_contains(_literals(list(places)), h["g"])), lambda h: F.greatest(F.lit(0), h["k"] - F.element_at(place, h["g"]))))
+        anchors, place = _literals(list(places)), _literals([str(k) for k in places.values()]).cast("array<int>")
+        starts = F.array_distinct(F.transform(F.filter("_hits", lambda h: F.array_contains(anchors, h["g"])), lambda h: F.greatest(F.lit(0), h["k"] - F.element_at(place, F.array_position(anchors, h["g"]).cast("int")))))
         length = len(words) - 1
 
         def at(found: Column) -> Column:
@@ -190,16 +206,16 @@ def _windows(text: list[tuple[str, list[str]]], long: list[tuple[str, list[str],
     return F.flatten(F.filter(F.array(*out), lambda w: w.isNotNull()))
 
 
-def scan(documents: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = LEAST_DICE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, licence and dice of the best match, and all matched licences (sorted), with how many paragraphs and windows matched."""
-    every = _template_grams(documents.sparkSession, templates)
+def scan(documents: DataFrame, templates: Mapping[str, str] | None = None, least: float = LEAST_DICE, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, licence and dice of the best match, and all matched licences (sorted), with how many paragraphs and windows matched; by default against every_template()."""
+    every = _template_grams(documents.sparkSession, every_template() if templates is None else templates)
     known, long = [(k, g) for k, g, _ in every if len(g) <= SHORT], [x for x in every if len(x[1]) > SHORT]
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     low, high = least / (2 - least), (2 - least) / least
     sizes = [len(g) for _, g in known]
     fewest, most = min(sizes, default=1) * low, max(sizes, default=0) * high
-    needed = needed_words(known, least)
-    wanted = "|".join([needed, *(f"\\Q{w}\\E" for w in sorted(gate_words([(k, g) for k, g, _ in long], least)) if not re.search(needed, w))])
+    needed = _any_of(needed_words(known, least))
+    wanted = _any_of(needed_words(known, least) | gate_words([(k, g) for k, g, _ in long], least))
     nothing = F.array().cast("array<string>")
 
     def fits(g: Column) -> list[Column]:

@@ -406,6 +406,23 @@ def test_licences_in_windows(spark):
     assert got == {1: ("MIT", 1.0, "MIT", 1), 2: ("GPL-3.0", 1.0, "GPL-3.0", 1), 3: ("CC-BY-4.0", 1.0, "CC-BY-4.0,MIT", 2), 4: ("BSD-3-Clause", 1.0, "BSD-3-Clause", 3), 5: (None, 0.0, "", 0)}
 
 
+def test_whole_licences(spark):
+    prose = words_of(np.random.default_rng(9), 300)
+    rows, want = [], {}
+    for k, p in enumerate(sorted(licences.TEXTS.glob("*.txt"))):
+        whole = p.read_text()
+        rows += [(3 * k, whole, "s"), (3 * k + 1, prose + "\n * " + "\n * ".join(whole.split("\n")) + "\n" + prose, "s"), (3 * k + 2, prose + " Copyright 2020 A. Person. " + " ".join(whole.split()), "s")]
+        want |= {3 * k + i: p.stem for i in range(3)}
+    mit = (licences.TEXTS / "MIT-text.txt").read_text().replace("AUTHORS OR COPYRIGHT HOLDERS", "PEOPLE OF EXAMPLE CORPORATION").replace("included in all", "kept in all")
+    rows += [(900, prose + "\n" + mit + prose, "s"), (901, prose + " copyright software warranty license merchantability. " + prose, "s")]
+    got = {r["doc_id"]: r for r in licences.scan(docs(spark, rows)).collect()}
+    assert {"MIT-text", "BSD-2-Clause-text", "BSD-3-Clause-text", "GPL-2.0-text", "GPL-3.0-text", "GPL-3.0-notice"} <= set(want.values())
+    for d, name in want.items():
+        assert name in got[d]["licences"].split(",") and got[d]["dice"] > 0.97, (d, name, got[d])
+    assert got[900]["licence"] == "MIT-text" and 0.8 < got[900]["dice"] < 1
+    assert got[901]["licence"] is None
+
+
 # All of them
 
 
