@@ -7,7 +7,7 @@ matter, and a paragraph is inserted or deleted by adding or subtracting its vect
 
 A vector has two parts:
 - EXACT lanes of 64 random bits, added modulo 2**64, that tell multisets apart;
-- LIKE lanes added modulo 2**16, in which each run of three words of the paragraph
+- LIKE lanes added modulo 2**32, in which each run of three words of the paragraph
   (or all its words, if fewer) counts +1 or -1 in a lane chosen by its hash. Inner
   products of these lanes estimate how many such runs two texts share, from which
   likeness() takes the Dice coefficient, held to 0..1.
@@ -31,7 +31,7 @@ from echoform.llm._spark import shuffle_partitions
 from echoform.llm._text import BYTE, SPACE, bytes_of, chunks, ngram_hashes, prefix_hash, row_of, span_hash, splitmix, token_hashes
 
 EXACT, LIKE, RUN = 8, 512, 3
-WIDTH = EXACT * 8 + LIKE * 2
+WIDTH = EXACT * 8 + LIKE * 4
 #: Parts are chosen by an expression that grows with their number; workers stream a part, so its size is not bounded by memory.
 MOST_PARTS = 2048
 _LINE = np.zeros(256, bool)
@@ -41,7 +41,7 @@ _LINE[0x0A] = True
 def vectors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(exact lanes, like lanes) of every row."""
     n = len(offsets) - 1
-    exact, like = np.zeros((n, EXACT), np.uint64), np.zeros((n, LIKE), np.uint16)
+    exact, like = np.zeros((n, EXACT), np.uint64), np.zeros((n, LIKE), np.uint32)
     feeds = np.flatnonzero(_LINE[raw])
     start = np.concatenate([offsets[:-1], feeds + 1])
     order = np.argsort(start, kind="stable")
@@ -70,7 +70,7 @@ def vectors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
             lines = np.concatenate([lines, few])
     lane = owner[lines] * LIKE + (grams % np.uint64(LIKE)).astype(np.int64)
     sign = (grams >> np.uint64(63)).astype(np.int64) * 2 - 1
-    like += np.bincount(lane, sign, n * LIKE).astype(np.int64).astype(np.uint16).reshape(n, LIKE)
+    like += np.bincount(lane, sign, n * LIKE).astype(np.int64).astype(np.uint32).reshape(n, LIKE)
     return exact, like
 
 
@@ -88,14 +88,14 @@ def combine(a: bytes, b: bytes, sign: int = 1) -> bytes:
     """a with b's paragraphs inserted (sign 1) or deleted (sign -1)."""
     cut = EXACT * 8
     x, y = np.frombuffer(a, np.uint64, EXACT), np.frombuffer(b, np.uint64, EXACT)
-    p, q = np.frombuffer(a, np.uint16, LIKE, cut), np.frombuffer(b, np.uint16, LIKE, cut)
+    p, q = np.frombuffer(a, np.uint32, LIKE, cut), np.frombuffer(b, np.uint32, LIKE, cut)
     with np.errstate(over="ignore"):
         return (x + y).tobytes() + (p + q).tobytes() if sign > 0 else (x - y).tobytes() + (p - q).tobytes()
 
 
 def likeness(exact_a: np.ndarray, like_a: np.ndarray, exact_b: np.ndarray, like_b: np.ndarray) -> np.ndarray:
     """Row by row: 1 for equal fingerprints, else twice the inner product over the sum of squares, held to 0..1."""
-    a, b = like_a.view(np.int16).astype(np.float64), like_b.view(np.int16).astype(np.float64)
+    a, b = like_a.view(np.int32).astype(np.float64), like_b.view(np.int32).astype(np.float64)
     both = (a * a).sum(1) + (b * b).sum(1)
     out = np.clip(2 * (a * b).sum(1) / np.where(both > 0, both, 1), 0, 1)
     return np.where((exact_a == exact_b).all(1) & (like_a == like_b).all(1), 1.0, out)

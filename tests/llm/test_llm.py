@@ -384,6 +384,12 @@ def test_fingerprints_add_up():
     assert like(x, x) == 1 and 0.6 < like(x, y) < 0.9 and like(x, z) < 0.2
 
 
+def test_fingerprints_of_long_repeats(spark):
+    rows = [(1, "word " * 40000, "s"), (2, words_of(np.random.default_rng(2), 20000), "s")]
+    got = {r["doc_id"]: r["near_edited"] for r in fingerprints.compare_with_next(docs(spark, rows)).collect()}
+    assert 0.7 < got[1] <= 1 and 0 <= got[2] <= 1
+
+
 # 9. Licences
 
 
