@@ -36,11 +36,11 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     release(ship(spark))
-    found = ngram_join.link(docs, words=5, per_cent=80)
-    # Ids that are no component's least go; a row whose id is null, or that repeats a kept id, stays.
-    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    found = ngram_join.link_sets(docs, words=5, per_cent=80)
+    # Rows whose id is not their component's least go, told by id and shingles: another text of the same id may stay, as do rows whose id is null or repeats a kept id.
+    gone = written(found.where("doc_id <> component_id").select("doc_id", "set_name").distinct(), "gone")
     maybe, never = split(docs, "doc_id", gone)
-    return maybe.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(never)
+    return ngram_join.with_set_name(maybe, 5).join(gone, ["doc_id", "set_name"], "left_anti").select(*docs.columns).unionByName(never)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

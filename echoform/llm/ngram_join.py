@@ -38,6 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from echoform.llm._spark import Membership, bucket_bits, pack, per_bucket, shuffle_partitions, unpack, written
 from echoform.llm._text import bytes_of, chunks, shingle_sets
@@ -290,6 +291,23 @@ def join_sets(sets: list[np.ndarray], per_cent: int) -> list[int]:
 
 def link(documents: DataFrame, words: int = 5, per_cent: int = 80, key: str = "doc_id", text: str = "text", group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
+    return link_sets(documents, words, per_cent, key, text, group_tokens).drop("set_name")
+
+
+def with_set_name(documents: DataFrame, words: int, text: str = "text") -> DataFrame:
+    """documents with the set_name of each row's text, as link_sets() has it."""
+    at = documents.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [_name(tokens)[0] if len(tokens) else None for tokens in _sets(batch.column(at), words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.binary())], [*batch.schema.names, "set_name"])
+
+    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField("set_name", BinaryType())]))
+
+
+def link_sets(documents: DataFrame, words: int = 5, per_cent: int = 80, key: str = "doc_id", text: str = "text", group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """doc_id, n_shingles, component_id and set_name of every document: rows that share an id are told apart by their sets."""
     spark = documents.sparkSession
     sets = written(set_table(documents, words, key, text), "sets")
     named = sets.where("set_name is not null").groupBy("set_name").agg(F.min("doc_id").alias("first_id"), F.first("set_id").alias("set_id"), F.first("n").alias("n"))
@@ -316,7 +334,7 @@ def link(documents: DataFrame, words: int = 5, per_cent: int = 80, key: str = "d
     final = merged.join(least, "component").select(F.col("node").alias("set_id"), "component_id")
     by_set = named.join(final, "set_id", "left").select("set_name", F.coalesce("component_id", "first_id").alias("component_id"))
     out = sets.drop("set_id").join(by_set, "set_name", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "set_name")
 
 
 def _tree_links(documents: DataFrame, members: DataFrame, words: int, per_cent: int, key: str, text: str) -> DataFrame:

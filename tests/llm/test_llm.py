@@ -478,6 +478,15 @@ def test_pipeline_stages(spark):
     assert sorted(map(str, whole)) == sorted(map(str, outputs[4]))
 
 
+def test_pipeline_tells_rows_of_one_id_apart(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(8)
+    same, other = words_of(rng, 60), words_of(rng, 60)
+    rows = [(1, same, "s"), (2, same + " more", "s"), (2, other, "s"), (2, None, "s"), (3, "", "s"), (None, same, "s")]
+    got = corpus_pipeline.keep_one_of_near_duplicates(spark, docs(spark, rows), DATA).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(1, same), (2, other), (2, None), (3, ""), (None, same)])
+
+
 def test_ngrams_are_told_apart():
     tokens = np.array([1, 2, 3, 1, 2], np.uint64)
     h, at = ngram_hashes(tokens, np.array([0, 0, 0, 1, 1]), 2)
