@@ -276,7 +276,7 @@ def oracle() -> str:
     return rf"""
 WITH t AS (SELECT name, {grams("w")} AS g FROM (SELECT name, {words("body")} AS w FROM (VALUES {rows}) AS v(name, body))),
 u AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(list_concat(string_split(coalesce(text, ''), chr(10)), [coalesce(text, '')])) AS p FROM documents)),
-x AS (SELECT doc_id, p, {grams("w")} AS g FROM (SELECT doc_id, p, {words("p")} AS w FROM u WHERE regexp_matches(lower(p), 'licens|licence|domain|permission'))),
+x AS (SELECT doc_id, p, {grams("w")} AS g FROM (SELECT doc_id, p, {words("p")} AS w FROM u)),
 m AS (SELECT doc_id, p, name, 2 * len(list_intersect(x.g, t.g)) / (len(x.g) + len(t.g)) AS dice FROM x, t WHERE len(x.g) > 0),
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, p ORDER BY dice DESC, name) AS k FROM m WHERE dice >= {LEAST_DICE} - 1e-12),
 f AS (SELECT doc_id, first(name ORDER BY dice DESC, name) AS licence, max(dice) AS dice, string_agg(DISTINCT name, ',' ORDER BY name) AS licences, count(*) AS n_matches FROM b WHERE k = 1 GROUP BY doc_id)

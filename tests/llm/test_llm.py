@@ -429,6 +429,18 @@ def test_whole_licences(spark):
     assert got[901]["licence"] is None
 
 
+def test_licence_sql_reads_all_paragraphs(spark):
+    import duckdb
+
+    rows = [(1, "Released under the MIT", "s"), (2, "a text\nunder CC BY 4.0", "s"), (3, "no word of it", "s")]
+    values = ", ".join(f"({d}, '{t}')" for d, t, _ in rows)
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE documents AS SELECT * FROM (VALUES {values}) AS v(doc_id, text)")
+    want = sorted((r[0], r[1], round(r[2], 9), r[3], r[4]) for r in con.execute(licences.oracle()).fetchall())
+    assert sorted((r[0], r[1], round(r[2], 9), r[3], r[4]) for r in licences.scan(docs(spark, rows)).collect()) == want
+    assert [w[1] for w in want] == ["MIT", "CC-BY-4.0", None]
+
+
 # All of them
 
 
