@@ -361,3 +361,12 @@ def test_registered_queries_match_their_sql(spark):
         if a != b:
             wrong.append((name, len(a), len(b), [x for x in zip(a, b) if x[0] != x[1]][:1]))
     assert not wrong, wrong
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no driver tables here")
+def test_td_falcon_acts_in_every_state(spark):
+    from echoform.plans import catalogue
+
+    got = catalogue.QUERIES["td_falcon"](spark, "/root/testdata/sf0.001").collect()
+    states = catalogue._events(spark, "/root/testdata/sf0.001").groupBy("state").agg(F.min("sample_id").alias("id")).collect()
+    assert len(states) > 5 and sorted(r["sample_id"] for r in got) == sorted(r["id"] for r in states)
