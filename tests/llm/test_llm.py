@@ -210,7 +210,7 @@ def brute_components(rows, words, per_cent):
 @pytest.mark.parametrize("words, per_cent, tokens", [(4, 85, 3_000_000), (5, 80, 300), (2, 60, 3_000_000)])
 def test_join_against_brute_force(spark, words, per_cent, tokens):
     rows = odd_documents()
-    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.link(docs(spark, rows), words, per_cent, group_tokens=tokens).collect())
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.link(docs(spark, rows), words, per_cent, task_tokens=tokens).collect())
     assert got == brute_components(rows, words, per_cent)
 
 
@@ -219,27 +219,90 @@ def test_join_of_nothing(spark):
     assert [tuple(r) for r in ngram_join.link(docs(spark, [(5, None, "s")])).collect()] == [(5, 0, 5)]
 
 
+def plain_join(sets, per_cent):
+    """The first set of each set's component, by the overlaps of all pairs."""
+    _, which = np.unique(np.concatenate(sets), return_inverse=True)
+    has = np.zeros((len(sets), which.max() + 1), np.float32)
+    has[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), which] = 1
+    both, n = has @ has.T, has.sum(1)
+    near = 100 * both >= per_cent * (n[:, None] + n[None] - both)
+    groups = ngram_join.Groups(len(sets))
+    for i, j in zip(*np.nonzero(near), strict=True):
+        groups.join(int(i), int(j))
+    return [groups.find(i) for i in range(len(sets))]
+
+
+def distinct(sets):
+    return list({s.tobytes(): s for s in sets}.values())
+
+
 def test_tree_against_all_pairs():
     rng = np.random.default_rng(5)
     for _ in range(30):
         base = rng.integers(0, 60, 25)
-        sets = [np.unique(np.where(rng.random(25) < 0.12, rng.integers(0, 60, 25), base)).astype(np.uint64) for _ in range(25)]
-        sets = list({s.tobytes(): s for s in sets}.values())
-        got = ngram_join.join_sets(sets, 70)
-        parent = list(range(len(sets)))
-        for i in range(len(sets)):
-            for j in range(i):
-                both = len(np.intersect1d(sets[i], sets[j]))
-                if 100 * both >= 70 * (len(sets[i]) + len(sets[j]) - both):
-                    a, b = parent[i], parent[j]
-                    parent = [min(a, b) if p in (a, b) else p for p in parent]
-        assert got == parent
+        sets = distinct(np.unique(np.where(rng.random(25) < 0.12, rng.integers(0, 60, 25), base)).astype(np.uint64) for _ in range(25))
+        want = plain_join(sets, 70)
+        assert ngram_join.join_sets(sets, 70) == want
+        known = [w if k % 3 else k for k, w in enumerate(want)]
+        assert ngram_join.join_sets(sets, 70, known) == want
+
+
+@pytest.mark.parametrize("per_cent, change", [(85, 0.05), (80, 0.1), (70, 0.1)])
+def test_tree_of_thousands(per_cent, change):
+    """Bases of which each has copies that differ a little, long stretches that all share, and sets inside others."""
+    rng = np.random.default_rng(int(per_cent))
+    shared, sets = rng.integers(0, 1 << 40, 40), []
+    for k in range(46):
+        base = np.concatenate([shared[: 8 * (k % 6)], rng.integers(0, 1 << 40, int(rng.integers(20, 90)))])
+        for _ in range(50):
+            own = np.where(rng.random(len(base)) < change * rng.random() * 2, rng.integers(0, 1 << 40, len(base)), base)
+            sets.append(np.unique(own[: int(rng.integers(len(own) * 3 // 4, len(own) + 1))]).astype(np.uint64))
+    sets = distinct(sets)
+    assert len(sets) > 2000 and ngram_join.join_sets(sets, per_cent) == plain_join(sets, per_cent)
+
+
+def test_tree_prunes(monkeypatch):
+    """The walks leave most of the tree unvisited, by the bounds among strangers and by components among near copies."""
+    rng, steps = np.random.default_rng(7), []
+    walk = ngram_join.Trie.walk
+
+    def counted(trie, *args):
+        before = trie.steps
+        walk(trie, *args)
+        steps.append(trie.steps - before)
+
+    monkeypatch.setattr(ngram_join.Trie, "walk", counted)
+    common = np.arange(30, dtype=np.uint64)
+    for copies in (1, 300):
+        bases = [np.concatenate([common, rng.integers(100, 1 << 40, 100)]) for _ in range(600 // copies)]
+        sets = distinct(np.unique(np.where(rng.random(130) < 0.02, rng.integers(100, 1 << 40, 130), b)).astype(np.uint64) for b in bases for _ in range(copies))
+        steps.clear()
+        ngram_join.join_sets(sets, 85)
+        assert sum(steps) < len(sets) ** 2 / (1.5 if copies == 1 else 5)
+
+
+def test_join_of_many_rows(spark):
+    """Groups that need both rounds, and buckets cut into parts and classes, at several limits of a task."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(12):
+        base = words_of(rng, int(rng.integers(20, 120)), 5000).split(" ")
+        for _ in range(25):
+            w = list(base)
+            for at in rng.integers(0, len(w), int(rng.integers(0, 4))):
+                w[int(at)] = f"x{int(rng.integers(1 << 30))}"
+            rows.append((len(rows), " ".join(w[int(rng.integers(0, 4)) :]), "s"))
+    want = brute_components(rows, 4, 85)
+    for most in (200_000, 150):
+        got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.link(docs(spark, rows), 4, 85, task_tokens=most).collect())
+        assert got == want
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(50)] + [(100, 90), (90, 95), (7, 7)] + [(200, k) for k in range(201, 240)]
+    edges = [(i, i + 1) for i in range(50)] + [(100, 90), (90, 95), (7, 7)] + [(5000, k) for k in range(5001, 8000)] + [(5000, 4000), (5000, 4000)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
-    assert {got[i] for i in range(51)} == {0} and got[100] == got[95] == got[90] == 90 and {got[k] for k in range(200, 240)} == {200}
+    assert {got[i] for i in range(51)} == {0} and got[100] == got[95] == got[90] == 90 and {got[k] for k in range(5000, 8000)} == {4000}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 # 5. URL filters
