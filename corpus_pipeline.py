@@ -38,9 +38,11 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     release(ship(spark))
     found = ngram_join.link_sets(docs, words=5, per_cent=80)
     # Rows whose id is not their component's least go, told by id and shingles: another text of the same id may stay, as do rows whose id is null or repeats a kept id.
-    gone = written(found.where("doc_id <> component_id").select("doc_id", "set_name").distinct(), "gone")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("name_a").alias("_name_a"), F.col("name_b").alias("_name_b")).distinct()
+    gone = written(gone, "gone")
     maybe, never = split(docs, "doc_id", gone)
-    return ngram_join.with_set_name(maybe, 5).join(gone, ["doc_id", "set_name"], "left_anti").select(*docs.columns).unionByName(never)
+    named = ngram_join.with_set_name(maybe, 5).withColumn("_id", F.col("doc_id").cast("long"))
+    return named.join(gone, ["_id", "_name_a", "_name_b"], "left_anti").select(*docs.columns).unionByName(never)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
