@@ -18,7 +18,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, keep: C
     Documents are chosen by a hash of their ids. Only the ids chosen are broadcast, so
     that texts are read where they lie and no other text moves. Texts of more than
     most_bytes bytes are left out of the sample, which bounds it in bytes. An id with
-    several labels counts once, with the largest; null ids and labels are ignored.
+    several labels counts once, with the largest, and one with several rows with one of
+    them, so that the bound holds for rows; null ids and labels are ignored.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("_id")).agg(F.max(label).cast("int").alias("_label")).where(keep)
     counts = {int(r[0]): int(r[1]) for r in known.where(F.col("_label").isin(0, 1)).groupBy("_label").count().collect()}
@@ -27,7 +28,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, keep: C
         part = known.where(F.col("_label") == c).orderBy(F.xxhash64("_id", F.lit(11)), "_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     found = documents.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("text")).where(F.octet_length("text") <= most_bytes).join(F.broadcast(chosen), "_id")
-    return found.select("_id", "text", F.col("_label").alias("label")), counts
+    one = found.groupBy("_id", "_label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("_one"))
+    return one.select("_id", F.col("_one.text").alias("text"), F.col("_label").alias("label")), counts
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:

@@ -11,8 +11,10 @@ the machine has not seen, weighted back to the share of each class.
 The sample is bounded by PER_CLASS and MOST_BYTES; every whole text is scored, batch
 by batch, without a shuffle. Nulls and empty texts have no indicators and score as
 the curve's value at margin 0 of the bias alone; a sample without both classes gives
-every document the share of class 1 (0 without labels). Repeated rows give repeated
-results.
+every document the share of class 1 (0 without labels). Texts of any length are scored
+whole. Repeated rows give repeated results, equal margins equal scores. Places of the
+hash table are shared by n-grams that collide, which blurs the model a little and is
+the same for training and scoring. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -124,8 +126,8 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1,
             ids = [make(raw[offsets[k] : offsets[k + 1]]).tobytes() for k in range(len(offsets) - 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary())], ["_id", "label", "ids"])
 
-    got = sorted((r["_id"], bytes(r["ids"]), r["label"]) for r in sample.mapInArrow(run, "_id long, label int, ids binary").collect())
-    return train([np.frombuffer(b, np.int32) for _, b, _ in got], np.array([y for *_, y in got], np.int64), counts)
+    got = sample.mapInArrow(run, "_id long, label int, ids binary").toArrow().sort_by("_id")
+    return train([np.frombuffer(b, np.int32) for b in got.column("ids").to_pylist()], got.column("label").to_numpy(), counts)
 
 
 def score(documents: DataFrame, model: Model, norm: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:

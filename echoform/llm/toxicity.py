@@ -1,23 +1,26 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from a bounded sample of labelled documents:
-one trained on ordinary text, and one for toxic text, which holds the segments that
-toxic documents use far more often than ordinary ones, ahead of the same ordinary
-content. A window of a text is compressed with both; where the toxic dictionary
-gives fewer bytes, the window resembles toxic text and little else. (With two
-dictionaries trained apart, the ordinary half of toxic text decides most windows:
-held-out recall was about half as high.) Windows are words, each followed by a fixed
-frame, since zstandard does not look for matches in the last bytes of its input.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text, from a
+bounded sample of labelled documents with as many documents of each class. A window is
+a word, with a fixed frame after it that all samples of both dictionaries have too
+(zstandard looks for no matches in the last bytes of its input, and stores what it
+can't shorten as it is). A document gives each of its distinct words to its dictionary
+once. The window is compressed with both dictionaries; where the toxic one gives fewer
+bytes, the window resembles toxic text more than ordinary text.
 
 A document's score comes from the number and share of its windows at several
-thresholds of the saving, by a logistic regression fitted on the same sample and
-weighted back to the share of each class among labelled rows.
+thresholds of the bytes saved, by a logistic regression fitted on a quarter of the
+sample that no dictionary has seen, weighted back to the share of each class among
+labelled rows.
 
 Every whole text is scored, batch by batch, without a shuffle. Each distinct word of
 a batch is compressed once, and a worker keeps the savings of words it has met in a
 bounded cache. Nulls and empty texts have no windows and get the score of such; a
-sample without both classes gives every document the share of class 1 (0 without
-labels). Repeated rows give repeated results.
+sample without two documents of both classes in each part gives every document the
+share of class 1 (0 without labels). Texts of any length are scored whole (in the
+sample, longer ones than MOST_BYTES are left out). Repeated rows give repeated
+results; scores that tie are equal. An id with several texts counts in the sample with one of them.
+Extra columns are ignored by score() and kept by drop_toxic().
 """
 
 from __future__ import annotations
@@ -35,10 +38,13 @@ from echoform.llm._labels import fold, labelled_sample, logistic
 from echoform.llm._text import ALNUM, LOWER, bytes_of, chunks, token_hashes
 
 #: Documents of each class in the training sample at most, and bytes of each.
-PER_CLASS, MOST_BYTES = 1500, 1 << 15
+PER_CLASS, MOST_BYTES = 2000, 1 << 15
+#: Of the sample, every so many documents calibrate; the others train dictionaries.
+CALIBRATE = 4
 FRAME = bytes(range(1, 9)) + bytes(range(14, 26))
-LEVEL, DICTIONARY = 6, 8192
-SAVINGS, SHARES = (1, 2, 4, 6), (0.3, 0.45)
+LEVEL, DICTIONARY = 19, 1 << 18
+#: Thresholds: bytes saved, share of the word's bytes saved, bytes lost.
+SAVINGS, SHARES, LOSSES = (1, 2, 3, 4, 5, 6), (0.3, 0.45, 0.6), (1, 2, 4)
 CACHE = 400_000
 
 
@@ -51,7 +57,7 @@ class Model:
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
     _tools: tuple | None = field(default=None, repr=False)
-    _cache: dict[int, int] = field(default_factory=dict, repr=False)
+    _cache: dict[bytes, int] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_tools": None, "_cache": {}}
@@ -61,34 +67,34 @@ class Model:
         if self._tools is None:
             tools = []
             for content in (self.ordinary, self.toxic):
-                d = zstandard.ZstdCompressionDict(content + FRAME, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d = zstandard.ZstdCompressionDict(content)
                 d.precompute_compress(level=LEVEL)
                 tools.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False).compress)
             self._tools = tuple(tools)
-        window = b" " + word + b" " + FRAME
-        return len(self._tools[0](window)) - len(self._tools[1](window))
+        framed = window(word)
+        return len(self._tools[0](framed)) - len(self._tools[1](framed))
 
     def features(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """A row for each text: counts and shares of windows by saving."""
         n = len(offsets) - 1
         hashes, rows, start, end = token_hashes(raw, offsets, ALNUM)
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        low, savings = None, np.zeros(len(distinct), np.int64)
+        low, savings = LOWER[raw].tobytes(), np.zeros(len(distinct), np.int64)
         if len(self._cache) > CACHE:
             self._cache.clear()
-        for k, h in enumerate(distinct.tolist()):
-            got = self._cache.get(h)
+        for k, (a, b) in enumerate(zip(start[first].tolist(), end[first].tolist(), strict=True)):
+            word = low[a:b]
+            got = self._cache.get(word)
             if got is None:
-                low = LOWER[raw].tobytes() if low is None else low
-                got = self._cache[h] = self.saving(low[start[first[k]] : end[first[k]]])
+                got = self._cache[word] = self.saving(word)
             savings[k] = got
         saved, size = savings[which], end - start
         total = np.bincount(rows, minlength=n).astype(float)
         out = [np.ones(n), np.log1p(total)]
-        for hit in [*(saved >= k for k in SAVINGS), *((saved >= s * size) & (saved > 1) for s in SHARES)]:
+        for hit in [*(saved >= k for k in SAVINGS), *((saved >= s * size) & (saved > 1) for s in SHARES), *(saved <= -k for k in LOSSES)]:
             count = np.bincount(rows[hit], minlength=n).astype(float)
             out += [np.log1p(count), np.sqrt(count / np.maximum(total, 1)), (count > 0).astype(float), (count > 2).astype(float)]
-        return np.stack(out, axis=1)
+        return np.stack([*out, np.bincount(rows, saved, n) / np.maximum(total, 1)], axis=1)
 
     def score(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -97,50 +103,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
-def _dictionary(samples: list[bytes], size: int) -> bytes:
-    try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:  # too few samples to train on: their content itself
-        return b"".join(dict.fromkeys(samples))[-size:]
-
+def window(word: bytes) -> bytes:
+    return b" " + word + b" " + FRAME
 
-def segments(toxic: list[np.ndarray], ordinary: list[np.ndarray], z_least: float = 3.0, ratio_least: float = 4.0) -> np.ndarray:
-    """Words far more frequent among toxic documents, by log ratio over its standard error, least first.
 
-    Words and documents are given as arrays of distinct word hashes; so are the words found.
-    """
-    none = [np.zeros(0, np.uint64)]
-    words, n = np.unique(np.concatenate(toxic + none), return_counts=True)
-    others, m = np.unique(np.concatenate(ordinary + none), return_counts=True)
-    at = np.minimum(np.searchsorted(others, words), max(0, len(others) - 1))
-    m = np.where(others[at] == words, m[at], 0) if len(others) else np.zeros(len(words))
-    ratio = (n + 0.5) / (len(toxic) + 1) / ((m + 0.5) / (len(ordinary) + 1))
-    z = np.log(ratio) / np.sqrt(1 / (n + 0.5) + 1 / (m + 0.5))
-    kept = np.flatnonzero((n >= 3) & (z > z_least) & (ratio > ratio_least))
-    return words[kept[np.lexsort((words[kept], z[kept]))]]
+def _dictionary(samples: list[bytes]) -> bytes:
+    try:
+        return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
+    except zstandard.ZstdError:  # too few samples to train on: their content itself
+        return b"".join(dict.fromkeys(samples))[-DICTIONARY:]
 
 
-def train(sample: list[tuple[str | None, int]], counts: dict[int, int]) -> Model:
-    """Model from (text, label) rows; counts: labelled rows of each class."""
+def train(sample: list[tuple[bytes, int]], counts: dict[int, int]) -> Model:
+    """Model from (words with a space between, label) rows, of which every CALIBRATE-th of each class calibrates; counts: labelled rows of each class."""
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    y = np.array([label for _, label in sample], float)
-    if len(set(y.tolist())) < 2:
+    parts = {}
+    for c in (0, 1):
+        own = [words for words, label in sample if label == c]
+        parts[c] = [w for k, w in enumerate(own) if k % CALIBRATE != CALIBRATE - 1], own[CALIBRATE - 1 :: CALIBRATE]
+    if any(len(p) < 2 for both in parts.values() for p in both):
         return Model(b"", b"", prior)
-    raw, offsets = bytes_of(pa.array([t for t, _ in sample], pa.large_string()))
-    low = LOWER[raw].tobytes()
-    hashes, rows, start, end = (np.concatenate(x) for x in zip(*(_tokens(raw, offsets, i, j) for i, j in chunks(offsets, 1 << 18)), strict=True))
-    at = np.searchsorted(rows, np.arange(len(sample) + 1))
-    pieces, found = [], {0: [], 1: []}
-    for k in range(len(sample)):
-        found[int(y[k])].append(np.unique(hashes[at[k] : at[k + 1]]))
-        if not y[k]:
-            for i in range(int(at[k]) + 12 * (k % 5), int(at[k + 1]), 60):
-                pieces.append(b" " + b" ".join(low[start[w] : end[w]] for w in range(i, min(i + 12, int(at[k + 1])))) + b" ")
-    ordinary = _dictionary([p for p in pieces if len(p) > 8], DICTIONARY)
-    marks = segments(found[1], found[0])
-    place = {int(hashes[w]): w for w in np.flatnonzero(np.isin(hashes, marks)).tolist()}
-    toxic = b" " + b" ".join(low[start[place[h]] : end[place[h]]] for h in marks.tolist()) + b" "
-    model = Model(toxic[-DICTIONARY:] + ordinary, ordinary, prior)
+    ordinary, toxic = (_dictionary([window(w) for words in parts[c][0] for w in dict.fromkeys(words.split(b" ")) if w]) for c in (0, 1))
+    model = Model(toxic, ordinary, prior)
+    y = np.repeat([0.0, 1.0], [len(parts[0][1]), len(parts[1][1])])
+    raw, offsets = bytes_of(pa.array(parts[0][1] + parts[1][1], pa.large_binary()))
     x = np.concatenate([model.features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in chunks(offsets, 1 << 20)])
     mean, spread = x.mean(0), x.std(0) + 1e-9
     mean[0], spread[0] = 0, 1
@@ -150,17 +136,21 @@ def train(sample: list[tuple[str | None, int]], counts: dict[int, int]) -> Model
     return model
 
 
-def _tokens(raw: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.ndarray, ...]:
-    """Hashes, rows, starts and ends of the words of rows i to j, in terms of the whole buffer."""
-    h, rows, start, end = token_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM)
-    return h, (rows + i).astype(np.int32), (start + offsets[i]).astype(np.int32), (end + offsets[i]).astype(np.int32)
-
-
 def fit(documents: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, label: str = "toxic", per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES) -> Model:
-    """Model from labelled documents outside the held-out fold."""
+    """Model from labelled documents outside the held-out fold; the driver gets their words."""
     sample, counts = labelled_sample(documents, labels, label, fold(F.col("_id"), folds) != held, per_class, most_bytes)
-    rows = sorted((r["_id"], r["text"] or "", r["label"]) for r in sample.collect())
-    return train([(t, y) for _, t, y in rows], counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = bytes_of(batch.column(1))
+            _, rows, start, end = token_hashes(raw, offsets, ALNUM)
+            low, at = LOWER[raw].tobytes(), np.searchsorted(rows, np.arange(len(batch) + 1)).tolist()
+            spans = list(zip(start.tolist(), end.tolist(), strict=True))
+            words = [b" ".join(low[a:b] for a, b in spans[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words, pa.binary())], ["_id", "label", "words"])
+
+    got = sample.mapInArrow(run, "_id long, label int, words binary").toArrow().sort_by("_id")
+    return train(list(zip(got.column("words").to_pylist(), got.column("label").to_pylist(), strict=True)), counts)
 
 
 def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,96 @@ def test_toxicity_of_planted_words(spark):
     assert kept == {i for i, s in got.items() if s < 0.5}
 
 
+def test_toxicity_scores_by_a_plain_loop():
+    """Scores of a model against words compressed one by one, with counts kept in Python."""
+    import math
+
+    import zstandard
+
+    rng = np.random.default_rng(6)
+    texts = [words_of(rng, int(rng.integers(5, 60)), 2000) + (" bad%d awful%d" % (k % 7, k % 5) if k % 2 else "") for k in range(200)]
+    sample = [(t.encode(), k % 2) for k, t in enumerate(texts)]
+    model = toxicity.train(sample, {0: 900, 1: 100})
+    assert model.toxic != model.ordinary and all(len(d) > 1000 for d in (model.toxic, model.ordinary))
+    trained = [zstandard.ZstdCompressionDict(d) for d in (model.ordinary, model.toxic)]
+    assert all(d.dict_id() for d in trained)  # whole dictionaries, not raw content
+    plain = [zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False) for d in trained]
+    odd = [*texts[:40], "", None, "BAD1 bad1; é-bad3", "x" * 5000, " ".join(["bad2"] * 3000)]
+    for text, got in zip(odd, toxicity.scores(model, pa.array(odd, pa.string())), strict=True):
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
+        saved = [len(plain[0].compress(b" " + w + b" " + toxicity.FRAME)) - len(plain[1].compress(b" " + w + b" " + toxicity.FRAME)) for w in words]
+        tests = [*(lambda s, w, k=k: s >= k for k in toxicity.SAVINGS), *(lambda s, w, q=q: s >= q * len(w) and s > 1 for q in toxicity.SHARES), *(lambda s, w, k=k: s <= -k for k in toxicity.LOSSES)]
+        x = [1.0, math.log1p(len(words))]
+        for test in tests:
+            n = sum(test(s, w) for s, w in zip(saved, words, strict=True))
+            x += [math.log1p(n), math.sqrt(n / max(1, len(words))), float(n > 0), float(n > 2)]
+        x.append(sum(saved) / max(1, len(words)))
+        margin = sum((v - m) / s * w for v, m, s, w in zip(x, model.mean, model.spread, model.weights, strict=True))
+        assert math.isclose(got, 1 / (1 + math.exp(-max(-30, min(30, margin)))), rel_tol=1e-6)
+
+
+@need_data
+def test_toxicity_on_held_out_labels(spark):
+    """With some 350 toxic documents to learn from, few clean documents are accused and half of the toxic ones are found."""
+    big = Path("/root/testdata/sf0.1")
+    if not big.exists():
+        pytest.skip("no larger tables here")
+    got = toxicity.op3_toxicity(spark, str(big)).where("held_out").join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").where("toxic is not null").select("score", "predicted", "toxic").collect()
+    toxic, clean = ([r["score"] for r in got if r["toxic"] == c] for c in (1, 0))
+    assert sum(s >= 0.5 for s in clean) <= 0.03 * len(clean) and sum(s >= 0.5 for s in toxic) >= 0.4 * len(toxic)
+    assert np.mean([[(t > c) + (t == c) / 2 for c in clean] for t in toxic]) > 0.85
+
+
+def test_samples_are_bounded_by_rows(spark):
+    from echoform.llm._labels import labelled_sample
+
+    rows = [(1, f"text {k % 50}", "s") for k in range(3000)] + [(k, f"other {k}", "s") for k in range(2, 40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 40)], "doc_id long, toxic int")
+    sample, counts = labelled_sample(docs(spark, rows), labels, "toxic", F.lit(True), 10, 1000)
+    assert sample.count() <= 20 and counts == {0: 19, 1: 20}
+
+
+def test_quality_scores_by_a_plain_loop(spark):
+    """A model's scores against indicators, ratios and margins in plain Python."""
+    import math
+
+    rng = np.random.default_rng(14)
+    texts = [words_of(rng, 30) + ("!" * (k % 9) if k % 3 else " fine words") for k in range(120)]
+    table = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)], "doc_id long, quality int")
+    rows = [(k, t, "s") for k, t in enumerate(texts)]
+    model, norm = quality.fit(docs(spark, rows), table)
+    odd = [*rows[:30], (200, "", "s"), (201, None, "s"), (202, "é!" * 4000, "s"), (203, "a", "s")]
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs(spark, odd), model, norm).collect()}
+    for d, t, _ in odd:
+        raw, ids = (t or "").encode(), set()
+        for n in range(1, quality.LONGEST + 1):
+            for i in range(len(raw) - n + 1):
+                packed = int.from_bytes(raw[i : i + n], "big")
+                ids.add((packed + (n * 0x3C6EF372 & 0xFFFFFFFF)) * 2654435761 % (1 << 32) >> (32 - quality.PLACES))
+        length = math.sqrt(sum(float(norm[k]) for k in ids))
+        margin = (sum(float(model.weights[k]) for k in ids) / length if length else 0.0) + model.bias
+        assert math.isclose(got[d], 1 / (1 + math.exp(-(model.curve[0] + model.curve[1] * margin))), rel_tol=1e-3)
+
+
+def test_descent_reaches_the_least_loss():
+    """Dual coordinate descent against a fine search by subgradient steps."""
+    rng = np.random.default_rng(3)
+    r, y = rng.normal(size=12), np.where(rng.random(40) < 0.5, 1.0, -1.0)
+    rows = [np.flatnonzero(rng.random(12) < 0.4) for _ in y]
+    w, b = quality.descend(rows, r, y, rounds=2000)
+    x = np.zeros((40, 13))
+    for k, ids in enumerate(rows):
+        v = r[ids]
+        x[k, ids] = v / np.sqrt((v * v).sum()) if len(ids) else v
+    x[:, 12] = 1
+    loss = lambda u: u @ u / 2 + quality.COST * np.maximum(0, 1 - y * (x @ u)).sum()
+    best, u = np.inf, np.zeros(13)
+    for t in range(1, 20000):
+        u = u - (u - quality.COST * (x * y[:, None])[y * (x @ u) < 1].sum(0)) / (t + 10)
+        best = min(best, loss(u))
+    assert loss(np.append(w, b)) <= best * 1.002
+
+
 def test_classifiers_without_labels(spark):
     d, none = docs(spark, [(1, "a b", "s"), (2, None, "s")]), spark.createDataFrame([], "doc_id long, toxic int, quality int")
     assert {r["score"] for r in toxicity.score(d, toxicity.fit(d, none)).collect()} == {0.0}
