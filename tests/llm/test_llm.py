@@ -483,17 +483,18 @@ def brute_hits(rows, items, n=13):
     return out
 
 
-@pytest.mark.parametrize("most", [2_000_000, 10])
+@pytest.mark.parametrize("most", [decontam.MAX_BYTES, 10])
 def test_hits_against_brute_force(spark, most):
     rows = odd_documents()
-    items = [(1, rows[0][1]), (2, rows[5][1].upper()), (3, "two words"), (4, None), (5, ""), (10, rows[0][1]), (11, rows[31][1][:90]), (12, "one")]
+    items = [(1, rows[0][1]), (2, rows[5][1].upper()), (3, "two words"), (4, None), (5, ""), (10, rows[0][1]), (11, rows[31][1][:90]), (12, "one"), (13, "-".join(rows[7][1].split(" ")))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = Counter(tuple(r) for r in decontam.report(decontam.scan(docs(spark, rows), bench, max_windows=most)).collect())
+    got = Counter(tuple(r) for r in decontam.report(decontam.scan(docs(spark, rows), bench, max_bytes=most)).collect())
     assert got == brute_hits(rows, items)
     bad = {k[0] for k in got if k[5]}
-    kept = decontam.decontaminate(docs(spark, rows), bench, max_windows=most).collect()
+    kept = decontam.decontaminate(docs(spark, rows), bench, max_bytes=most).collect()
     assert {r["doc_id"] for r in kept} == {d for d, *_ in rows} - bad
-    cut = {r["doc_id"]: r["text"] for r in decontam.decontaminate(docs(spark, rows), bench, "spans").collect()}
+    assert all(r["hits"] == "h" and r["items"] == "i" for r in kept)
+    cut = {r["doc_id"]: r["text"] for r in decontam.decontaminate(docs(spark, rows), bench, "spans", max_bytes=most).collect()}
     assert cut[103] == "" and cut[105] == "" and cut[1] == rows[1][1]
     assert decontam.report(decontam.scan(docs(spark, [], 1), bench)).count() == 0
     assert decontam.report(decontam.scan(docs(spark, rows), bench.limit(0))).where("contaminated").count() == 0
