@@ -4,7 +4,7 @@ An archive holds one gzip member per record. The writer hands members to Spark's
 text writer, so that archives are committed like any Spark output and may lie in
 any store that Spark writes to. That writer ends each row with a separator; the
 separator here is the zero byte that ends a gzip member anyway (the high byte of
-its size), so the files are plain .warc.gz content. A member of 16 MiB or more has
+its size), so the files are plain .warc.gz content, each of bounded size. A member of 16 MiB or more has
 another last byte; an empty member follows it and ends in the zero.
 
 The reader inflates member by member with an incremental zlib object, takes the
@@ -27,11 +27,14 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoform.llm._spark import scratch_path
+from echoform.llm._spark import scratch_path, split, written
 
+#: Bytes of an archive, about (a single record may be larger); rows of revisits that are broadcast at most.
+ARCHIVE_BYTES, FEW = 64 << 20, 200_000
 DATE = "2024-01-01T00:00:00Z"
 READ_SCHEMA = "id long, uri string, record_type string, refers_to long, payload_bytes long, payload_digest string, verified boolean, payload binary"
 _ARROW = pa.schema([("id", pa.int64()), ("uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("verified", pa.bool_()), ("payload", pa.binary())])
@@ -108,36 +111,46 @@ def parse(data: bytes) -> dict:
 def mark_revisits(pages: DataFrame, key: str, payload: str, min_duplicate: int) -> DataFrame:
     """pages with _refers_to: the id of the response that a revisit refers to.
 
-    Only ids and digests are compared: counts of equal payloads are combined before
-    the shuffle, and payloads move once, dealt evenly by their id.
+    Only ids and digests are compared, combined before the shuffle. Revisits that are few,
+    once counted, are broadcast; of more, only the payloads move that may be one.
     """
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     ids = pages.where((F.octet_length(body) >= min_duplicate) & F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.sha2(body, 256).alias("_sha"))
     largest = ids.groupBy("_sha").agg(F.max("_id").alias("_refers_to"), F.min("_id").alias("_least")).where("_least < _refers_to").drop("_least")
     revisits = ids.join(largest, "_sha").where("_id < _refers_to").groupBy("_id", "_sha").agg(F.max("_refers_to").alias("_refers_to"))
+    revisits = written(revisits, "revisits")
     whole = pages.withColumn("_id", F.col(key)).withColumn("_sha", F.when(F.octet_length(body) >= min_duplicate, F.sha2(body, 256)))
-    return whole.join(revisits, ["_id", "_sha"], "left").drop("_id", "_sha")
+    if revisits.count() <= FEW:
+        return whole.join(F.broadcast(revisits), ["_id", "_sha"], "left").drop("_id", "_sha")
+    maybe, never = split(whole, "_id", revisits.select("_id"))
+    return maybe.join(revisits, ["_id", "_sha"], "left").unionByName(never.withColumn("_refers_to", F.lit(None).cast("long"))).drop("_id", "_sha")
 
 
-def write_archives(pages: DataFrame, path: str, key: str = "page_id", uri: str = "url", payload: str = "html", min_duplicate: int = 1000, level: int = 4, records_per_archive: int = 20_000) -> None:
-    """Write a record for each row of pages to archives under path."""
+def write_archives(pages: DataFrame, path: str, key: str = "page_id", uri: str = "url", payload: str = "html", min_duplicate: int = 1000, level: int = 4, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write a record for each row of pages to archives of about archive_bytes under path: a task fills one after the other."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, filled = TaskContext.get().partitionId(), 0
         for batch in batches:
-            rows = zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3), strict=True)
-            held, size = [], 0
-            for n, u, p, r in rows:
+            held, places, size = [], [], 0
+
+            def sent() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(places, pa.string())], ["value", "archive"])
+
+            for n, u, p, r in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3), strict=True):
                 held.append(member(record(n.as_py(), u.as_py(), p.as_py() or b"", r.as_py()), level)[:-1])
+                places.append(f"{number}-{filled // archive_bytes}")
+                filled += len(held[-1])
                 size += len(held[-1])
                 if size > 1 << 24:
-                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["value"])
-                    held, size = [], 0
+                    yield sent()
+                    held, places, size = [], [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["value"])
+                yield sent()
 
     marked = mark_revisits(pages.select(F.col(key).cast("long").alias(key), uri, payload), key, payload, min_duplicate)
-    rows = marked.select(key, uri, F.col(payload).cast("binary").alias("body"), "_refers_to").mapInArrow(work, "value binary")
-    rows.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_archive).text(path)
+    rows = marked.select(key, uri, F.col(payload).cast("binary").alias("body"), "_refers_to").mapInArrow(work, "value binary, archive string")
+    rows.select(F.col("value").cast("string"), "archive").write.partitionBy("archive").option("lineSep", "\0").text(path)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -162,7 +175,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 if held:
                     yield pa.RecordBatch.from_pylist(held, _ARROW)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(work, READ_SCHEMA)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(work, READ_SCHEMA)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
