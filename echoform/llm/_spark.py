@@ -30,6 +30,12 @@ def written(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) -
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checked(df: DataFrame, name: str, most: int = 200_000) -> DataFrame:
+    """df as a written table that is broadcast where its rows, once counted, are few; else joined by a shuffle."""
+    table = written(df, name)
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def release(spark: SparkSession) -> None:
     """Delete the scratch tables made so far; only for callers whose earlier results are already written."""
     while _written:
@@ -37,10 +43,9 @@ def release(spark: SparkSession) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def bucket_bits(spark: SparkSession) -> int:
-    """Bits of a hash that choose its bucket: about sixteen buckets for each shuffle partition."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(20, max(4, math.ceil(math.log2(16 * n))))
+def bucket_bits(spark: SparkSession, size: int) -> int:
+    """Bits of a hash that choose its bucket: sixteen buckets for each shuffle partition or more, and one for each 8 MB of input or more."""
+    return min(22, max(4, math.ceil(math.log2(max(16 * shuffle_partitions(spark), size / 8e6)))))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -75,12 +80,16 @@ class Membership:
 
     The driver gets its words only (2**bits / 8 bytes at most). A wrong yes costs
     some shuffled rows that the following join drops, so a filled filter slows the
-    query down and changes nothing else.
+    query down and changes nothing else. mixed: the column holds hashes already, and
+    has() tells of them without positions().
     """
 
-    def __init__(self, ids: DataFrame, bits: int = 23, hashes: int = 3):
+    def __init__(self, ids: DataFrame, bits: int = 23, hashes: int = 3, mixed: bool = False):
         spark, column = ids.sparkSession, ids.columns[0]
-        at = F.array(*[F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(1 << bits)) for k in range(hashes)])
+        if mixed:
+            at = F.array(*[F.shiftrightunsigned(F.col(column), 20 * k).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(hashes)])
+        else:
+            at = F.array(*[F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(1 << bits)) for k in range(hashes)])
         word = ids.select(F.explode(at).alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w"))
         got = word.agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toArrow()
         words = np.zeros(1 << (bits - 6), np.int64)
@@ -92,6 +101,13 @@ class Membership:
         """df with the positions of a column's values in the filter, for contains()."""
         return df.withColumn(name, F.array(*[F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(1 << self.bits)) for k in range(self.hashes)]))
 
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        words, out = self.words.value, np.ones(len(hashes), bool)
+        for k in range(self.hashes):
+            at = ((hashes.view(np.uint64) >> np.uint64(20 * k)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+            out &= ((words[at >> 6] >> (at & 63)) & 1).astype(bool)
+        return out
+
     def contains(self, at: np.ndarray) -> np.ndarray:
         words = self.words.value
         return ((words[at >> 6] >> (at & 63)) & 1).all(axis=1)

@@ -48,15 +48,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from echoform.llm._spark import Membership, bucket_bits, pack, per_bucket, shuffle_partitions, unpack, written
+from echoform.llm._spark import Membership, bucket_bits, checked, pack, per_bucket, shuffle_partitions, unpack, written
 from echoform.llm._text import bytes_of, chunks, shingle_sets
 from echoform.llm.components import components
 
 #: Shingles of the sets that one task joins at most, about (apart from a single set of more).
 TASK_TOKENS = 200_000
 SPARE = 0.1
-#: Rows of (task, part, node, component) that are broadcast at most.
-BROADCAST_ROWS = 200_000
 #: Stands for a null id among ids, as the largest.
 LAST = (1 << 63) - 1
 
@@ -339,7 +337,7 @@ def link_sets(documents: DataFrame, words: int = 5, per_cent: int = 80, key: str
     named = sets.where("name_a is not null").groupBy(*name).agg(F.coalesce(F.min("doc_id"), F.lit(LAST)).alias("first_id"), F.first("n").alias("n"))
     named = written(named.withColumn("node", F.monotonically_increasing_id()), "named")
 
-    shared = shared_tokens(heads(documents, words, per_cent, bucket_bits(spark), text))
+    shared = shared_tokens(heads(documents, words, per_cent, bucket_bits(spark, 8 * (sets.agg(F.sum("n")).first()[0] or 0)), text))
     own = shared.groupBy(*name).agg(F.array_sort(F.collect_list(F.struct("sets", "token"))).alias("own"))
     kept = own.join(named, name)
     l = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * per_cent / 100) * SPARE)).cast("int")  # noqa: E741
@@ -348,8 +346,7 @@ def link_sets(documents: DataFrame, words: int = 5, per_cent: int = 80, key: str
 
     tokens = written(_tokens(documents, written(_first_round(kept, task_tokens), "first"), words, key, text), "tokens")
     once = components(_trees(tokens.select("task", F.explode("parts").alias("part"), "node", F.col("node").alias("component"), "tokens"), per_cent))
-    again = written(_second_round(prefix, once, task_tokens, per_cent), "again")
-    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    again = checked(_second_round(prefix, once, task_tokens, per_cent), "again")
     merged = components(once.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_trees(tokens.select("node", "tokens").join(again, "node"), per_cent)))
 
     least = merged.join(named, "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
@@ -393,7 +390,8 @@ def _first_round(kept: DataFrame, task_tokens: int) -> DataFrame:
     """(node, first_id, name_a, name_b, task, parts): every set under its bucket; buckets of many shingles in parts that share their first set."""
     rows = kept.select("node", "first_id", "name_a", "name_b", "n", F.array_min("own").alias("task"))
     large = rows.groupBy("task").agg(F.sum("n").alias("_all"), F.min("node").alias("_first")).where(F.col("_all") > task_tokens)
-    rows = rows.join(large.select("task", "_first", F.ceil(F.col("_all") / task_tokens).cast("int").alias("_parts")), "task", "left")
+    large = checked(large.select("task", "_first", F.ceil(F.col("_all") / task_tokens).cast("int").alias("_parts")), "large")
+    rows = rows.join(large, "task", "left")
     own = F.array(F.pmod(F.xxhash64("node", F.lit(5)), F.coalesce("_parts", F.lit(1))).cast("int"))
     parts = F.when(F.col("node") == F.col("_first"), F.sequence(F.lit(0), F.col("_parts") - 1)).otherwise(own)
     return rows.select("node", "first_id", "name_a", "name_b", "task", parts.alias("parts"))
@@ -414,11 +412,11 @@ def _second_round(prefix: DataFrame, once: DataFrame, task_tokens: int, per_cent
     whole = met.select("centre", "node", "n").distinct().groupBy("centre").agg(F.sum("n").alias("whole")).where(F.col("whole") > task_tokens)
     apart = met.select("centre", "token", "all").distinct().groupBy("centre").agg(F.sum(work("all")).alias("apart"))
     given_up = whole.join(apart, "centre").where(work("whole") > F.col("apart")).select("centre", F.lit(True).alias("by_bucket"))
-    met = met.join(given_up, "centre", "left")
+    met = met.join(checked(given_up, "apart"), "centre", "left")
     met = met.select(F.when(F.col("by_bucket"), F.xxhash64("token", F.lit(1))).otherwise(F.xxhash64("centre", F.lit(0))).alias("task"), "node", "component", "n", (F.col("component") != F.col("first")).cast("int").alias("other")).distinct()
     met = written(met, "tasks")
     large = met.groupBy("task").agg(F.sum("n").alias("all")).where(F.col("all") > task_tokens).select("task", F.lit(True).alias("large"))
-    met = met.join(large, "task", "left")
+    met = met.join(checked(large, "large"), "task", "left")
     small = met.where("large is null").select("task", F.lit(0).cast("long").alias("part"), "node", "component")
 
     # Sets that link differ by a class of lengths at most.

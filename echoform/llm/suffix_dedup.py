@@ -92,8 +92,13 @@ def text_table(documents: DataFrame, key: str, text: str) -> DataFrame:
     return documents.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("sha"))
 
 
+def _short(sha) -> int:
+    """The first 60 bits of a digest."""
+    return int(sha.hexdigest()[:15], 16)
+
+
 def _text_id(body: bytes) -> int:
-    return int(hashlib.sha256(body).hexdigest()[:15], 16)
+    return _short(hashlib.sha256(body))
 
 
 TEXT_ID = "cast(conv(substring(sha, 1, 15), 16, 10) as long)"
@@ -103,16 +108,16 @@ def anchor_blobs(documents: DataFrame, bits: int, text: str) -> DataFrame:
     """(bucket, blob) with the distinct anchors of the distinct texts of each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             raw, offsets = bytes_of(batch.column(0))
             data = memoryview(np.ascontiguousarray(raw))
             ids, fresh = [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                t = _text_id(data[a:b])
-                ids.append(t)
-                fresh.append(b - a >= LENGTH and t not in seen)
-                seen.add(t)
+                sha = hashlib.sha256(data[a:b])
+                ids.append(_short(sha))
+                fresh.append(b - a >= LENGTH and sha.digest() not in seen)
+                seen.add(sha.digest())
             ids, fresh = np.array(ids, np.int64), np.array(fresh, bool)
             held, owner, total = [], [], 0
             for i, j in chunks(offsets):
@@ -428,10 +433,10 @@ class Found:
 
     def __init__(self, documents: DataFrame, key: str = "doc_id", text: str = "text"):
         spark = documents.sparkSession
-        bits = bucket_bits(spark)
         table = text_table(documents, key, text)
         first = table.groupBy("sha").agg(F.min("doc_id").alias("first_id"))
         self.table = written(table.join(first, "sha").select("doc_id", "n_bytes", "sha", F.expr(TEXT_ID).alias("text_id"), (F.col("doc_id") > F.col("first_id")).alias("copy")), "texts")
+        bits = bucket_bits(spark, self.table.agg(F.sum("n_bytes")).first()[0] or 0)
         shared = shared_anchors(anchor_blobs(documents, bits, text)).groupBy("text_id").agg(F.collect_list("anchor").alias("own"))
         owners = self.table.where("not copy").select("doc_id", "text_id").distinct()
         shared = written(owners.join(shared, "text_id"), "anchors")
