@@ -13,7 +13,8 @@ A vector has two parts:
   likeness() takes the Dice coefficient, held to 0..1.
 
 Equal texts have equal fingerprints and likeness 1. A null text is empty; the empty
-text is one empty paragraph. Repeated rows give repeated results.
+text is one empty paragraph. Texts of any length are used whole. Repeated rows give
+repeated results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoform.llm._spark import shuffle_partitions
@@ -32,8 +34,9 @@ from echoform.llm._text import BYTE, SPACE, bytes_of, chunks, ngram_hashes, pref
 
 EXACT, LIKE, RUN = 8, 512, 3
 WIDTH = EXACT * 8 + LIKE * 4
-#: Parts are chosen by an expression that grows with their number; workers stream a part, so its size is not bounded by memory.
-MOST_PARTS = 2048
+#: Bytes of text in a part, about. Workers stream a part, so that memory does not bound it.
+PART_BYTES = 64 << 20
+LEAST_ID = -(1 << 63)
 _LINE = np.zeros(256, bool)
 _LINE[0x0A] = True
 
@@ -44,11 +47,10 @@ def vectors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     exact, like = np.zeros((n, EXACT), np.uint64), np.zeros((n, LIKE), np.uint32)
     feeds = np.flatnonzero(_LINE[raw])
     start = np.concatenate([offsets[:-1], feeds + 1])
-    order = np.argsort(start, kind="stable")
-    owner = np.concatenate([np.arange(n), row_of(feeds, offsets)])[order]
-    start = start[order]
+    owner = np.concatenate([np.arange(n), row_of(feeds, offsets)])
+    order = np.lexsort((start, owner))  # a text's last paragraph may be empty and start where the next text does
     end = np.concatenate([offsets[1:], feeds])
-    end = end[np.lexsort((end, np.concatenate([np.arange(n), row_of(feeds, offsets)])))]
+    start, end, owner = start[order], end[np.lexsort((end, owner))], owner[order]
     h = span_hash(prefix_hash(BYTE[raw]), start, end)
     with np.errstate(over="ignore"):
         for k in range(EXACT):
@@ -101,45 +103,48 @@ def likeness(exact_a: np.ndarray, like_a: np.ndarray, exact_b: np.ndarray, like_
     return np.where((exact_a == exact_b).all(1) & (like_a == like_b).all(1), 1.0, out)
 
 
-def with_next(documents: DataFrame, key: str, text: str) -> DataFrame:
+def with_next(documents: DataFrame, key: str, text: str, part_bytes: int = PART_BYTES) -> DataFrame:
     """Rows (part, doc_id, text, ahead), sorted, so that each document's next one follows it in its part.
 
-    Parts are ranges of ids. The first document of each part is also sent to the part
-    before it, as its last row (ahead); the very first one to the last part. Only the
-    least id of each part goes to the driver. Rows that share an id are ordered by text.
+    Parts are ranges of ids with about part_bytes bytes of text. The first document of
+    each part is also sent to the part before it, as its last row (ahead); the very
+    first one to the last part. Only two numbers for each part go to the driver and
+    back. Rows that share an id, or have none, are ordered by text and lie in one part.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    parts = min(shuffle_partitions(spark), MOST_PARTS)
-    cuts = sorted(set(rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) or []))
-    dealt = rows.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(_place(cuts)).cast("int"))
-    least = {r["part"]: r["doc_id"] for r in dealt.groupBy("part").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc_id")).collect()}
-    order = sorted(least)
-    before = {p: order[k - 1] for k, p in enumerate(order)}
-    first = F.create_map(*[F.lit(x) for p in order for x in (p, least[p])]) if order else F.lit(None)
-    ahead = F.create_map(*[F.lit(x) for p in order for x in (p, before[p])]) if order else F.lit(None)
-    copies = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("ahead")), F.when(F.coalesce("doc_id", F.lit(-(1 << 63))) == first[F.col("part")], F.struct(ahead[F.col("part")].alias("part"), F.lit(True).alias("ahead"))))
-    sent = dealt.select("doc_id", "text", F.explode(F.array_compact(copies)).alias("_to")) if order else dealt.select("doc_id", "text", F.struct("part", F.lit(False).alias("ahead")).alias("_to"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shuffle_partitions(spark), size // part_bytes)
+    cuts = np.array(sorted(set(rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) or [])), np.int64)
+    known = spark.sparkContext.broadcast(cuts)
+
+    @F.pandas_udf("int")
+    def part_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(known.value, ids.to_numpy(np.int64), "right").astype(np.int32))
+
+    ids = F.coalesce("doc_id", F.lit(LEAST_ID))
+    least = rows.select(ids.alias("id")).groupBy(part_of("id").alias("part")).agg(F.min("id").alias("id")).toArrow().sort_by("part")
+    order, first = least.column("part").to_numpy(), least.column("id").to_numpy()
+    firsts = spark.sparkContext.broadcast((first, np.roll(order, 1)))
+
+    @F.pandas_udf("int")
+    def before(ids: pd.Series) -> pd.Series:
+        """The part before the one that this id is the least of."""
+        starts, into = firsts.value
+        at = np.minimum(np.searchsorted(starts, ids.to_numpy(np.int64)), len(starts) - 1)
+        return pd.Series(np.where(starts[at] == ids.to_numpy(np.int64), into[at], -1).astype(np.int32))
+
+    dealt = rows.select("*", part_of(ids).alias("_part"), before(ids).alias("_before"))
+    copies = F.array(F.struct(F.col("_part").alias("part"), F.lit(False).alias("ahead")), F.when(F.col("_before") >= 0, F.struct(F.col("_before").alias("part"), F.lit(True).alias("ahead"))))
+    sent = dealt.select("doc_id", "text", F.explode(F.array_compact(copies)).alias("_to"))
     sent = sent.select(F.col("_to.part").alias("part"), F.col("_to.ahead").alias("ahead"), "doc_id", "text")
     return sent.repartition(parts, "part").sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_first(), "text")
 
 
-def _place(cuts: list[float]) -> Column:
-    """Number of cuts at or below doc_id, by bisection."""
-
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") >= F.lit(int(cuts[mid])), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    return tree(0, len(cuts))
-
-
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def compare_with_next(documents: DataFrame, key: str = "doc_id", text: str = "text", quarter: int = 4) -> DataFrame:
+def compare_with_next(documents: DataFrame, key: str = "doc_id", text: str = "text", quarter: int = 4, part_bytes: int = PART_BYTES) -> DataFrame:
     """Fingerprints of each text and of its edited text, with likenesses.
 
     The edited text has its last n_chars // quarter code points replaced by the first
@@ -178,7 +183,7 @@ def compare_with_next(documents: DataFrame, key: str = "doc_id", text: str = "te
                     held.append((d, t))
                     size += len(t)
 
-    return with_next(documents, key, text).select("part", "ahead", "doc_id", "text").mapInArrow(work, RESULT)
+    return with_next(documents, key, text, part_bytes).select("part", "ahead", "doc_id", "text").mapInArrow(work, RESULT)
 
 
 def _batched(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

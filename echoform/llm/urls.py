@@ -8,7 +8,9 @@ wins. A page that no rule fits gets the default verdict.
 
 Nulls: a null url, or one without "://", has empty host and path, fits no rule and
 gets the default. Repeated rows give repeated results. Extra columns pass through
-under their names; a column named like a result column is replaced by it.
+under their names; a column named like a result column, in whatever case, is replaced by it.
+Ties: of rules that fit and are equally long, the greatest text wins, and of one rule with
+several verdicts the greatest verdict ("block" over "allow"). URLs of any length are used whole.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ def path_of(url: Column) -> Column:
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", default: str = "allow") -> DataFrame:
     """pages with host, path, rule and verdict."""
     spark: SparkSession = pages.sparkSession
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    keep = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     own = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(1).alias("none"))
     base = pages.select(F.monotonically_increasing_id().alias("_row"), own.alias("_own"), host_of(F.col(f"`{url}`")).alias("_host"), path_of(F.col(f"`{url}`")).alias("_path"))
     labels = sorted({r.host.count(".") + 1 for r in rules})

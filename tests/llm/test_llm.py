@@ -69,10 +69,22 @@ def test_warc_round_trip(spark, tmp_path):
     assert {r["uri"] for r in got if r["id"] in (1, 8, 2)} == {"http://a/%20x", "http://é", None}
     import gzip
 
-    for p in (tmp_path / "w").glob("part-*"):
+    for p in (tmp_path / "w").rglob("part-*"):
         assert gzip.decompress(p.read_bytes()).startswith(b"WARC/1.1")  # ordinary tools read the archives
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FEW", 1)  # revisits by a join
+    rng = np.random.default_rng(5)
+    texts = ["".join(chr(33 + int(b)) for b in rng.integers(0, 90, 3000)) for _ in range(20)]
+    pages = spark.createDataFrame([(k, "u", texts[k % 20]) for k in range(40)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "w"), archive_bytes=10_000)
+    sizes = [p.stat().st_size for p in (tmp_path / "w").rglob("part-*")]
+    assert len(sizes) > 4 and max(sizes) < 15_000
+    got = {r["id"]: (r["record_type"], r["refers_to"], r["verified"]) for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
+    assert got == {k: ("revisit", k + 20, True) if k < 20 else ("response", None, True) for k in range(40)}
+
+
 def test_warc_notices_damage(spark):
     data = warc.record(1, "u", b"payload", None)
     assert warc.parse(data)["verified"] and not warc.parse(data.replace(b"payload", b"pAyload"))["verified"]
@@ -407,6 +419,8 @@ def test_urls(spark):
         (1, "a.example.org", "/es/x", "example.org/es/", "block"), (2, "example.org", "/en/12", "example.org/en/1", "block"), (3, "example.org", "", None, "allow"), (4, "", "", None, "allow"), (5, "", "", None, "allow"),
         (6, "b.com", "/de/", "com/de/", "block"), (7, "notexample.org", "/es/", "org/", "allow"), (8, "com", "/fr/", "com/fr/", "allow"), (8, "com", "/fr/", "com/fr/", "allow"), (None, "org", "/://b", "org/", "allow"),
     ])
+    clash = urls.filter_urls(spark.createDataFrame([(1, "http://a.org/" + "p" * 50000, "x", "y")], "page_id long, url string, Host string, PATH string"), [urls.Rule("a.org", "/p", "allow"), urls.Rule("a.org", "/p", "block")])
+    assert clash.columns == ["page_id", "url", "host", "path", "rule", "verdict"] and clash.first()["verdict"] == "block"
     assert urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), [], default="block").where("verdict = 'block'").count() == len(rows)
 
 
@@ -503,23 +517,65 @@ def test_hits_against_brute_force(spark, most):
 # 8. Fingerprints
 
 
-def test_fingerprints(spark):
-    rows = [r for r in odd_documents() if r[0] is not None]
-    got = fingerprints.compare_with_next(docs(spark, rows)).collect()
-    assert len(got) == len(rows)
-    order = sorted(rows, key=lambda r: (r[0], r[1] or ""))
-    want = Counter()
-    for k, (d, t, _) in enumerate(order):
-        t, s = t or "", order[(k + 1) % len(order)][1] or ""
+def plain_fingerprint(text):
+    """Lanes of a text, word by word and paragraph by paragraph, in Python numbers."""
+    from echoform.llm._text import BASE, BYTE
+
+    top = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & top
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & top
+        return x ^ x >> 31
+
+    def span(raw):
+        return mix((sum(int(BYTE[b]) * pow(int(BASE), k, 1 << 64) for k, b in enumerate(raw)) + len(raw) * 0xD6E8FEB86659FD93) & top)
+
+    exact, like = [0] * fingerprints.EXACT, [0] * fingerprints.LIKE
+    for line in text.encode().split(b"\n"):
+        h = span(line)
+        for k in range(fingerprints.EXACT):
+            exact[k] = (exact[k] + mix((h + (k + 1) * 0x9E3779B97F4A7C15) & top)) & top
+        words = [span(w) for w in re.findall(rb"[^\x20\x09-\x0D]+", line)]
+        n = min(fingerprints.RUN, len(words))
+        for i in range(len(words) - n + 1) if n else ():
+            g = 0
+            for w in words[i : i + n]:
+                g = (g * int(BASE) + w) & top
+            g = mix((g + n) & top)
+            like[g % fingerprints.LIKE] += 1 if g >> 63 else -1
+    return exact, like
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    both = sum(v * v for v in a[1]) + sum(v * v for v in b[1])
+    return max(0.0, min(1.0, 2 * sum(x * y for x, y in zip(a[1], b[1], strict=True)) / (both or 1)))
+
+
+@pytest.mark.parametrize("part_bytes", [1 << 26, 700])
+def test_fingerprints(spark, part_bytes):
+    """Every column against plain Python, null ids, repeated ids, nulls, empty and long texts included."""
+    import base64
+
+    rows = [*odd_documents(), (None, "a second null id\nwith lines", "s"), (200, "\n\n", "s"), (201, "one two\nthree\n" * 300, "s"), (201, "x " * 30000, "s")]
+    got = fingerprints.compare_with_next(docs(spark, rows), part_bytes=part_bytes).collect()
+    order = sorted(((d, t or "") for d, t, _ in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    known, want = {}, Counter()
+
+    def lanes(t):
+        if t not in known:
+            known[t] = plain_fingerprint(t)
+        return known[t]
+
+    code = lambda f: base64.b64encode(np.array(f[0], np.uint64).tobytes() + np.array(f[1], np.int64).astype(np.uint32).tobytes()).decode()
+    for k, (d, t) in enumerate(order):
+        s = order[(k + 1) % len(order)][1]
         q = len(t) // 4
-        want[d, len(t), hashlib.sha256((t[: len(t) - q] + s[:q]).encode()).hexdigest()] += 1
-    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
-    same = {}
-    for r in got:
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        text = next(t or "" for d, t, _ in rows if d == r["doc_id"])
-        assert same.setdefault(text, r["fingerprint"]) == r["fingerprint"]
-    assert len(set(same.values())) == len(same)
+        e = t[: len(t) - q] + s[:q]
+        want[d, len(t), hashlib.sha256(e.encode()).hexdigest(), code(lanes(t)), code(lanes(e)), round(plain_likeness(lanes(t), lanes(e)), 6), round(plain_likeness(lanes(t), lanes(s)), 6)] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 6), round(r["near_next"], 6)) for r in got) == want
     assert fingerprints.compare_with_next(docs(spark, [], 1)).count() == 0
     one = fingerprints.compare_with_next(docs(spark, [(1, "abcdefgh", "s")])).first()
     assert one["near_next"] == 1.0 and one["n_chars"] == 8
