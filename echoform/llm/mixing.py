@@ -15,7 +15,10 @@ Only the table of sources (a row each) is ordered as a whole.
 
 Nulls: a null text has size 0 and takes 0; a null source is a source of its own,
 last in order; a null weight counts as the least weight. Rows with the same id keep
-apart. An empty table gives no rows.
+apart, and are ordered by their texts where keys and ids tie. An empty table gives no
+rows. Texts of any length count whole. The order of sources and their levels is one
+window over the table of sources, which suits thousands of sources, not one for each
+document. mix() ignores extra columns, take() keeps them.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from echoform.llm._spark import shuffle_partitions, written
+from echoform.llm._spark import checked, shuffle_partitions, written
 
 LEAST_WEIGHT = 0.05
 
@@ -66,19 +69,32 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float
     return s.select("source", "source_size", target.alias("target"))
 
 
+def _keyed(documents: DataFrame, weight: Column | None, key: str, text: str, source: str, seed: int) -> DataFrame:
+    """doc_id, source, size, _key and _tie of every row: small keys come first in a source."""
+    weight = quality_weight(F.col(text)) if weight is None else F.coalesce(weight.cast("double"), F.lit(LEAST_WEIGHT))
+    return documents.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _key(weight, F.col(key), seed).alias("_key"), F.xxhash64(text).alias("_tie"))
+
+
+def _key(weight: Column, key: Column, seed: int) -> Column:
+    # 52 bits of an MD5, moved off zero: the same number in any engine.
+    u = (F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+    return -F.log(u) / F.greatest(weight, F.lit(LEAST_WEIGHT))
+
+
 def mix(documents: DataFrame, weight: Column | None = None, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, and _tie for joining back rows that share an id.
+    """doc_id, source, size, source_size, target, taken of every document.
 
     taken // size whole copies of a document are in the mix, and then its first taken % size words.
     """
+    return _selected(documents, weight, weights, share, cap, key, text, source, seed).select("doc_id", "source", "size", "source_size", "target", (F.col("_epochs") * F.col("size") + F.col("_part")).cast("long").alias("taken"))
+
+
+def _selected(documents: DataFrame, weight: Column | None, weights: Sequence[float], share: float, cap: float, key: str, text: str, source: str, seed: int) -> DataFrame:
     spark: SparkSession = documents.sparkSession
-    weight = quality_weight(F.col(text)) if weight is None else F.coalesce(weight.cast("double"), F.lit(LEAST_WEIGHT))
-    # 52 bits of an MD5, moved off zero: the same number in any engine.
-    u = (F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
-    rows = documents.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), (-F.log(u) / F.greatest(weight, F.lit(LEAST_WEIGHT))).alias("_key"), F.xxhash64(text).alias("_tie"))
     by = [F.col("source").asc_nulls_last(), "_key", "doc_id", "_tie"]
     # Written first: dealing by ranges reads its input twice, and texts should be read once.
-    dealt = written(written(rows, "keys").repartitionByRange(shuffle_partitions(spark), *by).withColumn("_range", F.spark_partition_id()), "mix")
+    keys = written(_keyed(documents, weight, key, text, source, seed), "keys")
+    dealt = written(keys.repartitionByRange(shuffle_partitions(spark), *by).withColumn("_range", F.spark_partition_id()), "mix")
     ranges = dealt.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
     start = F.coalesce(F.sum("_sum").over(Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     aims = targets(dealt.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
@@ -89,12 +105,37 @@ def mix(documents: DataFrame, weight: Column | None = None, weights: Sequence[fl
     met = met.withColumn("_before", F.col("_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     budget = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("_before")))
-    return met.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), "_tie")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("_before"))).cast("long")
+    return met.withColumn("_epochs", epochs).withColumn("_part", part)
+
+
+def take(documents: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7) -> DataFrame:
+    """documents with what the mix takes of them: size, source_size, target, taken, copies (whole ones) and part (the words taken beyond them, as text).
+
+    Of a source only the document at which its selection ends is needed to tell what it
+    takes of each, so texts stay where they are and the sources' table meets them. Rows
+    with the same key, id and text at that end share what is left to them evenly,
+    rounded down. A column named like one of the six is replaced.
+    """
+    added = ("size", "source_size", "target", "taken", "copies", "part")
+    selected = _selected(documents, None, weights, share, cap, key, text, source, seed)
+    place = F.struct(F.col("_key").alias("k"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.col("_tie").alias("t"))
+    ends = selected.groupBy("source", place.alias("at"), "source_size", "target", "_epochs").agg(F.sum("_part").alias("p"), F.count("*").alias("n"))
+    ends = ends.groupBy("source", "source_size", "target", "_epochs").agg(F.max(F.when(F.col("p") > 0, F.struct("at", "p", "n"))).alias("_end"))
+    ends = checked(ends.withColumnRenamed("source", "_source"), "ends")
+    own = F.struct(_key(quality_weight(F.col(text)), F.col(key), seed).alias("k"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("t"))
+    keep = [c for c in documents.columns if c.lower() not in added]
+    rows = documents.select(*[F.col(f"`{c}`") for c in keep], word_count(F.col(text)).alias("size"), own.alias("_own"))
+    met = rows.join(ends, F.col(f"`{source}`").eqNullSafe(F.col("_source")))
+    part = F.when(F.col("_own") < F.col("_end.at"), F.col("size")).when(F.col("_own") == F.col("_end.at"), F.floor(F.col("_end.p") / F.col("_end.n"))).otherwise(F.lit(0)).cast("long")
+    met = met.withColumn("_part", F.coalesce(part, F.lit(0).cast("long")))
+    found = F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    words = F.when(F.col("_part") == 0, "").when(F.col("_part") == F.col("size"), F.col(text)).otherwise(F.array_join(F.slice(found, 1, F.col("_part").cast("int")), " "))
+    return met.select(*[F.col(f"`{c}`") for c in keep], "size", "source_size", "target", (F.col("_epochs") * F.col("size") + F.col("_part")).alias("taken"), F.when(F.col("size") > 0, F.col("_epochs")).otherwise(F.lit(0)).alias("copies"), words.alias("part"))
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("_tie")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 OP2_SQL = r"""

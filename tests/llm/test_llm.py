@@ -139,6 +139,21 @@ def test_mix_prefers_heavy_documents(spark):
     assert heavy > 3 * sum(r["taken"] for r in got if r["doc_id"] >= 200)
 
 
+def test_take_keeps_documents(spark):
+    rows = [*odd_documents(), (3, odd_documents()[3][1], "s0")]
+    given = docs(spark, rows).withColumn("Size", F.lit("s"))
+    got = mixing.take(given).collect()
+    mixed = Counter((r["doc_id"], r["source"], r["size"], r["source_size"], r["target"], r["taken"]) for r in mixing.mix(given).collect())
+    mine = Counter((r["doc_id"], r["source"], r["size"], r["source_size"], r["target"], r["taken"]) for r in got)
+    assert len(got) == len(rows) and sum((mixed - mine).values()) <= 2  # equal rows at an end share
+    assert set(got[0].asDict()) == {*given.columns, "size", "source_size", "target", "taken", "copies", "part"} - {"Size"}
+    for r in got:
+        words = re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")
+        more = r["taken"] - r["copies"] * r["size"]
+        assert re.findall(r"[^\x20\x09-\x0D]+", r["part"] or "") == words[:more] and r["lang"] == "en" and r["hits"] == "h"
+    assert mixing.take(docs(spark, [], 1)).count() == 0
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(docs(spark, [], 1)).count() == 0
     assert [r["taken"] for r in mixing.mix(docs(spark, [(1, None, "s"), (2, "", None)])).collect()] == [0, 0]
@@ -685,6 +700,7 @@ def test_pipeline_stages(spark):
         out.write.mode("overwrite").parquet(path)
         read = spark.read.parquet(path)
         outputs.append(read.collect())
+        assert set(start.columns) <= set(read.columns)
         if name != "mix":
             assert read.columns == start.columns and [f.dataType for f in read.schema] == [f.dataType for f in start.schema]
     rows = lambda k: [(r["doc_id"], r["text"], r["source"]) for r in k]
