@@ -11,7 +11,7 @@ that the stage before kept:
 3. repeated_passages: bytes of 50-byte strings that also start in a document with a
    smaller id are cut from the texts; characters are cut whole, n_chars follows.
 4. benchmark: documents of whose words a twentieth or more are benchmark windows go.
-5. mix: the documents with the words that the mix takes from each.
+5. mix: the documents with the copies and words that the mix takes from each (see mixing.take()).
 
 Stages 1 to 4 return the columns of documents, unchanged but for stage 3's text and
 n_chars. Nulls are treated as the operators state; rows with a null id are kept by
@@ -58,7 +58,7 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     release(ship(spark))
-    return mixing.mix(docs).drop("_tie")
+    return mixing.take(docs)
 
 
 STAGES = [
