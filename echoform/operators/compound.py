@@ -152,7 +152,8 @@ def probabilistic_action(rewards: DataFrame, offset: float = 0.1, optimality: st
     share = 1 - share if optimality == "min" else share
     rows = rewards.withColumn("p", F.greatest(F.lit(0.0001), F.least(F.lit(offset), share)))
     rows = rows.withColumn("p", F.col("p") / F.sum("p").over(every)).withColumn("c", F.sum("p").over(every.orderBy("action_id")))
-    u = F.pmod(F.xxhash64("sample_id", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    # 52 bits of an MD5: the same number in any engine.
+    u = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("sample_id").cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     return rows.groupBy("sample_id").agg(F.coalesce(F.min(F.when(F.col("c") > u, F.col("action_id"))), F.max("action_id")).alias("action_id"))
 
 

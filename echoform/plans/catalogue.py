@@ -21,12 +21,15 @@ from echoform.operators.learners import Clusterer, Deep, DualVigilance, Fusion,
 from echoform.operators.merging import merge_objects
 from echoform.operators.sequences import SequenceClusterer, align, compress_dashes, joined_digits
 from echoform.operators.train import Fitted, apply, first_label, fold
+from echoform.plans import oracles
 from echoform.plans.native import native_fit, native_predict
 from echoform.session import ship
 from echoform.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Columns of the embeddings table's vectors.
+DIMENSIONS = 64
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -241,16 +244,23 @@ def art2a_fit(spark, sf_dir):
     return _labels(fold(_suppliers(spark, sf_dir, False), Clusterer(ART2A(0.3, 0.1, 0.5)), "sample_id", ["x"]))
 
 
-def _fit_query(name, kernel, complement=False):
+def _of_suppliers(x: str) -> str:
+    return f"{oracles.SUPPLIER}, p AS (SELECT i, k, {x} AS x FROM n)"
+
+
+def _fit_query(name, kernel, terms):
     def f(spark, sf_dir):
-        return _labels(fold(_suppliers(spark, sf_dir, complement), Clusterer(kernel), "sample_id", ["x"]))
+        return _labels(fold(_suppliers(spark, sf_dir, False), Clusterer(kernel), "sample_id", ["x"]))
 
     f.__name__ = f"{name}_fit"
-    query()(f)
+    query(oracles.fit(_of_suppliers("[u, v]"), terms))(f)
 
 
-for _name, _kernel in (("ellipsoid", Ellipsoid(0.6, 0.01, 1.0, 0.8, 1.5)), ("gaussian", Gaussian(0.3, 1e-10, (0.2,))), ("bayesian", Bayesian(5e-4, ((0.01,),))), ("quadratic", QuadraticNeuron(0.9, 0.9))):
-    _fit_query(_name, _kernel)
+for _name, _kernel, _terms in (
+    ("ellipsoid", Ellipsoid(0.6, 0.01, 1.0, 0.8, 1.5), oracles.ellipsoid(0.6, 0.01, 0.8, 1.5)), ("gaussian", Gaussian(0.3, 1e-10, (0.2,)), oracles.gaussian(0.3, 1e-10, 0.2, 2)),
+    ("bayesian", Bayesian(5e-4, ((0.01,),)), oracles.bayesian(5e-4, 0.01)), ("quadratic", QuadraticNeuron(0.9, 0.9), oracles.quadratic(0.9, 0.9, 0.1)),
+):
+    _fit_query(_name, _kernel, _terms)
 
 
 def _bits(spark, sf_dir, complement):
@@ -259,12 +269,12 @@ def _bits(spark, sf_dir, complement):
     return rows.select(F.col("s_suppkey").alias("sample_id"), (prep.complement_code(bits) if complement else bits).alias("x"))
 
 
-@query()
+@query(oracles.fit(_of_suppliers(oracles.BITS), oracles.art1(0.5, 2.0)))
 def art1_fit(spark, sf_dir):
     return _labels(fold(_bits(spark, sf_dir, False), Clusterer(ART1(0.5, 2.0)), "sample_id", ["x"]))
 
 
-@query()
+@query(oracles.fit(_of_suppliers(oracles.BITS_CODED), oracles.fuzzy(0.7, 0.01)))
 def binary_fuzzy_fit(spark, sf_dir):
     return _labels(fold(_bits(spark, sf_dir, True), Clusterer(BinaryFuzzy(0.7, 0.01)), "sample_id", ["x"]))
 
@@ -317,31 +327,42 @@ def _embedded(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), prep.complement_code(x).alias("x"), x.alias("plain"), F.col("label").cast("long").alias("y"))
 
 
-def _artmap_query(name, kernel, method="MT+", vigilant=False, x="x"):
+_PLAIN = "list_transform(embedding, lambda v: greatest(0.0, least(1.0, (v::DOUBLE + 1) / 2)))"
+
+
+def _of_embeddings(x: str) -> str:
+    """The same rows in SQL: p(i, k, x, y), x from a list of plain numbers."""
+    return f"e AS (SELECT vec_id AS i, row_number() OVER (ORDER BY vec_id) AS k, {_PLAIN} AS plain, label::BIGINT AS y FROM embeddings), p AS (SELECT i, k, {x} AS x, y FROM e)"
+
+
+_E_CODED = "list_concat(plain, list_transform(plain, lambda v: 1 - v))"
+
+
+def _artmap_query(name, kernel, method="MT+", vigilant=False, x="x", terms=None):
     def f(spark, sf_dir):
         rows = _embedded(spark, sf_dir)
         fitted = fold(rows, MapClassifier(kernel, method, vigilant=vigilant), "sample_id", [x, "y"])
         return apply(rows.withColumn("y", F.lit(0)), fitted, [x, "y"]).select("sample_id", first_label().alias("cluster_id"), F.get("labels", F.lit(1)).alias("predicted"))
 
     f.__name__ = name
-    query()(f)
+    query(oracles.artmap(_of_embeddings(_E_CODED if x == "x" else "plain"), terms, method, vigilant=vigilant))(f)
 
 
 for _method, _suffix in (("MT+", ""), ("MT-", "_mt_minus"), ("MT0", "_mt_zero"), ("MT1", "_mt_one"), ("MT~", "_mt_tilde")):
-    _artmap_query(f"simple_artmap{_suffix}", Fuzzy(0.7, 1e-10, 1.0), _method)
-_artmap_query("fuzzy_artmap", Fuzzy(0.7, 1e-10, 1.0), vigilant=True)
-_artmap_query("hypersphere_artmap", Hypersphere(0.7, 1e-10, 1.0, 3.0), vigilant=True, x="plain")
-_artmap_query("gaussian_artmap", Gaussian(0.05, 1e-10, (0.2,)), vigilant=True, x="plain")
+    _artmap_query(f"simple_artmap{_suffix}", Fuzzy(0.7, 1e-10, 1.0), _method, terms=oracles.fuzzy(0.7, 1e-10))
+_artmap_query("fuzzy_artmap", Fuzzy(0.7, 1e-10, 1.0), vigilant=True, terms=oracles.fuzzy(0.7, 1e-10))
+_artmap_query("hypersphere_artmap", Hypersphere(0.7, 1e-10, 1.0, 3.0), vigilant=True, x="plain", terms=oracles.hypersphere(0.7, 1e-10, 3.0))
+_artmap_query("gaussian_artmap", Gaussian(0.05, 1e-10, (0.2,)), vigilant=True, x="plain", terms=oracles.gaussian(0.05, 1e-10, 0.2, DIMENSIONS))
 
 
-@query()
+@query(oracles.artmap(_of_embeddings("list_transform(" + _E_CODED.replace("plain", "list_transform(plain, lambda v: (v > 0.5)::INT::DOUBLE)") + ", lambda v: v)"), oracles.fuzzy(0.6, 1e-10)))
 def binary_fuzzy_artmap(spark, sf_dir):
     rows = _embedded(spark, sf_dir).withColumn("x", prep.complement_code(prep.thermometer(F.col("plain"), 1).cast("array<double>")))
     fitted = fold(rows, MapClassifier(BinaryFuzzy(0.6, 1e-10)), "sample_id", ["x", "y"])
     return apply(rows.withColumn("y", F.lit(0)), fitted, ["x", "y"]).select("sample_id", first_label().alias("cluster_id"), F.get("labels", F.lit(1)).alias("predicted"))
 
 
-@query()
+@query(oracles.two_sided(f"{oracles.scaled('(SELECT *, p_size * p_size AS area FROM part)', 'p_partkey', 'p_size', 'p_retailprice')}, c AS (SELECT min(p_size * p_size)::DOUBLE AS a, max(p_size * p_size)::DOUBLE AS z FROM part), p AS (SELECT i, k, [u, v, 1 - u, 1 - v] AS x, [(p_size * p_size - a) / (z - a), 1 - (p_size * p_size - a) / (z - a)] AS t FROM n JOIN part ON i = p_partkey, c)", oracles.fuzzy(0.8, 0.01), oracles.fuzzy(0.9, 0.01)))
 def artmap_regression(spark, sf_dir):
     parts = table(spark, sf_dir, "part").withColumn("area", F.col("p_size") * F.col("p_size"))
     rows = prep.prepare(parts, ["p_size", "p_retailprice"], complement=True)
@@ -351,7 +372,7 @@ def artmap_regression(spark, sf_dir):
     return got.select("sample_id", "cluster_b", F.round(F.get("value", F.lit(0)), 6).alias("value"))
 
 
-@query()
+@query(oracles.dual(_of_suppliers(oracles.CODED), oracles.fuzzy(0.85, 0.01), 0.6))
 def dual_vigilance(spark, sf_dir):
     return _labels(fold(_suppliers(spark, sf_dir, True), DualVigilance(Fuzzy(0.85, 0.01), 0.6), "sample_id", ["x"]))
 
@@ -364,13 +385,13 @@ def topo_edges(spark, sf_dir):
     return edges.select("src", F.col("e.dst").alias("dst"), F.col("e.weight").alias("weight"))
 
 
-@query()
+@query(oracles.smart(_of_suppliers(oracles.CODED), [oracles.fuzzy(r, 0.01) for r in (0.5, 0.7, 0.9)]))
 def smart_levels(spark, sf_dir):
     fitted = fold(_suppliers(spark, sf_dir, True), Smart(Fuzzy(0.5, 0.01), (0.5, 0.7, 0.9)), "sample_id", ["x"])
     return fitted.labels.select("sample_id", *[F.get("labels", F.lit(i)).alias(f"level{i}") for i in range(3)])
 
 
-@query()
+@query(oracles.deep(_of_embeddings(_E_CODED), [oracles.fuzzy(0.6, 1e-10), oracles.fuzzy(0.75, 1e-10)]))
 def deep_map(spark, sf_dir):
     rows = _embedded(spark, sf_dir).withColumn("x0", F.col("x")).withColumn("x1", F.col("x"))
     fitted = fold(rows, Deep((Fuzzy(0.6, 1e-10), Fuzzy(0.75, 1e-10))), "sample_id", ["x0", "x1", "y"])
@@ -383,14 +404,22 @@ def _events(spark, sf_dir):
     return rows.select(F.col("event_id").alias("sample_id"), F.col("user_id").alias("episode_id"), F.col("ts").alias("t"), F.col("x").alias("state"), kind.alias("action"), F.col("value"), "event_type")
 
 
-@query()
+_EVENTS = """WITH RECURSIVE h AS (SELECT *, (hour(ts) + minute(ts) / 60) AS hour FROM events),
+b AS (SELECT min(value)::DOUBLE AS a0, max(value)::DOUBLE AS z0, min(hour)::DOUBLE AS a1, max(hour)::DOUBLE AS z1 FROM h),
+n AS (SELECT *, CASE WHEN z0 = a0 THEN 0 ELSE (value - a0) / (z0 - a0) END AS u, CASE WHEN z1 = a1 THEN 0 ELSE (hour - a1) / (z1 - a1) END AS v, list_transform(['click', 'error', 'purchase', 'signup', 'view'], lambda t: (t = event_type)::INT::DOUBLE) AS kind FROM h, b),
+c AS (SELECT event_id AS i, user_id, ts, event_type, value, [u, v, 1 - u, 1 - v] AS x0, list_concat(kind, list_transform(kind, lambda q: 1 - q)) AS x1 FROM n)"""
+_TWO = [oracles.fuzzy(0.6, 0.01), oracles.fuzzy(0.7, 0.01)], [0.5, 0.5]
+_FUSED = f"{_EVENTS}, p AS (SELECT *, row_number() OVER (ORDER BY i) AS k FROM c), {oracles.fused(*_TWO)}, q AS (SELECT i, ws, {oracles.chosen(*_TWO, (1,))} AS best FROM p, z)"
+
+
+@query(f"{_FUSED} SELECT i AS sample_id, best - 1 AS cluster_id FROM q")
 def fusion_predict_skip(spark, sf_dir):
     rows = _events(spark, sf_dir)
     fitted = fold(rows, Fusion((Fuzzy(0.6, 0.01), Fuzzy(0.7, 0.01)), (0.5, 0.5)), "sample_id", ["state", "action"])
     return compound.fusion_predict(rows, fitted, ["state", None]).select("sample_id", first_label().alias("cluster_id"))
 
 
-@query()
+@query(f"{_FUSED} SELECT i AS sample_id, (best - 1)::INT AS cluster_id, round((ws[best][2][1] + 1 - ws[best][2][6]) / 2, 6) AS click FROM q")
 def fusion_regression(spark, sf_dir):
     rows = _events(spark, sf_dir)
     fitted = fold(rows, Fusion((Fuzzy(0.6, 0.01), Fuzzy(0.7, 0.01)), (0.5, 0.5)), "sample_id", ["state", "action"])
@@ -424,13 +453,28 @@ def best_action(spark, sf_dir):
     return compound.best_action(rewards).withColumn("reward", F.round("reward", 6))
 
 
-@query()
+@query("""WITH r AS (SELECT user_id AS s, length(event_type)::BIGINT AS a, avg(value) AS r FROM events GROUP BY ALL),
+p AS (SELECT *, greatest(0.0001, least(0.5, r / sum(r) OVER (PARTITION BY s))) AS p FROM r),
+c AS (SELECT s, a, sum(p / t) OVER (PARTITION BY s ORDER BY a) AS c FROM (SELECT *, sum(p) OVER (PARTITION BY s) AS t FROM p)),
+u AS (SELECT *, ('0x' || substr(md5('0/' || s::VARCHAR), 1, 13))::UBIGINT::DOUBLE / 4503599627370496.0 AS u FROM c)
+SELECT s AS sample_id, coalesce(min(a) FILTER (c > u), max(a)) AS action_id FROM u GROUP BY s""")
 def probabilistic_action(spark, sf_dir):
     rewards = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("sample_id"), F.length("event_type").cast("long").alias("action_id")).agg(F.avg("value").alias("reward"))
     return compound.probabilistic_action(rewards, 0.5)
 
 
-@query()
+_THREE = [oracles.fuzzy(0.5, 0.01), oracles.fuzzy(0.7, 0.01), oracles.fuzzy(0.9, 0.01)], [0.33, 0.33, 0.34]
+
+
+@query(f"""{_EVENTS}, s AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS m, lead(i) OVER (PARTITION BY user_id ORDER BY ts) AS nxt FROM c),
+g AS (SELECT *, CASE WHEN m = 1 THEN least(value / 500, 1.0) ELSE least(1.0, greatest(0.0, 0.5 * least(value / 500, 1.0))) END AS g FROM s WHERE nxt IS NOT NULL OR m = 1),
+p AS (SELECT i, row_number() OVER (ORDER BY i) AS k, x0, x1, [g, 1 - g] AS x2 FROM g), {oracles.fused(*_THREE)},
+states AS (SELECT x0, min(i) AS i FROM c GROUP BY x0), actions AS (SELECT length(event_type)::INT AS a, arg_min(x1, i) AS x1 FROM c GROUP BY event_type),
+w AS (SELECT unnest(range(1, len(ws) + 1)) AS j, unnest(ws) AS w FROM z),
+t0 AS (SELECT i, j, {oracles.channel(_THREE[0][0].choice, 0)} AS t FROM states, w), t1 AS (SELECT a, j, {oracles.channel(_THREE[0][1].choice, 1)} AS t FROM actions, w),
+v AS (SELECT i, a, max({{'t': 0.33 * t0.t + 0.33 * t1.t + 0.34, 'k': -t0.j}}) AS best FROM t0 JOIN t1 ON t0.j = t1.j GROUP BY i, a),
+o AS (SELECT i, a, (w[3][1] + 1 - w[3][2]) / 2 AS r FROM v JOIN w ON j = -best.k)
+SELECT i AS sample_id, a AS action_id, round(r, 6) AS reward FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY r DESC, a) AS t FROM o) WHERE t = 1""")
 def td_falcon(spark, sf_dir):
     rows = _events(spark, sf_dir).withColumn("reward", F.least(F.col("value") / 500, F.lit(1.0)))
     agent = compound.Falcon((Fuzzy(0.5, 0.01), Fuzzy(0.7, 0.01), Fuzzy(0.9, 0.01)), td_alpha=0.5, td_lambda=0.9)
@@ -519,7 +563,7 @@ def pairwise_distances(spark, sf_dir):
     return metrics.pairwise(_points(spark, sf_dir)).withColumn("dist", F.round("dist", 6))
 
 
-@query()
+@query(oracles.vat(_PTS))
 def vat_order(spark, sf_dir):
     return metrics.vat_order(metrics.pairwise(_points(spark, sf_dir)))
 
@@ -577,7 +621,7 @@ def keyed_row_order(spark, sf_dir):
 SQL["keyed_row_order"] = "SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM events"
 
 
-@query()
+@query(_FUZZY_SQL)
 def stream_partial_fit(spark, sf_dir):
     """suppliers learnt from a file stream, as micro-batches; the labels of all batches."""
     import uuid
@@ -586,7 +630,9 @@ def stream_partial_fit(spark, sf_dir):
     from echoform.streaming.partial import partial_fit
 
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    _suppliers(spark, sf_dir, True).select("sample_id", "x").repartitionByRange(3, "sample_id").write.parquet(f"{root}/in")
+    rows = _suppliers(spark, sf_dir, True).select("sample_id", "x")
+    # Files that arrive one after the other, in order: one model is one ordered stream.
+    rows.repartition(1).sortWithinPartitions("sample_id").write.option("maxRecordsPerFile", max(1, -(-rows.count() // 3))).parquet(f"{root}/in")
     stream = spark.readStream.schema("sample_id long, x array<double>").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     partial_fit(stream, f"{root}/model", f"{root}/checkpoint", Clusterer(Fuzzy(0.8, 0.01, 1.0)), "sample_id", ["x"], availableNow=True).awaitTermination()
     return spark.read.parquet(f"{root}/model/*/labels").select("sample_id", first_label().alias("cluster_id"))
