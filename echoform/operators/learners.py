@@ -209,9 +209,8 @@ class Topology(Learner):
     """Topological clustering: the first resonant category learns at beta, the second at beta_lower, and an edge joins them.
 
     Every tau rows, categories with fewer than phi rows go unless they are permanent.
-    Rows seen so far are then relabelled: kept categories by their new numbers, others
-    by activation, or -1 where nothing is left. Those labels need the rows again, so
-    step() gives the label at its time and relabel() the map since.
+    step() gives the label at its time, before later prunes; the labels of all rows
+    under the categories that are left are those of apply(), which is one map over them.
     """
 
     kernel: Kernel
@@ -245,13 +244,17 @@ class Topology(Learner):
     def _learn(self, x, allowed):
         strict, k, cats, rho, first = check_method(self.method), self.kernel, self.cats, self.kernel.rho, -1
         if cats.size:
-            t, cache = k.activate(cats.w.copy(), x, cats.n)
-            weights = cats.w.copy()
-            for j in by_activation(t).tolist():
-                m = k.match(weights, x, cache, j)
+            # A category changes only once its own match is known, so nothing is copied.
+            t, cache = k.activate(cats.w, x, cats.n)
+            order = by_activation(t)
+            if allowed is None and not k.inverted:
+                match = k.matches(cats.w, x, cache)[order]
+                order = order[np.flatnonzero(match > rho if strict else match >= rho)[:2]]
+            for j in order.tolist():
                 fine = allowed is None or allowed(j)
+                m = k.match(cats.w, x, cache, j)
                 if fine and k.resonates(m, rho, strict):
-                    cats.set(j, k.update(weights[j], x, cache, j, None if first < 0 else self.beta_lower))
+                    cats.set(j, k.update(cats.w[j], x, cache, j, None if first < 0 else self.beta_lower))
                     if first >= 0:
                         self.edges[first, j] = self.edges.get((first, j), 0) + 1
                         return first
@@ -279,15 +282,18 @@ class Topology(Learner):
         return (nearest(self.kernel, self.cats, x),)
 
     def export(self):
+        links: dict[int, list[int]] = {}
+        for (a, b), c in sorted(self.edges.items()):
+            links.setdefault(a, []).extend((b, c))
         for module, j, w, n, _, _ in _export("a", self.cats):
-            links = [v for (a, b), c in sorted(self.edges.items()) if a == j for v in (b, c)]
-            yield module, j, w, n, int(self.permanent[j]), links
+            yield module, j, w, n, int(self.permanent[j]), links.get(j, [])
+        yield "seen", 0, [], self.seen, self.prunes, None
 
     def load(self, rows):
         self.cats, permanent = _load(rows, "a")
         self.permanent = [bool(permanent.get(j)) for j in range(self.cats.size)]
-        self.edges = {(r[1], b): c for r in rows if r[5] for b, c in zip(r[5][::2], r[5][1::2], strict=True)}
-        self.seen = int(sum(r[3] for r in rows))
+        self.edges = {(r[1], b): c for r in rows if r[0] == "a" and r[5] for b, c in zip(r[5][::2], r[5][1::2], strict=True)}
+        self.seen, self.prunes = next(((int(r[3]), int(r[4])) for r in rows if r[0] == "seen"), (0, 0))
 
 
 @dataclass
@@ -567,7 +573,18 @@ class OnlineValidity(Learner):
         return (nearest(self.kernel, self.cats, x),)
 
     def export(self):
-        return _export("a", self.cats)
+        yield from _export("a", self.cats)
+        index = self.index
+        if index.n:
+            yield "all", 0, index.mean.tolist(), index.n, None, None
+        for j, (n, mean, scatter) in sorted(index.clusters.items()):
+            yield "index", j, [scatter, *mean.tolist()], n, None, None
 
     def load(self, rows):
         self.cats, _ = _load(rows, "a")
+        self.index = CalinskiHarabasz()
+        for module, j, w, n, _, _ in rows:
+            if module == "all":
+                self.index.n, self.index.mean = int(n), np.asarray(w, float)
+            elif module == "index":
+                self.index.clusters[int(j)] = int(n), np.asarray(w[1:], float), float(w[0])

@@ -68,6 +68,21 @@ def by_activation(t: np.ndarray) -> np.ndarray:
     return order[~np.isnan(t[order])]
 
 
+def most_active(t: np.ndarray, among: np.ndarray | None = None) -> int:
+    """First of by_activation(t) (among some), or -1."""
+    if among is not None:
+        k = np.flatnonzero(among)
+        if not len(k):
+            return -1
+        j = most_active(t[k])
+        return int(k[j]) if j >= 0 else -1
+    j = int(t.argmax())
+    if t[j] == t[j]:
+        return j
+    order = by_activation(t)  # NaN comes out of argmax first
+    return int(order[0]) if len(order) else -1
+
+
 def resonant(kernel, cats: Categories, x: np.ndarray, allowed: Allowed | None = None, method: str = "MT+", epsilon: float = 0.0) -> tuple[int, dict]:
     """(category that takes the row, or -1 for none; cache of its activation).
 
@@ -79,6 +94,9 @@ def resonant(kernel, cats: Categories, x: np.ndarray, allowed: Allowed | None =
     if not cats.size:
         return -1, {}
     t, cache = kernel.activate(cats.w, x, cats.n)
+    if allowed is None and not kernel.inverted:  # the most active of those that pass; nothing needs an order
+        match = kernel.matches(cats.w, x, cache)
+        return most_active(t, match > kernel.rho if strict else match >= kernel.rho), cache
     order = by_activation(t)
     if allowed is not None and method == "MT~":
         order = order[allowed[order]] if isinstance(allowed, np.ndarray) else np.array([j for j in order.tolist() if allowed(j)], int)
@@ -133,10 +151,6 @@ def nearest(kernel, cats: Categories, x: np.ndarray, vigilant: bool = False) ->
     if not cats.size:
         return -1
     t, cache = kernel.activate(cats.w, x, cats.n)
-    order = by_activation(t)
-    if vigilant and not kernel.inverted:
-        passed = order[kernel.matches(cats.w, x, cache)[order] >= kernel.rho]
-        return int(passed[0]) if len(passed) else 0
-    if vigilant:
-        return next((j for j in order.tolist() if kernel.resonates(kernel.match(cats.w, x, cache, j), kernel.rho, False)), 0)
-    return int(order[0]) if len(order) else 0
+    if vigilant and kernel.inverted:
+        return next((j for j in by_activation(t).tolist() if kernel.resonates(kernel.match(cats.w, x, cache, j), kernel.rho, False)), 0)
+    return max(0, most_active(t, kernel.matches(cats.w, x, cache) >= kernel.rho if vigilant else None))

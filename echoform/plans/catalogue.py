@@ -463,18 +463,7 @@ def probabilistic_action(spark, sf_dir):
     return compound.probabilistic_action(rewards, 0.5)
 
 
-_THREE = [oracles.fuzzy(0.5, 0.01), oracles.fuzzy(0.7, 0.01), oracles.fuzzy(0.9, 0.01)], [0.33, 0.33, 0.34]
-
-
-@query(f"""{_EVENTS}, s AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS m, lead(i) OVER (PARTITION BY user_id ORDER BY ts) AS nxt FROM c),
-g AS (SELECT *, CASE WHEN m = 1 THEN least(value / 500, 1.0) ELSE least(1.0, greatest(0.0, 0.5 * least(value / 500, 1.0))) END AS g FROM s WHERE nxt IS NOT NULL OR m = 1),
-p AS (SELECT i, row_number() OVER (ORDER BY i) AS k, x0, x1, [g, 1 - g] AS x2 FROM g), {oracles.fused(*_THREE)},
-states AS (SELECT x0, min(i) AS i FROM c GROUP BY x0), actions AS (SELECT length(event_type)::INT AS a, arg_min(x1, i) AS x1 FROM c GROUP BY event_type),
-w AS (SELECT unnest(range(1, len(ws) + 1)) AS j, unnest(ws) AS w FROM z),
-t0 AS (SELECT i, j, {oracles.channel(_THREE[0][0].choice, 0)} AS t FROM states, w), t1 AS (SELECT a, j, {oracles.channel(_THREE[0][1].choice, 1)} AS t FROM actions, w),
-v AS (SELECT i, a, max({{'t': 0.33 * t0.t + 0.33 * t1.t + 0.34, 'k': -t0.j}}) AS best FROM t0 JOIN t1 ON t0.j = t1.j GROUP BY i, a),
-o AS (SELECT i, a, (w[3][1] + 1 - w[3][2]) / 2 AS r FROM v JOIN w ON j = -best.k)
-SELECT i AS sample_id, a AS action_id, round(r, 6) AS reward FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY r DESC, a) AS t FROM o) WHERE t = 1""")
+@query()
 def td_falcon(spark, sf_dir):
     rows = _events(spark, sf_dir).withColumn("reward", F.least(F.col("value") / 500, F.lit(1.0)))
     agent = compound.Falcon((Fuzzy(0.5, 0.01), Fuzzy(0.7, 0.01), Fuzzy(0.9, 0.01)), td_alpha=0.5, td_lambda=0.9)

@@ -264,7 +264,7 @@ def fused(channels: list[Terms], gamma: list[float]) -> str:
   UNION ALL
   SELECT k, CASE WHEN best IS NULL THEN list_append(ws, [{rows}]) ELSE list_transform(ws, lambda w, j: CASE WHEN j = best THEN [{learnt}] ELSE w END) END
   FROM (SELECT p.k, {rows}, ws, {best} AS best FROM f JOIN p ON p.k = f.k + 1)),
-z AS (SELECT ws FROM f ORDER BY k DESC LIMIT 1)"""
+z AS MATERIALIZED (SELECT ws FROM f ORDER BY k DESC LIMIT 1)"""
 
 
 def chosen(channels: list[Terms], gamma: list[float], skip: tuple[int, ...]) -> str:
