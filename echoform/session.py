@@ -24,9 +24,15 @@ def session(name: str = "echoform", **settings: str) -> SparkSession:
     return ship(builder.getOrCreate())
 
 
+#: Rows of an Arrow batch. Batches of long texts are held several times, by the JVM and by each worker.
+BATCH_ROWS = "2000"
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send the package to the workers once for each application, so that they can import it wherever they run."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if not getattr(context, "_echoform_shipped", False):
         here = Path(__file__).resolve().parent
         path = Path(tempfile.mkdtemp(prefix="echoform-")) / "echoform.zip"
