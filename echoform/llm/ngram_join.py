@@ -126,37 +126,35 @@ def heads(documents: DataFrame, words: int, per_cent: int, bits: int, text: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
-            names, held, total = [], [], 0
-
-            def send() -> pa.RecordBatch:
-                tokens, own = np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.uint32), [len(t) for t in held])
-                order = np.argsort(tokens, kind="stable")
-                tokens, own = tokens[order], own[order]
-                bucket = (tokens >> np.uint64(64 - bits)).astype(np.int64)
-                cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-                blobs, name = [], np.array(names, np.int64)
-                for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(tokens)], strict=True):
-                    who, local = np.unique(own[a:b], return_inverse=True)
-                    rest = tokens[a:b] << np.uint64(bits)
-                    blobs.append(pack(name[who], local.astype(np.uint32 if len(who) > 65535 else np.uint16), (rest >> np.uint64(32)).astype(np.uint32), (rest >> np.uint64(24)).astype(np.uint8)))
-                return pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+        names, held, total = [], [], 0
+
+        def sent() -> pa.RecordBatch:
+            tokens, own = np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.uint32), [len(t) for t in held])
+            order = np.argsort(tokens, kind="stable")
+            tokens, own = tokens[order], own[order]
+            bucket = (tokens >> np.uint64(64 - bits)).astype(np.int64)
+            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+            blobs, name = [], np.array(names, np.int64)
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(tokens)], strict=True):
+                who, local = np.unique(own[a:b], return_inverse=True)
+                rest = tokens[a:b] << np.uint64(bits)
+                blobs.append(pack(name[who], local.astype(np.uint32 if len(who) > 65535 else np.uint16), (rest >> np.uint64(32)).astype(np.uint32), (rest >> np.uint64(24)).astype(np.uint8)))
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
+        for batch in batches:
             for tokens in _sets(batch.column(0), words):
-                if not len(tokens):
-                    continue
-                name = _name(tokens)
-                if name in seen:
+                name = _name(tokens) if len(tokens) else None
+                if name is None or name in seen:
                     continue
                 seen.add(name)
                 names.append(name)
-                held.append(tokens[: head(len(tokens), per_cent)])
+                held.append(tokens[: head(len(tokens), per_cent)].copy())
                 total += len(held[-1])
-                if total > 2_000_000:
-                    yield send()
+                if total > 500_000:
+                    yield sent()
                     names, held, total = [], [], 0
-            if held:
-                yield send()
+        if held:
+            yield sent()
 
     return documents.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "bucket int, blob binary")
 

@@ -45,7 +45,7 @@ FRAME = bytes(range(1, 9)) + bytes(range(14, 26))
 LEVEL, DICTIONARY = 19, 1 << 18
 #: Thresholds: bytes saved, share of the word's bytes saved, bytes lost.
 SAVINGS, SHARES, LOSSES = (1, 2, 3, 4, 5, 6), (0.3, 0.45, 0.6), (1, 2, 4)
-CACHE = 400_000
+CACHE = 150_000
 
 
 @dataclass
@@ -115,7 +115,7 @@ def _dictionary(samples: list[bytes]) -> bytes:
 
 
 def train(sample: list[tuple[bytes, int]], counts: dict[int, int]) -> Model:
-    """Model from (words with a space between, label) rows, of which every CALIBRATE-th of each class calibrates; counts: labelled rows of each class."""
+    """Model from (words with spaces between, label) rows, of which every CALIBRATE-th of each class calibrates; counts: labelled rows of each class."""
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     parts = {}
     for c in (0, 1):
@@ -143,10 +143,11 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = bytes_of(batch.column(1))
-            _, rows, start, end = token_hashes(raw, offsets, ALNUM)
-            low, at = LOWER[raw].tobytes(), np.searchsorted(rows, np.arange(len(batch) + 1)).tolist()
-            spans = list(zip(start.tolist(), end.tolist(), strict=True))
-            words = [b" ".join(low[a:b] for a, b in spans[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+            words = []
+            for i, j in chunks(offsets):
+                part = raw[offsets[i] : offsets[j]]
+                clean = np.where(ALNUM[part], LOWER[part], np.uint8(32)).tobytes()
+                words += [clean[offsets[k] - offsets[i] : offsets[k + 1] - offsets[i]] for k in range(i, j)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words, pa.binary())], ["_id", "label", "words"])
 
     got = sample.mapInArrow(run, "_id long, label int, words binary").toArrow().sort_by("_id")
@@ -166,7 +167,7 @@ def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "
 
 def scores(model: Model, column: pa.Array) -> np.ndarray:
     raw, offsets = bytes_of(column)
-    got = [model.score(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in chunks(offsets, 1 << 21)]
+    got = [model.score(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in chunks(offsets, 1 << 19)]
     return np.concatenate(got) if got else np.zeros(0)
 
 
