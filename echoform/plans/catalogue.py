@@ -1,8 +1,7 @@
 """Registered queries of the learning engine and their SQL.
 
-Every query reads its whole tables. Where a query's SQL would need the order-dependent
-training over large tables, it has none and tests compare it with a plain fold. Numbers
-are rounded on both sides, as engines may add in different orders.
+Every query reads its whole tables. A fit over very many rows, or by an iterative rule,
+has no SQL; tests compare such with a plain fold. Numbers are rounded on both sides, as engines may add in different orders.
 """
 
 from __future__ import annotations
