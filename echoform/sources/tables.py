@@ -33,9 +33,11 @@ def feature_rows(rows: DataFrame, columns: Sequence[str], sample: str = "sample_
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all run on this machine."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="echoform-")
         atexit.register(shutil.rmtree, place, True)
         spark.sparkContext.setCheckpointDir(place)

@@ -2,6 +2,7 @@
 
 import math
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -17,7 +18,7 @@ from echoform.operators.search import Categories, learn, resonant
 from echoform.operators.sequences import SequenceClusterer, needleman_wunsch
 from echoform.operators.train import Fitted, apply, fold
 from echoform.plans.native import native_fit
-from echoform.sources.tables import blobs, load_kernels, load_weights, rings, save_model
+from echoform.sources.tables import blobs, load_kernels, load_weights, rings, save_model, shared_folder
 
 CORNERS = [(0, 0), (0, 0.08), (0, 1), (1, 1), (1, 0)]
 
@@ -394,3 +395,12 @@ def test_td_falcon_acts_in_every_state(spark):
     got = catalogue.QUERIES["td_falcon"](spark, "/root/testdata/sf0.001").collect()
     states = catalogue._events(spark, "/root/testdata/sf0.001").groupBy("state").agg(F.min("sample_id").alias("id")).collect()
     assert len(states) > 5 and sorted(r["sample_id"] for r in got) == sorted(r["id"] for r in states)
+
+
+def test_no_scratch_folder_of_one_machine_on_a_cluster():
+    unset = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_folder(cluster)
+    told = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: "store://shared/"), sparkContext=cluster.sparkContext)
+    assert shared_folder(told) == "store://shared"
