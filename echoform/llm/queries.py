@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from echoform.llm import decontam, fingerprints, licences, mixing, ngram_join, quality, suffix_dedup, toxicity, urls, warc
+from echoform.llm import decontam, fingerprints, licences, manifest, mixing, ngram_join, quality, suffix_dedup, toxicity, urls, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_fingerprint": fingerprints.op8_fingerprint,
     "op9_licence_scan": licences.op9_licence_scan,
     "op10_quality": quality.op10_quality,
+    "op13_manifest": manifest.op13_manifest,
 }
 SQL = {
     "op1_warc": warc.OP1_SQL,
@@ -22,4 +23,5 @@ SQL = {
     "op5_url_filter": urls.OP5_SQL,
     "op7_decontaminate": decontam.OP7_SQL,
     "op9_licence_scan": licences.oracle(),
+    "op13_manifest": manifest.oracle(),
 }
