@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from echoform.llm import alignment, decontam, fingerprints, licences, manifest, mixing, ngram_join, quality, suffix_dedup, toxicity, urls, warc
+from echoform.llm import alignment, decontam, fingerprints, licences, manifest, mixing, ngram_join, pii, quality, suffix_dedup, toxicity, urls, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_fingerprint": fingerprints.op8_fingerprint,
     "op9_licence_scan": licences.op9_licence_scan,
     "op10_quality": quality.op10_quality,
+    "op11_pii": pii.op11_pii,
     "op12_alignment": alignment.op12_alignment,
     "op13_manifest": manifest.op13_manifest,
 }
