@@ -11,9 +11,10 @@ A's vocabulary, in each task; only the pairs of irregular groups enter the shuff
 for each Arrow batch and pair. A pair of the map that an irregular group links as well
 counts once in a document.
 
-Texts are encoded once: ids are written as two or four bytes each, and both passes, that
-which counts and that which looks counts up, cut the groups anew from the lengths of the
-tokens. The look-up has the map's counts as a vector, and the counts of the most frequent
+Texts are encoded once, word by word with a memory of words met before where the
+vocabularies allow it (Pair.by_words). Ids are written as two or four bytes each, and both
+passes, that which counts and that which looks counts up, cut the groups anew from the
+lengths of the tokens. The look-up has the map's counts as a vector, and the counts of the most frequent
 other pairs as a broadcast of at most MOST_PAIRS pairs; rarer ones, each in few documents,
 meet their documents in a join by pair, so no frequent pair gathers in a task.
 
@@ -28,10 +29,13 @@ An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +50,9 @@ FOLDER = "/opt/tokenizers"
 MOST_PAIRS = 1_000_000
 #: Tokens of A that are worked on together, one document at least.
 TOKENS = 200_000
+#: Short words whose ids a worker keeps, twice.
+WORDS = 150_000
+_WORDS = re.compile(r"(?<=\S) ")
 _ID = np.int64(1) << np.int64(32)
 
 
@@ -78,6 +85,10 @@ class Pair:
         self.same = np.array([by_bytes.get(t, -1) for t in self.a_bytes], np.int64)
         self.a_length, self.b_length = (np.array([len(t) for t in v], np.int64) for v in (self.a_bytes, self.b_bytes))
         self.a_kind, self.b_kind = (np.uint16 if len(v) <= 1 << 16 else np.uint32 for v in (self.a_bytes, self.b_bytes))
+        self._known: dict[str, tuple[bytes, bytes] | None] = {}
+        self._by_words: bool | None = None
+        self._space = self.b.piece_to_id("▁")
+        self._older: dict[str, tuple[bytes, bytes] | None] = {}
 
     @property
     def words(self) -> tuple[np.ndarray, ...]:
@@ -86,15 +97,60 @@ class Pair:
             self._words = tuple(np.array([f"{s}{i}" for i in range(len(v))], object) for v, s in ((self.a_bytes, ","), (self.a_bytes, ";"), (self.b_bytes, ","), (self.b_bytes, "|")))
         return self._words
 
+    @property
+    def by_words(self) -> bool:
+        """Whether both tokenizers cut a text between a character that is no white space and a space, whatever is around.
+
+        A does if it splits by its byte-level expression, whose tokens have a space in
+        front only; B does if no piece has a space after another character, as then no
+        merge crosses such a place.
+        """
+        if self._by_words is None:
+            told = json.loads(self.a.to_str())
+            split = told["pre_tokenizer"] or {}
+            a = told["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+            self._by_words = bool(a) and not any(b" " in t.lstrip(b" ") for t in self.b_bytes)
+        return self._by_words
+
+    def _encoded(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Packed ids of A and B for each text with a space before it; None where it doesn't come back."""
+        wholes = [(" " + t).encode() for t in texts]
+        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        b = [ids or [self._space] for ids in self.b.encode(texts, num_threads=1)]  # no text is no token for B, but a space here
+        whole, fine = b"".join(wholes), [True] * len(texts)
+        packed = []
+        for ids, table, kind in ((a, self.a_bytes, self.a_kind), (b, self.b_bytes, self.b_kind)):
+            flat = list(chain.from_iterable(ids))
+            if b"".join(map(table.__getitem__, flat)) != whole:
+                fine = [f and b"".join(map(table.__getitem__, x)) == w for f, x, w in zip(fine, ids, wholes, strict=True)]
+            data, size, at, own = np.array(flat, kind).tobytes(), kind().itemsize, 0, []
+            for x in ids:
+                own.append(data[at : (at := at + size * len(x))])
+            packed.append(own)
+        return [v if f else None for f, v in zip(fine, zip(*packed, strict=True), strict=True)]
+
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Packed ids of A and B for each text; empty where there is no text or it doesn't come back."""
-        a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        b = self.b.encode(texts, num_threads=1)
-        out = []
-        for text, x, y in zip(texts, a, b, strict=True):
-            whole, x = (" " + text).encode(), x.ids
-            fine = text and b"".join([self.a_bytes[i] for i in x]) == whole and b"".join([self.b_bytes[i] for i in y]) == whole
-            out.append((np.array(x, self.a_kind).tobytes(), np.array(y, self.b_kind).tobytes()) if fine else (b"", b""))
+        """Packed ids of A and B for each text; empty where there is no text or it doesn't come back.
+
+        Where by_words holds, words are looked up among those met before in this worker:
+        those since the memory was last full, and those before that.
+        """
+        if not self.by_words:
+            return [(v if t and v else (b"", b"")) for t, v in zip(texts, self._encoded(texts), strict=True)]
+        if len(self._known) > WORDS:
+            self._known, self._older = {}, self._known
+        known, older, out = self._known, self._older, []
+        parts = [_WORDS.split(t) if t else [] for t in texts]
+        new = set().union(*parts).difference(known)
+        known.update((w, older[w]) for w in new & older.keys())
+        new = list(new.difference(known))
+        known.update(zip(new, self._encoded(new), strict=True))
+        for own in parts:
+            ids = [known[w] for w in own]
+            out.append((b"", b"") if None in ids else (b"".join([x for x, _ in ids]), b"".join([y for _, y in ids])))
+        for w in new:
+            if len(w) > 32:
+                del known[w]
         return out
 
 
@@ -146,13 +202,16 @@ class Cut:
         first, many = np.searchsorted(gb, ga, "left"), np.searchsorted(gb, ga, "right") - np.searchsorted(gb, ga, "left")
         left = np.repeat(np.arange(len(ga)), many)
         right = np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
-        document = np.concatenate([self.document[one], self.document[ga[left]]])
-        key = np.concatenate([a_one, ia[left]]) * _ID + np.concatenate([b_one, ib[right]])
+        # One number for document, a and b: rows of a batch and ids of vocabularies leave bits to spare.
+        bits_b = len(pair.b_bytes).bit_length()
+        bits = bits_b + len(pair.a_bytes).bit_length()
+        key = np.concatenate([(self.document[one] << bits) + (a_one << bits_b) + b_one, (self.document[ga[left]] << bits) + (ia[left] << bits_b) + ib[right]])
         times = np.concatenate([np.ones(len(a_one), np.int64), ta[left] * tb[right]])
-        order = np.lexsort((key, document))
-        document, key, times = document[order], key[order], times[order]
-        new = np.flatnonzero(np.concatenate([[True], (document[1:] != document[:-1]) | (key[1:] != key[:-1])])) if len(key) else np.zeros(0, np.int64)
-        return document[new], key[new] >> 32, key[new] & (_ID - 1), np.add.reduceat(times, new) if len(new) else times
+        order = np.argsort(key)
+        key, times = key[order], times[order]
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        key = key[new]
+        return key >> bits, (key & ((1 << bits) - 1)) >> bits_b, key & ((1 << bits_b) - 1), np.add.reduceat(times, new) if len(new) else times
 
     def texts(self, pair: Pair) -> list[str]:
         """`a1,a2|b1;a3|b2,b3` of each document."""

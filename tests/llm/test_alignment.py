@@ -100,6 +100,16 @@ def test_most_groups_are_of_the_identity_map():
     assert len(pair.a_bytes) == len(vocabulary) + 1 and sorted({t[0] for t in pair.a_bytes if len(t) == 1}) == list(range(256))
 
 
+def test_words_give_what_whole_texts_give():
+    pair, whole = (alignment.Pair(Path(A).read_bytes(), Path(B).read_bytes()) for _ in range(2))
+    whole._by_words = False
+    assert pair.by_words
+    rng, pool = np.random.default_rng(1), list("ab'sZ.1é東 \t\n\r\x0b\x0c\x1c\x85\xa0\u2003\u3000\u180e\u200b\u2028🙂_<>|=▁\x00") + [" ", " ", "  ", " the", "'ll", " </s>", "<|endoftext|>", "<0x0A>", "\n "]
+    texts = ["".join(pool[int(i)] for i in rng.integers(0, len(pool), int(n))) for n in rng.integers(0, 40, 4000)]
+    got = pair.encode(texts)
+    assert got == whole.encode(texts) and got == pair.encode(texts) and sum(bool(a) for a, _ in got) > 1000
+
+
 def test_runs_that_never_meet_stay_small():
     pair = alignment.Pair(Path(A).read_bytes(), Path(B).read_bytes())
     a, b = np.argmax(pair.a_length == 3), np.argmax(pair.b_length == 2)
