@@ -15,7 +15,7 @@ from echoform.operators.kernels import Kernel
 from echoform.operators.learners import Bicluster, Clusterer, Fusion, MapClassifier, OnlineValidity, TwoSided
 from echoform.operators.metrics import pearson
 from echoform.operators.search import Categories, learn
-from echoform.operators.train import Fitted, apply, first_label, fold
+from echoform.operators.train import Fitted, apply, first_label, fold, model_key
 
 
 def centres(fitted: Fitted, module: str = "a", kernel: Kernel | None = None) -> DataFrame:
@@ -48,19 +48,19 @@ def shrink(weights: DataFrame, ratio: float) -> DataFrame:
     return weights.withColumn("w", F.zip_with(w, F.concat(width, width), lambda v, s: v + F.lit(ratio) * s))
 
 
-def regress(rows: DataFrame, fitted: Fitted, inputs: Sequence[str] = ("x",), sample: str = "sample_id") -> DataFrame:
+def regress(rows: DataFrame, fitted: Fitted, inputs: Sequence[str] = ("x",), sample: str = "sample_id", by: Sequence[str] = ()) -> DataFrame:
     """(model, sample_id, cluster_b, value): the centre of the target cluster that ARTMAP predicts."""
     learner: TwoSided = fitted.learner
-    got = apply(rows, fitted, inputs, sample).select("model", "sample_id", F.get("labels", F.lit(1)).alias("cluster_b"))
+    got = apply(rows, fitted, inputs, sample, by).select("model", "sample_id", F.get("labels", F.lit(1)).alias("cluster_b"))
     known = centres(fitted, "b", learner.kernel_b).select("model", F.col("cluster_id").cast("long").alias("cluster_b"), F.col("centre").alias("value"))
     return got.join(known, ["model", "cluster_b"], "left")
 
 
-def fusion_predict(rows: DataFrame, fitted: Fitted, inputs: Sequence[str | None], sample: str = "sample_id") -> DataFrame:
+def fusion_predict(rows: DataFrame, fitted: Fitted, inputs: Sequence[str | None], sample: str = "sample_id", by: Sequence[str] = ()) -> DataFrame:
     """Labels with some channels skipped (None)."""
     learner: Fusion = fitted.learner
     skip = tuple(i for i, c in enumerate(inputs) if c is None)
-    return apply(rows, Fitted(_Skipping(learner, skip), fitted.table), [c for c in inputs if c is not None], sample)
+    return apply(rows, Fitted(_Skipping(learner, skip), fitted.table), [c for c in inputs if c is not None], sample, by)
 
 
 class _Skipping:
@@ -71,21 +71,25 @@ class _Skipping:
     def __init__(self, inner: Fusion, skip: tuple[int, ...]):
         self.inner, self.skip = inner, skip
 
+    @property
+    def input_kernels(self):
+        return tuple(k for i, k in enumerate(self.inner.kernels) if i not in self.skip)
+
     def fresh(self) -> _Skipping:
         return _Skipping(self.inner.fresh(), self.skip)
 
     def load(self, rows) -> None:
         self.inner.load(rows)
 
-    def predict(self, *row):
-        it = iter(row)
-        return self.inner.predict(*[None if i in self.skip else next(it) for i in range(len(self.inner.kernels))], skip=self.skip)
+    def predict_rows(self, columns):
+        it = iter(columns)
+        return self.inner.predict_rows([None if i in self.skip else next(it) for i in range(len(self.inner.kernels))], skip=self.skip)
 
 
-def fusion_regress(rows: DataFrame, fitted: Fitted, inputs: Sequence[str | None], targets: Sequence[int], sample: str = "sample_id") -> DataFrame:
+def fusion_regress(rows: DataFrame, fitted: Fitted, inputs: Sequence[str | None], targets: Sequence[int], sample: str = "sample_id", by: Sequence[str] = ()) -> DataFrame:
     """(model, sample_id, cluster_id, values): centres in the target channels of the category the others choose."""
     learner: Fusion = fitted.learner
-    got = fusion_predict(rows, fitted, [None if i in targets else c for i, c in enumerate(inputs)], sample).select("model", "sample_id", first_label().cast("int").alias("cluster_id"))
+    got = fusion_predict(rows, fitted, [None if i in targets else c for i, c in enumerate(inputs)], sample, by).select("model", "sample_id", first_label().cast("int").alias("cluster_id"))
     for t in targets:
         got = got.join(centres(fitted, f"channel{t}", learner.kernels[t]).withColumnRenamed("centre", f"value{t}"), ["model", "cluster_id"], "left")
     return got.select("model", "sample_id", "cluster_id", F.array(*[F.col(f"value{t}") for t in targets]).alias("values"))
@@ -187,7 +191,7 @@ def bicluster(rows: DataFrame, columns: DataFrame, kernel_a: Kernel, kernel_b: K
 
 
 def validity_guided(rows: DataFrame, kernel: Kernel, index: str = "ch", by: Sequence[str] = (), order: str = "sample_id", x: str = "x", epochs: int = 1) -> DataFrame:
-    """(sample_id, cluster_id): a category is accepted only if the validity index improves by it.
+    """(model, sample_id, cluster_id): a category is accepted only if the validity index improves by it.
 
     index: ch and silhouette are to grow, db to fall. The test looks at all rows of the
     model for each candidate, so a model is one task and keys should be of bounded size.
@@ -211,14 +215,13 @@ def validity_guided(rows: DataFrame, kernel: Kernel, index: str = "ch", by: Sequ
                     return new_value < old_value if index == "db" else new_value > old_value
 
                 labels[i] = learn(kernel, cats, row, better)
-        return pd.DataFrame({"sample_id": pdf[order].to_numpy(), "cluster_id": labels})
+        return pd.DataFrame({"model": key[0], "sample_id": pdf[order].to_numpy(), "cluster_id": labels})
 
-    grouped = rows.withColumn("_g", F.concat_ws("|", *by) if by else F.lit(""))
-    return grouped.select("_g", order, x).groupBy("_g").applyInPandas(run, "sample_id long, cluster_id long")
+    return rows.select(model_key(by).alias("_g"), order, x).groupBy("_g").applyInPandas(run, "model string, sample_id long, cluster_id long")
 
 
 def validity_offline(rows: DataFrame, kernel: Kernel, by: Sequence[str] = (), order: str = "sample_id", x: str = "x") -> DataFrame:
-    """(sample_id, cluster_id): fuzzy clustering under the incremental index, all rows starting in cluster 0.
+    """(model, sample_id, cluster_id): fuzzy clustering under the incremental index, all rows starting in cluster 0.
 
     The start needs all rows of a model before the first is learnt, so a model is one task and keys should be of bounded size.
     """
@@ -228,10 +231,9 @@ def validity_offline(rows: DataFrame, kernel: Kernel, by: Sequence[str] = (), or
         data = [np.asarray(v, float) for v in pdf[x]]
         learner = OnlineValidity(kernel, offline=True)
         learner.start(data)
-        return pd.DataFrame({"sample_id": pdf[order].to_numpy(), "cluster_id": [learner.step(v)[0] for v in data]})
+        return pd.DataFrame({"model": key[0], "sample_id": pdf[order].to_numpy(), "cluster_id": [learner.step(v)[0] for v in data]})
 
-    grouped = rows.withColumn("_g", F.concat_ws("|", *by) if by else F.lit(""))
-    return grouped.select("_g", order, x).groupBy("_g").applyInPandas(run, "sample_id long, cluster_id long")
+    return rows.select(model_key(by).alias("_g"), order, x).groupBy("_g").applyInPandas(run, "model string, sample_id long, cluster_id long")
 
 
 def validity(data: np.ndarray, labels: np.ndarray, index: str) -> float:
@@ -288,6 +290,7 @@ class _Choice:
     """The learner that a row's first input names."""
 
     outputs = 2
+    input_kernels = (None,)
 
     def __init__(self, learners: list, chosen=None):
         self.learners, self.chosen = learners, chosen
@@ -295,10 +298,10 @@ class _Choice:
     def fresh(self) -> _Choice:
         return _Choice(self.learners)
 
-    def step(self, point, *row):
+    def step_rows(self, columns):
         if self.chosen is None:
-            self.chosen = self.learners[int(point)].fresh()
-        return self.chosen.step(*row)
+            self.chosen = self.learners[int(columns[0][0])].fresh()
+        return self.chosen.step_rows(columns[1:])
 
     def finish(self) -> None:
         pass

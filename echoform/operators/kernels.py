@@ -47,6 +47,21 @@ class Kernel:
         """Matches of all categories."""
         return np.array([self.match(w, x, cache, j) for j in range(len(w))])
 
+    #: Whether score_rows() is there: a row's scores against a category depend on no other category, but for a divisor norm().
+    tiled: ClassVar[bool] = False
+
+    def score_rows(self, w: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(activations before norm(), matches) of every row of a matrix against every category."""
+        raise NotImplementedError
+
+    def norm(self, w: np.ndarray) -> float | None:
+        """What all activations are divided by."""
+        return None
+
+    def update_rows(self, w: np.ndarray, x: np.ndarray) -> np.ndarray | None:
+        """Updated weights, line by line, for kernels whose rows often change nothing; else none."""
+        return None
+
     def track(self, match: float, rho: float, epsilon: float, method: str) -> tuple[float, bool]:
         """(vigilance, whether to go on) after a category that resonates was refused."""
         new = {"MT+": match + epsilon, "MT-": match - epsilon, "MT0": match, "MT1": math.inf, "MT~": rho}[method]
@@ -66,6 +81,7 @@ class Fuzzy(Kernel):
     alpha: float = 1e-10
     beta: float = 1.0
     complement: ClassVar[bool] = True
+    tiled: ClassVar[bool] = True
 
     def __post_init__(self) -> None:
         self._need(0 <= self.rho <= 1 and self.alpha >= 0 and 0 < self.beta <= 1, "rho in [0, 1], alpha >= 0, beta in (0, 1]")
@@ -89,6 +105,14 @@ class Fuzzy(Kernel):
         beta = self.beta if beta is None else beta
         return beta * np.minimum(x, w) + (1 - beta) * w
 
+    def score_rows(self, w, x):
+        both = np.minimum(w[None], x[:, None]).sum(2)
+        below = np.broadcast_to(self.alpha + w.sum(1), both.shape)
+        return np.divide(both, below, out=np.zeros(both.shape), where=below != 0), both / (x.shape[1] / 2)
+
+    def update_rows(self, w, x):
+        return self.beta * np.minimum(x, w) + (1 - self.beta) * w
+
     def new(self, x):
         return x.copy()
 
@@ -201,6 +225,7 @@ class Hypersphere(Kernel):
     alpha: float = 1e-10
     beta: float = 1.0
     r_hat: float = 1.0
+    tiled: ClassVar[bool] = True
 
     def __post_init__(self) -> None:
         self._need(0 <= self.rho <= 1 and self.alpha >= 0 and 0 <= self.beta <= 1 and self.r_hat > 0, "rho, beta in [0, 1], alpha >= 0, r_hat > 0")
@@ -217,6 +242,11 @@ class Hypersphere(Kernel):
     def matches(self, w, x, cache):
         return 1 - cache["most"] / self.r_hat
 
+    def score_rows(self, w, x):
+        most = np.maximum(w[:, -1], np.sqrt(((w[None, :, :-1] - x[:, None]) ** 2).sum(2)))
+        below = np.broadcast_to(self.r_hat - w[:, -1] + self.alpha, most.shape)
+        return np.divide(self.r_hat - most, below, out=np.full(most.shape, np.nan), where=below != 0), 1 - most / self.r_hat
+
     def update(self, w, x, cache, j, beta=None):
         beta, radius, r = self.beta if beta is None else beta, w[-1], cache["r"][j]
         ratio = min(radius, r) / (r + self.alpha) if r + self.alpha else 1.0
@@ -240,6 +270,7 @@ class Ellipsoid(Kernel):
     beta: float = 1.0
     mu: float = 0.8
     r_hat: float = 1.0
+    tiled: ClassVar[bool] = True
 
     def __post_init__(self) -> None:
         self._need(0 <= self.rho <= 1 and 0 <= self.alpha <= 1 and 0 <= self.beta <= 1 and 0 < self.mu <= 1 and self.r_hat > 0, "rho, alpha, beta in [0, 1], mu in (0, 1], r_hat > 0")
@@ -261,6 +292,15 @@ class Ellipsoid(Kernel):
     def matches(self, w, x, cache):
         return 1 - (w[:, -1] + cache["most"]) / self.r_hat
 
+    def score_rows(self, w, x):
+        d = x.shape[1]
+        gap, axis, radius = x[:, None] - w[None, :, :d], w[:, d : 2 * d], w[:, -1]
+        square, along = (gap * gap).sum(2), (axis[None] * gap).sum(2)
+        stretched = np.sqrt(np.maximum(square - (1 - self.mu**2) * along**2, 0)) / self.mu
+        most = np.maximum(radius, np.where((axis != 0).any(1), stretched, np.sqrt(square)))
+        below = np.broadcast_to(self.r_hat - 2 * radius + self.alpha, most.shape)
+        return np.divide(self.r_hat - radius - most, below, out=np.full(most.shape, np.nan), where=below != 0), 1 - (radius + most) / self.r_hat
+
     def update(self, w, x, cache, j, beta=None):
         beta, d, radius, r = self.beta if beta is None else beta, len(x), w[-1], cache["r"][j]
         ratio = min(radius, r) / r if r else 1.0
@@ -289,6 +329,7 @@ class Gaussian(Kernel):
 
     alpha: float = 1e-10
     sigma: tuple[float, ...] = (0.5,)
+    tiled: ClassVar[bool] = True
 
     def __post_init__(self) -> None:
         self._need(0 <= self.rho <= 1 and self.alpha > 0 and all(s > 0 for s in self.sigma), "rho in [0, 1], alpha > 0, sigma > 0")
@@ -312,6 +353,14 @@ class Gaussian(Kernel):
     def matches(self, w, x, cache):
         return cache["e"]
 
+    def score_rows(self, w, x):
+        d = x.shape[1]
+        e = np.exp(-0.5 * ((w[None, :, :d] - x[:, None]) ** 2 * w[None, :, 2 * d : 3 * d]).sum(2))
+        return e / (self.alpha + w[:, -2]) * w[:, -1], e
+
+    def norm(self, w):
+        return w[:, -1].sum()
+
     def update(self, w, x, cache, j, beta=None):
         d, count = len(x), w[-1] + 1
         mean = (1 - 1 / count) * w[:d] + x / count

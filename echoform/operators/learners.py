@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from echoform.operators.kernels import Kernel
-from echoform.operators.search import Categories, by_activation, check_method, learn, nearest, resonant
+from echoform.operators.search import TILE_ROWS, Categories, Tile, by_activation, check_method, learn, learn_rows, nearest, nearest_rows, resonant, still
 
 #: (module, cluster_id, w, n, mapped, links) of the weights table.
 State = tuple[str, int, list[float], int, int | None, list[int] | None]
@@ -29,15 +29,29 @@ class Learner:
     def fresh(self) -> Learner:
         return copy.deepcopy(self)
 
+    @property
+    def input_kernels(self) -> tuple[Kernel | None, ...]:
+        """The kernel whose rules each input must keep, or none."""
+        return (getattr(self, "kernel", None),)
+
     def step(self, *row) -> tuple[int, ...]:
         raise NotImplementedError
 
+    def step_rows(self, columns: list) -> np.ndarray:
+        """step() for rows given as columns, one line of labels for each row."""
+        return np.array([self.step(*row) for row in zip(*columns, strict=True)], np.int64).reshape(-1, self.outputs)
+
     def finish(self) -> None:
         """Called once after the last row."""
 
     def predict(self, *row) -> tuple[int, ...]:
         raise NotImplementedError
 
+    def predict_rows(self, columns: list) -> np.ndarray:
+        """Labels of rows given as columns, one line for each row."""
+        out = np.array([self.predict(*row) for row in zip(*columns, strict=True)], np.int64)
+        return out.reshape(-1, self.outputs)
+
     def export(self) -> Iterator[State]:
         raise NotImplementedError
 
@@ -45,6 +59,11 @@ class Learner:
         raise NotImplementedError
 
 
+def _matrix(kernel: Kernel, x) -> bool:
+    """Whether rows can be worked on by tiles: a kernel that allows it, and a column of equally long rows."""
+    return kernel.tiled and isinstance(x, np.ndarray) and x.ndim == 2
+
+
 def _export(module: str, cats: Categories, mapped: dict | None = None) -> Iterator[State]:
     for j in range(cats.size):
         yield module, j, cats.w[j].tolist(), int(cats.n[j]), None if mapped is None else mapped.get(j), None
@@ -67,9 +86,19 @@ class Clusterer(Learner):
     def step(self, x):
         return (learn(self.kernel, self.cats, x, None, self.method, self.epsilon),)
 
+    def step_rows(self, columns):
+        if not _matrix(self.kernel, columns[0]):
+            return super().step_rows(columns)
+        return learn_rows(self.kernel, self.cats, columns[0], self.method, self.epsilon)[:, None]
+
     def predict(self, x):
         return (nearest(self.kernel, self.cats, x),)
 
+    def predict_rows(self, columns):
+        if not _matrix(self.kernel, columns[0]):
+            return super().predict_rows(columns)
+        return nearest_rows(self.kernel, self.cats, columns[0])[:, None]
+
     def export(self):
         return _export("a", self.cats)
 
@@ -101,10 +130,33 @@ class MapClassifier(Learner):
         self.classes[j] = self._class[j] = y
         return j, y
 
+    def step_rows(self, columns):
+        x, y = columns
+        if not _matrix(self.kernel, x):
+            return super().step_rows(columns)
+        y = np.asarray(y).astype(np.int64)
+
+        def founded(j: int, row: int) -> np.ndarray:
+            if j >= len(self._class):
+                self._class = np.concatenate([self._class, np.full(max(16, j + 1), -1, np.int64)])
+            self.classes[j] = self._class[j] = int(y[row])
+            return self._class
+
+        if len(self._class) < self.cats.size + 1:
+            self._class = np.concatenate([self._class, np.full(16, -1, np.int64)])
+        return np.stack([learn_rows(self.kernel, self.cats, x, self.method, self.epsilon, (self._class, y), founded), y], 1)
+
     def predict(self, x, y=None):
         j = nearest(self.kernel, self.cats, x, self.vigilant)
         return j, self.classes.get(j, -1)
 
+    def predict_rows(self, columns):
+        if not _matrix(self.kernel, columns[0]):
+            return super().predict_rows(columns)
+        j = nearest_rows(self.kernel, self.cats, columns[0], self.vigilant)
+        known = np.array([self.classes.get(k, -1) for k in range(-1, self.cats.size)], np.int64)
+        return np.stack([j, known[j + 1]], 1)
+
     def export(self):
         return _export("a", self.cats, self.classes)
 
@@ -131,12 +183,22 @@ class TwoSided(Learner):
         self.a = MapClassifier(self.kernel_a, self.method, self.epsilon)
         self.b = Clusterer(self.kernel_b, self.method, self.epsilon)
 
+    @property
+    def input_kernels(self):
+        return self.kernel_a, self.kernel_b
+
     def step(self, x, y):
         return self.a.step(x, self.b.step(y)[0])
 
+    def step_rows(self, columns):
+        return self.a.step_rows([columns[0], self.b.step_rows(columns[1:])[:, 0]])
+
     def predict(self, x, y=None):
         return self.a.predict(x)
 
+    def predict_rows(self, columns):
+        return self.a.predict_rows([columns[0], np.zeros(len(columns[0]), np.int64)])
+
     def centres(self) -> np.ndarray:
         """Centre of each cluster of b, for regression."""
         return np.array([self.kernel_b.centre(w) for w in self.b.cats.w])
@@ -241,6 +303,57 @@ class Topology(Learner):
                 label = nearest(self.kernel, self.cats, x)
         return (label,)
 
+    def step_rows(self, columns):
+        x = columns[0]
+        if not _matrix(self.kernel, x):
+            return super().step_rows(columns)
+        out, at = np.empty((len(x), 1), np.int64), 0
+        while at < len(x):
+            n = min(self.tau - self.seen % self.tau, len(x) - at, Tile.rows(self.kernel, self.cats, x.shape[1]))
+            out[at : at + n, 0] = self._learn_tile(x[at : at + n])
+            self.seen += n
+            at += n
+            if self.seen % self.tau == 0:
+                label = self.prune().get(int(out[at - 1, 0]), -1)
+                out[at - 1, 0] = nearest(self.kernel, self.cats, x[at - 1]) if label < 0 and self.cats.size else label
+        return out
+
+    def _learn_tile(self, x: np.ndarray) -> np.ndarray:
+        """Rows between two prunes, by a tile: those that change neither of their two categories are learnt at once."""
+        k, cats, strict, out = self.kernel, self.cats, check_method(self.method), np.empty(len(x), np.int64)
+        tile, r, ahead = Tile(k, cats, x), 0, 8
+        while r < len(x):
+            end, fine, first = min(len(x), r + ahead), 0, None
+            if cats.size:
+                first, held = tile.winners(r, end, strict)
+                held[np.arange(len(first)), np.maximum(first, 0)] = -np.inf
+                second = held.argmax(1)
+                second = np.where(held[np.arange(len(first)), second] > -np.inf, second, -1)
+                same = (first >= 0) & still(k, cats.w[np.maximum(first, 0)], x[r:end]) & ((second < 0) | still(k, cats.w[np.maximum(second, 0)], x[r:end]))
+                fine = int(np.argmin(same)) if not same.all() else len(same)
+                out[r : r + fine] = first[:fine]
+                both = second[:fine] >= 0
+                np.add.at(cats.n, first[:fine], 1)
+                np.add.at(cats.n, second[:fine][both], 1)
+                for a, b in zip(first[:fine][both].tolist(), second[:fine][both].tolist(), strict=True):
+                    self.edges[a, b] = self.edges.get((a, b), 0) + 1
+            if r + fine == end:
+                r, ahead = end, min(TILE_ROWS, 2 * ahead)
+                continue
+            r, row = r + fine, fine
+            a, b = (int(first[row]), int(second[row])) if cats.size else (-1, -1)
+            if a < 0:
+                self.permanent.append(False)
+            out[r] = tile.learn(r, a)
+            if a >= 0 and b >= 0:
+                one = cats.w[b : b + 1]
+                cats.set(b, k.update(cats.w[b], x[r], k.activate(one, x[r], cats.n[b : b + 1])[1], 0, self.beta_lower))
+                tile.changed(b, r)
+                self.edges[a, b] = self.edges.get((a, b), 0) + 1
+            ahead = max(1, min(ahead, 2 * (fine + 1)))
+            r += 1
+        return out
+
     def _learn(self, x, allowed):
         strict, k, cats, rho, first = check_method(self.method), self.kernel, self.cats, self.kernel.rho, -1
         if cats.size:
@@ -281,6 +394,11 @@ class Topology(Learner):
     def predict(self, x):
         return (nearest(self.kernel, self.cats, x),)
 
+    def predict_rows(self, columns):
+        if not _matrix(self.kernel, columns[0]):
+            return super().predict_rows(columns)
+        return nearest_rows(self.kernel, self.cats, columns[0])[:, None]
+
     def export(self):
         links: dict[int, list[int]] = {}
         for (a, b), c in sorted(self.edges.items()):
@@ -319,6 +437,10 @@ class Deep(Learner):
         self.inputs = tuple(f"x{i}" for i in range(len(ks))) + (("y",) if self.supervised else ())
         self.outputs = len(self.layers) + 1
 
+    @property
+    def input_kernels(self):
+        return self.kernels
+
     def step(self, *row):
         if self.supervised:
             xs, label = row[:-1], int(row[-1])
@@ -330,6 +452,26 @@ class Deep(Learner):
             out.append(label)
         return tuple(out)
 
+    def step_rows(self, columns):
+        if self.supervised:
+            xs, label = columns[:-1], np.asarray(columns[-1]).astype(np.int64)
+        else:
+            xs, label = columns[1:], self.base.step_rows(columns[:1])[:, 0]
+        out = [label]
+        for layer, x in zip(self.layers, xs, strict=True):
+            label = layer.step_rows([x, label])[:, 0]
+            out.append(label)
+        return np.stack(out, 1)
+
+    def predict_rows(self, columns):
+        x = columns[len(self.kernels) - 1]
+        label = self.layers[-1].predict_rows([x, np.zeros(len(x), np.int64)])[:, 0]
+        out = [label]
+        for layer in reversed(self.layers):
+            label = np.array([layer.classes.get(k, -1) for k in label.tolist()], np.int64)
+            out.append(label)
+        return np.stack(out[::-1], 1)
+
     def predict(self, *row):
         x = row[len(self.kernels) - 1]
         label = self.layers[-1].predict(x)[0]
@@ -365,9 +507,15 @@ class Smart(Deep):
     def step(self, x):
         return super().step(*[x] * len(self.kernels))
 
+    def step_rows(self, columns):
+        return super().step_rows([columns[0]] * len(self.kernels))
+
     def predict(self, x):
         return super().predict(*[x] * len(self.kernels))
 
+    def predict_rows(self, columns):
+        return super().predict_rows([columns[0]] * len(self.kernels))
+
 
 @dataclass
 class Fusion(Learner):
@@ -389,6 +537,10 @@ class Fusion(Learner):
         self.cats = self.cats or [Categories() for _ in self.kernels]
         self.inputs = tuple(f"x{i}" for i in range(len(self.kernels)))
 
+    @property
+    def input_kernels(self):
+        return self.kernels
+
     def _activate(self, xs, skip=()):
         total, caches = np.zeros(self.cats[0].size), []
         for i, (k, g, c) in enumerate(zip(self.kernels, self.gamma, self.cats, strict=True)):
@@ -401,6 +553,60 @@ class Fusion(Learner):
                 caches.append(cache)
         return total, caches
 
+    def step_rows(self, columns):
+        """By tiles, one for each channel: a row whose most active category passes in all channels and stays as it is needs no search."""
+        if not all(_matrix(k, x) for k, x in zip(self.kernels, columns, strict=True)):
+            return super().step_rows(columns)
+        strict, out, at, n = check_method(self.method), np.empty((len(columns[0]), 1), np.int64), 0, len(columns[0])
+        while at < n:
+            rows = min(Tile.rows(k, c, x.shape[1]) for k, c, x in zip(self.kernels, self.cats, columns, strict=True))
+            tiles = [Tile(k, c, x[at : at + rows]) for k, c, x in zip(self.kernels, self.cats, columns, strict=True)]
+            rows, r, ahead = len(tiles[0].x), 0, 8
+            while r < rows:
+                end, fine, t, ms = min(rows, r + ahead), 0, None, None
+                if self.cats[0].size:
+                    t, ms = np.zeros((end - r, self.cats[0].size)), []
+                    for g, tile in zip(self.gamma, tiles, strict=True):
+                        part, m = tile.scores(r, end)
+                        t, ms = t + g * part, [*ms, m]
+                    j = np.where(np.isnan(t), -np.inf, t).argmax(1)
+                    line = np.arange(end - r)
+                    same = ~np.isnan(t[line, j])
+                    for k, c, tile, m in zip(self.kernels, self.cats, tiles, ms, strict=True):
+                        same &= (m[line, j] > k.rho if strict else m[line, j] >= k.rho) & still(k, c.w[j], tile.x[r:end])
+                    fine = int(np.argmin(same)) if not same.all() else len(same)
+                    out[at + r : at + r + fine, 0] = j[:fine]
+                    for c in self.cats:
+                        np.add.at(c.n, j[:fine], 1)
+                if r + fine == end:
+                    r, ahead = end, min(TILE_ROWS, 2 * ahead)
+                    continue
+                r += fine
+                best = self._search(t[fine], lambda i, j, ms=ms, row=fine: ms[i][row, j]) if self.cats[0].size else -1
+                for tile in tiles:
+                    out[at + r, 0] = tile.learn(r, best)
+                ahead = max(1, min(ahead, 2 * (fine + 1)))
+                r += 1
+            at += rows
+        return out
+
+    def _search(self, t: np.ndarray, match) -> int:
+        """The category that resonates in all channels, or -1; match(channel, category)."""
+        strict, rhos = check_method(self.method), [k.rho for k in self.kernels]
+        for j in by_activation(t).tolist():
+            matches = [match(i, j) for i in range(len(self.kernels))]
+            passed = [k.resonates(m, r, strict) for k, m, r in zip(self.kernels, matches, rhos, strict=True)]
+            if all(passed):
+                return j
+            go_on = True
+            for i, k in enumerate(self.kernels):
+                if passed[i]:
+                    rhos[i], more = k.track(matches[i], rhos[i], self.epsilon, self.method)
+                    go_on = go_on and more
+            if not go_on:
+                break
+        return -1
+
     def step(self, *xs, allowed=None):
         strict, size = check_method(self.method), self.cats[0].size
         if size:
@@ -433,6 +639,24 @@ class Fusion(Learner):
         order = by_activation(t)
         return (int(order[0]) if len(order) else 0,)
 
+    def predict_rows(self, columns, skip=()):
+        used = [i for i in range(len(self.kernels)) if i not in skip]
+        size, n = self.cats[0].size, len(columns[used[0]])
+        if not size or not all(_matrix(self.kernels[i], columns[i]) for i in used):
+            return super().predict_rows(columns) if not skip else np.array([self.predict(*row, skip=skip) for row in zip(*[c if c is not None else [None] * n for c in columns], strict=True)], np.int64).reshape(-1, 1)
+        out, norms = np.empty((n, 1), np.int64), {i: self.kernels[i].norm(self.cats[i].w) for i in used}
+        rows = max(1, min(n, min(2_000_000 // (size * columns[i].shape[1]) for i in used)))
+        for a in range(0, n, rows):
+            total = 0.0
+            for i, g in enumerate(self.gamma):
+                if i in skip:
+                    total = total + g
+                else:
+                    t, _ = self.kernels[i].score_rows(self.cats[i].w, columns[i][a : a + rows])
+                    total = total + g * (t if norms[i] is None else t / norms[i])
+            out[a : a + rows, 0] = np.where(np.isnan(total), -np.inf, total).argmax(1)
+        return out
+
     def centres(self, channel: int) -> np.ndarray:
         return np.array([self.kernels[channel].centre(w) for w in self.cats[channel].w])
 

@@ -94,39 +94,50 @@ def resonant(kernel, cats: Categories, x: np.ndarray, allowed: Allowed | None =
     if not cats.size:
         return -1, {}
     t, cache = kernel.activate(cats.w, x, cats.n)
-    if allowed is None and not kernel.inverted:  # the most active of those that pass; nothing needs an order
-        match = kernel.matches(cats.w, x, cache)
-        return most_active(t, match > kernel.rho if strict else match >= kernel.rho), cache
+    if not kernel.inverted:
+        return choose(kernel, t, kernel.matches(cats.w, x, cache), allowed, method, epsilon), cache
     order = by_activation(t)
     if allowed is not None and method == "MT~":
-        order = order[allowed[order]] if isinstance(allowed, np.ndarray) else np.array([j for j in order.tolist() if allowed(j)], int)
-        allowed = None
-    if kernel.inverted:
-        return _one_by_one(kernel, cats, x, cache, order, allowed, method, epsilon, strict), cache
-    match, rho = kernel.matches(cats.w, x, cache)[order], kernel.rho
-    passed = np.flatnonzero(match > rho if strict else match >= rho)
-    for k in passed.tolist():
-        if allowed is None:
-            return int(order[k]), cache
-        if not (match[k] > rho if strict else match[k] >= rho):
+        order, allowed = _among(order, allowed), None
+    return _one_by_one(kernel, order, lambda j: kernel.match(cats.w, x, cache, j), allowed, method, epsilon, strict), cache
+
+
+def _among(order: np.ndarray, allowed: Allowed) -> np.ndarray:
+    return order[allowed[order]] if isinstance(allowed, np.ndarray) else np.array([j for j in order.tolist() if allowed(j)], int)
+
+
+def choose(kernel, t: np.ndarray, match: np.ndarray, allowed: Allowed | None = None, method: str = "MT+", epsilon: float = 0.0) -> int:
+    """The search over known activations and matches of all categories; for kernels whose vigilance bounds from below."""
+    strict, rho = check_method(method), kernel.rho
+    passes = match > rho if strict else match >= rho
+    if allowed is None:  # the most active of those that pass; nothing needs an order
+        return most_active(t, passes)
+    order = by_activation(t)
+    if method == "MT~":
+        order = _among(order, allowed)
+        passed = order[passes[order]]
+        return int(passed[0]) if len(passed) else -1
+    order_match = match[order]
+    for k in np.flatnonzero(passes[order]).tolist():
+        if not (order_match[k] > rho if strict else order_match[k] >= rho):
             continue  # the vigilance has moved past it
         j = int(order[k])
         if allowed[j] if isinstance(allowed, np.ndarray) else allowed(j):
-            return j, cache
+            return j
         lower = rho
-        rho, go_on = kernel.track(float(match[k]), rho, epsilon, method)
+        rho, go_on = kernel.track(float(order_match[k]), rho, epsilon, method)
         if not go_on:
             break
         if rho < lower:  # categories that failed before may pass now
-            return _one_by_one(kernel, cats, x, cache, order[k + 1 :], allowed, method, epsilon, strict, rho), cache
-    return -1, cache
+            return _one_by_one(kernel, order[k + 1 :], lambda j: match[j], allowed, method, epsilon, strict, rho)
+    return -1
 
 
-def _one_by_one(kernel, cats: Categories, x: np.ndarray, cache: dict, order: np.ndarray, allowed, method: str, epsilon: float, strict: bool, rho: float | None = None) -> int:
+def _one_by_one(kernel, order: np.ndarray, match: Callable[[int], float], allowed, method: str, epsilon: float, strict: bool, rho: float | None = None) -> int:
     """The search for kernels whose match is costly, or once the vigilance has fallen."""
     rho = kernel.rho if rho is None else rho
     for j in order.tolist():
-        m = kernel.match(cats.w, x, cache, j)
+        m = match(j)
         if not kernel.resonates(m, rho, strict):
             continue
         if allowed is None or (allowed[j] if isinstance(allowed, np.ndarray) else allowed(j)):
@@ -154,3 +165,132 @@ def nearest(kernel, cats: Categories, x: np.ndarray, vigilant: bool = False) ->
     if vigilant and kernel.inverted:
         return next((j for j in by_activation(t).tolist() if kernel.resonates(kernel.match(cats.w, x, cache, j), kernel.rho, False)), 0)
     return max(0, most_active(t, kernel.matches(cats.w, x, cache) >= kernel.rho if vigilant else None))
+
+
+#: Numbers that the scoring of a tile may hold, and the rows of a tile.
+TILE_NUMBERS, TILE_ROWS = 2_000_000, 256
+
+
+class Tile:
+    """Scores of a block of rows against all categories of a module, kept right as categories change.
+
+    Only the column of a category that changed is computed anew, for the rows that are
+    left, so a row costs what its own change costs. Scores are the same numbers that one
+    row at a time gives: each is a reduction over the same vector.
+    """
+
+    def __init__(self, kernel, cats: Categories, x: np.ndarray):
+        self.kernel, self.cats, self.x = kernel, cats, x
+        room = cats.size + 16
+        self._t, self._m = np.full((len(x), room), -np.inf), np.full((len(x), room), -np.inf)
+        if cats.size:
+            self._t[:, : cats.size], self._m[:, : cats.size] = kernel.score_rows(cats.w, x)
+
+    @staticmethod
+    def rows(kernel, cats: Categories, width: int) -> int:
+        """How many rows a tile takes at the categories there are."""
+        return max(1, min(TILE_ROWS, TILE_NUMBERS // (max(1, cats.size) * max(1, width))))
+
+    def scores(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Activations and matches of rows a to b."""
+        t, m, n = self._t[a:b, : self.cats.size], self._m[a:b, : self.cats.size], self.kernel.norm(self.cats.w)
+        return (t if n is None else t / n), m
+
+    def changed(self, j: int, row: int) -> None:
+        """Category j is new or has changed: its scores for the rows after a row."""
+        if j >= self._t.shape[1]:
+            more = np.full((len(self.x), max(16, j)), -np.inf)
+            self._t, self._m = np.concatenate([self._t, more], 1), np.concatenate([self._m, more.copy()], 1)
+        if row + 1 < len(self.x):
+            t, m = self.kernel.score_rows(self.cats.w[j : j + 1], self.x[row + 1 :])
+            self._t[row + 1 :, j], self._m[row + 1 :, j] = t[:, 0], m[:, 0]
+
+    def winners(self, a: int, b: int, strict: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The most active category that passes, for rows a to b (-1 for none), and their masked activations."""
+        t, m = self.scores(a, b)
+        held = np.where((m > self.kernel.rho if strict else m >= self.kernel.rho) & ~np.isnan(t), t, -np.inf)
+        j = held.argmax(1)
+        return np.where(held[np.arange(len(j)), j] > -np.inf, j, -1), held
+
+    def learn(self, row: int, j: int) -> int:
+        """Let category j (or a new one, at -1) learn a row; returns its number."""
+        kernel, cats, x = self.kernel, self.cats, self.x[row]
+        if j < 0:
+            j = cats.add(kernel.new(x))
+        else:
+            one = cats.w[j : j + 1]
+            cats.set(j, kernel.update(cats.w[j], x, kernel.activate(one, x, cats.n[j : j + 1])[1], 0))
+        self.changed(j, row)
+        return j
+
+
+def still(kernel, w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each row, whether learning it leaves its category's weight (the same line of w) as it is."""
+    new = kernel.update_rows(w, x)
+    return np.zeros(len(x), bool) if new is None else (new == w).all(1)
+
+
+def learn_rows(kernel, cats: Categories, x: np.ndarray, method: str = "MT+", epsilon: float = 0.0, classes: tuple[np.ndarray, np.ndarray] | None = None, founded: Callable[[int, int], np.ndarray] | None = None) -> np.ndarray:
+    """learn() for a matrix of rows in order, by tiles; the categories' numbers.
+
+    Rows up to the first that changes a category are learnt at once. classes: the class of
+    each category (room for all) and of each row, a row being refused by categories of
+    other classes; founded(j, row) then gives the classes with those of a new category.
+    """
+    strict, out, at = check_method(method), np.empty(len(x), np.int64), 0
+    while at < len(x):
+        tile = Tile(kernel, cats, x[at : at + Tile.rows(kernel, cats, x.shape[1])])
+        n, r, ahead = len(tile.x), 0, 8
+        while r < n:
+            end = min(n, r + ahead)
+            fine = 0
+            if cats.size:
+                j, _ = tile.winners(r, end, strict)
+                good = j >= 0
+                if classes is not None:
+                    good = good & (classes[0][j] == classes[1][at + r : at + end])
+                k = np.flatnonzero(good)
+                good[k] = still(kernel, cats.w[j[k]], tile.x[r:end][k]) if len(k) else False
+                fine = int(np.argmin(good)) if not good.all() else len(good)
+                out[at + r : at + r + fine] = j[:fine]
+                np.add.at(cats.n, j[:fine], 1)
+            if r + fine == end:
+                r, ahead = end, min(TILE_ROWS, 2 * ahead)
+                continue
+            r += fine
+            if classes is None:
+                j = int(j[fine]) if cats.size else -1
+            elif cats.size:
+                t, m = tile.scores(r, r + 1)
+                j = choose(kernel, t[0], m[0], classes[0][: cats.size] == classes[1][at + r], method, epsilon)
+            else:
+                j = -1
+            found = j < 0
+            out[at + r] = j = tile.learn(r, j)
+            if found and founded is not None:
+                classes = (founded(j, at + r), classes[1])
+            ahead = max(1, min(ahead, 2 * (fine + 1)))
+            r += 1
+        at += n
+    return out
+
+
+def nearest_rows(kernel, cats: Categories, x: np.ndarray, vigilant: bool = False) -> np.ndarray:
+    """nearest() for a matrix of rows, by tiles of rows and blocks of categories whose maxima are combined."""
+    if not cats.size:
+        return np.full(len(x), -1, np.int64)
+    out, n = np.zeros(len(x), np.int64), kernel.norm(cats.w)
+    rows = max(1, min(len(x), TILE_NUMBERS // (x.shape[1] * min(cats.size, 1024))))
+    for a in range(0, len(x), rows):
+        part = x[a : a + rows]
+        best, top = np.full(len(part), -np.inf), np.zeros(len(part), np.int64)
+        for c in range(0, cats.size, 1024):
+            t, m = kernel.score_rows(cats.w[c : c + 1024], part)
+            t = t if n is None else t / n
+            held = np.where(~np.isnan(t) & (m >= kernel.rho), t, -np.inf) if vigilant else np.where(np.isnan(t), -np.inf, t)
+            j = held.argmax(1)
+            value = held[np.arange(len(j)), j]
+            better = value > best
+            best[better], top[better] = value[better], j[better] + c
+        out[a : a + rows] = top
+    return out

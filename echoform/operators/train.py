@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from echoform.operators.learners import Learner
 from echoform.session import ship
@@ -47,14 +48,22 @@ class Fitted:
         return self.table.where("kind = 'weight'").select("model", "module", "cluster_id", "w", "n", "mapped", "links")
 
 
+def model_key(by: Sequence[str]) -> Column:
+    """The name of the model that a row belongs to."""
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in by]) if by else F.lit("")
+
+
 def _values(batch: pa.RecordBatch, first: int, count: int) -> list:
-    """Input columns as lists of arrays (lists) or numbers."""
+    """Input columns: a matrix of equally long lists, a list of arrays of other ones, an array of numbers."""
     out = []
     for k in range(first, first + count):
         c = batch.column(k)
         if pa.types.is_list(c.type):
             flat, at = c.flatten().to_numpy(zero_copy_only=False), c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            out.append(np.split(flat, np.cumsum(at)[:-1]) if len(at) else [])
+            if len(at) and at[0] and (at == at[0]).all() and flat.dtype != object:
+                out.append(flat.reshape(len(at), -1))
+            else:
+                out.append(np.split(flat, np.cumsum(at)[:-1]) if len(at) else [])
         else:
             out.append(c.to_numpy(zero_copy_only=False))
     return out
@@ -70,19 +79,55 @@ def _sound(column: pa.Array) -> bool:
     return not pa.types.is_floating(column.type) or not np.isnan(column.to_numpy()).any()
 
 
+class Inspection:
+    """The rules that a learner's input must keep, looked at for a batch at a time: no holes, one width for each model, the kernels' own rules."""
+
+    def __init__(self, learner: Learner):
+        self.kernels = learner.input_kernels
+        self.start()
+
+    def start(self) -> None:
+        """A new model: its rows may have another width."""
+        self.widths: dict[int, int] = {}
+
+    def rows(self, model: str, ids: pa.Array, columns: list[pa.Array], values: list, check: bool = True) -> None:
+        if not all(map(_sound, columns)):
+            for r, row in enumerate(zip(*values, strict=True)):
+                if any(x is None or (isinstance(x, np.ndarray) and (x.dtype == object or np.isnan(x).any() or not len(x))) or (isinstance(x, float) and x != x) for x in row):
+                    raise ValueError(f"row {ids[r].as_py()} of model {model!r} has a null or NaN input")
+        if not check:
+            return
+        for k, (column, x) in enumerate(zip(columns, values, strict=True)):
+            kernel = self.kernels[k] if k < len(self.kernels) else None
+            if kernel is None or not pa.types.is_list(column.type):
+                continue
+            width = self.widths.setdefault(k, len(x[0]))
+            if not isinstance(x, np.ndarray) or x.shape[1] != width:
+                bad = next(r for r, v in enumerate(x) if len(v) != width)
+                raise ValueError(f"row {ids[bad].as_py()} of model {model!r} has {len(x[bad])} numbers, not {width}")
+            try:
+                kernel.validate(x)
+            except ValueError as e:
+                for r in range(len(x)):
+                    try:
+                        kernel.validate(x[r : r + 1])
+                    except ValueError:
+                        raise ValueError(f"row {ids[r].as_py()} of model {model!r} is refused. {e}") from None
+                raise
+
+
 def _weight_rows(model: str, learner: Learner) -> pa.RecordBatch:
     rows = [{"model": model, "kind": "weight", "module": m, "cluster_id": j, "w": w, "n": n, "mapped": p, "links": e} for m, j, w, n, p, e in learner.export()]
     return pa.RecordBatch.from_pylist(rows, _OUT)
 
 
-def fold(rows: DataFrame, learner: Learner, order: str, inputs: Sequence[str], by: Sequence[str] = (), epochs: int = 1, start: DataFrame | None = None, partitions: int | None = None) -> Fitted:
-    """Fit a learner for each key, in order. start: weights of an earlier fit to go on from.
+def fold(rows: DataFrame, learner: Learner, order: str, inputs: Sequence[str], by: Sequence[str] = (), epochs: int = 1, start: DataFrame | None = None, partitions: int | None = None, check: bool = True) -> Fitted:
+    """Fit a learner for each key, in order. start: weights of an earlier fit to go on from; check: whether rows must keep the kernels' rules.
 
     With several epochs the rows are streamed that often and the last labels count.
     """
     spark = ship(rows.sparkSession)
-    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in by]) if by else F.lit("")
-    data = rows.select(key.alias("model"), F.lit(1).alias("part"), F.lit(0).alias("epoch"), F.col(order).cast("long").alias("sample_id"), *[F.col(c).alias(f"i{k}") for k, c in enumerate(inputs)])
+    data = rows.select(model_key(by).alias("model"), F.lit(1).alias("part"), F.lit(0).alias("epoch"), F.col(order).cast("long").alias("sample_id"), *[F.col(c).alias(f"i{k}") for k, c in enumerate(inputs)])
     if epochs > 1:
         data = data.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     fields = ["module", "cluster_id", "w", "n", "mapped", "links"]
@@ -94,6 +139,7 @@ def fold(rows: DataFrame, learner: Learner, order: str, inputs: Sequence[str], b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, own = None, None, []
+        inspect = Inspection(learner)
 
         def close() -> Iterator[pa.RecordBatch]:
             if own:
@@ -102,30 +148,29 @@ def fold(rows: DataFrame, learner: Learner, order: str, inputs: Sequence[str], b
             yield _weight_rows(now, state)
 
         for batch in batches:
-            models, parts, steps, ids = (batch.column(k).to_pylist() for k in range(4))
-            values = _values(batch, 4, count)
-            sound = all(_sound(batch.column(4 + k)) for k in range(count))
-            out: dict[int, tuple[int, ...]] = {}
-            for r, (model, part, epoch, sample) in enumerate(zip(models, parts, steps, ids, strict=True)):
+            names, labels = [], []
+            for (model, part, epoch), a, b in _runs(*(batch.column(k) for k in range(3))):
                 if model != now:
                     if now is not None:
-                        yield from _labels(now, out)
-                        out = {}
                         yield from close()
                     now, state, own = model, learner.fresh(), []
+                    inspect.start()
+                piece = batch.slice(a, b - a)
                 if part == 0:
-                    own.append(tuple(batch.column(width + k)[r].as_py() for k in range(6)))
+                    own += zip(*[piece.column(width + k).to_pylist() for k in range(6)], strict=True)
                     continue
                 if own:
                     state.load(own)
                     own = []
-                row = [v[r] for v in values]
-                if not sound and any(x is None or (isinstance(x, np.ndarray) and (x.dtype == object or np.isnan(x).any() or not len(x))) for x in row):
-                    raise ValueError(f"row {sample} of model {model!r} has a null or NaN input")
-                label = state.step(*row)
+                columns = [piece.column(4 + k) for k in range(count)]
+                values = _values(piece, 4, count)
+                inspect.rows(model, piece.column(3), columns, values, check)
+                got = state.step_rows(values)
                 if epoch == epochs - 1:
-                    out[len(out)] = (sample, *label)
-            yield from _labels(now, out)
+                    names.append(pa.array([model] * len(got)))
+                    labels.append((piece.column(3), got))
+            if labels:
+                yield _labels(pa.concat_arrays(names), pa.concat_arrays([i for i, _ in labels]), np.concatenate([g for _, g in labels]))
         if now is not None:
             yield from close()
 
@@ -135,15 +180,14 @@ def fold(rows: DataFrame, learner: Learner, order: str, inputs: Sequence[str], b
     return Fitted(learner, written(table, "fit"))
 
 
-def _labels(model: str, out: dict) -> Iterator[pa.RecordBatch]:
-    if out:
-        n, rows = len(out), list(out.values())
-        empty = lambda t: pa.nulls(n, t)
-        yield pa.RecordBatch.from_arrays([pa.array([model] * n), pa.array(["row"] * n), pa.array([r[0] for r in rows], pa.int64()), pa.array([list(r[1:]) for r in rows], pa.list_(pa.int64())), *[empty(_OUT.field(k).type) for k in range(4, 10)]], schema=_OUT)
+def _labels(models: pa.Array, ids: pa.Array, labels: np.ndarray) -> pa.RecordBatch:
+    n = len(labels)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * labels.shape[1]), pa.array(labels.ravel()))
+    return pa.RecordBatch.from_arrays([models, pa.array(["row"] * n), ids, lists, *[pa.nulls(n, _OUT.field(k).type) for k in range(4, 10)]], schema=_OUT)
 
 
-def apply(rows: DataFrame, fitted: Fitted, inputs: Sequence[str], sample: str = "sample_id", by: Sequence[str] = ()) -> DataFrame:
-    """(model, sample_id, labels) of rows under fitted models.
+def apply(rows: DataFrame, fitted: Fitted, inputs: Sequence[str], sample: str = "sample_id", by: Sequence[str] = (), keep: Sequence[str] = (), check: bool = True) -> DataFrame:
+    """(model, sample_id, labels) of rows under fitted models, with the columns to keep; check as for fold().
 
     Weights of at most BROADCAST_DOUBLES numbers are broadcast and rows stay where they
     are. Beyond that, models meet their rows by key: weights come first in each model's
@@ -151,64 +195,101 @@ def apply(rows: DataFrame, fitted: Fitted, inputs: Sequence[str], sample: str =
     """
     spark = ship(rows.sparkSession)
     learner, weights = fitted.learner, fitted.weights
-    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in by]) if by else F.lit("")
-    data = rows.select(key.alias("model"), F.col(sample).cast("long").alias("sample_id"), *[F.col(c).alias(f"i{k}") for k, c in enumerate(inputs)])
-    count = len(inputs)
-    size = weights.agg(F.sum(F.size("w"))).first()[0] or 0
-    schema = "model string, sample_id long, labels array<long>"
+    data = rows.select(model_key(by).alias("model"), F.col(sample).cast("long").alias("sample_id"), *[F.col(c).alias(f"k{k}") for k, c in enumerate(keep)], *[F.col(c).alias(f"i{k}") for k, c in enumerate(inputs)])
+    count, kept = len(inputs), len(keep)
+    size = weights.agg(F.sum(F.size("w") + F.coalesce(F.size("links"), F.lit(0)))).first()[0] or 0
+    schema = T.StructType([T.StructField("model", T.StringType()), T.StructField("sample_id", T.LongType()), T.StructField("labels", T.ArrayType(T.LongType())), *[T.StructField(c, data.schema[f"k{k}"].dataType) for k, c in enumerate(keep)]])
+
+    def label(state: Learner | None, columns: list, n: int) -> np.ndarray:
+        return state.predict_rows(columns) if state is not None else np.full((n, learner.outputs), -1, np.int64)
 
-    def label(state: Learner | None, row: list) -> list[int]:
-        return list(state.predict(*row)) if state is not None else [-1] * learner.outputs
+    def named(models: pa.Array, ids: pa.Array, labels: list[np.ndarray], more: list[pa.Array]) -> pa.RecordBatch:
+        flat = np.concatenate(labels)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
+        return pa.RecordBatch.from_arrays([models, ids, lists, *more], ["model", "sample_id", "labels", *keep])
 
     if size <= BROADCAST_DOUBLES:
-        states: dict[str, list] = {}
-        for r in weights.collect():
-            states.setdefault(r["model"], []).append(tuple(r)[1:])
-        shared = spark.sparkContext.broadcast(states)
+        shared = spark.sparkContext.broadcast(_packed(weights))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ready: dict[str, Learner] = {}
+            ready: dict[str, Learner | None] = {}
+            inspect = Inspection(learner)
             for batch in batches:
-                models, values, out = batch.column(0).to_pylist(), _values(batch, 2, count), []
-                for r, model in enumerate(models):
-                    if model not in ready and model in shared.value:
-                        ready[model] = learner.fresh()
-                        ready[model].load(shared.value[model])
-                    out.append(label(ready.get(model), [v[r] for v in values]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["model", "sample_id", "labels"])
+                out = []
+                for model, a, b in _runs(batch.column(0)):
+                    if model not in ready:
+                        ready[model] = learner.fresh() if model in shared.value else None
+                        if ready[model] is not None:
+                            ready[model].load(_unpacked(shared.value[model]))
+                    piece = batch.slice(a, b - a)
+                    values = _values(piece, 2 + kept, count)
+                    inspect.start()
+                    inspect.rows(model, piece.column(1), [piece.column(2 + kept + k) for k in range(count)], values, check)
+                    out.append(label(ready[model], values, b - a))
+                if out:
+                    yield named(batch.column(0), batch.column(1), out, [batch.column(2 + k) for k in range(kept)])
 
         return data.mapInArrow(run, schema)
 
     fields = ["module", "cluster_id", "w", "n", "mapped", "links"]
-    blank = [F.lit(None).cast(data.schema[f"i{k}"].dataType).alias(f"i{k}") for k in range(count)]
+    inner = [f"k{k}" for k in range(kept)] + [f"i{k}" for k in range(count)]
+    blank = [F.lit(None).cast(data.schema[c].dataType).alias(c) for c in inner]
     # A model's rows are dealt to several partitions, each of which gets its weights: hot models are split.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     salted = data.withColumn("salt", F.pmod(F.xxhash64("sample_id"), F.lit(parts)).cast("int")).withColumn("part", F.lit(1))
-    both = salted.select("model", "salt", "part", "sample_id", *[f"i{k}" for k in range(count)], *[F.lit(None).cast(weights.schema[c].dataType).alias(c) for c in fields]).unionByName(
+    both = salted.select("model", "salt", "part", "sample_id", *inner, *[F.lit(None).cast(weights.schema[c].dataType).alias(c) for c in fields]).unionByName(
         weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("model", "salt", F.lit(0).alias("part"), F.col("cluster_id").cast("long").alias("sample_id"), *blank, *fields)
     )
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, own = None, None, []
+        inspect = Inspection(learner)
         for batch in batches:
-            models, salts, part, ids = (batch.column(k).to_pylist() for k in range(4))
-            values, out = _values(batch, 4, count), []
-            for r in range(len(models)):
-                if (models[r], salts[r]) != now:
-                    now, state, own = (models[r], salts[r]), None, []
-                if part[r] == 0:
-                    own.append(tuple(batch.column(4 + count + k)[r].as_py() for k in range(6)))
+            for place, a, b in _runs(batch.column(0), batch.column(1), batch.column(2)):
+                model, salt, part = place
+                if (model, salt) != now:
+                    now, state, own = (model, salt), None, []
+                piece = batch.slice(a, b - a)
+                if part == 0:
+                    own += zip(*[piece.column(4 + kept + count + k).to_pylist() for k in range(6)], strict=True)
                     continue
                 if own:
                     state = learner.fresh()
                     state.load(own)
                     own = []
-                out.append((models[r], ids[r], label(state, [v[r] for v in values])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([m for m, *_ in out]), pa.array([i for _, i, _ in out], pa.int64()), pa.array([x for *_, x in out], pa.list_(pa.int64()))], ["model", "sample_id", "labels"])
+                values = _values(piece, 4 + kept, count)
+                inspect.start()
+                inspect.rows(model, piece.column(3), [piece.column(4 + kept + k) for k in range(count)], values, check)
+                yield named(piece.column(0), piece.column(3), [label(state, values, b - a)], [piece.column(4 + k) for k in range(kept)])
 
     return both.repartition(parts, "model", "salt").sortWithinPartitions("model", "salt", "part", "sample_id").mapInArrow(stream, schema)
 
 
+def _runs(*columns: pa.Array) -> Iterator[tuple]:
+    """(value, start, end) of the runs of equal values in a batch, or of equal tuples of values."""
+    lists = [c.to_pylist() for c in columns]
+    values = lists[0] if len(lists) == 1 else list(zip(*lists, strict=True))
+    at = 0
+    for r in range(1, len(values) + 1):
+        if r == len(values) or values[r] != values[at]:
+            yield values[at], at, r
+            at = r
+
+
+def _packed(weights: DataFrame) -> dict[str, pa.Table]:
+    """Weights by model as Arrow tables, which travel as buffers."""
+    table = weights.toArrow().combine_chunks()
+    models = table.column("model").to_pylist()
+    places: dict[str, list[int]] = {}
+    for r, model in enumerate(models):
+        places.setdefault(model, []).append(r)
+    return {model: table.take(pa.array(rows)).drop_columns(["model"]) for model, rows in places.items()}
+
+
+def _unpacked(table: pa.Table) -> list[tuple]:
+    columns = [table.column(c).to_pylist() for c in ("module", "cluster_id", "w", "n", "mapped", "links")]
+    return list(zip(*columns, strict=True))
+
+
 def first_label(labels: str = "labels") -> Column:
     return F.get(F.col(labels), F.lit(0))

@@ -6,43 +6,27 @@ has no SQL; tests compare such with a plain fold. Numbers are rounded on both si
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from echoform.functions import kernels as native
 from echoform.functions import prep
 from echoform.functions.vectors import vector
 from echoform.operators import compound, metrics
-from echoform.operators.kernels import ART1, ART2A, Bayesian, BinaryFuzzy, Ellipsoid, Fuzzy, Gaussian, Hypersphere, QuadraticNeuron
-from echoform.operators.learners import Clusterer, Deep, DualVigilance, Fusion, MapClassifier, OnlineValidity, Smart, Topology, TwoSided
+from echoform.operators.kernels import Fuzzy
 from echoform.operators.merging import merge_objects
-from echoform.operators.sequences import SequenceClusterer, align, compress_dashes, joined_digits
-from echoform.operators.train import Fitted, apply, first_label, fold
-from echoform.plans import oracles
-from echoform.plans.native import native_fit, native_predict
-from echoform.session import ship
+from echoform.operators.sequences import align, compress_dashes, joined_digits
+from echoform.plans import fits, oracles
+from echoform.plans.native import native_predict
+from echoform.plans.registry import QUERIES, SQL, query
 from echoform.sources.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-#: Columns of the embeddings table's vectors.
-DIMENSIONS = 64
+__all__ = ["QUERIES", "SQL", "fits"]
+
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(ship(spark), sf_dir)
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def flat(x, names, digits=6):
     return [F.round(F.get(x, F.lit(i)), digits).alias(n) for i, n in enumerate(names)]
 
@@ -186,119 +170,6 @@ _p = [f"(2 * w7 * w7 * {_t} * ({_zz[i]} - w{5 + i}))" for i in (0, 1)]
 _kernel_query("quadratic", native.quadratic(2, 0.5, 0.1, 0.2, 0.3), [(1, 0, 0, 1, 0.3, 0.3, 0.5), (0.9, 0.1, -0.1, 1.1, 0.6, 0.5, 1.5), (1, 0.2, 0.2, 1, 0, 0, 1)], 7, _t, _t, [*[f"w{2 * i + j + 1} - 0.2 * {_p[i]} * x{j + 1}" for i in (0, 1) for j in (0, 1)], f"w5 + 0.1 * {_p[0]}", f"w6 + 0.1 * {_p[1]}", f"w7 - 0.3 * 2 * w7 * {_t} * {_f}"], ["1.0::DOUBLE", "0.0::DOUBLE", "0.0::DOUBLE", "1.0::DOUBLE", "x1", "x2", "0.5::DOUBLE"])
 
 
-# Fits
-
-_SUPPLIER = """
-WITH RECURSIVE b AS (SELECT min(s_nationkey)::DOUBLE AS a0, max(s_nationkey)::DOUBLE AS z0, min(s_acctbal) AS a1, max(s_acctbal) AS z1 FROM supplier),
-n AS (SELECT s_suppkey AS i, row_number() OVER (ORDER BY s_suppkey) AS k, CASE WHEN z0 = a0 THEN 0 ELSE (s_nationkey - a0) / (z0 - a0) END AS u, CASE WHEN z1 = a1 THEN 0 ELSE (s_acctbal - a1) / (z1 - a1) END AS v FROM supplier, b),
-"""
-
-
-def _recursive(x: str, choice: str, match: str, rho: float, update: str, new: str) -> str:
-    """SQL of an ordered fold over supplier: choice, match and update are of lists x and w."""
-    return f"""{_SUPPLIER} p AS (SELECT i, k, {x} AS x FROM n),
-f(k, i, ws, c) AS (
-  SELECT 0::BIGINT, 0::BIGINT, []::DOUBLE[][], -1::BIGINT
-  UNION ALL
-  SELECT k, i, CASE WHEN best IS NULL THEN list_append(ws, {new}) ELSE list_transform(ws, lambda w, j: CASE WHEN j = -best THEN {update} ELSE w END) END, coalesce(-best, len(ws) + 1) - 1
-  FROM (SELECT p.k, p.i, x, ws, list_max(list_filter(list_transform(ws, lambda w, j: CASE WHEN {match} >= {rho} THEN {{'t': ({choice})::DOUBLE, 'k': -j}} END), lambda s: s IS NOT NULL)).k AS best
-        FROM f JOIN p ON p.k = f.k + 1))
-SELECT i AS sample_id, c AS cluster_id FROM f WHERE k > 0"""
-
-
-def _suppliers(spark, sf_dir, complement):
-    rows = prep.prepare(table(spark, sf_dir, "supplier"), ["s_nationkey", "s_acctbal"], complement)
-    return rows.select(F.col("s_suppkey").alias("sample_id"), "s_nationkey", "x")
-
-
-def _labels(fitted: Fitted) -> DataFrame:
-    return fitted.labels.select("sample_id", first_label().alias("cluster_id"))
-
-
-_FUZZY_SQL = _recursive("[u, v, 1 - u, 1 - v]", "list_sum(list_transform(list_zip(x, w), lambda z: least(z[1], z[2]))) / (0.01 + list_sum(w))", "list_sum(list_transform(list_zip(x, w), lambda z: least(z[1], z[2]))) / 2", 0.8, "list_transform(list_zip(x, w), lambda z: least(z[1], z[2]))", "x")
-
-
-@query(_FUZZY_SQL)
-def fuzzy_fit(spark, sf_dir):
-    return _labels(fold(_suppliers(spark, sf_dir, True), Clusterer(Fuzzy(0.8, 0.01, 1.0)), "sample_id", ["x"]))
-
-
-@query("WITH RECURSIVE b AS (SELECT max(n_regionkey)::DOUBLE AS z FROM nation)," + _FUZZY_SQL.split("FROM supplier, b),", 1)[1].replace(" p AS (SELECT i, k, [u, v, 1 - u, 1 - v] AS x FROM n)", " p AS (SELECT n_nationkey::BIGINT AS i, n_nationkey + 1 AS k, [n_regionkey / z, n_nationkey / 24.0, 1 - n_regionkey / z, 1 - n_nationkey / 24.0] AS x FROM nation, b)"))
-def native_fuzzy_fit(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").crossJoin(F.broadcast(table(spark, sf_dir, "nation").agg(F.max("n_regionkey").cast("double").alias("z"))))
-    x = prep.complement_code(prep.features(F.col("n_regionkey") / F.col("z"), F.col("n_nationkey") / 24.0))
-    return native_fit(rows.select(F.col("n_nationkey").cast("long").alias("sample_id"), x.alias("x")), native.fuzzy(2, 0.01, 1.0), 0.8)
-
-
-_SQ = "list_sum(list_transform(list_zip(x, w[1:2]), lambda z: (z[1] - z[2]) ** 2))"
-
-
-@query(_recursive("[u, v]", f"(1.5 - greatest(w[3], sqrt({_SQ}))) / (1.5 - w[3] + 1e-10)", f"1 - greatest(w[3], sqrt({_SQ})) / 1.5", 0.85, f"[w[1] + 0.5 * (x[1] - w[1]) * (1 - least(w[3], sqrt({_SQ})) / (sqrt({_SQ}) + 1e-10)), w[2] + 0.5 * (x[2] - w[2]) * (1 - least(w[3], sqrt({_SQ})) / (sqrt({_SQ}) + 1e-10)), w[3] + 0.5 * (greatest(w[3], sqrt({_SQ})) - w[3])]", "[x[1], x[2], 0.0]"))
-def hypersphere_fit(spark, sf_dir):
-    return _labels(fold(_suppliers(spark, sf_dir, False), Clusterer(Hypersphere(0.85, 1e-10, 1.0, 1.5)), "sample_id", ["x"]))
-
-
-@query(_recursive("[u, v]", "x[1] * w[1] + x[2] * w[2]", "(CASE WHEN x[1] * w[1] + x[2] * w[2] >= 0.1 * (x[1] + x[2]) THEN x[1] * w[1] + x[2] * w[2] ELSE -1 END)", 0.3, "[0.5 * x[1] + 0.5 * w[1], 0.5 * x[2] + 0.5 * w[2]]", "x"))
-def art2a_fit(spark, sf_dir):
-    return _labels(fold(_suppliers(spark, sf_dir, False), Clusterer(ART2A(0.3, 0.1, 0.5)), "sample_id", ["x"]))
-
-
-def _of_suppliers(x: str) -> str:
-    return f"{oracles.SUPPLIER}, p AS (SELECT i, k, {x} AS x FROM n)"
-
-
-def _fit_query(name, kernel, terms):
-    def f(spark, sf_dir):
-        return _labels(fold(_suppliers(spark, sf_dir, False), Clusterer(kernel), "sample_id", ["x"]))
-
-    f.__name__ = f"{name}_fit"
-    query(oracles.fit(_of_suppliers("[u, v]"), terms))(f)
-
-
-for _name, _kernel, _terms in (
-    ("ellipsoid", Ellipsoid(0.6, 0.01, 1.0, 0.8, 1.5), oracles.ellipsoid(0.6, 0.01, 0.8, 1.5)), ("gaussian", Gaussian(0.3, 1e-10, (0.2,)), oracles.gaussian(0.3, 1e-10, 0.2, 2)),
-    ("bayesian", Bayesian(5e-4, ((0.01,),)), oracles.bayesian(5e-4, 0.01)), ("quadratic", QuadraticNeuron(0.9, 0.9), oracles.quadratic(0.9, 0.9, 0.1)),
-):
-    _fit_query(_name, _kernel, _terms)
-
-
-def _bits(spark, sf_dir, complement):
-    rows = prep.prepare(table(spark, sf_dir, "supplier"), ["s_nationkey", "s_acctbal"])
-    bits = prep.thermometer(F.col("x"), 4).cast("array<double>")
-    return rows.select(F.col("s_suppkey").alias("sample_id"), (prep.complement_code(bits) if complement else bits).alias("x"))
-
-
-@query(oracles.fit(_of_suppliers(oracles.BITS), oracles.art1(0.5, 2.0)))
-def art1_fit(spark, sf_dir):
-    return _labels(fold(_bits(spark, sf_dir, False), Clusterer(ART1(0.5, 2.0)), "sample_id", ["x"]))
-
-
-@query(oracles.fit(_of_suppliers(oracles.BITS_CODED), oracles.fuzzy(0.7, 0.01)))
-def binary_fuzzy_fit(spark, sf_dir):
-    return _labels(fold(_bits(spark, sf_dir, True), Clusterer(BinaryFuzzy(0.7, 0.01)), "sample_id", ["x"]))
-
-
-def _lines(spark, sf_dir):
-    """lineitem by segment (return flag and status) with an order inside it and complement-coded numbers."""
-    rows = prep.prepare(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"], complement=True)
-    number = F.col("l_orderkey") * 1_000_000 + F.pmod(F.xxhash64(*LINE, "l_quantity", "l_extendedprice"), F.lit(1_000_000))
-    return rows.select(number.alias("sample_id"), "l_returnflag", "l_linestatus", "l_partkey", "x")
-
-
-@query()
-def fuzzy_fit_segments(spark, sf_dir):
-    """A model for each return flag and status over all of lineitem: how many rows each category learnt."""
-    fitted = fold(_lines(spark, sf_dir), Clusterer(Fuzzy(0.6, 0.01, 1.0)), "sample_id", ["x"], by=["l_returnflag", "l_linestatus"])
-    return fitted.weights.select("model", "cluster_id", "n")
-
-
-@query()
-def fuzzy_fit_predict_lineitem(spark, sf_dir):
-    rows = _lines(spark, sf_dir)
-    fitted = fold(rows, Clusterer(Fuzzy(0.6, 0.01, 1.0)), "sample_id", ["x"])
-    return apply(rows, fitted, ["x"]).groupBy(first_label().alias("cluster_id")).agg(F.count("*").alias("n"))
-
-
 # Predictions against literal weights
 
 _W = [(0.1, 0.2, 0.6, 0.5), (0.5, 0.5, 0.4, 0.4), (0.8, 0.1, 0.1, 0.8), (0.2, 0.7, 0.7, 0.2)]
@@ -317,114 +188,7 @@ def predict_vigilant(spark, sf_dir):
     return native_predict(_part(spark, sf_dir, True), _W, native.fuzzy(2, 0.01), 0.6, keep=("p_partkey",)).select("p_partkey", "cluster_id")
 
 
-# Supervised and compound models
-
-
-def _embedded(spark, sf_dir):
-    """All embeddings scaled to [0, 1] by the bounds of a cosine, complement-coded."""
-    x = F.transform(F.col("embedding").cast("array<double>"), lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v + 1) / 2)))
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), prep.complement_code(x).alias("x"), x.alias("plain"), F.col("label").cast("long").alias("y"))
-
-
-_PLAIN = "list_transform(embedding, lambda v: greatest(0.0, least(1.0, (v::DOUBLE + 1) / 2)))"
-
-
-def _of_embeddings(x: str) -> str:
-    """The same rows in SQL: p(i, k, x, y), x from a list of plain numbers."""
-    return f"e AS (SELECT vec_id AS i, row_number() OVER (ORDER BY vec_id) AS k, {_PLAIN} AS plain, label::BIGINT AS y FROM embeddings), p AS (SELECT i, k, {x} AS x, y FROM e)"
-
-
-_E_CODED = "list_concat(plain, list_transform(plain, lambda v: 1 - v))"
-
-
-def _artmap_query(name, kernel, method="MT+", vigilant=False, x="x", terms=None):
-    def f(spark, sf_dir):
-        rows = _embedded(spark, sf_dir)
-        fitted = fold(rows, MapClassifier(kernel, method, vigilant=vigilant), "sample_id", [x, "y"])
-        return apply(rows.withColumn("y", F.lit(0)), fitted, [x, "y"]).select("sample_id", first_label().alias("cluster_id"), F.get("labels", F.lit(1)).alias("predicted"))
-
-    f.__name__ = name
-    query(oracles.artmap(_of_embeddings(_E_CODED if x == "x" else "plain"), terms, method, vigilant=vigilant))(f)
-
-
-for _method, _suffix in (("MT+", ""), ("MT-", "_mt_minus"), ("MT0", "_mt_zero"), ("MT1", "_mt_one"), ("MT~", "_mt_tilde")):
-    _artmap_query(f"simple_artmap{_suffix}", Fuzzy(0.7, 1e-10, 1.0), _method, terms=oracles.fuzzy(0.7, 1e-10))
-_artmap_query("fuzzy_artmap", Fuzzy(0.7, 1e-10, 1.0), vigilant=True, terms=oracles.fuzzy(0.7, 1e-10))
-_artmap_query("hypersphere_artmap", Hypersphere(0.7, 1e-10, 1.0, 3.0), vigilant=True, x="plain", terms=oracles.hypersphere(0.7, 1e-10, 3.0))
-_artmap_query("gaussian_artmap", Gaussian(0.05, 1e-10, (0.2,)), vigilant=True, x="plain", terms=oracles.gaussian(0.05, 1e-10, 0.2, DIMENSIONS))
-
-
-@query(oracles.artmap(_of_embeddings("list_transform(" + _E_CODED.replace("plain", "list_transform(plain, lambda v: (v > 0.5)::INT::DOUBLE)") + ", lambda v: v)"), oracles.fuzzy(0.6, 1e-10)))
-def binary_fuzzy_artmap(spark, sf_dir):
-    rows = _embedded(spark, sf_dir).withColumn("x", prep.complement_code(prep.thermometer(F.col("plain"), 1).cast("array<double>")))
-    fitted = fold(rows, MapClassifier(BinaryFuzzy(0.6, 1e-10)), "sample_id", ["x", "y"])
-    return apply(rows.withColumn("y", F.lit(0)), fitted, ["x", "y"]).select("sample_id", first_label().alias("cluster_id"), F.get("labels", F.lit(1)).alias("predicted"))
-
-
-@query(oracles.two_sided(f"{oracles.scaled('(SELECT *, p_size * p_size AS area FROM part)', 'p_partkey', 'p_size', 'p_retailprice')}, c AS (SELECT min(p_size * p_size)::DOUBLE AS a, max(p_size * p_size)::DOUBLE AS z FROM part), p AS (SELECT i, k, [u, v, 1 - u, 1 - v] AS x, [(p_size * p_size - a) / (z - a), 1 - (p_size * p_size - a) / (z - a)] AS t FROM n JOIN part ON i = p_partkey, c)", oracles.fuzzy(0.8, 0.01), oracles.fuzzy(0.9, 0.01)))
-def artmap_regression(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").withColumn("area", F.col("p_size") * F.col("p_size"))
-    rows = prep.prepare(parts, ["p_size", "p_retailprice"], complement=True)
-    rows = prep.prepare(rows, ["area"], complement=True, out="t").select(F.col("p_partkey").alias("sample_id"), "x", "t")
-    fitted = fold(rows, TwoSided(Fuzzy(0.8, 0.01), Fuzzy(0.9, 0.01)), "sample_id", ["x", "t"])
-    got = compound.regress(rows, fitted, ["x", "t"])
-    return got.select("sample_id", "cluster_b", F.round(F.get("value", F.lit(0)), 6).alias("value"))
-
-
-@query(oracles.dual(_of_suppliers(oracles.CODED), oracles.fuzzy(0.85, 0.01), 0.6))
-def dual_vigilance(spark, sf_dir):
-    return _labels(fold(_suppliers(spark, sf_dir, True), DualVigilance(Fuzzy(0.85, 0.01), 0.6), "sample_id", ["x"]))
-
-
-@query()
-def topo_edges(spark, sf_dir):
-    fitted = fold(_lines(spark, sf_dir), Topology(Fuzzy(0.6, 0.01, 1.0), 0.5, tau=500, phi=5), "sample_id", ["x"])
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("links") / 2 - 1, F.lit(-1)).cast("int")), lambda i: F.struct(F.get("links", 2 * i).alias("dst"), F.get("links", 2 * i + 1).alias("weight")))
-    edges = fitted.weights.where(F.size("links") > 0).select(F.col("cluster_id").cast("long").alias("src"), F.explode(pairs).alias("e"))
-    return edges.select("src", F.col("e.dst").alias("dst"), F.col("e.weight").alias("weight"))
-
-
-@query(oracles.smart(_of_suppliers(oracles.CODED), [oracles.fuzzy(r, 0.01) for r in (0.5, 0.7, 0.9)]))
-def smart_levels(spark, sf_dir):
-    fitted = fold(_suppliers(spark, sf_dir, True), Smart(Fuzzy(0.5, 0.01), (0.5, 0.7, 0.9)), "sample_id", ["x"])
-    return fitted.labels.select("sample_id", *[F.get("labels", F.lit(i)).alias(f"level{i}") for i in range(3)])
-
-
-@query(oracles.deep(_of_embeddings(_E_CODED), [oracles.fuzzy(0.6, 1e-10), oracles.fuzzy(0.75, 1e-10)]))
-def deep_map(spark, sf_dir):
-    rows = _embedded(spark, sf_dir).withColumn("x0", F.col("x")).withColumn("x1", F.col("x"))
-    fitted = fold(rows, Deep((Fuzzy(0.6, 1e-10), Fuzzy(0.75, 1e-10))), "sample_id", ["x0", "x1", "y"])
-    return apply(rows, fitted, ["x0", "x1", "y"]).select("sample_id", *[F.get("labels", F.lit(i)).alias(f"level{i}") for i in range(3)])
-
-
-def _events(spark, sf_dir):
-    rows = prep.prepare(table(spark, sf_dir, "events").withColumn("hour", F.hour("ts") + F.minute("ts") / 60), ["value", "hour"], complement=True)
-    kind = prep.complement_code(F.transform(F.array(*[F.lit(k) for k in ("click", "error", "purchase", "signup", "view")]), lambda k: (k == F.col("event_type")).cast("double")))
-    return rows.select(F.col("event_id").alias("sample_id"), F.col("user_id").alias("episode_id"), F.col("ts").alias("t"), F.col("x").alias("state"), kind.alias("action"), F.col("value"), "event_type")
-
-
-_EVENTS = """WITH RECURSIVE h AS (SELECT *, (hour(ts) + minute(ts) / 60) AS hour FROM events),
-b AS (SELECT min(value)::DOUBLE AS a0, max(value)::DOUBLE AS z0, min(hour)::DOUBLE AS a1, max(hour)::DOUBLE AS z1 FROM h),
-n AS (SELECT *, CASE WHEN z0 = a0 THEN 0 ELSE (value - a0) / (z0 - a0) END AS u, CASE WHEN z1 = a1 THEN 0 ELSE (hour - a1) / (z1 - a1) END AS v, list_transform(['click', 'error', 'purchase', 'signup', 'view'], lambda t: (t = event_type)::INT::DOUBLE) AS kind FROM h, b),
-c AS (SELECT event_id AS i, user_id, ts, event_type, value, [u, v, 1 - u, 1 - v] AS x0, list_concat(kind, list_transform(kind, lambda q: 1 - q)) AS x1 FROM n)"""
-_TWO = [oracles.fuzzy(0.6, 0.01), oracles.fuzzy(0.7, 0.01)], [0.5, 0.5]
-_FUSED = f"{_EVENTS}, p AS (SELECT *, row_number() OVER (ORDER BY i) AS k FROM c), {oracles.fused(*_TWO)}, q AS (SELECT i, ws, {oracles.chosen(*_TWO, (1,))} AS best FROM p, z)"
-
-
-@query(f"{_FUSED} SELECT i AS sample_id, best - 1 AS cluster_id FROM q")
-def fusion_predict_skip(spark, sf_dir):
-    rows = _events(spark, sf_dir)
-    fitted = fold(rows, Fusion((Fuzzy(0.6, 0.01), Fuzzy(0.7, 0.01)), (0.5, 0.5)), "sample_id", ["state", "action"])
-    return compound.fusion_predict(rows, fitted, ["state", None]).select("sample_id", first_label().alias("cluster_id"))
-
-
-@query(f"{_FUSED} SELECT i AS sample_id, (best - 1)::INT AS cluster_id, round((ws[best][2][1] + 1 - ws[best][2][6]) / 2, 6) AS click FROM q")
-def fusion_regression(spark, sf_dir):
-    rows = _events(spark, sf_dir)
-    fitted = fold(rows, Fusion((Fuzzy(0.6, 0.01), Fuzzy(0.7, 0.01)), (0.5, 0.5)), "sample_id", ["state", "action"])
-    got = compound.fusion_regress(rows, fitted, ["state", "action"], [1])
-    return got.select("sample_id", "cluster_id", F.round(F.get(F.get("values", F.lit(0)), F.lit(0)), 6).alias("click"))
-
+# Fused channels and reinforcement learning
 
 _CH = "(0.5 * (least(p_size / 50.0, 0.4) + least(1 - p_size / 50.0, 0.5)) / (0.01 + 0.9) + 0.5 * (least(p_retailprice / 4000, 0.3) + least(1 - p_retailprice / 4000, 0.6)) / (0.01 + 0.9))"
 
@@ -464,7 +228,7 @@ def probabilistic_action(spark, sf_dir):
 
 @query()
 def td_falcon(spark, sf_dir):
-    rows = _events(spark, sf_dir).withColumn("reward", F.least(F.col("value") / 500, F.lit(1.0)))
+    rows = fits.events(spark, sf_dir).withColumn("reward", F.least(F.col("value") / 500, F.lit(1.0)))
     agent = compound.Falcon((Fuzzy(0.5, 0.01), Fuzzy(0.7, 0.01), Fuzzy(0.9, 0.01)), td_alpha=0.5, td_lambda=0.9)
     agent.td(rows)
     states = rows.groupBy("state").agg(F.min("sample_id").alias("sample_id"))  # each distinct state, by its first event
@@ -483,40 +247,12 @@ def bartmap(spark, sf_dir):
     return masks.select("row_cluster", "column_cluster", F.size("rows").alias("n_rows"), F.size("columns").alias("n_columns"))
 
 
-@query()
-def validity_guided(spark, sf_dir):
-    return compound.validity_guided(_suppliers(spark, sf_dir, True), Fuzzy(0.5, 0.01), "ch")
-
-
-@query()
-def online_validity(spark, sf_dir):
-    return _labels(fold(_suppliers(spark, sf_dir, True), OnlineValidity(Fuzzy(0.5, 0.01)), "sample_id", ["x"]))
-
-
-@query()
-def offline_validity(spark, sf_dir):
-    return compound.validity_offline(_suppliers(spark, sf_dir, True), Fuzzy(0.5, 0.01))
-
-
 @query("SELECT s_suppkey, round(acos(greatest(-1, least(1, sin(radians(s_nationkey)) * sin(radians(10.0)) + cos(radians(s_nationkey)) * cos(radians(10.0)) * cos(radians(s_acctbal / 100 - 20.0))))) / pi(), 6) AS angle FROM supplier")
 def great_circle(spark, sf_dir):
     a, b = prep.features("s_nationkey", F.col("s_acctbal") / 100), vector([10, 20])
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(metrics.great_circle(a, b), 6).alias("angle"))
 
 
-@query()
-def parameter_sweep(spark, sf_dir):
-    rows = _embedded(spark, sf_dir).select("sample_id", "x", "y")
-    got = compound.sweep(rows, Fuzzy(0.5, 0.01), {"rho": [0.5, 0.6, 0.7, 0.8], "beta": [0.5, 1.0]})
-    return got.withColumn("ari", F.round("ari", 6))
-
-
-@query()
-def sequence_fit(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sample_id"), F.col("p_name").alias("x"))
-    return _labels(fold(rows, SequenceClusterer(0.0), "sample_id", ["x"]))
-
-
 # Metrics, merging, strings
 
 _PTS = "SELECT s_suppkey AS i, s_nationkey % 5 AS c, s_acctbal / 1000 AS u, s_nationkey::DOUBLE AS v FROM supplier"
@@ -593,9 +329,9 @@ def boxes(spark, sf_dir):
     return compound.shrink(rows, 0.1).select("p_partkey", "low0", "width0", F.round(F.get("w", F.lit(0)), 6).alias("shrunk0"))
 
 
-@query(f"{_SUPPLIER.replace('WITH RECURSIVE', 'WITH')} m AS (SELECT 1) SELECT n.i AS sample_id, round((u + 1 - (1 - u)) / 2, 6) AS c0, round(v, 6) AS c1 FROM n")
+@query(f"WITH {oracles.CUSTOMER} SELECT i AS sample_id, round((u + 1 - (1 - u)) / 2, 6) AS c0, round(v, 6) AS c1 FROM n")
 def fuzzy_centres(spark, sf_dir):
-    rows = _suppliers(spark, sf_dir, True)
+    rows = fits.customers(spark, sf_dir, True)
     return rows.select("sample_id", *flat(prep.de_complement_code(F.col("x")), ["c0", "c1"]))
 
 
@@ -609,18 +345,3 @@ def keyed_row_order(spark, sf_dir):
 SQL["keyed_row_order"] = "SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM events"
 
 
-@query(_FUZZY_SQL)
-def stream_partial_fit(spark, sf_dir):
-    """suppliers learnt from a file stream, as micro-batches; the labels of all batches."""
-    import uuid
-
-    from echoform.sources.tables import shared_folder
-    from echoform.streaming.partial import partial_fit
-
-    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    rows = _suppliers(spark, sf_dir, True).select("sample_id", "x")
-    # Files that arrive one after the other, in order: one model is one ordered stream.
-    rows.repartition(1).sortWithinPartitions("sample_id").write.option("maxRecordsPerFile", max(1, -(-rows.count() // 3))).parquet(f"{root}/in")
-    stream = spark.readStream.schema("sample_id long, x array<double>").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    partial_fit(stream, f"{root}/model", f"{root}/checkpoint", Clusterer(Fuzzy(0.8, 0.01, 1.0)), "sample_id", ["x"], availableNow=True).awaitTermination()
-    return spark.read.parquet(f"{root}/model/*/labels").select("sample_id", first_label().alias("cluster_id"))

@@ -4,24 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echoform.functions.kernels import NativeKernel
 from echoform.functions.vectors import bind, vector
+from echoform.operators.train import model_key
 
 #: Rows that the native fold takes at most: each step copies its state. Larger fits go to operators.train.
 MOST_ROWS = 5_000
 
 
-def native_fit(rows: DataFrame, kernel: NativeKernel, rho: float, order: str = "sample_id", x: str = "x", inverted: bool = False) -> DataFrame:
-    """(sample_id, cluster_id) of an elementary model, without Python: bounded to MOST_ROWS rows.
+def native_fit(rows: DataFrame, kernel: NativeKernel, rho: float, order: str = "sample_id", x: str = "x", inverted: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """(model, sample_id, cluster_id) of elementary models, without Python: each bounded to MOST_ROWS rows.
 
     A category resonates if its match is rho or more (at most rho, if inverted). Of those,
     the most active one takes the row, the oldest on ties: the search without a predicate
     comes to that, as categories that fail change nothing.
     """
-    held = rows.limit(MOST_ROWS + 1).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), F.col(x).alias("x")))).alias("rows"))
+    place = F.row_number().over(Window.partitionBy("model").orderBy("i"))
+    first = rows.select(model_key(by).alias("model"), F.col(order).alias("i"), F.col(x).alias("x")).withColumn("_place", place).where(F.col("_place") <= MOST_ROWS + 1)
+    held = first.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("rows"))
     zero = F.struct(F.array().cast("array<array<double>>").alias("w"), F.array().cast("array<int>").alias("labels"))
 
     def step(state: Column, row: Column) -> Column:
@@ -37,9 +40,9 @@ def native_fit(rows: DataFrame, kernel: NativeKernel, rho: float, order: str = "
             ),
         )
 
-    done = held.select(F.when(F.size("rows") > MOST_ROWS, F.raise_error(F.lit(f"the native fold takes {MOST_ROWS} rows at most"))).otherwise(F.col("rows")).alias("rows"))
-    done = done.select(F.transform("rows", lambda r: r["i"]).alias("ids"), F.aggregate("rows", zero, step, lambda s: s["labels"]).alias("labels"))
-    return done.select(F.explode(F.arrays_zip("ids", "labels")).alias("z")).select(F.col("z.ids").alias("sample_id"), F.col("z.labels").cast("long").alias("cluster_id"))
+    done = held.select("model", F.when(F.size("rows") > MOST_ROWS, F.raise_error(F.lit(f"the native fold takes {MOST_ROWS} rows at most"))).otherwise(F.col("rows")).alias("rows"))
+    done = done.select("model", F.transform("rows", lambda r: r["i"]).alias("ids"), F.aggregate("rows", zero, step, lambda s: s["labels"]).alias("labels"))
+    return done.select("model", F.explode(F.arrays_zip("ids", "labels")).alias("z")).select("model", F.col("z.ids").alias("sample_id"), F.col("z.labels").cast("long").alias("cluster_id"))
 
 
 def native_predict(rows: DataFrame, weights: Sequence[Sequence[float]], kernel: NativeKernel, rho: float | None = None, x: str = "x", keep: Sequence[str] = ("sample_id",)) -> DataFrame:

@@ -1,8 +1,9 @@
-"""SQL of order-dependent fits: recursive queries that learn one row at a time.
+"""SQL of order-dependent fits: recursive queries that learn one row of every model at a time.
 
-The state is a list of weights (and one of the classes they belong to); each step
-picks a category from lists of structs and gives the next state. Rows come from a CTE
-p(i, k, x, ...) with k = 1, 2, ... in order. Indices of categories are from 1 inside.
+The state of a model g is a list of weights (and one of the classes they belong to);
+each step picks a category from lists of structs and gives the next state. Rows come
+from a CTE p(g, i, k, x, ...) with k = 1, 2, ... in order inside a model. Indices of
+categories are from 1 inside.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ class Terms:
     new: str
 
 
-def scaled(table: str, key: str, a: str, b: str) -> str:
-    """n(i, k, u, v): two columns of a table brought to [0, 1], in order of a key."""
+def scaled(table: str, model: str, key: str, a: str, b: str) -> str:
+    """n(g, i, k, u, v): two columns of a table brought to [0, 1], in order of a key inside each model."""
     return f"""b AS (SELECT min({a})::DOUBLE AS a0, max({a})::DOUBLE AS z0, min({b})::DOUBLE AS a1, max({b})::DOUBLE AS z1 FROM {table}),
-n AS (SELECT {key} AS i, row_number() OVER (ORDER BY {key}) AS k, CASE WHEN z0 = a0 THEN 0 ELSE ({a} - a0) / (z0 - a0) END AS u, CASE WHEN z1 = a1 THEN 0 ELSE ({b} - a1) / (z1 - a1) END AS v FROM {table}, b)"""
+n AS (SELECT {model}::VARCHAR AS g, {key} AS i, row_number() OVER (PARTITION BY {model} ORDER BY {key}) AS k, CASE WHEN z0 = a0 THEN 0 ELSE ({a} - a0) / (z0 - a0) END AS u, CASE WHEN z1 = a1 THEN 0 ELSE ({b} - a1) / (z1 - a1) END AS v FROM {table}, b)"""
 
 
-SUPPLIER = scaled("supplier", "s_suppkey", "s_nationkey", "s_acctbal")
+CUSTOMER = scaled("customer", "c_nationkey", "c_custkey", "c_custkey % 101", "c_acctbal")
 CODED = "[u, v, 1 - u, 1 - v]"
 BITS = "[" + ", ".join(f"(floor({c} * 4) > {i})::DOUBLE" for c in "uv" for i in range(4)) + "]"
 BITS_CODED = f"list_concat({BITS}, list_transform({BITS}, lambda v: 1 - v))"
@@ -113,114 +114,141 @@ def _first(terms: Terms, ws: str, match: str = ">=") -> str:
 
 
 def _mapped(terms: Terms, ws: str, cs: str, y: str, method: str = "MT+", epsilon: float = 1e-10) -> str:
-    """The category that takes a row of class y, under a tracking method: refused categories that passed raise the bar for later ones."""
+    """The category that takes a row of class y, under a tracking method."""
+    return _searched(terms, ws, f"{cs}[j] = {y}", method, epsilon)
+
+
+def _searched(terms: Terms, ws: str, ok: str, method: str = "MT+", epsilon: float = 1e-10) -> str:
+    """The category that takes a row, of those that a test of w and j allows: refused ones that passed raise the bar for later ones."""
     strict = method in ("MT0", "MT~")
     passed = ">" if strict else ">="
-    listed = f"list_sort(list_filter(list_transform({ws}, lambda w, j: {{'a': -(({terms.choice})::DOUBLE), 'j': j, 'm': ({terms.match})::DOUBLE, 'c': {cs}[j]}}), lambda s: s.m {passed} {terms.rho!r}))"
+    listed = f"list_sort(list_filter(list_transform({ws}, lambda w, j: {{'a': -(({terms.choice})::DOUBLE), 'j': j, 'm': ({terms.match})::DOUBLE, 'ok': coalesce(({ok})::BOOLEAN, false)}}), lambda s: s.m {passed} {terms.rho!r}))"
     if method == "MT~":
-        return f"list_filter({listed}, lambda s: s.c = {y})[1].j"
-    before = f"list_max(list_transform(list_filter(found[1:r - 1], lambda q: q.c <> {y}), lambda q: q.m))"
+        return f"list_filter({listed}, lambda s: s.ok)[1].j"
+    before = "list_max(list_transform(list_filter(found[1:r - 1], lambda q: NOT q.ok), lambda q: q.m))"
     if method == "MT1":
         rule = f"{before} IS NULL"
     else:
         rule = f"coalesce(s.m {passed} {before} + {dict([('MT+', epsilon), ('MT-', -epsilon), ('MT0', 0.0)])[method]!r}, true)"
-    return f"list_filter(list_transform([{listed}], lambda found: list_filter(found, lambda s, r: s.c = {y} AND {rule})[1].j), lambda v: v IS NOT NULL)[1]"
+    return f"list_filter(list_transform([{listed}], lambda found: list_filter(found, lambda s, r: s.ok AND {rule})[1].j), lambda v: v IS NOT NULL)[1]"
 
 
-def fit(rows: str, terms: Terms) -> str:
-    """sample_id, cluster_id of a clustering."""
-    return f"""WITH RECURSIVE {rows},
-f(k, i, ws, c) AS (
-  SELECT 0::BIGINT, 0::BIGINT, []::DOUBLE[][], -1::BIGINT
+def _state(fields: dict[str, str], step: str, inner: str) -> str:
+    """f(g, k, ...): a state for each model, blank at k = 0, then a step for each row."""
+    names = ", ".join(fields)
+    return f"""f(g, k, {names}) AS (
+  SELECT DISTINCT g, 0::BIGINT, {", ".join(fields.values())} FROM p
   UNION ALL
-  SELECT k, i, {_next(terms, "ws", "best")}, coalesce(best, len(ws) + 1) - 1
-  FROM (SELECT p.k, p.i, x, ws, {_first(terms, "ws")} AS best FROM f JOIN p ON p.k = f.k + 1))
-SELECT i AS sample_id, c AS cluster_id FROM f WHERE k > 0"""
+  SELECT g, k, {step} FROM ({inner}))"""
+
+
+#: The next row of each model beside its state.
+JOIN = "FROM f JOIN p ON p.g = f.g AND p.k = f.k + 1"
+LAST = "z AS MATERIALIZED (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY g ORDER BY k DESC) = 1)"
+_W, _C = "[]::DOUBLE[][]", "[]::BIGINT[]"
+
+
+def fit(rows: str, terms: Terms) -> str:
+    """model, sample_id, cluster_id of a clustering."""
+    state = _state({"i": "0::BIGINT", "ws": _W, "c": "-1::BIGINT"}, f"i, {_next(terms, 'ws', 'best')}, coalesce(best, len(ws) + 1) - 1", f"SELECT p.g, p.k, p.i, x, ws, {_first(terms, 'ws')} AS best {JOIN}")
+    return f"WITH RECURSIVE {rows},\n{state}\nSELECT g AS model, i AS sample_id, c AS cluster_id FROM f WHERE k > 0"
+
+
+def sizes(rows: str, terms: Terms) -> str:
+    """model, cluster_id and n, the rows that each category learnt."""
+    return f"SELECT model, cluster_id::INT AS cluster_id, count(*) AS n FROM ({fit(rows, terms)}) GROUP BY ALL"
+
+
+def applied(rows: str, terms: Terms) -> str:
+    """model, cluster_id and n, the rows that the fitted model puts into each category."""
+    state = _state({"ws": _W}, _next(terms, "ws", "best"), f"SELECT p.g, p.k, x, ws, {_first(terms, 'ws')} AS best {JOIN}")
+    top = f"-list_max(list_transform(ws, lambda w, j: {{'t': ({terms.choice})::DOUBLE, 'k': -j}})).k - 1"
+    return f"WITH RECURSIVE {rows},\n{state}, {LAST}\nSELECT model, cluster_id, count(*) AS n FROM (SELECT p.g AS model, {top} AS cluster_id FROM p JOIN z ON p.g = z.g) GROUP BY ALL"
+
+
+def allowed(rows: str, terms: Terms, test: str, method: str = "MT+", epsilon: float = 0.0, more: str = "") -> str:
+    """model, sample_id, cluster_id where a category takes a row only if a test of x, w and j holds."""
+    state = _state({"i": "0::BIGINT", "ws": _W, "c": "-1::BIGINT"}, f"i, {_next(terms, 'ws', 'best')}, coalesce(best, len(ws) + 1) - 1", f"SELECT p.g, p.k, p.i, x, ws, {_searched(terms, 'ws', test, method, epsilon)} AS best {JOIN}")
+    return f"WITH RECURSIVE {rows},\n{state}\nSELECT g AS model, i AS sample_id, c AS cluster_id FROM f WHERE k > 0{more}"
 
 
 def dual(rows: str, terms: Terms, lower: float) -> str:
-    """sample_id, cluster_id under two vigilances."""
+    """model, sample_id, cluster_id under two vigilances."""
     found = f"list_max(list_filter(list_transform(ws, lambda w, j: CASE WHEN ({terms.match}) >= {lower!r} AND ({terms.choice}) > 0 THEN {{'t': ({terms.choice})::DOUBLE, 'k': -j, 'm': ({terms.match})::DOUBLE}} END), lambda s: s IS NOT NULL))"
-    return f"""WITH RECURSIVE {rows},
-f(k, i, ws, cs, c) AS (
-  SELECT 0::BIGINT, 0::BIGINT, []::DOUBLE[][], []::BIGINT[], -1::BIGINT
-  UNION ALL
-  SELECT k, i, {_next(terms, "ws", "best")}, CASE WHEN best IS NULL THEN list_append(cs, label) ELSE cs END, label
-  FROM (SELECT *, CASE WHEN s.m >= {terms.rho!r} THEN -s.k END AS best, CASE WHEN s IS NULL THEN coalesce(list_max(cs), -1) + 1 ELSE cs[-s.k] END AS label
-        FROM (SELECT p.k, p.i, x, ws, cs, {found} AS s FROM f JOIN p ON p.k = f.k + 1)))
-SELECT i AS sample_id, c AS cluster_id FROM f WHERE k > 0"""
+    inner = f"SELECT *, CASE WHEN s.m >= {terms.rho!r} THEN -s.k END AS best, CASE WHEN s IS NULL THEN coalesce(list_max(cs), -1) + 1 ELSE cs[-s.k] END AS label FROM (SELECT p.g, p.k, p.i, x, ws, cs, {found} AS s {JOIN})"
+    state = _state({"i": "0::BIGINT", "ws": _W, "cs": _C, "c": "-1::BIGINT"}, f"i, {_next(terms, 'ws', 'best')}, CASE WHEN best IS NULL THEN list_append(cs, label) ELSE cs END, label", inner)
+    return f"WITH RECURSIVE {rows},\n{state}\nSELECT g AS model, i AS sample_id, c AS cluster_id FROM f WHERE k > 0"
 
 
 def artmap(rows: str, terms: Terms, method: str = "MT+", epsilon: float = 1e-10, vigilant: bool = False) -> str:
-    """sample_id, cluster_id, predicted of all rows p(i, k, x, y) after a supervised fit."""
+    """model, sample_id, cluster_id, predicted of all rows p(g, i, k, x, y) after a supervised fit."""
     top = f"list_max(list_transform(ws, lambda w, j: {{'t': ({terms.choice})::DOUBLE, 'k': -j}})).k"
     best = f"coalesce({_first(terms, 'ws')}, 1)" if vigilant else f"-{top}"
-    return f"""WITH RECURSIVE {rows},
-f(k, ws, cs) AS (
-  SELECT 0::BIGINT, []::DOUBLE[][], []::BIGINT[]
-  UNION ALL
-  SELECT k, {_next(terms, "ws", "best")}, CASE WHEN best IS NULL THEN list_append(cs, y) ELSE cs END
-  FROM (SELECT p.k, x, y, ws, cs, {_mapped(terms, "ws", "cs", "y", method, epsilon)} AS best FROM f JOIN p ON p.k = f.k + 1)),
-z AS (SELECT ws, cs FROM f ORDER BY k DESC LIMIT 1)
-SELECT i AS sample_id, best - 1 AS cluster_id, cs[best] AS predicted FROM (SELECT p.i, cs, {best} AS best FROM p, z)"""
+    inner = f"SELECT p.g, p.k, x, y, ws, cs, {_mapped(terms, 'ws', 'cs', 'y', method, epsilon)} AS best {JOIN}"
+    state = _state({"ws": _W, "cs": _C}, f"{_next(terms, 'ws', 'best')}, CASE WHEN best IS NULL THEN list_append(cs, y) ELSE cs END", inner)
+    return f"WITH RECURSIVE {rows},\n{state}, {LAST}\nSELECT g AS model, i AS sample_id, best - 1 AS cluster_id, cs[best] AS predicted FROM (SELECT p.g, p.i, cs, {best} AS best FROM p JOIN z ON p.g = z.g)"
 
 
 def smart(rows: str, levels: list[Terms]) -> str:
-    """sample_id, level0, level1, ...: each level's clusters are the next one's classes."""
+    """model, sample_id, level0, level1, ...: each level's clusters are the next one's classes."""
     n = range(1, len(levels))
     base, rest = levels[0], levels[1:]
-    inner = f"SELECT p.k, p.i, x, {', '.join(f'w{m}' for m in range(len(levels)))}, {', '.join(f'c{m}' for m in n)}, {_first(base, 'w0')} AS b0 FROM f JOIN p ON p.k = f.k + 1"
+    inner = f"SELECT p.g, p.k, p.i, x, {', '.join(f'w{m}' for m in range(len(levels)))}, {', '.join(f'c{m}' for m in n)}, {_first(base, 'w0')} AS b0 {JOIN}"
     inner = f"SELECT *, coalesce(b0, len(w0) + 1) - 1 AS l0 FROM ({inner})"
     for m, terms in zip(n, rest, strict=True):
         inner = f"SELECT *, coalesce(b{m}, len(w{m}) + 1) - 1 AS l{m} FROM (SELECT *, {_mapped(terms, f'w{m}', f'c{m}', f'l{m - 1}', 'MT+', 0.0)} AS b{m} FROM ({inner}))"
-    state = [f"w{m}" for m in range(len(levels))] + [f"c{m}" for m in n] + [f"l{m}" for m in range(len(levels))]
+    fields = {"i": "0::BIGINT"} | {f"w{m}": _W for m in range(len(levels))} | {f"c{m}": _C for m in n} | {f"l{m}": "-1::BIGINT" for m in range(len(levels))}
     grown = [_next(t, f"w{m}", f"b{m}") for m, t in enumerate(levels)] + [f"CASE WHEN b{m} IS NULL THEN list_append(c{m}, l{m - 1}) ELSE c{m} END" for m in n] + [f"l{m}" for m in range(len(levels))]
-    blank = ["[]::DOUBLE[][]"] * len(levels) + ["[]::BIGINT[]"] * len(n) + ["-1::BIGINT"] * len(levels)
-    return f"""WITH RECURSIVE {rows},
-f(k, i, {', '.join(state)}) AS (
-  SELECT 0::BIGINT, 0::BIGINT, {', '.join(blank)}
-  UNION ALL
-  SELECT k, i, {', '.join(grown)} FROM ({inner}))
-SELECT i AS sample_id, {', '.join(f'l{m} AS level{m}' for m in range(len(levels)))} FROM f WHERE k > 0"""
+    return f"WITH RECURSIVE {rows},\n{_state(fields, 'i, ' + ', '.join(grown), inner)}\nSELECT g AS model, i AS sample_id, {', '.join(f'l{m} AS level{m}' for m in range(len(levels)))} FROM f WHERE k > 0"
 
 
 def deep(rows: str, levels: list[Terms]) -> str:
-    """sample_id, level0 (the class), level1, ... of all rows p(i, k, x, y) after a supervised hierarchy: prediction by the last level."""
+    """model, sample_id, level0 (the class), level1, ... of all rows p(g, i, k, x, y) after a supervised hierarchy: prediction by the last level."""
     n = range(1, len(levels) + 1)
-    inner = f"SELECT p.k, x, y AS l0, {', '.join(f'w{m}, c{m}' for m in n)} FROM f JOIN p ON p.k = f.k + 1"
+    inner = f"SELECT p.g, p.k, x, y AS l0, {', '.join(f'w{m}, c{m}' for m in n)} {JOIN}"
     for m, terms in zip(n, levels, strict=True):
         inner = f"SELECT *, coalesce(b{m}, len(w{m}) + 1) - 1 AS l{m} FROM (SELECT *, {_mapped(terms, f'w{m}', f'c{m}', f'l{m - 1}', 'MT+', 0.0)} AS b{m} FROM ({inner}))"
     grown = [f"{_next(t, f'w{m}', f'b{m}')}, CASE WHEN b{m} IS NULL THEN list_append(c{m}, l{m - 1}) ELSE c{m} END" for m, t in zip(n, levels, strict=True)]
     last = len(levels)
     names = [f"q{last}"]
-    found = f"SELECT p.i, {', '.join(f'c{m}' for m in n)}, -list_max(list_transform(w{last}, lambda w, j: {{'t': ({levels[-1].choice})::DOUBLE, 'k': -j}})).k - 1 AS q{last} FROM p, z"
+    found = f"SELECT p.g, p.i, {', '.join(f'c{m}' for m in n)}, -list_max(list_transform(w{last}, lambda w, j: {{'t': ({levels[-1].choice})::DOUBLE, 'k': -j}})).k - 1 AS q{last} FROM p JOIN z ON p.g = z.g"
     for m in reversed(n):
         found = f"SELECT *, c{m}[q{m} + 1] AS q{m - 1} FROM ({found})"
         names.append(f"q{m - 1}")
-    return f"""WITH RECURSIVE {rows},
-f(k, {', '.join(f'w{m}, c{m}' for m in n)}) AS (
-  SELECT 0::BIGINT, {', '.join('[]::DOUBLE[][], []::BIGINT[]' for _ in n)}
-  UNION ALL
-  SELECT k, {', '.join(grown)} FROM ({inner})),
-z AS (SELECT * FROM f ORDER BY k DESC LIMIT 1)
-SELECT i AS sample_id, {', '.join(f'{q} AS level{q[1:]}' for q in reversed(names))} FROM ({found})"""
+    fields = {c: kind for m in n for c, kind in ((f"w{m}", _W), (f"c{m}", _C))}
+    return f"WITH RECURSIVE {rows},\n{_state(fields, ', '.join(grown), inner)}, {LAST}\nSELECT g AS model, i AS sample_id, {', '.join(f'{q} AS level{q[1:]}' for q in reversed(names))} FROM ({found})"
 
 
 def two_sided(rows: str, a: Terms, b: Terms, epsilon: float = 1e-10) -> str:
-    """sample_id, cluster_b and value (centre of the target cluster) of rows p(i, k, x, y, t) after ARTMAP with one coded target; y unused."""
+    """model, sample_id, cluster_b and value (centre of the target cluster) of rows p(g, i, k, x, t) after ARTMAP with one coded target."""
     choose_b = _first(b, "vs").replace("list_zip(x, w)", "list_zip(t, w)").replace("len(x)", "len(t)")
     next_b = _next(b, "vs", "bb").replace("list_append(vs, x)", "list_append(vs, t)").replace("list_zip(x, w)", "list_zip(t, w)")
     top = f"-list_max(list_transform(ws, lambda w, j: {{'t': ({a.choice})::DOUBLE, 'k': -j}})).k"
+    inner = f"SELECT *, {_mapped(a, 'ws', 'cs', 'lb', 'MT+', epsilon)} AS ba FROM (SELECT *, coalesce(bb, len(vs) + 1) - 1 AS lb FROM (SELECT p.g, p.k, x, t, ws, cs, vs, {choose_b} AS bb {JOIN}))"
+    state = _state({"ws": _W, "cs": _C, "vs": _W}, f"{_next(a, 'ws', 'ba')}, CASE WHEN ba IS NULL THEN list_append(cs, lb) ELSE cs END, {next_b}", inner)
     return f"""WITH RECURSIVE {rows},
-f(k, ws, cs, vs) AS (
-  SELECT 0::BIGINT, []::DOUBLE[][], []::BIGINT[], []::DOUBLE[][]
-  UNION ALL
-  SELECT k, {_next(a, "ws", "ba")}, CASE WHEN ba IS NULL THEN list_append(cs, lb) ELSE cs END, {next_b}
-  FROM (SELECT *, {_mapped(a, "ws", "cs", "lb", "MT+", epsilon)} AS ba
-        FROM (SELECT *, coalesce(bb, len(vs) + 1) - 1 AS lb FROM (SELECT p.k, x, t, ws, cs, vs, {choose_b} AS bb FROM f JOIN p ON p.k = f.k + 1)))),
-z AS (SELECT ws, cs, vs FROM f ORDER BY k DESC LIMIT 1)
-SELECT i AS sample_id, cb AS cluster_b, round((vs[cb + 1][1] + 1 - vs[cb + 1][2]) / 2, 6) AS value
-FROM (SELECT p.i, vs, cs[{top}] AS cb FROM p, z)"""
+{state}, {LAST}
+SELECT g AS model, i AS sample_id, cb AS cluster_b, round((vs[cb + 1][1] + 1 - vs[cb + 1][2]) / 2, 6) AS value
+FROM (SELECT p.g, p.i, vs, cs[{top}] AS cb FROM p JOIN z ON p.g = z.g)"""
+
+
+def topology(rows: str, terms: Terms, beta_lower: float, tau: int, phi: int) -> str:
+    """model, src, dst, weight: edges between the first and the second resonant category, with prunes every tau rows. Fast learning of the first."""
+    found = f"list_transform(list_sort(list_filter(list_transform(ws, lambda w, j: {{'a': -(({terms.choice})::DOUBLE), 'j': j, 'm': ({terms.match})::DOUBLE}}), lambda s: s.m >= {terms.rho!r}))[1:2], lambda s: s.j)"
+    slow = f"list_transform(list_zip(w, ({terms.update})), lambda z: {beta_lower!r} * z[2] + (1 - {beta_lower!r}) * z[1])"
+    learnt = f"CASE WHEN len(best) = 0 THEN list_append(ws, {terms.new}) ELSE list_transform(ws, lambda w, j: CASE WHEN j = best[1] THEN {terms.update} WHEN j = best[2] THEN {slow} ELSE w END) END"
+    counts = "CASE WHEN len(best) = 0 THEN list_append(ns, 1) ELSE list_transform(ns, lambda n, j: CASE WHEN j = best[1] OR j = best[2] THEN n + 1 ELSE n END) END"
+    lasting = "CASE WHEN len(best) = 0 THEN list_append(ps, 0) ELSE ps END"
+    known = "len(list_filter(es, lambda e: e[1] = best[1] AND e[2] = best[2])) > 0"
+    edges = f"CASE WHEN len(best) < 2 THEN es WHEN {known} THEN list_transform(es, lambda e: CASE WHEN e[1] = best[1] AND e[2] = best[2] THEN [e[1], e[2], e[3] + 1] ELSE e END) ELSE list_append(es, [best[1], best[2], 1]) END"
+    inner = f"SELECT g, k, {learnt} AS ws, {counts} AS ns, {lasting} AS ps, {edges} AS es FROM (SELECT p.g, p.k, x, ws, ns, ps, es, {found} AS best {JOIN})"
+    left = "list_filter(range(1, len(ns) + 1), lambda j: ps[j] = 1 OR ns[j] >= @)".replace("@", str(phi))
+    inner = f"SELECT *, CASE WHEN k % {tau} = 0 THEN {left} END AS kept FROM ({inner})"
+    cut = lambda c: f"CASE WHEN kept IS NULL THEN {c} ELSE list_transform(kept, lambda j: {c}[j]) END"
+    moved = "list_transform(list_filter(es, lambda e: list_contains(kept, e[1]) AND list_contains(kept, e[2])), lambda e: [list_position(kept, e[1]), list_position(kept, e[2]), e[3]])"
+    step = f"{cut('ws')}, {cut('ns')}, CASE WHEN kept IS NULL THEN ps ELSE list_transform(kept, lambda j: 1::BIGINT) END, CASE WHEN kept IS NULL THEN es ELSE {moved} END"
+    state = _state({"ws": _W, "ns": _C, "ps": _C, "es": "[]::BIGINT[][]"}, step, inner)
+    return f"WITH RECURSIVE {rows},\n{state}, {LAST}\nSELECT model, e[1] - 1 AS src, e[2] - 1 AS dst, e[3] AS weight FROM (SELECT g AS model, unnest(es) AS e FROM z)"
 
 
 def vat(points: str) -> str:
@@ -247,7 +275,7 @@ def channel(terms: str, i: int) -> str:
 
 
 def fused(channels: list[Terms], gamma: list[float]) -> str:
-    """f(k, ws): a fused fit of rows p(i, k, x0, x1, ...), a list of weights for each category; z: the last state. Fuzzy channels with epsilon 0.
+    """f(g, k, ws): a fused fit of rows p(g, i, k, x0, x1, ...), a list of weights for each category; z: the last state. Fuzzy channels with epsilon 0.
 
     Vigilance rises to the matches of every category that fails, in the channels where it passed.
     """
@@ -259,12 +287,8 @@ def fused(channels: list[Terms], gamma: list[float]) -> str:
     best = f"list_transform([{listed}], lambda found: list_filter(found, lambda s, r: {rules})[1].j)[1]"
     rows = ", ".join(f"x{i}" for i in n)
     learnt = ", ".join(channel(c.update, i) for i, c in enumerate(channels))
-    return f"""f(k, ws) AS (
-  SELECT 0::BIGINT, []::DOUBLE[][][]
-  UNION ALL
-  SELECT k, CASE WHEN best IS NULL THEN list_append(ws, [{rows}]) ELSE list_transform(ws, lambda w, j: CASE WHEN j = best THEN [{learnt}] ELSE w END) END
-  FROM (SELECT p.k, {rows}, ws, {best} AS best FROM f JOIN p ON p.k = f.k + 1)),
-z AS MATERIALIZED (SELECT ws FROM f ORDER BY k DESC LIMIT 1)"""
+    step = f"CASE WHEN best IS NULL THEN list_append(ws, [{rows}]) ELSE list_transform(ws, lambda w, j: CASE WHEN j = best THEN [{learnt}] ELSE w END) END"
+    return f"{_state({'ws': '[]::DOUBLE[][][]'}, step, f'SELECT p.g, p.k, {rows}, ws, {best} AS best {JOIN}')}, {LAST}"
 
 
 def chosen(channels: list[Terms], gamma: list[float], skip: tuple[int, ...]) -> str:
