@@ -28,6 +28,11 @@ def find_bounds(*batches: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.agg(F.array(*[F.min(F.col(c).cast("double")) for c in columns]).alias("d_min"), F.array(*[F.max(F.col(c).cast("double")) for c in columns]).alias("d_max"))
 
 
+def scaled(v: Column, low: Column, high: Column) -> Column:
+    """A number brought to [0, 1] by its bounds; 0 in a constant column. One scalar expression, which compiles."""
+    return F.when(high == low, F.lit(0.0) + v * 0).otherwise((v - low) / (high - low))
+
+
 def normalize(x: Column, low: Column, high: Column) -> Column:
     """(x - min) / (max - min); 0 in a constant column."""
     span = F.zip_with(low, high, lambda a, b: b - a)
@@ -85,8 +90,8 @@ def split_channels(joined: Column, widths: Sequence[int]) -> list[Column]:
 def prepare(rows: DataFrame, columns: Sequence[str], complement: bool = False, bounds: DataFrame | None = None, out: str = "x") -> DataFrame:
     """rows with a scaled (and complement-coded) array of their columns."""
     bounds = find_bounds(rows, columns=columns) if bounds is None else bounds
-    x = normalize(features(*columns), F.col("d_min"), F.col("d_max"))
-    return rows.crossJoin(F.broadcast(bounds)).withColumn(out, complement_code(x) if complement else x).drop("d_min", "d_max")
+    x = [scaled(F.col(c).cast("double"), F.get("d_min", F.lit(i)), F.get("d_max", F.lit(i))) for i, c in enumerate(columns)]
+    return rows.crossJoin(F.broadcast(bounds)).withColumn(out, F.array(*x, *[1 - v for v in x]) if complement else F.array(*x)).drop("d_min", "d_max")
 
 
 def invalid(x: Column, kind: str = "unit", width: int | None = None) -> Column:

@@ -169,6 +169,8 @@ def nearest(kernel, cats: Categories, x: np.ndarray, vigilant: bool = False) ->
 
 #: Numbers that the scoring of a tile may hold, and the rows of a tile.
 TILE_NUMBERS, TILE_ROWS = 2_000_000, 256
+#: Rows that are learnt one by one before a look whether a tile pays; the choice changes no result.
+ROW_RUN = 32
 
 
 class Tile:
@@ -237,10 +239,28 @@ def learn_rows(kernel, cats: Categories, x: np.ndarray, method: str = "MT+", eps
     each category (room for all) and of each row, a row being refused by categories of
     other classes; founded(j, row) then gives the classes with those of a new category.
     """
-    strict, out, at = check_method(method), np.empty(len(x), np.int64), 0
+    strict, out, at, busy = check_method(method), np.empty(len(x), np.int64), 0, True
     while at < len(x):
+        if busy:  # while most rows change something, a tile saves nothing
+            n, changes = min(ROW_RUN, len(x) - at), 0
+            for r in range(at, at + n):
+                size, own = cats.size, None if classes is None else classes[0][: cats.size] == classes[1][r]
+                j, cache = resonant(kernel, cats, x[r], own, method, epsilon)
+                if j < 0:
+                    j = cats.add(kernel.new(x[r]))
+                    if founded is not None:
+                        classes = (founded(j, r), classes[1])
+                else:
+                    w = kernel.update(cats.w[j], x[r], cache, j)
+                    changes += int((w != cats.w[j]).any())
+                    cats.set(j, w)
+                changes += cats.size - size
+                out[r] = j
+            at += n
+            busy = 4 * changes > n
+            continue
         tile = Tile(kernel, cats, x[at : at + Tile.rows(kernel, cats, x.shape[1])])
-        n, r, ahead = len(tile.x), 0, 8
+        n, r, ahead, changed = len(tile.x), 0, 8, 0
         while r < n:
             end = min(n, r + ahead)
             fine = 0
@@ -270,8 +290,10 @@ def learn_rows(kernel, cats: Categories, x: np.ndarray, method: str = "MT+", eps
             if found and founded is not None:
                 classes = (founded(j, at + r), classes[1])
             ahead = max(1, min(ahead, 2 * (fine + 1)))
+            changed += 1
             r += 1
         at += n
+        busy = 4 * changed > n
     return out
 
 

@@ -214,18 +214,25 @@ def apply(rows: DataFrame, fitted: Fitted, inputs: Sequence[str], sample: str =
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ready: dict[str, Learner | None] = {}
             inspect = Inspection(learner)
-            for batch in batches:
-                out = []
+            for batch in _gathered(batches):
+                # The rows of a model come together, as a stable sort of its number.
+                batch = batch.take(pa.array(np.argsort(batch.column(0).dictionary_encode().indices.to_numpy(), kind="stable")))
+                columns = [batch.column(2 + kept + k) for k in range(count)]
+                values, out = _values(batch, 2 + kept, count), []
+                alike = all(isinstance(x, np.ndarray) for x in values)
+                if alike:
+                    inspect.start()
+                    inspect.rows("of several", batch.column(1), columns, values, check)
                 for model, a, b in _runs(batch.column(0)):
                     if model not in ready:
                         ready[model] = learner.fresh() if model in shared.value else None
                         if ready[model] is not None:
                             ready[model].load(_unpacked(shared.value[model]))
-                    piece = batch.slice(a, b - a)
-                    values = _values(piece, 2 + kept, count)
-                    inspect.start()
-                    inspect.rows(model, piece.column(1), [piece.column(2 + kept + k) for k in range(count)], values, check)
-                    out.append(label(ready[model], values, b - a))
+                    own = [x[a:b] for x in values]
+                    if not alike:
+                        inspect.start()
+                        inspect.rows(model, batch.column(1)[a:b], [c[a:b] for c in columns], own, check)
+                    out.append(label(ready[model], own, b - a))
                 if out:
                     yield named(batch.column(0), batch.column(1), out, [batch.column(2 + k) for k in range(kept)])
 
@@ -276,6 +283,19 @@ def _runs(*columns: pa.Array) -> Iterator[tuple]:
             at = r
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 32_768, size: int = 1 << 25) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to a number of rows and bytes, so that each model has some rows in one."""
+    held, many, big = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        many, big = many + len(batch), big + batch.nbytes
+        if many >= rows or big >= size:
+            yield pa.concat_batches(held)
+            held, many, big = [], 0, 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _packed(weights: DataFrame) -> dict[str, pa.Table]:
     """Weights by model as Arrow tables, which travel as buffers."""
     table = weights.toArrow().combine_chunks()
