@@ -56,11 +56,11 @@ def regress(rows: DataFrame, fitted: Fitted, inputs: Sequence[str] = ("x",), sam
     return got.join(known, ["model", "cluster_b"], "left")
 
 
-def fusion_predict(rows: DataFrame, fitted: Fitted, inputs: Sequence[str | None], sample: str = "sample_id", by: Sequence[str] = ()) -> DataFrame:
+def fusion_predict(rows: DataFrame, fitted: Fitted, inputs: Sequence[str | None], sample: str = "sample_id", by: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """Labels with some channels skipped (None)."""
     learner: Fusion = fitted.learner
     skip = tuple(i for i, c in enumerate(inputs) if c is None)
-    return apply(rows, Fitted(_Skipping(learner, skip), fitted.table), [c for c in inputs if c is not None], sample, by)
+    return apply(rows, Fitted(_Skipping(learner, skip), fitted.table), [c for c in inputs if c is not None], sample, by, keep)
 
 
 class _Skipping:
@@ -108,42 +108,82 @@ def sarsa(steps: DataFrame, value: str, reward: str, alpha: float = 1.0, discoun
 
 
 class Falcon:
-    """Fusion of state, action and reward channels; td() learns from SARSA targets. fit() is for plain rewards."""
+    """Fusion of state, action and reward channels, an agent for each key. fit() is for plain rewards, td() learns from SARSA targets in rounds."""
 
-    def __init__(self, kernels: tuple[Kernel, Kernel, Kernel], gamma: tuple[float, float, float] = (0.33, 0.33, 0.34), td_alpha: float = 1.0, td_lambda: float = 1.0):
-        self.learner, self.td_alpha, self.td_lambda, self.fitted = Fusion(kernels, gamma), td_alpha, td_lambda, None
+    def __init__(self, kernels: tuple[Kernel, Kernel, Kernel], gamma: tuple[float, float, float] = (0.33, 0.33, 0.34), td_alpha: float = 1.0, td_lambda: float = 1.0, by: Sequence[str] = ()):
+        self.learner, self.td_alpha, self.td_lambda, self.by, self.fitted = Fusion(kernels, gamma), td_alpha, td_lambda, tuple(by), None
 
     def fit(self, rows: DataFrame, order: str = "sample_id", state: str = "state", action: str = "action", reward: str = "reward", more: bool = False) -> Fitted:
-        self.fitted = fold(rows, self.learner, order, [state, action, reward], start=self.fitted.weights if more and self.fitted else None)
+        self.fitted = fold(rows, self.learner, order, [state, action, reward], self.by, start=self.fitted.weights if more and self.fitted else None)
         return self.fitted
 
-    def rewards(self, rows: DataFrame, state: str = "state", action: str = "action", sample: str = "sample_id") -> DataFrame:
-        """(sample_id, reward): centre of the reward channel of the category that state and action choose."""
-        got = fusion_regress(rows, self.fitted, [state, action, None], [2], sample)
-        return got.select("sample_id", F.get(F.get("values", F.lit(0)), F.lit(0)).alias("reward"))
-
-    def td(self, steps: DataFrame, order: str = "sample_id", episode: str = "episode_id", time: str = "t") -> Fitted:
-        """One round of temporal-difference learning on (state, action, reward number, ...) steps."""
-        if self.fitted:
-            known = self.rewards(steps, sample=order).withColumnRenamed("reward", "q").withColumnRenamed("sample_id", order)
-            steps = steps.join(known, order)
-        else:
-            steps = steps.withColumn("q", F.lit(0.0))
-        rows = sarsa(steps, "q", "reward", self.td_alpha, self.td_lambda, episode, time)
-        return self.fit(rows.withColumn("reward", complement_code(F.array("target"))), order, more=True)
+    def _centres(self) -> DataFrame:
+        """(model, cluster_id, reward): the reward that each category stands for."""
+        return centres(self.fitted, "channel2", self.learner.kernels[2]).select("model", F.col("cluster_id").cast("long").alias("cluster_id"), F.get("centre", F.lit(0)).alias("reward"))
+
+    def rewards(self, rows: DataFrame, state: str = "state", action: str = "action", sample: str = "sample_id", keep: Sequence[str] = (), name: str = "reward") -> DataFrame:
+        """(model, sample_id, reward) and the columns to keep: centre of the reward channel of the category that state and action choose."""
+        got = fusion_predict(rows, self.fitted, [state, action, None], sample, self.by, keep).withColumn("cluster_id", first_label())
+        return got.join(self._centres().withColumnRenamed("reward", name), ["model", "cluster_id"], "left").select("model", "sample_id", name, *keep)
+
+    def td(self, steps: DataFrame, rounds: int = 1, order: str = "sample_id", episode: str = "episode_id", time: str = "t", state: str = "state", action: str = "action", reward: str = "reward") -> Fitted:
+        """Rounds of temporal-difference learning on steps; the value of each step is what the agent holds it to be worth before the round (0 for a new agent)."""
+        names = list(dict.fromkeys([*self.by, episode, time, state, action, reward]))
+        for _ in range(rounds):
+            if self.fitted:
+                now = self.rewards(steps, state, action, order, names, "q").withColumnRenamed("sample_id", order)
+            else:
+                now = steps.withColumn("q", F.lit(0.0))
+            targets = sarsa(now, "q", reward, self.td_alpha, self.td_lambda, episode, time)
+            self.fit(targets.withColumn("_goal", complement_code(F.array("target"))), order, state, action, "_goal", more=True)
+        return self.fitted
 
     def action_rewards(self, states: DataFrame, actions: DataFrame, state: str = "state", action: str = "action") -> DataFrame:
-        """Every state with every action of a (small, broadcast) action space, and the reward expected."""
+        """(model, sample_id, action_id, reward) of every state with every action of a (small, broadcast) action space."""
         pairs = states.crossJoin(F.broadcast(actions.select("action_id", action)))
-        pairs = pairs.withColumn("_pair", F.xxhash64("sample_id", "action_id"))
-        return pairs.drop(state, action).join(self.rewards(pairs, state, action, "_pair").withColumnRenamed("sample_id", "_pair"), "_pair").drop("_pair")
+        return self.rewards(pairs, state, action, keep=["action_id"])
+
+    def best_action(self, states: DataFrame, actions: DataFrame, optimality: str = "max", state: str = "state", action: str = "action") -> DataFrame:
+        """(model, sample_id, action_id, reward): the best action of every state, the first of equal ones.
+
+        A map: each state is scored with all actions where it lies. actions (action_id and
+        vector) is read by the driver and should be some hundreds at most.
+        """
+        space = sorted((r["action_id"], np.asarray(r[action], float)) for r in actions.select("action_id", action).collect())
+        worker = _Acting(self.learner, [a for a, _ in space], [v for _, v in space], 1.0 if optimality == "max" else -1.0)
+        got = apply(states, Fitted(worker, self.fitted.table), [state], by=self.by)
+        found = got.select("model", "sample_id", F.get("labels", F.lit(0)).alias("action_id"), F.get("labels", F.lit(1)).alias("cluster_id"))
+        return found.join(self._centres(), ["model", "cluster_id"], "left").select("model", "sample_id", "action_id", "reward")
+
+
+class _Acting:
+    """A fusion learner that gives each state its best action and the category that state and action choose."""
+
+    outputs = 2
+
+    def __init__(self, inner: Fusion, ids: list[int], actions: list[np.ndarray], sign: float):
+        self.inner, self.ids, self.actions, self.sign = inner, ids, actions, sign
 
-    def best_action(self, states: DataFrame, actions: DataFrame, optimality: str = "max") -> DataFrame:
-        return best_action(self.action_rewards(states, actions), optimality)
+    @property
+    def input_kernels(self):
+        return self.inner.kernels[:1]
+
+    def fresh(self) -> _Acting:
+        return _Acting(self.inner.fresh(), self.ids, self.actions, self.sign)
+
+    def load(self, rows) -> None:
+        self.inner.load(rows)
+        self.worth = np.array([c[0] for c in self.inner.centres(2)])
+
+    def predict_rows(self, columns):
+        x = columns[0]
+        chosen = np.stack([self.inner.predict_rows([x, np.broadcast_to(v, (len(x), len(v))), None], skip=(2,))[:, 0] for v in self.actions], 1)
+        best = (self.sign * self.worth[chosen]).argmax(1)
+        return np.stack([np.array(self.ids, np.int64)[best], chosen[np.arange(len(x)), best]], 1)
 
 
 def best_action(rewards: DataFrame, optimality: str = "max") -> DataFrame:
-    """(sample_id, action_id, reward): the best action, the first of equal ones."""
+    """(sample_id, action_id, reward): the best action of rewards by sample, the first of equal ones."""
     sign = 1 if optimality == "max" else -1
     best = rewards.groupBy("sample_id").agg(F.max(F.struct((sign * F.col("reward")).alias("r"), (-F.col("action_id")).alias("a"))).alias("m"))
     return best.select("sample_id", (-F.col("m.a")).alias("action_id"), (sign * F.col("m.r")).alias("reward"))

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from echoform.operators.kernels import Kernel
-from echoform.operators.search import TILE_ROWS, Categories, Tile, by_activation, check_method, learn, learn_rows, nearest, nearest_rows, resonant, still
+from echoform.operators.search import ROW_RUN, TILE_ROWS, Categories, Tile, by_activation, check_method, learn, learn_rows, nearest, nearest_rows, resonant, still
 
 #: (module, cluster_id, w, n, mapped, links) of the weights table.
 State = tuple[str, int, list[float], int, int | None, list[int] | None]
@@ -557,8 +557,18 @@ class Fusion(Learner):
         """By tiles, one for each channel: a row whose most active category passes in all channels and stays as it is needs no search."""
         if not all(_matrix(k, x) for k, x in zip(self.kernels, columns, strict=True)):
             return super().step_rows(columns)
-        strict, out, at, n = check_method(self.method), np.empty((len(columns[0]), 1), np.int64), 0, len(columns[0])
+        strict, out, at, n, busy = check_method(self.method), np.empty((len(columns[0]), 1), np.int64), 0, len(columns[0]), True
         while at < n:
+            if busy:
+                rows, changed = min(ROW_RUN, n - at), 0
+                for r in range(at, at + rows):
+                    size, own = self.cats[0].size, [x[r] for x in columns]
+                    held = [c.w.copy() for c in self.cats]
+                    j = out[r, 0] = self.step(*own)[0]
+                    changed += self.cats[0].size > size or any((c.w[j] != w[j]).any() for c, w in zip(self.cats, held, strict=True))
+                at, busy = at + rows, 4 * changed > rows
+                continue
+            changed = 0
             rows = min(Tile.rows(k, c, x.shape[1]) for k, c, x in zip(self.kernels, self.cats, columns, strict=True))
             tiles = [Tile(k, c, x[at : at + rows]) for k, c, x in zip(self.kernels, self.cats, columns, strict=True)]
             rows, r, ahead = len(tiles[0].x), 0, 8
@@ -582,26 +592,42 @@ class Fusion(Learner):
                     r, ahead = end, min(TILE_ROWS, 2 * ahead)
                     continue
                 r += fine
-                best = self._search(t[fine], lambda i, j, ms=ms, row=fine: ms[i][row, j]) if self.cats[0].size else -1
+                best = self._search(t[fine], [m[fine] for m in ms]) if self.cats[0].size else -1
                 for tile in tiles:
                     out[at + r, 0] = tile.learn(r, best)
                 ahead = max(1, min(ahead, 2 * (fine + 1)))
+                changed += 1
                 r += 1
             at += rows
+            busy = 4 * changed > rows
         return out
 
-    def _search(self, t: np.ndarray, match) -> int:
-        """The category that resonates in all channels, or -1; match(channel, category)."""
-        strict, rhos = check_method(self.method), [k.rho for k in self.kernels]
-        for j in by_activation(t).tolist():
-            matches = [match(i, j) for i in range(len(self.kernels))]
-            passed = [k.resonates(m, r, strict) for k, m, r in zip(self.kernels, matches, rhos, strict=True)]
+    def _search(self, t: np.ndarray, matches: list[np.ndarray]) -> int:
+        """The category that resonates in all channels, or -1.
+
+        Where tracking moves a vigilance to the match of the category that failed, the bar
+        of a channel is the running maximum of the matches before, so nothing needs a loop.
+        """
+        strict, order = check_method(self.method), by_activation(t)
+        if self.method in ("MT0", "MT~") or (self.method == "MT+" and self.epsilon == 0):
+            fine, ended = np.ones(len(order), bool), np.zeros(len(order), bool)
+            for k, m in zip(self.kernels, matches, strict=True):
+                m = m[order]
+                bar = np.full(len(m), k.rho) if self.method == "MT~" else np.maximum.accumulate(np.concatenate([[k.rho], m[:-1]]))
+                passed = m > bar if strict else m >= bar
+                fine &= passed
+                ended |= passed & (m > 1) & (self.method != "MT~")
+            found = int(fine.argmax()) if fine.any() else -1
+            return -1 if found < 0 or ended[:found].any() else int(order[found])
+        rhos = [k.rho for k in self.kernels]
+        for j in order.tolist():
+            passed = [k.resonates(m[j], r, strict) for k, m, r in zip(self.kernels, matches, rhos, strict=True)]
             if all(passed):
                 return j
             go_on = True
             for i, k in enumerate(self.kernels):
                 if passed[i]:
-                    rhos[i], more = k.track(matches[i], rhos[i], self.epsilon, self.method)
+                    rhos[i], more = k.track(matches[i][j], rhos[i], self.epsilon, self.method)
                     go_on = go_on and more
             if not go_on:
                 break
@@ -611,6 +637,11 @@ class Fusion(Learner):
         strict, size = check_method(self.method), self.cats[0].size
         if size:
             t, caches = self._activate(xs)
+            if allowed is None and not any(k.inverted for k in self.kernels):
+                j = self._search(t, [k.matches(c.w, x, cache) for k, c, x, cache in zip(self.kernels, self.cats, xs, caches, strict=True)])
+                for k, c, x, cache in zip(self.kernels, self.cats, xs, caches, strict=True):
+                    c.add(k.new(x)) if j < 0 else c.set(j, k.update(c.w[j], x, cache, j))
+                return (size if j < 0 else j,)
             rhos = [k.rho for k in self.kernels]
             for j in by_activation(t).tolist():
                 if allowed is not None and self.method == "MT~" and not allowed(j):

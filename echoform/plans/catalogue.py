@@ -226,16 +226,6 @@ def probabilistic_action(spark, sf_dir):
     return compound.probabilistic_action(rewards, 0.5)
 
 
-@query()
-def td_falcon(spark, sf_dir):
-    rows = fits.events(spark, sf_dir).withColumn("reward", F.least(F.col("value") / 500, F.lit(1.0)))
-    agent = compound.Falcon((Fuzzy(0.5, 0.01), Fuzzy(0.7, 0.01), Fuzzy(0.9, 0.01)), td_alpha=0.5, td_lambda=0.9)
-    agent.td(rows)
-    states = rows.groupBy("state").agg(F.min("sample_id").alias("sample_id"))  # each distinct state, by its first event
-    actions = rows.groupBy("event_type").agg(F.min_by("action", "sample_id").alias("action")).withColumn("action_id", F.length("event_type")).drop("event_type")
-    return agent.best_action(states, actions).withColumn("reward", F.round("reward", 6))
-
-
 @query()
 def bartmap(spark, sf_dir):
     """Biclusters of nations by regions of customers: the square matrix of nations' mean balances by segment products."""

@@ -226,6 +226,22 @@ def fusion_regression(spark, sf_dir):
     return got.select("model", "sample_id", "cluster_id", F.round(F.get(F.get("values", F.lit(0)), F.lit(0)), 6).alias("click"))
 
 
+_ACTIONS = ["click", "error", "purchase", "signup", "view"]
+_AGENT = [oracles.fuzzy(r, 0.01) for r in (0.5, 0.7, 0.9)], [0.33, 0.33, 0.34]
+_CODES = [(k, "[" + ", ".join(f"{float(v)}" for v in [*(a == b for b in _ACTIONS), *(a != b for b in _ACTIONS)]) + "]") for k, a in enumerate(_ACTIONS)]
+
+
+@query(oracles.temporal(EVENTS.replace("AS x1 FROM n)", "AS x1, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS o, least(value / 500, 1.0) AS r FROM n)"), *_AGENT, 0.5, 0.9, 3, _CODES))
+def td_falcon(spark, sf_dir):
+    """An agent for each user, taught by three rounds of temporal differences over the user's events; the best action of every state it has met."""
+    rows = events(spark, sf_dir).withColumn("reward", F.least(F.col("value") / 500, F.lit(1.0)))
+    agent = compound.Falcon((Fuzzy(0.5, 0.01), Fuzzy(0.7, 0.01), Fuzzy(0.9, 0.01)), td_alpha=0.5, td_lambda=0.9, by=USER)
+    agent.td(rows, rounds=3)
+    code = lambda a: prep.complement_code(F.array(*[F.lit(float(a == b)) for b in _ACTIONS]))
+    actions = spark.range(len(_ACTIONS)).select(F.col("id").alias("action_id"), F.get(F.array(*[code(a) for a in _ACTIONS]), F.col("id").cast("int")).alias("action"))
+    return agent.best_action(rows, actions).withColumn("reward", F.round("reward", 12))
+
+
 @query()
 def validity_guided(spark, sf_dir):
     return compound.validity_guided(customers(spark, sf_dir, True), Fuzzy(0.5, 0.01), "ch", NATION)

@@ -8,6 +8,7 @@ categories are from 1 inside.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 
@@ -133,11 +134,11 @@ def _searched(terms: Terms, ws: str, ok: str, method: str = "MT+", epsilon: floa
     return f"list_filter(list_transform([{listed}], lambda found: list_filter(found, lambda s, r: s.ok AND {rule})[1].j), lambda v: v IS NOT NULL)[1]"
 
 
-def _state(fields: dict[str, str], step: str, inner: str) -> str:
-    """f(g, k, ...): a state for each model, blank at k = 0, then a step for each row."""
+def _state(fields: dict[str, str], step: str, inner: str, start: str = "") -> str:
+    """f(g, k, ...): a state for each model, blank (or that of a query) at k = 0, then a step for each row."""
     names = ", ".join(fields)
     return f"""f(g, k, {names}) AS (
-  SELECT DISTINCT g, 0::BIGINT, {", ".join(fields.values())} FROM p
+  {start or f"SELECT DISTINCT g, 0::BIGINT, {', '.join(fields.values())} FROM p"}
   UNION ALL
   SELECT g, k, {step} FROM ({inner}))"""
 
@@ -274,7 +275,7 @@ def channel(terms: str, i: int) -> str:
     return terms.replace("list_zip(x, w)", f"list_zip(x{i}, w[{i + 1}])").replace("list_sum(w)", f"list_sum(w[{i + 1}])").replace("len(x)", f"len(x{i})")
 
 
-def fused(channels: list[Terms], gamma: list[float]) -> str:
+def fused(channels: list[Terms], gamma: list[float], start: str = "") -> str:
     """f(g, k, ws): a fused fit of rows p(g, i, k, x0, x1, ...), a list of weights for each category; z: the last state. Fuzzy channels with epsilon 0.
 
     Vigilance rises to the matches of every category that fails, in the channels where it passed.
@@ -288,10 +289,34 @@ def fused(channels: list[Terms], gamma: list[float]) -> str:
     rows = ", ".join(f"x{i}" for i in n)
     learnt = ", ".join(channel(c.update, i) for i, c in enumerate(channels))
     step = f"CASE WHEN best IS NULL THEN list_append(ws, [{rows}]) ELSE list_transform(ws, lambda w, j: CASE WHEN j = best THEN [{learnt}] ELSE w END) END"
-    return f"{_state({'ws': '[]::DOUBLE[][][]'}, step, f'SELECT p.g, p.k, {rows}, ws, {best} AS best {JOIN}')}, {LAST}"
+    return f"{_state({'ws': '[]::DOUBLE[][][]'}, step, f'SELECT p.g, p.k, {rows}, ws, {best} AS best {JOIN}', start)}, {LAST}"
 
 
 def chosen(channels: list[Terms], gamma: list[float], skip: tuple[int, ...]) -> str:
     """The category that some channels choose, the skipped ones at their full share."""
     total = " + ".join(f"{g!r}" if i in skip else f"{g!r} * ({channel(c.choice, i)})" for i, (c, g) in enumerate(zip(channels, gamma, strict=True)))
     return f"-list_max(list_transform(ws, lambda w, j: {{'t': ({total})::DOUBLE, 'k': -j}})).k"
+
+
+def temporal(steps: str, channels: list[Terms], gamma: list[float], alpha: float, discount: float, rounds: int, actions: list[tuple[int, str]]) -> str:
+    """model, sample_id, action_id, reward: the best action of every step's state after rounds of temporal-difference learning.
+
+    steps: CTEs that end in c(g, i, o, x0, x1, r), o the order in an episode, an episode being
+    a model. Each round's values come from the model of the round before.
+    """
+    renamed = lambda text, n: re.sub(r"\b([fpz])\b(?=[\s().,]|$)", rf"\g<1>{n}", text)
+    parts, centre = [], "(ws[@][3][1] + 1 - ws[@][3][2]) / 2"
+    for n in range(rounds):
+        if n:
+            value = f"SELECT c.*, ws, {chosen(channels, gamma, (2,))} AS j FROM c JOIN z{n - 1} USING (g)"
+            parts.append(f"q{n} AS (SELECT * EXCLUDE (ws, j), {centre.replace('@', 'j')} AS q FROM ({value}))")
+        else:
+            parts.append("q0 AS (SELECT *, 0.0::DOUBLE AS q FROM c)")
+        ahead = "lead(q) OVER (PARTITION BY g ORDER BY o) AS nq, count(*) OVER (PARTITION BY g) AS n"
+        goal = f"CASE WHEN n = 1 THEN r ELSE least(1.0, greatest(0.0, q + {alpha!r} * (r + {discount!r} * nq - q))) END"
+        parts.append(f"p{n} AS (SELECT g, i, x0, x1, [t, 1 - t] AS x2, row_number() OVER (PARTITION BY g ORDER BY i) AS k FROM (SELECT g, i, x0, x1, {goal} AS t FROM (SELECT *, {ahead} FROM q{n}) WHERE nq IS NOT NULL OR n = 1))")
+        parts.append(renamed(fused(channels, gamma, f"SELECT g, 0::BIGINT, ws FROM z{n - 1}" if n else ""), n))
+    space = ", ".join(f"({a}, {v})" for a, v in actions)
+    scored = f"SELECT g, i, a, ws, {chosen(channels, gamma, (2,))} AS j FROM (SELECT c.g, c.i, c.x0, s.a, s.x1, ws FROM c JOIN z{rounds - 1} USING (g), (VALUES {space}) AS s(a, x1))"
+    best = f"SELECT g, i, a, {centre.replace('@', 'j')} AS v, row_number() OVER (PARTITION BY g, i ORDER BY {centre.replace('@', 'j')} DESC, a) AS best FROM ({scored})"
+    return f"WITH RECURSIVE {steps}, {', '.join(parts)}\nSELECT g AS model, i AS sample_id, a::BIGINT AS action_id, round(v, 12) AS reward FROM ({best}) WHERE best = 1"
