@@ -83,8 +83,8 @@ class Clusterer(Learner):
     epsilon: float = 0.0
     cats: Categories = field(default_factory=Categories)
 
-    def step(self, x):
-        return (learn(self.kernel, self.cats, x, None, self.method, self.epsilon),)
+    def step(self, x, allowed=None):
+        return (learn(self.kernel, self.cats, x, allowed, self.method, self.epsilon),)
 
     def step_rows(self, columns):
         if not _matrix(self.kernel, columns[0]):
@@ -120,13 +120,14 @@ class MapClassifier(Learner):
     inputs = ("x", "y")
     outputs = 2
 
-    def step(self, x, y):
+    def step(self, x, y, allowed=None):
         y = int(y)
         while len(self._class) < self.cats.size + 1:
             room = np.zeros(max(16, 2 * len(self._class)), np.int64)
             room[: len(self._class)] = self._class
             self._class = room
-        j = learn(self.kernel, self.cats, x, self._class[: self.cats.size] == y, self.method, self.epsilon)
+        own = self._class[: self.cats.size] == y
+        j = learn(self.kernel, self.cats, x, own if allowed is None else lambda j: own[j] and allowed(j), self.method, self.epsilon)
         self.classes[j] = self._class[j] = y
         return j, y
 
@@ -297,8 +298,7 @@ class Topology(Learner):
         self.seen += 1
         label = self._learn(x, allowed)
         if self.seen % self.tau == 0:
-            number = self.prune()
-            label = number.get(label, -1)
+            label = self.prune().get(label, -1)
             if label < 0 and self.cats.size:
                 label = nearest(self.kernel, self.cats, x)
         return (label,)
@@ -389,6 +389,7 @@ class Topology(Learner):
         self.permanent = [True] * len(number)
         self.edges = {(number[a], number[b]): n for (a, b), n in self.edges.items() if a in number and b in number}
         self.prunes += 1
+        self.renumbered = number
         return number
 
     def predict(self, x):
@@ -726,6 +727,118 @@ class Bicluster(Learner):
         self.cats, _ = _load(rows, "a")
 
 
+def _under(path: str, rows: Iterator[State]) -> Iterator[State]:
+    """State rows of a module, named by the path to it."""
+    return ((f"{path}/{r[0]}", *r[1:]) for r in rows)
+
+
+def _of(path: str, rows: list[State]) -> list[State]:
+    return [(r[0].removeprefix(f"{path}/"), *r[1:]) for r in rows if r[0].startswith(f"{path}/")]
+
+
+class Nested(Learner):
+    """A learner around another one, its module; state rows of the module carry its path, so that trees of any depth are saved and continued."""
+
+    def __init__(self, module: Learner):
+        self.module, self.inputs, self.outputs = module, module.inputs, module.outputs
+
+    @property
+    def input_kernels(self):
+        return self.module.input_kernels
+
+    def finish(self):
+        self.module.finish()
+
+    def predict(self, *row):
+        return self.module.predict(*row)
+
+    def predict_rows(self, columns):
+        return self.module.predict_rows(columns)
+
+    def export(self):
+        return _under("module", self.module.export())
+
+    def load(self, rows):
+        self.module.load(_of("module", rows))
+
+
+class Mapped(Nested):
+    """Simple ARTMAP over any learner that takes a predicate: clusterers, fused channels, topologies, double vigilance, or one of those guarded.
+
+    A row of class y is refused by the module's categories of other classes, under the
+    module's own tracking rule. A topology's prunes renumber the classes as well. Labels:
+    the module's category and its class; the last input is the class.
+    """
+
+    def __init__(self, module: Learner, classes: dict[int, int] | None = None):
+        super().__init__(module)
+        self.inputs, self.outputs, self.classes = (*module.inputs, "y"), 2, classes or {}
+
+    def step(self, *row, allowed=None):
+        y, before = int(row[-1]), getattr(self.module, "prunes", 0)
+        known = self.classes
+        label = self.module.step(*row[:-1], allowed=lambda j: known.get(j, y) == y and (allowed is None or allowed(j)))[0]
+        if getattr(self.module, "prunes", 0) != before:
+            number = self.module.renumbered
+            self.classes = {number[j]: c for j, c in known.items() if j in number}
+        if label >= 0:
+            self.classes.setdefault(label, y)
+        return label, y
+
+    def predict(self, *row):
+        j = self.module.predict(*row[: len(self.module.inputs)])[0]
+        return j, self.classes.get(j, -1)
+
+    def predict_rows(self, columns):
+        j = self.module.predict_rows(columns[: len(self.module.inputs)])[:, 0]
+        return np.stack([j, np.array([self.classes.get(k, -1) for k in j.tolist()], np.int64)], 1)
+
+    def export(self):
+        yield from super().export()
+        for j, c in sorted(self.classes.items()):
+            yield "classes", j, [], 0, c, None
+
+    def load(self, rows):
+        super().load(rows)
+        self.classes = {int(r[1]): int(r[4]) for r in rows if r[0] == "classes"}
+
+
+class Guarded(Nested):
+    """Any learner with a predicate on its categories and hooks around its steps.
+
+    allowed(row, category, module, memory) tells whether a category may take a row; one
+    that passes the vigilance and is refused moves it by the module's tracking rule.
+    before(row, module, memory) and after(row, labels, module, memory) run around a step.
+    memory is a dict of numbers or lists of numbers, part of the exported state, so that a
+    fit goes on with it. The functions travel to the executors with the learner.
+    """
+
+    def __init__(self, module: Learner, allowed=None, before=None, after=None, memory: dict | None = None):
+        super().__init__(module)
+        self.allowed, self.before, self.after, self.memory = allowed, before, after, memory or {}
+
+    def step(self, *row, allowed=None):
+        if self.before:
+            self.before(row, self.module, self.memory)
+        mine = self.allowed and (lambda j: bool(self.allowed(row, j, self.module, self.memory)))
+        test = mine if allowed is None else allowed if not mine else (lambda j: allowed(j) and mine(j))
+        labels = self.module.step(*row, allowed=test) if test else self.module.step(*row)
+        if self.after:
+            self.after(row, labels, self.module, self.memory)
+        return labels
+
+    def export(self):
+        yield from super().export()
+        for name, value in sorted(self.memory.items()):
+            yield f"memory:{name}", int(np.ndim(value)), [float(v) for v in np.atleast_1d(value)], 0, None, None
+
+    def load(self, rows):
+        super().load(rows)
+        for module, many, w, *_ in rows:
+            if module.startswith("memory:"):
+                self.memory[module.removeprefix("memory:")] = list(w) if many else w[0]
+
+
 class CalinskiHarabasz:
     """The index kept up to date: per cluster its count, mean and scatter; rows may be added, removed or moved.
 

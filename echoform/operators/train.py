@@ -13,7 +13,7 @@ their own. Ties of the order column are broken by the inputs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echoform.operators.learners import Learner
+from echoform.operators.learners import Guarded, Learner
 from echoform.session import ship
 from echoform.sources.tables import written
 
@@ -121,12 +121,15 @@ def _weight_rows(model: str, learner: Learner) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, _OUT)
 
 
-def fold(rows: DataFrame, learner: Learner, order: str, inputs: Sequence[str], by: Sequence[str] = (), epochs: int = 1, start: DataFrame | None = None, partitions: int | None = None, check: bool = True) -> Fitted:
+def fold(rows: DataFrame, learner: Learner, order: str, inputs: Sequence[str], by: Sequence[str] = (), epochs: int = 1, start: DataFrame | None = None, partitions: int | None = None, check: bool = True, allowed: Callable | None = None, hooks: tuple[Callable | None, Callable | None] = (None, None)) -> Fitted:
     """Fit a learner for each key, in order. start: weights of an earlier fit to go on from; check: whether rows must keep the kernels' rules.
 
     With several epochs the rows are streamed that often and the last labels count.
+    allowed and hooks (before and after a step) are those of learners.Guarded.
     """
     spark = ship(rows.sparkSession)
+    if allowed or any(hooks):
+        learner = Guarded(learner, allowed, *hooks)
     data = rows.select(model_key(by).alias("model"), F.lit(1).alias("part"), F.lit(0).alias("epoch"), F.col(order).cast("long").alias("sample_id"), *[F.col(c).alias(f"i{k}") for k, c in enumerate(inputs)])
     if epochs > 1:
         data = data.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from echoform.functions import kernels as native
 from echoform.functions import prep
+from echoform.functions.preparation import Preparation
 from echoform.operators import compound
 from echoform.operators.kernels import ART1, ART2A, Bayesian, BinaryFuzzy, Ellipsoid, Fuzzy, Gaussian, Hypersphere, QuadraticNeuron
-from echoform.operators.learners import Clusterer, Deep, DualVigilance, Fusion, MapClassifier, OnlineValidity, Smart, Topology, TwoSided
+from echoform.operators.learners import Clusterer, Deep, DualVigilance, Fusion, MapClassifier, Mapped, OnlineValidity, Smart, Topology, TwoSided
 from echoform.operators.sequences import SequenceClusterer
 from echoform.operators.train import Fitted, apply, first_label, fold
 from echoform.plans import oracles
@@ -72,6 +73,51 @@ def native_fuzzy_fit(spark, sf_dir):
     return native_fit(customers(spark, sf_dir, True), native.fuzzy(2, 0.01, 1.0), 0.8, by=NATION)
 
 
+# Fitted preparation: bounds of the first half of the customers, used for all
+
+
+_KEYS = ["c_custkey", "c_acctbal"]
+_HALF = """b AS (SELECT min(c_custkey) AS a0, max(c_custkey) AS z0, min(c_acctbal) AS a1, max(c_acctbal) AS z1 FROM customer WHERE c_custkey % 2 = 0 AND c_acctbal BETWEEN 0 AND 9000)"""
+
+
+def half_prepared(spark, sf_dir, clip=False):
+    """(all customers, a preparation fitted on those with even keys and usual balances)."""
+    rows = table(spark, sf_dir, "customer")
+    return rows, Preparation.of({"id": ["c_custkey"], "money": ["c_acctbal"]}, clip=clip).fit(rows.where("c_custkey % 2 = 0 AND c_acctbal BETWEEN 0 AND 9000"))
+
+
+@query(f"WITH {_HALF} SELECT c_custkey, list_filter([CASE WHEN c_custkey NOT BETWEEN a0 AND z0 THEN 'id' END, CASE WHEN c_acctbal NOT BETWEEN a1 AND z1 THEN 'money' END], lambda v: v IS NOT NULL) AS refused FROM customer, b")
+def refused_rows(spark, sf_dir):
+    """Which channels of each customer a fitted preparation refuses."""
+    rows, model = half_prepared(spark, sf_dir)
+    return model.refused(rows).select("c_custkey", "refused")
+
+
+@query(f"WITH {_HALF} SELECT c_custkey AS sample_id, round(greatest(a0, least(z0, c_custkey))::DOUBLE, 6) AS id, round(greatest(a1, least(z1, c_acctbal))::DOUBLE, 6) AS money FROM customer, b")
+def restored_channels(spark, sf_dir):
+    """Two channels prepared, joined, split and restored: the numbers themselves, held to the bounds."""
+    rows, model = half_prepared(spark, sf_dir, clip=True)
+    got = model.transform(rows.withColumn("sample_id", F.col("c_custkey"))).withColumn("joined", model.joined())
+    for channel, part in model.split(F.col("joined")).items():
+        got = model.restore(got.withColumn(channel, part), channel)
+    return got.select("sample_id", F.round("c_custkey", 6).alias("id"), F.round("c_acctbal", 6).alias("money"))
+
+
+_USUAL = """b AS (SELECT min(c_custkey % 101)::DOUBLE AS a0, max(c_custkey % 101)::DOUBLE AS z0, min(c_acctbal) AS a1, max(c_acctbal) AS z1 FROM customer WHERE c_acctbal BETWEEN 0 AND 9000),
+n AS (SELECT c_nationkey::VARCHAR AS g, c_custkey AS i, c_acctbal BETWEEN 0 AND 9000 AS usual, ((c_custkey % 101) - a0) / (z0 - a0) AS u, (greatest(a1, least(z1, c_acctbal)) - a1) / (z1 - a1) AS v FROM customer, b),
+p AS (SELECT g, i, row_number() OVER (PARTITION BY g ORDER BY i) AS k, [u, v, 1 - u, 1 - v] AS x FROM n WHERE usual)"""
+
+
+@query(oracles.predicted(_USUAL, oracles.fuzzy(0.8, 0.01), "SELECT g, i, [u, v, 1 - u, 1 - v] AS x FROM n"))
+def clipped_prediction(spark, sf_dir):
+    """Models of customers with usual balances, and what they say of all customers once those are clipped to the bounds."""
+    rows = table(spark, sf_dir, "customer").withColumn("spread", F.col("c_custkey") % 101).withColumn("sample_id", F.col("c_custkey"))
+    usual = rows.where("c_acctbal BETWEEN 0 AND 9000")
+    model = Preparation.of({"x": ["spread", "c_acctbal"]}).fit(usual)
+    fitted = fold(model.transform(usual), Clusterer(Fuzzy(0.8, 0.01, 1.0)), "sample_id", ["x"], NATION)
+    return apply(model.clipping().transform(rows), fitted, ["x"], by=NATION).select("model", "sample_id", first_label().alias("cluster_id"))
+
+
 # Line items
 
 
@@ -242,6 +288,40 @@ def td_falcon(spark, sf_dir):
     return agent.best_action(rows, actions).withColumn("reward", F.round("reward", 12))
 
 
+# Predicates, hooks and modules
+
+_MODULE = [oracles.fuzzy(0.6, 0.01)] * 2, [0.5, 0.5]
+EVENTS_MAPPED = EVENTS.replace("[u, v, 1 - u, 1 - v] AS x0, list_concat(kind, list_transform(kind, lambda q: 1 - q)) AS x1 FROM n)", "[u, 1 - u] AS x0, [v, 1 - v] AS x1, list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type)::BIGINT AS y FROM n)") + ", p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY i) AS k FROM c)"
+
+
+@query(oracles.capped(of_customers(oracles.CODED), oracles.fuzzy(0.6, 0.01), 6))
+def capped_fit(spark, sf_dir):
+    """Categories of at most six customers: a predicate on the category's number of rows."""
+    return labels_of(fold(customers(spark, sf_dir, True), Clusterer(Fuzzy(0.6, 0.01)), "sample_id", ["x"], NATION, allowed=lambda row, j, own, memory: own.cats.n[j] < 6))
+
+
+def _remember(row, labels, own, memory):
+    memory["last"] = labels[0]
+
+
+@query(oracles.allowed(of_customers(oracles.CODED), oracles.fuzzy(0.6, 0.01), "j - 1 <> c"))
+def alternating_fit(spark, sf_dir):
+    """No category takes two customers of a nation in a row: a hook remembers the last one, a predicate refuses it."""
+    fitted = fold(customers(spark, sf_dir, True), Clusterer(Fuzzy(0.6, 0.01)), "sample_id", ["x"], NATION, allowed=lambda row, j, own, memory: j != memory.get("last", -1), hooks=(None, _remember))
+    return labels_of(fitted)
+
+
+@query(oracles.mapped_fused(EVENTS_MAPPED, *_MODULE))
+def mapped_fusion(spark, sf_dir):
+    """The kind of each user's events from two fused channels, value and hour: fused channels as the module of a map."""
+    rows = events(spark, sf_dir).withColumn("y", F.array_position(F.array(*[F.lit(a) for a in _ACTIONS]), F.col("event_type")))
+    pick = lambda i: F.array(F.get("state", F.lit(i)), F.get("state", F.lit(i + 2)))
+    rows = rows.withColumn("x0", pick(0)).withColumn("x1", pick(1))
+    fitted = fold(rows, Mapped(Fusion(tuple(Fuzzy(0.6, 0.01) for _ in range(2)), (0.5, 0.5))), "sample_id", ["x0", "x1", "y"], USER)
+    got = apply(rows, fitted, ["x0", "x1"], by=USER)
+    return got.select("model", "sample_id", first_label().alias("cluster_id"), F.get("labels", F.lit(1)).alias("predicted"))
+
+
 @query()
 def validity_guided(spark, sf_dir):
     return compound.validity_guided(customers(spark, sf_dir, True), Fuzzy(0.5, 0.01), "ch", NATION)

@@ -167,12 +167,37 @@ def applied(rows: str, terms: Terms) -> str:
     return f"WITH RECURSIVE {rows},\n{state}, {LAST}\nSELECT model, cluster_id, count(*) AS n FROM (SELECT p.g AS model, {top} AS cluster_id FROM p JOIN z ON p.g = z.g) GROUP BY ALL"
 
 
+def predicted(rows: str, terms: Terms, every: str) -> str:
+    """model, sample_id, cluster_id of other rows (g, i, x) under the fitted models."""
+    state = _state({"ws": _W}, _next(terms, "ws", "best"), f"SELECT p.g, p.k, x, ws, {_first(terms, 'ws')} AS best {JOIN}")
+    top = f"-list_max(list_transform(ws, lambda w, j: {{'t': ({terms.choice})::DOUBLE, 'k': -j}})).k - 1"
+    return f"WITH RECURSIVE {rows},\n{state}, {LAST}\nSELECT e.g AS model, i AS sample_id, {top} AS cluster_id FROM ({every}) e JOIN z ON e.g = z.g"
+
+
 def allowed(rows: str, terms: Terms, test: str, method: str = "MT+", epsilon: float = 0.0, more: str = "") -> str:
     """model, sample_id, cluster_id where a category takes a row only if a test of x, w and j holds."""
     state = _state({"i": "0::BIGINT", "ws": _W, "c": "-1::BIGINT"}, f"i, {_next(terms, 'ws', 'best')}, coalesce(best, len(ws) + 1) - 1", f"SELECT p.g, p.k, p.i, x, ws, {_searched(terms, 'ws', test, method, epsilon)} AS best {JOIN}")
     return f"WITH RECURSIVE {rows},\n{state}\nSELECT g AS model, i AS sample_id, c AS cluster_id FROM f WHERE k > 0{more}"
 
 
+def capped(rows: str, terms: Terms, most: int) -> str:
+    """model, sample_id, cluster_id where a category takes at most so many rows; one that is full and passes raises the bar."""
+    counts = "CASE WHEN best IS NULL THEN list_append(ns, 1) ELSE list_transform(ns, lambda n, j: CASE WHEN j = best THEN n + 1 ELSE n END) END"
+    state = _state({"i": "0::BIGINT", "ws": _W, "ns": _C, "c": "-1::BIGINT"}, f"i, {_next(terms, 'ws', 'best')}, {counts}, coalesce(best, len(ws) + 1) - 1", f"SELECT p.g, p.k, p.i, x, ws, ns, {_searched(terms, 'ws', f'ns[j] < {most}', 'MT+', 0.0)} AS best {JOIN}")
+    return f"WITH RECURSIVE {rows},\n{state}\nSELECT g AS model, i AS sample_id, c AS cluster_id FROM f WHERE k > 0"
+
+
+def mapped_fused(rows: str, channels: list[Terms], gamma: list[float]) -> str:
+    """model, sample_id, cluster_id, predicted: fused channels as the module of a map onto the classes y of rows p(g, i, k, x0, x1, ..., y)."""
+    best = _fused_search(channels, gamma, "cs[j] = y")
+    names = ", ".join(f"x{i}" for i in range(len(channels)))
+    learnt = ", ".join(channel(c.update, i) for i, c in enumerate(channels))
+    step = f"CASE WHEN best IS NULL THEN list_append(ws, [{names}]) ELSE list_transform(ws, lambda w, j: CASE WHEN j = best THEN [{learnt}] ELSE w END) END, CASE WHEN best IS NULL THEN list_append(cs, y) ELSE cs END"
+    state = _state({"ws": "[]::DOUBLE[][][]", "cs": _C}, step, f"SELECT p.g, p.k, {names}, y, ws, cs, {best} AS best {JOIN}")
+    found = f"SELECT p.g, p.i, cs, {chosen(channels, gamma, ())} AS j FROM p JOIN z ON p.g = z.g"
+    return f"WITH RECURSIVE {rows},\n{state}, {LAST}\nSELECT g AS model, i AS sample_id, j - 1 AS cluster_id, cs[j] AS predicted FROM ({found})"
+
+
 def dual(rows: str, terms: Terms, lower: float) -> str:
     """model, sample_id, cluster_id under two vigilances."""
     found = f"list_max(list_filter(list_transform(ws, lambda w, j: CASE WHEN ({terms.match}) >= {lower!r} AND ({terms.choice}) > 0 THEN {{'t': ({terms.choice})::DOUBLE, 'k': -j, 'm': ({terms.match})::DOUBLE}} END), lambda s: s IS NOT NULL))"
@@ -275,17 +300,22 @@ def channel(terms: str, i: int) -> str:
     return terms.replace("list_zip(x, w)", f"list_zip(x{i}, w[{i + 1}])").replace("list_sum(w)", f"list_sum(w[{i + 1}])").replace("len(x)", f"len(x{i})")
 
 
+def _fused_search(channels: list[Terms], gamma: list[float], ok: str = "true") -> str:
+    """The category that takes a row in all channels, of those that a test of w and j allows."""
+    n = range(len(channels))
+    total = " + ".join(f"{g!r} * ({channel(c.choice, i)})" for i, (c, g) in enumerate(zip(channels, gamma, strict=True)))
+    matches = ", ".join(f"'m{i}': ({channel(c.match, i)})::DOUBLE" for i, c in enumerate(channels))
+    listed = f"list_sort(list_transform(ws, lambda w, j: {{'a': -(({total})::DOUBLE), 'j': j, 'ok': coalesce(({ok})::BOOLEAN, false), {matches}}}))"
+    rules = "s.ok AND " + " AND ".join(f"s.m{i} >= {c.rho!r} AND coalesce(s.m{i} >= list_max(list_transform(found[1:r - 1], lambda q: q.m{i})), true)" for i, c in enumerate(channels))
+    return f"list_transform([{listed}], lambda found: list_filter(found, lambda s, r: {rules})[1].j)[1]"
+
+
 def fused(channels: list[Terms], gamma: list[float], start: str = "") -> str:
     """f(g, k, ws): a fused fit of rows p(g, i, k, x0, x1, ...), a list of weights for each category; z: the last state. Fuzzy channels with epsilon 0.
 
     Vigilance rises to the matches of every category that fails, in the channels where it passed.
     """
-    n = range(len(channels))
-    total = " + ".join(f"{g!r} * ({channel(c.choice, i)})" for i, (c, g) in enumerate(zip(channels, gamma, strict=True)))
-    matches = ", ".join(f"'m{i}': ({channel(c.match, i)})::DOUBLE" for i, c in enumerate(channels))
-    listed = f"list_sort(list_transform(ws, lambda w, j: {{'a': -(({total})::DOUBLE), 'j': j, {matches}}}))"
-    rules = " AND ".join(f"s.m{i} >= {c.rho!r} AND coalesce(s.m{i} >= list_max(list_transform(found[1:r - 1], lambda q: q.m{i})), true)" for i, c in enumerate(channels))
-    best = f"list_transform([{listed}], lambda found: list_filter(found, lambda s, r: {rules})[1].j)[1]"
+    best, n = _fused_search(channels, gamma), range(len(channels))
     rows = ", ".join(f"x{i}" for i in n)
     learnt = ", ".join(channel(c.update, i) for i, c in enumerate(channels))
     step = f"CASE WHEN best IS NULL THEN list_append(ws, [{rows}]) ELSE list_transform(ws, lambda w, j: CASE WHEN j = best THEN [{learnt}] ELSE w END) END"
