@@ -56,6 +56,35 @@ def regress(rows: DataFrame, fitted: Fitted, inputs: Sequence[str] = ("x",), sam
     return got.join(known, ["model", "cluster_b"], "left")
 
 
+def relabel(rows: DataFrame, fitted: Fitted, inputs: Sequence[str] = ("x",), sample: str = "sample_id", by: Sequence[str] = ()) -> DataFrame:
+    """(model, sample_id, cluster_id) of a topology's rows under the categories that its prunes have left.
+
+    A row's label is of the numbering at its time. The prune log's maps are composed from
+    the last one back, one scan over a model's prunes, and met by the round of each row.
+    Only rows whose category is gone are looked at again: they go to the most active
+    category left (-1 where none is). Sample ids have to be unique in a model.
+    """
+    log = fitted.weights.where("module = 'pruned'").select("model", F.col("cluster_id").cast("long").alias("round"), "links")
+    rounds = log.groupBy("model").agg(F.sort_array(F.collect_list(F.struct((-F.col("round")).alias("back"), "links"))).alias("log"))
+    every = lambda links, first: F.filter(links, lambda _, i: i % 2 == first)
+    none = F.lit(None).cast("map<bigint,bigint>")
+    zero = F.struct(none.alias("now"), F.array().cast("array<struct<round: bigint, number: map<bigint,bigint>>>").alias("out"))
+
+    def step(state, prune):
+        number = F.map_from_arrays(every(prune["links"], 0), every(prune["links"], 1))
+        on = F.map_filter(F.transform_values(number, lambda _, v: F.element_at(state["now"], v)), lambda _, v: v.isNotNull())
+        composed = F.when(state["now"].isNull(), number).otherwise(on)
+        return F.struct(composed.alias("now"), F.array_append(state["out"], F.struct((-prune["back"]).alias("round"), composed.alias("number"))).alias("out"))
+
+    maps = rounds.select("model", F.explode(F.aggregate("log", zero, step, lambda s: s["out"])).alias("m")).select("model", "m.round", F.col("m.number").alias("number"), F.lit(True).alias("pruned"))
+    labels = fitted.labels.select("model", "sample_id", first_label().alias("old"), F.get("labels", F.lit(1)).alias("round"))
+    met = labels.join(maps, ["model", "round"], "left")
+    met = met.select("model", "sample_id", F.when(F.col("pruned"), F.element_at("number", F.col("old"))).otherwise(F.col("old")).alias("cluster_id"))
+    dead = rows.withColumn("_model", model_key(by)).join(met.where("cluster_id is null").select(F.col("model").alias("_model"), F.col("sample_id").alias(sample)), ["_model", sample], "left_semi")
+    again = apply(dead, fitted, inputs, sample, by).select("model", "sample_id", first_label().alias("cluster_id"))
+    return met.where("cluster_id is not null").unionByName(again)
+
+
 def fusion_predict(rows: DataFrame, fitted: Fitted, inputs: Sequence[str | None], sample: str = "sample_id", by: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """Labels with some channels skipped (None)."""
     learner: Fusion = fitted.learner

@@ -272,10 +272,13 @@ class Topology(Learner):
     """Topological clustering: the first resonant category learns at beta, the second at beta_lower, and an edge joins them.
 
     Every tau rows, categories with fewer than phi rows go unless they are permanent.
-    step() gives the label at its time, before later prunes; the labels of all rows
-    under the categories that are left are those of apply(), which is one map over them.
+    step() gives the label at its time and the number of prunes before it. The prune log,
+    part of the state, tells what became of each number; compound.relabel() composes it,
+    so that labels are those of the categories left.
     """
 
+    inputs, outputs = ("x",), 2
+
     kernel: Kernel
     beta_lower: float = 0.5
     tau: int = 100
@@ -287,6 +290,7 @@ class Topology(Learner):
     permanent: list[bool] = field(default_factory=list)
     seen: int = 0
     prunes: int = 0
+    log: list[dict[int, int]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         if not hasattr(self.kernel, "beta") or self.kernel.beta < self.beta_lower:
@@ -296,26 +300,23 @@ class Topology(Learner):
 
     def step(self, x, allowed=None):
         self.seen += 1
-        label = self._learn(x, allowed)
+        label, prunes = self._learn(x, allowed), self.prunes
         if self.seen % self.tau == 0:
-            label = self.prune().get(label, -1)
-            if label < 0 and self.cats.size:
-                label = nearest(self.kernel, self.cats, x)
-        return (label,)
+            self.prune()
+        return label, prunes
 
     def step_rows(self, columns):
         x = columns[0]
         if not _matrix(self.kernel, x):
             return super().step_rows(columns)
-        out, at = np.empty((len(x), 1), np.int64), 0
+        out, at = np.empty((len(x), 2), np.int64), 0
         while at < len(x):
             n = min(self.tau - self.seen % self.tau, len(x) - at, Tile.rows(self.kernel, self.cats, x.shape[1]))
-            out[at : at + n, 0] = self._learn_tile(x[at : at + n])
+            out[at : at + n, 0], out[at : at + n, 1] = self._learn_tile(x[at : at + n]), self.prunes
             self.seen += n
             at += n
             if self.seen % self.tau == 0:
-                label = self.prune().get(int(out[at - 1, 0]), -1)
-                out[at - 1, 0] = nearest(self.kernel, self.cats, x[at - 1]) if label < 0 and self.cats.size else label
+                self.prune()
         return out
 
     def _learn_tile(self, x: np.ndarray) -> np.ndarray:
@@ -389,16 +390,17 @@ class Topology(Learner):
         self.permanent = [True] * len(number)
         self.edges = {(number[a], number[b]): n for (a, b), n in self.edges.items() if a in number and b in number}
         self.prunes += 1
-        self.renumbered = number
+        self.log.append(number)
         return number
 
     def predict(self, x):
-        return (nearest(self.kernel, self.cats, x),)
+        return nearest(self.kernel, self.cats, x), self.prunes
 
     def predict_rows(self, columns):
         if not _matrix(self.kernel, columns[0]):
             return super().predict_rows(columns)
-        return nearest_rows(self.kernel, self.cats, columns[0])[:, None]
+        j = nearest_rows(self.kernel, self.cats, columns[0])
+        return np.stack([j, np.full(len(j), self.prunes)], 1)
 
     def export(self):
         links: dict[int, list[int]] = {}
@@ -407,12 +409,16 @@ class Topology(Learner):
         for module, j, w, n, _, _ in _export("a", self.cats):
             yield module, j, w, n, int(self.permanent[j]), links.get(j, [])
         yield "seen", 0, [], self.seen, self.prunes, None
+        for k, number in enumerate(self.log):
+            yield "pruned", k, [], 0, None, [v for pair in sorted(number.items()) for v in pair]
 
     def load(self, rows):
         self.cats, permanent = _load(rows, "a")
         self.permanent = [bool(permanent.get(j)) for j in range(self.cats.size)]
         self.edges = {(r[1], b): c for r in rows if r[0] == "a" and r[5] for b, c in zip(r[5][::2], r[5][1::2], strict=True)}
         self.seen, self.prunes = next(((int(r[3]), int(r[4])) for r in rows if r[0] == "seen"), (0, 0))
+        known = sorted((int(r[1]), r[5] or []) for r in rows if r[0] == "pruned")
+        self.log = [dict(zip(v[::2], v[1::2], strict=True)) for _, v in known]
 
 
 @dataclass
@@ -746,6 +752,14 @@ class Nested(Learner):
     def input_kernels(self):
         return self.module.input_kernels
 
+    @property
+    def prunes(self) -> int:
+        return getattr(self.module, "prunes", 0)
+
+    @property
+    def log(self) -> list[dict[int, int]]:
+        return getattr(self.module, "log", [])
+
     def finish(self):
         self.module.finish()
 
@@ -775,15 +789,15 @@ class Mapped(Nested):
         self.inputs, self.outputs, self.classes = (*module.inputs, "y"), 2, classes or {}
 
     def step(self, *row, allowed=None):
-        y, before = int(row[-1]), getattr(self.module, "prunes", 0)
+        y, before = int(row[-1]), self.prunes
         known = self.classes
         label = self.module.step(*row[:-1], allowed=lambda j: known.get(j, y) == y and (allowed is None or allowed(j)))[0]
-        if getattr(self.module, "prunes", 0) != before:
-            number = self.module.renumbered
+        if self.prunes != before:
+            number = self.log[-1]
             self.classes = {number[j]: c for j, c in known.items() if j in number}
-        if label >= 0:
-            self.classes.setdefault(label, y)
-        return label, y
+            taken, label = label, number.get(label, -1)
+            return taken, y if label < 0 else self.classes.setdefault(label, y)
+        return label, self.classes.setdefault(label, y)
 
     def predict(self, *row):
         j = self.module.predict(*row[: len(self.module.inputs)])[0]

@@ -7,7 +7,7 @@ model at a time (oracles.py). Numbers are rounded on both sides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from echoform.functions import kernels as native
@@ -159,6 +159,15 @@ def topo_edges(spark, sf_dir):
     return edges.select("model", "src", F.col("e.dst").alias("dst"), F.col("e.weight").alias("weight"))
 
 
+@query(oracles.topology(of_lines(*SUPPLIER), oracles.fuzzy(0.6, 0.01), 0.5, 100, 5, labels=True))
+def topo_labels(spark, sf_dir):
+    """Rows of each category that a supplier's topology has left, once all labels are brought to its last numbering."""
+    numbered = F.row_number().over(Window.partitionBy(*SUPPLIER).orderBy("sample_id", "x"))
+    rows = lines(spark, sf_dir).withColumn("sample_id", numbered)
+    fitted = fold(rows, Topology(Fuzzy(0.6, 0.01, 1.0), 0.5, tau=100, phi=5), "sample_id", ["x"], by=SUPPLIER)
+    return compound.relabel(rows, fitted, ["x"], by=SUPPLIER).groupBy("model", "cluster_id").agg(F.count("*").alias("n"))
+
+
 # Supervised models: vectors of each shard
 
 

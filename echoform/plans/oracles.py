@@ -258,8 +258,8 @@ SELECT g AS model, i AS sample_id, cb AS cluster_b, round((vs[cb + 1][1] + 1 - v
 FROM (SELECT p.g, p.i, vs, cs[{top}] AS cb FROM p JOIN z ON p.g = z.g)"""
 
 
-def topology(rows: str, terms: Terms, beta_lower: float, tau: int, phi: int) -> str:
-    """model, src, dst, weight: edges between the first and the second resonant category, with prunes every tau rows. Fast learning of the first."""
+def topology(rows: str, terms: Terms, beta_lower: float, tau: int, phi: int, labels: bool = False) -> str:
+    """model, src, dst, weight (or model, cluster_id, n, if labels: rows under the categories left): edges between the first and the second resonant category, with prunes every tau rows. Fast learning of the first."""
     found = f"list_transform(list_sort(list_filter(list_transform(ws, lambda w, j: {{'a': -(({terms.choice})::DOUBLE), 'j': j, 'm': ({terms.match})::DOUBLE}}), lambda s: s.m >= {terms.rho!r}))[1:2], lambda s: s.j)"
     slow = f"list_transform(list_zip(w, ({terms.update})), lambda z: {beta_lower!r} * z[2] + (1 - {beta_lower!r}) * z[1])"
     learnt = f"CASE WHEN len(best) = 0 THEN list_append(ws, {terms.new}) ELSE list_transform(ws, lambda w, j: CASE WHEN j = best[1] THEN {terms.update} WHEN j = best[2] THEN {slow} ELSE w END) END"
@@ -267,13 +267,18 @@ def topology(rows: str, terms: Terms, beta_lower: float, tau: int, phi: int) ->
     lasting = "CASE WHEN len(best) = 0 THEN list_append(ps, 0) ELSE ps END"
     known = "len(list_filter(es, lambda e: e[1] = best[1] AND e[2] = best[2])) > 0"
     edges = f"CASE WHEN len(best) < 2 THEN es WHEN {known} THEN list_transform(es, lambda e: CASE WHEN e[1] = best[1] AND e[2] = best[2] THEN [e[1], e[2], e[3] + 1] ELSE e END) ELSE list_append(es, [best[1], best[2], 1]) END"
-    inner = f"SELECT g, k, {learnt} AS ws, {counts} AS ns, {lasting} AS ps, {edges} AS es FROM (SELECT p.g, p.k, x, ws, ns, ps, es, {found} AS best {JOIN})"
+    inner = f"SELECT g, k, {learnt} AS ws, {counts} AS ns, {lasting} AS ps, {edges} AS es, list_append(ids, i) AS ids, list_append(ls, coalesce(best[1], len(ws) + 1)) AS ls FROM (SELECT p.g, p.k, p.i, x, ws, ns, ps, es, ids, ls, {found} AS best {JOIN})"
     left = "list_filter(range(1, len(ns) + 1), lambda j: ps[j] = 1 OR ns[j] >= @)".replace("@", str(phi))
     inner = f"SELECT *, CASE WHEN k % {tau} = 0 THEN {left} END AS kept FROM ({inner})"
     cut = lambda c: f"CASE WHEN kept IS NULL THEN {c} ELSE list_transform(kept, lambda j: {c}[j]) END"
     moved = "list_transform(list_filter(es, lambda e: list_contains(kept, e[1]) AND list_contains(kept, e[2])), lambda e: [list_position(kept, e[1]), list_position(kept, e[2]), e[3]])"
-    step = f"{cut('ws')}, {cut('ns')}, CASE WHEN kept IS NULL THEN ps ELSE list_transform(kept, lambda j: 1::BIGINT) END, CASE WHEN kept IS NULL THEN es ELSE {moved} END"
-    state = _state({"ws": _W, "ns": _C, "ps": _C, "es": "[]::BIGINT[][]"}, step, inner)
+    step = f"{cut('ws')}, {cut('ns')}, CASE WHEN kept IS NULL THEN ps ELSE list_transform(kept, lambda j: 1::BIGINT) END, CASE WHEN kept IS NULL THEN es ELSE {moved} END, ids, CASE WHEN kept IS NULL THEN ls ELSE list_transform(ls, lambda l: list_position(kept, l)) END"
+    state = _state({"ws": _W, "ns": _C, "ps": _C, "es": "[]::BIGINT[][]", "ids": _C, "ls": _C}, step, inner)
+    if labels:
+        top = f"-list_max(list_transform(ws, lambda w, j: {{'t': ({terms.choice})::DOUBLE, 'k': -j}})).k"
+        listed = "SELECT g, ws, unnest(ids) AS i, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS k FROM z"
+        found = f"SELECT s.g, coalesce(l, {top}) - 1 AS c FROM ({listed}) s JOIN p ON p.g = s.g AND p.k = s.k"
+        return f"WITH RECURSIVE {rows},\n{state}, {LAST}\nSELECT g AS model, c::BIGINT AS cluster_id, count(*) AS n FROM ({found}) GROUP BY ALL"
     return f"WITH RECURSIVE {rows},\n{state}, {LAST}\nSELECT model, e[1] - 1 AS src, e[2] - 1 AS dst, e[3] AS weight FROM (SELECT g AS model, unnest(es) AS e FROM z)"
 
 
