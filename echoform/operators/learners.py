@@ -41,6 +41,10 @@ class Learner:
         """step() for rows given as columns, one line of labels for each row."""
         return np.array([self.step(*row) for row in zip(*columns, strict=True)], np.int64).reshape(-1, self.outputs)
 
+    def modules(self) -> dict[str, Categories]:
+        """Category tables by the names that export() gives them."""
+        return {"a": self.cats}
+
     def finish(self) -> None:
         """Called once after the last row."""
 
@@ -200,6 +204,9 @@ class TwoSided(Learner):
     def predict_rows(self, columns):
         return self.a.predict_rows([columns[0], np.zeros(len(columns[0]), np.int64)])
 
+    def modules(self):
+        return {"a": self.a.cats, "b": self.b.cats}
+
     def centres(self) -> np.ndarray:
         """Centre of each cluster of b, for regression."""
         return np.array([self.kernel_b.centre(w) for w in self.b.cats.w])
@@ -402,6 +409,9 @@ class Topology(Learner):
         j = nearest_rows(self.kernel, self.cats, columns[0])
         return np.stack([j, np.full(len(j), self.prunes)], 1)
 
+    def modules(self):
+        raise ValueError("a topology renumbers its categories, so there is no history of them by number")
+
     def export(self):
         links: dict[int, list[int]] = {}
         for (a, b), c in sorted(self.edges.items()):
@@ -488,6 +498,9 @@ class Deep(Learner):
             out.append(label)
         return tuple(reversed(out))
 
+    def modules(self):
+        return ({} if self.base is None else {"base": self.base.cats}) | {f"layer{i}": layer.cats for i, layer in enumerate(self.layers)}
+
     def export(self):
         if self.base is not None:
             yield from _export("base", self.base.cats)
@@ -704,6 +717,9 @@ class Fusion(Learner):
         j = self.predict(*xs, skip=targets)[0]
         return [self.kernels[t].centre(self.cats[t].w[j]) for t in targets]
 
+    def modules(self):
+        return {f"channel{i}": c for i, c in enumerate(self.cats)}
+
     def export(self):
         for i, c in enumerate(self.cats):
             yield from _export(f"channel{i}", c)
@@ -752,6 +768,9 @@ class Nested(Learner):
     def input_kernels(self):
         return self.module.input_kernels
 
+    def modules(self):
+        return {f"module/{m}": c for m, c in self.module.modules().items()}
+
     @property
     def prunes(self) -> int:
         return getattr(self.module, "prunes", 0)

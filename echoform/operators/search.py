@@ -16,6 +16,7 @@ class Categories:
 
     def __init__(self) -> None:
         self._w, self._n, self.size = np.zeros((0, 0)), np.zeros(0, np.int64), 0
+        self.touched: list[int] | None = None  # where a list: numbers of categories that are new or have learnt
 
     @property
     def w(self) -> np.ndarray:
@@ -34,12 +35,16 @@ class Categories:
                 grown[: self.size], counts[: self.size] = self.w, self.n
             self._w, self._n = grown, counts
         self._w[self.size], self._n[self.size] = w, 1
+        if self.touched is not None:
+            self.touched.append(self.size)
         self.size += 1
         return self.size - 1
 
     def set(self, j: int, w: np.ndarray) -> None:
         self._w[j] = w
         self._n[j] += 1
+        if self.touched is not None:
+            self.touched.append(j)
 
     def keep(self, mask: np.ndarray) -> None:
         self._w, self._n = self.w[mask].copy(), self.n[mask].copy()

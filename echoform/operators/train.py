@@ -48,6 +48,17 @@ class Fitted:
         return self.table.where("kind = 'weight'").select("model", "module", "cluster_id", "w", "n", "mapped", "links")
 
 
+    @property
+    def history(self) -> DataFrame:
+        """Of a fit with history: model, step, sample_id, module, cluster_id and the weight and rows that the category has after the step."""
+        return self.table.where("kind = 'change'").select("model", first_label().alias("step"), "sample_id", "module", "cluster_id", "w", "n")
+
+    def at(self, step: int) -> DataFrame:
+        """model, module, cluster_id, w, n as they were after a step: of each category the last change up to it, one aggregation with partial maxima."""
+        then = self.history.where(F.col("step") <= step).groupBy("model", "module", "cluster_id").agg(F.max_by(F.struct("w", "n"), "step").alias("s"))
+        return then.select("model", "module", "cluster_id", "s.w", "s.n")
+
+
 def model_key(by: Sequence[str]) -> Column:
     """The name of the model that a row belongs to."""
     return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in by]) if by else F.lit("")
@@ -121,11 +132,13 @@ def _weight_rows(model: str, learner: Learner) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, _OUT)
 
 
-def fold(rows: DataFrame, learner: Learner, order: str, inputs: Sequence[str], by: Sequence[str] = (), epochs: int = 1, start: DataFrame | None = None, partitions: int | None = None, check: bool = True, allowed: Callable | None = None, hooks: tuple[Callable | None, Callable | None] = (None, None)) -> Fitted:
+def fold(rows: DataFrame, learner: Learner, order: str, inputs: Sequence[str], by: Sequence[str] = (), epochs: int = 1, start: DataFrame | None = None, partitions: int | None = None, check: bool = True, allowed: Callable | None = None, hooks: tuple[Callable | None, Callable | None] = (None, None), history: bool = False) -> Fitted:
     """Fit a learner for each key, in order. start: weights of an earlier fit to go on from; check: whether rows must keep the kernels' rules.
 
     With several epochs the rows are streamed that often and the last labels count.
-    allowed and hooks (before and after a step) are those of learners.Guarded.
+    allowed and hooks (before and after a step) are those of learners.Guarded. history
+    keeps a log of changes, a row for each category that a step adds or lets learn, from
+    which Fitted.at() gives the model after any step.
     """
     spark = ship(rows.sparkSession)
     if allowed or any(hooks):
@@ -141,7 +154,7 @@ def fold(rows: DataFrame, learner: Learner, order: str, inputs: Sequence[str], b
     count, width = len(inputs), 4 + len(inputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state, own = None, None, []
+        now, state, own, steps = None, None, [], 0
         inspect = Inspection(learner)
 
         def close() -> Iterator[pa.RecordBatch]:
@@ -156,7 +169,7 @@ def fold(rows: DataFrame, learner: Learner, order: str, inputs: Sequence[str], b
                 if model != now:
                     if now is not None:
                         yield from close()
-                    now, state, own = model, learner.fresh(), []
+                    now, state, own, steps = model, learner.fresh(), [], 0
                     inspect.start()
                 piece = batch.slice(a, b - a)
                 if part == 0:
@@ -168,7 +181,11 @@ def fold(rows: DataFrame, learner: Learner, order: str, inputs: Sequence[str], b
                 columns = [piece.column(4 + k) for k in range(count)]
                 values = _values(piece, 4, count)
                 inspect.rows(model, piece.column(3), columns, values, check)
-                got = state.step_rows(values)
+                if history:
+                    got, changes, steps = _logged(state, model, piece.column(3), values, steps)
+                    yield changes
+                else:
+                    got = state.step_rows(values)
                 if epoch == epochs - 1:
                     names.append(pa.array([model] * len(got)))
                     labels.append((piece.column(3), got))
@@ -183,6 +200,20 @@ def fold(rows: DataFrame, learner: Learner, order: str, inputs: Sequence[str], b
     return Fitted(learner, written(table, "fit"))
 
 
+def _logged(state: Learner, model: str, ids: pa.Array, columns: list, step: int) -> tuple[np.ndarray, pa.RecordBatch, int]:
+    """(labels, rows of the log, steps done) of learning rows one by one."""
+    labels, log = [], []
+    for c in state.modules().values():
+        c.touched = []
+    for i, row in zip(ids.to_pylist(), zip(*columns, strict=True), strict=True):
+        step += 1
+        labels.append(state.step(*row))
+        for name, c in state.modules().items():
+            log += [{"model": model, "kind": "change", "sample_id": i, "labels": [step], "module": name, "cluster_id": j, "w": c.w[j].tolist(), "n": int(c.n[j])} for j in sorted(set(c.touched))]
+            c.touched.clear()
+    return np.array(labels, np.int64).reshape(len(labels), -1), pa.RecordBatch.from_pylist(log, _OUT), step
+
+
 def _labels(models: pa.Array, ids: pa.Array, labels: np.ndarray) -> pa.RecordBatch:
     n = len(labels)
     lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * labels.shape[1]), pa.array(labels.ravel()))

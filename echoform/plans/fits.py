@@ -73,6 +73,13 @@ def native_fuzzy_fit(spark, sf_dir):
     return native_fit(customers(spark, sf_dir, True), native.fuzzy(2, 0.01, 1.0), 0.8, by=NATION)
 
 
+@query(oracles.at_step(of_customers("[u, v]"), oracles.hypersphere(0.85, 1e-10, 1.5), 20))
+def weights_by_step(spark, sf_dir):
+    """The balls of each nation as they were after twenty customers, from the log of changes of a whole fit."""
+    fitted = fold(customers(spark, sf_dir, False), Clusterer(Hypersphere(0.85, 1e-10, 1.0, 1.5)), "sample_id", ["x"], NATION, history=True)
+    return fitted.at(20).select("model", "cluster_id", F.transform("w", lambda v: F.round(v, 6)).alias("w"))
+
+
 # Fitted preparation: bounds of the first half of the customers, used for all
 
 

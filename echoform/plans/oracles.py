@@ -180,6 +180,12 @@ def allowed(rows: str, terms: Terms, test: str, method: str = "MT+", epsilon: fl
     return f"WITH RECURSIVE {rows},\n{state}\nSELECT g AS model, i AS sample_id, c AS cluster_id FROM f WHERE k > 0{more}"
 
 
+def at_step(rows: str, terms: Terms, step: int) -> str:
+    """model, cluster_id, w: the weights of each model after a step."""
+    state = _state({"ws": _W}, _next(terms, "ws", "best"), f"SELECT p.g, p.k, x, ws, {_first(terms, 'ws')} AS best {JOIN} AND p.k <= {step}")
+    return f"WITH RECURSIVE {rows},\n{state}, {LAST}\nSELECT g AS model, (unnest(range(len(ws))))::INT AS cluster_id, unnest(list_transform(ws, lambda w: list_transform(w, lambda v: round(v, 6)))) AS w FROM z"
+
+
 def capped(rows: str, terms: Terms, most: int) -> str:
     """model, sample_id, cluster_id where a category takes at most so many rows; one that is full and passes raises the bar."""
     counts = "CASE WHEN best IS NULL THEN list_append(ns, 1) ELSE list_transform(ns, lambda n, j: CASE WHEN j = best THEN n + 1 ELSE n END) END"

@@ -189,3 +189,23 @@ def test_temporal_differences_use_the_next_value(spark):
     assert len(best) == 60 and {r["action_id"] for r in best} == {0}
     pairs = {r["sample_id"]: r["reward"] for r in agent.action_rewards(steps.drop("action"), spark.createDataFrame([(0, [1.0, 0.0])], "action_id long, action array<double>")).collect()}
     assert pairs == {r["sample_id"]: r["reward"] for r in best}
+
+
+# History
+
+
+@pytest.mark.parametrize("learner", [Clusterer(Fuzzy(0.8, 0.01)), Fusion((Fuzzy(0.8, 0.01), Fuzzy(0.7, 0.01)), (0.5, 0.5)), Mapped(Clusterer(Fuzzy(0.7, 0.01)))], ids=["clusterer", "fusion", "mapped"])
+def test_history_gives_the_model_after_any_step(spark, learner):
+    xs = coded(90, seed=8)
+    rows = frame(spark, xs, y=[i % 3 for i in range(90)], z=[x[[1, 3]].tolist() for x in xs])
+    inputs = {"x": ["x"], "x0": ["x", "z"]}[learner.inputs[0]] + (["y"] if "y" in learner.inputs else [])
+    whole = fold(rows, learner, "sample_id", inputs, history=True)
+    cut = lambda df: sorted((r["module"], r["cluster_id"], tuple(r["w"]), r["n"]) for r in df.collect() if r["w"])
+    for step in (1, 30, 71, 90):
+        assert cut(whole.at(step)) == cut(fold(rows.where(f"sample_id < {step}"), learner, "sample_id", inputs).weights), step
+    assert whole.at(0).count() == 0 and sorted(r["labels"] for r in whole.labels.collect()) == sorted(r["labels"] for r in fold(rows, learner, "sample_id", inputs).labels.collect())
+
+
+def test_no_history_of_a_topology(spark):
+    with pytest.raises(Exception, match="renumbers"):
+        fold(frame(spark, coded(20)), Topology(Fuzzy(0.8, 0.01), 0.5, tau=10, phi=2), "sample_id", ["x"], history=True)
