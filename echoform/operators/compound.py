@@ -77,7 +77,7 @@ def relabel(rows: DataFrame, fitted: Fitted, inputs: Sequence[str] = ("x",), sam
         return F.struct(composed.alias("now"), F.array_append(state["out"], F.struct((-prune["back"]).alias("round"), composed.alias("number"))).alias("out"))
 
     maps = rounds.select("model", F.explode(F.aggregate("log", zero, step, lambda s: s["out"])).alias("m")).select("model", "m.round", F.col("m.number").alias("number"), F.lit(True).alias("pruned"))
-    labels = fitted.labels.select("model", "sample_id", first_label().alias("old"), F.get("labels", F.lit(1)).alias("round"))
+    labels = fitted.table.where("kind = 'row'").select("model", "sample_id", first_label().alias("old"), F.col("n").alias("round"))
     met = labels.join(maps, ["model", "round"], "left")
     met = met.select("model", "sample_id", F.when(F.col("pruned"), F.element_at("number", F.col("old"))).otherwise(F.col("old")).alias("cluster_id"))
     dead = rows.withColumn("_model", model_key(by)).join(met.where("cluster_id is null").select(F.col("model").alias("_model"), F.col("sample_id").alias(sample)), ["_model", sample], "left_semi")
@@ -367,6 +367,8 @@ class _Choice:
     def fresh(self) -> _Choice:
         return _Choice(self.learners)
 
+    aside = None
+
     def step_rows(self, columns):
         if self.chosen is None:
             self.chosen = self.learners[int(columns[0][0])].fresh()

@@ -25,6 +25,8 @@ class Learner:
 
     inputs: tuple[str, ...] = ("x",)
     outputs = 1
+    #: A number beside each label of the last step_rows(), kept with the labels; or none.
+    aside: np.ndarray | None = None
 
     def fresh(self) -> Learner:
         return copy.deepcopy(self)
@@ -279,13 +281,12 @@ class Topology(Learner):
     """Topological clustering: the first resonant category learns at beta, the second at beta_lower, and an edge joins them.
 
     Every tau rows, categories with fewer than phi rows go unless they are permanent.
-    step() gives the label at its time and the number of prunes before it. The prune log,
-    part of the state, tells what became of each number; compound.relabel() composes it,
-    so that labels are those of the categories left.
+    step() gives the label in the numbering at its time, before a prune that it brings
+    about; aside has the number of prunes before each row of the last step_rows(). The
+    prune log, part of the state, tells what became of each number; compound.relabel()
+    composes it, so that labels are those of the categories left.
     """
 
-    inputs, outputs = ("x",), 2
-
     kernel: Kernel
     beta_lower: float = 0.5
     tau: int = 100
@@ -307,19 +308,20 @@ class Topology(Learner):
 
     def step(self, x, allowed=None):
         self.seen += 1
-        label, prunes = self._learn(x, allowed), self.prunes
+        label = self._learn(x, allowed)
         if self.seen % self.tau == 0:
             self.prune()
-        return label, prunes
+        return (label,)
 
     def step_rows(self, columns):
         x = columns[0]
+        self.aside = self.prunes + (self.seen % self.tau + np.arange(len(x))) // self.tau
         if not _matrix(self.kernel, x):
             return super().step_rows(columns)
-        out, at = np.empty((len(x), 2), np.int64), 0
+        out, at = np.empty((len(x), 1), np.int64), 0
         while at < len(x):
             n = min(self.tau - self.seen % self.tau, len(x) - at, Tile.rows(self.kernel, self.cats, x.shape[1]))
-            out[at : at + n, 0], out[at : at + n, 1] = self._learn_tile(x[at : at + n]), self.prunes
+            out[at : at + n, 0] = self._learn_tile(x[at : at + n])
             self.seen += n
             at += n
             if self.seen % self.tau == 0:
@@ -401,13 +403,12 @@ class Topology(Learner):
         return number
 
     def predict(self, x):
-        return nearest(self.kernel, self.cats, x), self.prunes
+        return (nearest(self.kernel, self.cats, x),)
 
     def predict_rows(self, columns):
         if not _matrix(self.kernel, columns[0]):
             return super().predict_rows(columns)
-        j = nearest_rows(self.kernel, self.cats, columns[0])
-        return np.stack([j, np.full(len(j), self.prunes)], 1)
+        return nearest_rows(self.kernel, self.cats, columns[0])[:, None]
 
     def modules(self):
         raise ValueError("a topology renumbers its categories, so there is no history of them by number")
@@ -420,7 +421,7 @@ class Topology(Learner):
             yield module, j, w, n, int(self.permanent[j]), links.get(j, [])
         yield "seen", 0, [], self.seen, self.prunes, None
         for k, number in enumerate(self.log):
-            yield "pruned", k, [], 0, None, [v for pair in sorted(number.items()) for v in pair]
+            yield "pruned", k, [], k + 1, None, [v for pair in sorted(number.items()) for v in pair]
 
     def load(self, rows):
         self.cats, permanent = _load(rows, "a")

@@ -164,7 +164,7 @@ def fold(rows: DataFrame, learner: Learner, order: str, inputs: Sequence[str], b
             yield _weight_rows(now, state)
 
         for batch in batches:
-            names, labels = [], []
+            names, labels, beside = [], [], []
             for (model, part, epoch), a, b in _runs(*(batch.column(k) for k in range(3))):
                 if model != now:
                     if now is not None:
@@ -189,8 +189,9 @@ def fold(rows: DataFrame, learner: Learner, order: str, inputs: Sequence[str], b
                 if epoch == epochs - 1:
                     names.append(pa.array([model] * len(got)))
                     labels.append((piece.column(3), got))
+                    beside.append(pa.nulls(len(got), pa.int64()) if state.aside is None else pa.array(state.aside, pa.int64()))
             if labels:
-                yield _labels(pa.concat_arrays(names), pa.concat_arrays([i for i, _ in labels]), np.concatenate([g for _, g in labels]))
+                yield _labels(pa.concat_arrays(names), pa.concat_arrays([i for i, _ in labels]), np.concatenate([g for _, g in labels]), pa.concat_arrays(beside))
         if now is not None:
             yield from close()
 
@@ -214,10 +215,10 @@ def _logged(state: Learner, model: str, ids: pa.Array, columns: list, step: int)
     return np.array(labels, np.int64).reshape(len(labels), -1), pa.RecordBatch.from_pylist(log, _OUT), step
 
 
-def _labels(models: pa.Array, ids: pa.Array, labels: np.ndarray) -> pa.RecordBatch:
+def _labels(models: pa.Array, ids: pa.Array, labels: np.ndarray, beside: pa.Array) -> pa.RecordBatch:
     n = len(labels)
     lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * labels.shape[1]), pa.array(labels.ravel()))
-    return pa.RecordBatch.from_arrays([models, pa.array(["row"] * n), ids, lists, *[pa.nulls(n, _OUT.field(k).type) for k in range(4, 10)]], schema=_OUT)
+    return pa.RecordBatch.from_arrays([models, pa.array(["row"] * n), ids, lists, *[beside if _OUT.field(k).name == "n" else pa.nulls(n, _OUT.field(k).type) for k in range(4, 10)]], schema=_OUT)
 
 
 def apply(rows: DataFrame, fitted: Fitted, inputs: Sequence[str], sample: str = "sample_id", by: Sequence[str] = (), keep: Sequence[str] = (), check: bool = True) -> DataFrame:

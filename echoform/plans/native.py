@@ -16,7 +16,7 @@ MOST_ROWS = 5_000
 
 
 def native_fit(rows: DataFrame, kernel: NativeKernel, rho: float, order: str = "sample_id", x: str = "x", inverted: bool = False, by: Sequence[str] = ()) -> DataFrame:
-    """(model, sample_id, cluster_id) of elementary models, without Python: each bounded to MOST_ROWS rows.
+    """(sample_id, cluster_id), with model if by is given, of elementary models, without Python: each bounded to MOST_ROWS rows.
 
     A category resonates if its match is rho or more (at most rho, if inverted). Of those,
     the most active one takes the row, the oldest on ties: the search without a predicate
@@ -42,7 +42,8 @@ def native_fit(rows: DataFrame, kernel: NativeKernel, rho: float, order: str = "
 
     done = held.select("model", F.when(F.size("rows") > MOST_ROWS, F.raise_error(F.lit(f"the native fold takes {MOST_ROWS} rows at most"))).otherwise(F.col("rows")).alias("rows"))
     done = done.select("model", F.transform("rows", lambda r: r["i"]).alias("ids"), F.aggregate("rows", zero, step, lambda s: s["labels"]).alias("labels"))
-    return done.select("model", F.explode(F.arrays_zip("ids", "labels")).alias("z")).select("model", F.col("z.ids").alias("sample_id"), F.col("z.labels").cast("long").alias("cluster_id"))
+    out = done.select("model", F.explode(F.arrays_zip("ids", "labels")).alias("z")).select("model", F.col("z.ids").alias("sample_id"), F.col("z.labels").cast("long").alias("cluster_id"))
+    return out if by else out.drop("model")
 
 
 def native_predict(rows: DataFrame, weights: Sequence[Sequence[float]], kernel: NativeKernel, rho: float | None = None, x: str = "x", keep: Sequence[str] = ("sample_id",)) -> DataFrame:

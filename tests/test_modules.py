@@ -170,6 +170,7 @@ def test_relabelled_topology(spark):
         if v < 0:
             gone += 1
             names[i] = plain.predict(xs[i])[0]
+    assert {r['n'] for r in fitted.table.where("kind = 'row'").collect()} == set(range(5))
     got = dict(tuple(r) for r in compound.relabel(rows, fitted).select("sample_id", "cluster_id").collect())
     assert got == names and gone > 5 and plain.prunes == 4
     left = {r["cluster_id"] for r in fitted.weights.where("module = 'a'").collect()}
