@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,19 +14,38 @@ from pyspark.sql import functions as F
 
 from echoform.sources.tables import shared_folder
 
-_written: list[str] = []
+#: Scratch tables by the run that made them; those of no run are never deleted.
+_made: dict[str | None, list[str]] = {}
+_run: list[str | None] = [None]
 
 
-def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+@contextmanager
+def owned(spark: SparkSession, run: str) -> Iterator[None]:
+    """Tables made inside belong to a run; those that the run made before are deleted first.
+
+    For steps whose earlier results are already written elsewhere, such as the stages of a
+    pipeline: results of other runs and of stand-alone queries stay.
+    """
+    for path in _made.pop(run, []):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _run.append(run)
+    try:
+        yield
+    finally:
+        _run.pop()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if not keep:
-        _written.append(path)
+    if _run[-1] is not None:
+        _made.setdefault(_run[-1], []).append(path)
     return path
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
-    """df as a written table: later readers neither recompute it nor depend on the executors that made it. keep: release() leaves it."""
-    path = scratch_path(df.sparkSession, name, keep)
+def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """df as a written table: later readers neither recompute it nor depend on the executors that made it."""
+    path = scratch_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -36,13 +56,6 @@ def checked(df: DataFrame, name: str, most: int = 200_000) -> DataFrame:
     return F.broadcast(table) if table.count() <= most else table
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables made so far; only for callers whose earlier results are already written."""
-    while _written:
-        place = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def bucket_bits(spark: SparkSession, size: int) -> int:
     """Bits of a hash that choose its bucket: sixteen buckets for each shuffle partition or more, and one for each 8 MB of input or more."""
     return min(22, max(4, math.ceil(math.log2(max(16 * shuffle_partitions(spark), size / 8e6)))))
@@ -76,18 +89,20 @@ def per_bucket(df: DataFrame, work: Callable[[int, list[bytes]], Iterator[pa.Rec
 
 
 class Membership:
-    """Bloom filter of fixed size over a long column, built by Spark and broadcast.
+    """Bloom filter over a long column, built by Spark and broadcast.
 
-    The driver gets its words only (2**bits / 8 bytes at most). A wrong yes costs
+    Sized by the number of ids, ten bits for each or more, from 1 to 64 MB; beyond some 50
+    million ids it fills up. The driver gets its words only. A wrong yes costs
     some shuffled rows that the following join drops, so a filled filter slows the
     query down and changes nothing else. mixed: the column holds hashes already, and
     has() tells of them without positions().
     """
 
-    def __init__(self, ids: DataFrame, bits: int = 23, hashes: int = 3, mixed: bool = False):
+    def __init__(self, ids: DataFrame, hashes: int = 3, mixed: bool = False):
         spark, column = ids.sparkSession, ids.columns[0]
+        bits = min(29, max(23, (10 * ids.count()).bit_length()))
         if mixed:
-            at = F.array(*[F.shiftrightunsigned(F.col(column), 20 * k).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(hashes)])
+            at = F.array(*[F.shiftrightunsigned(F.col(column), 17 * k).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(hashes)])
         else:
             at = F.array(*[F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(1 << bits)) for k in range(hashes)])
         word = ids.select(F.explode(at).alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w"))
@@ -104,7 +119,7 @@ class Membership:
     def has(self, hashes: np.ndarray) -> np.ndarray:
         words, out = self.words.value, np.ones(len(hashes), bool)
         for k in range(self.hashes):
-            at = ((hashes.view(np.uint64) >> np.uint64(20 * k)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+            at = ((hashes.view(np.uint64) >> np.uint64(17 * k)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
             out &= ((words[at >> 6] >> (at & 63)) & 1).astype(bool)
         return out
 
@@ -114,17 +129,20 @@ class Membership:
 
 
 def split(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows whose key may be among the ids, rows whose key is not): only the first need a join, so only their texts move."""
+    """(rows whose key may be among the ids, rows whose key is not): only the first need a join, so only their texts move.
+
+    Rows are packed while they are told apart, so columns of any name are safe.
+    """
     filter_ = Membership(ids)
-    at = filter_.positions(df, key)
+    packed = filter_.positions(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{key}`").cast(ids.schema[0].dataType).alias("key")), "key", "at").select("row", "at")
 
     def side(want: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                places = batch.column(batch.num_columns - 1).flatten().to_numpy().reshape(len(batch), -1)
-                yield batch.filter(pa.array(filter_.contains(places) == want, pa.bool_())).select(list(range(batch.num_columns - 1)))
+                places = batch.column(1).flatten().to_numpy().reshape(len(batch), -1)
+                yield batch.filter(pa.array(filter_.contains(places) == want, pa.bool_())).select([0])
 
-        return at.mapInArrow(run, df.schema)
+        return packed.mapInArrow(run, packed.select("row").schema).select("row.*")
 
     return side(True), side(False)
 

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from echoform.llm._spark import Membership, checked, written
 from echoform.llm._text import ALNUM, LOWER, bytes_of, chunks, ngram_hashes, token_hashes
@@ -249,13 +250,13 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, mode: str = "docum
 
 def _decontaminate_by_text(documents: DataFrame, table: DataFrame, mode: str, text: str, column: int) -> DataFrame:
     """decontaminate() for a large benchmark: the texts with hits meet the documents by SHA-256."""
-    fields = documents.schema
-    found = checked(found_by_text(documents, table, text).select(F.col("sha").alias("_sha"), F.col("hits").alias("_hits")), "hits", 20_000)
+    found = checked(found_by_text(documents, table, text).select("sha", "hits"), "hits", 20_000)
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), sha_of(text).alias("sha"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, new = [], []
-            for body, edges in zip(batch.column(column).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            for body, edges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if edges:
                     raw = np.frombuffer(body.encode(), np.uint8)
                     _, _, start, end = token_hashes(raw, np.array([0, len(raw)]), ALNUM)
@@ -265,11 +266,11 @@ def _decontaminate_by_text(documents: DataFrame, table: DataFrame, mode: str, te
                 else:
                     keep.append(True)
                 new.append(body)
-            out = batch.select(list(range(batch.num_columns - 1)))
-            yield out.set_column(column, out.schema.field(column), pa.array(new, out.schema.field(column).type)).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), batch.column(2)], ["text", "row"]).filter(pa.array(keep, pa.bool_()))
 
-    met = documents.withColumn("_sha", sha_of(text)).join(found, "_sha", "left").select(*[F.col(f"`{c}`") for c in documents.columns], "_hits")
-    return met.mapInArrow(run, fields)
+    met = packed.join(found, "sha", "left").select(F.col("row").getField(text).cast("string").alias("body"), "hits", "row")
+    done = met.mapInArrow(run, T.StructType([T.StructField("text", T.StringType()), packed.schema["row"]]))
+    return done.select(*[(F.col("text").cast(documents.schema[c].dataType) if k == column else F.col("row").getField(c)).alias(c) for k, c in enumerate(documents.columns)])
 
 
 def items_digest(items: list[str]) -> str:

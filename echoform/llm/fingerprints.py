@@ -6,7 +6,8 @@ vectors, lane by lane, modulo powers of two. So the order of paragraphs does not
 matter, and a paragraph is inserted or deleted by adding or subtracting its vector.
 
 A vector has two parts:
-- EXACT lanes of 64 random bits, added modulo 2**64, that tell multisets apart;
+- EXACT lanes of 64 bits, a BLAKE2b digest of the paragraph's bytes as wide as all of
+  them, added modulo 2**64, that tell multisets apart;
 - LIKE lanes added modulo 2**32, in which each run of three words of the paragraph
   (or all its words, if fewer) counts +1 or -1 in a lane chosen by its hash. Inner
   products of these lanes estimate how many such runs two texts share, from which
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoform.llm._spark import shuffle_partitions
-from echoform.llm._text import BYTE, SPACE, bytes_of, chunks, ngram_hashes, prefix_hash, row_of, span_hash, splitmix, token_hashes
+from echoform.llm._text import SPACE, bytes_of, chunks, ngram_hashes, row_of, token_hashes
 
 EXACT, LIKE, RUN = 8, 512, 3
 WIDTH = EXACT * 8 + LIKE * 4
@@ -51,12 +52,14 @@ def vectors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     order = np.lexsort((start, owner))  # a text's last paragraph may be empty and start where the next text does
     end = np.concatenate([offsets[1:], feeds])
     start, end, owner = start[order], end[np.lexsort((end, owner))], owner[order]
-    h = span_hash(prefix_hash(BYTE[raw]), start, end)
+    body = raw.tobytes()
+    wide = b"".join([hashlib.blake2b(body[a:b], digest_size=8 * EXACT).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    lanes = np.frombuffer(wide, "<u8").reshape(len(start), EXACT)
+    at = np.searchsorted(owner, np.arange(n + 1))
+    total = np.zeros((len(start) + 1, EXACT), np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(EXACT):
-            total = np.concatenate([[np.uint64(0)], np.cumsum(splitmix(h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))])
-            at = np.searchsorted(owner, np.arange(n + 1))
-            exact[:, k] = total[at[1:]] - total[at[:-1]]
+        np.cumsum(lanes, axis=0, out=total[1:])
+        exact[:] = total[at[1:]] - total[at[:-1]]
     tokens, _, begin, _ = token_hashes(raw, offsets, ~SPACE, lower=False)
     line = np.searchsorted(start, begin, "right") - 1
     grams, first = ngram_hashes(tokens, line, RUN)

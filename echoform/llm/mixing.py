@@ -123,15 +123,18 @@ def take(documents: DataFrame, weights: Sequence[float] = (3, 1, 2), share: floa
     ends = selected.groupBy("source", place.alias("at"), "source_size", "target", "_epochs").agg(F.sum("_part").alias("p"), F.count("*").alias("n"))
     ends = ends.groupBy("source", "source_size", "target", "_epochs").agg(F.max(F.when(F.col("p") > 0, F.struct("at", "p", "n"))).alias("_end"))
     ends = checked(ends.withColumnRenamed("source", "_source"), "ends")
-    own = F.struct(_key(quality_weight(F.col(text)), F.col(key), seed).alias("k"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("t"))
+    own = F.struct(_key(quality_weight(F.col(f"`{text}`")), F.col(f"`{key}`"), seed).alias("k"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(F.col(f"`{text}`")).alias("t"))
     keep = [c for c in documents.columns if c.lower() not in added]
-    rows = documents.select(*[F.col(f"`{c}`") for c in keep], word_count(F.col(text)).alias("size"), own.alias("_own"))
-    met = rows.join(ends, F.col(f"`{source}`").eqNullSafe(F.col("_source")))
-    part = F.when(F.col("_own") < F.col("_end.at"), F.col("size")).when(F.col("_own") == F.col("_end.at"), F.floor(F.col("_end.p") / F.col("_end.n"))).otherwise(F.lit(0)).cast("long")
+    # The row is packed, so that columns of any name are safe.
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(f"`{text}`").alias("text"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), own.alias("own"))
+    met = rows.join(ends, rows["source"].eqNullSafe(F.col("_source")))
+    part = F.when(F.col("own") < F.col("_end.at"), F.col("size")).when(F.col("own") == F.col("_end.at"), F.floor(F.col("_end.p") / F.col("_end.n"))).otherwise(F.lit(0)).cast("long")
     met = met.withColumn("_part", F.coalesce(part, F.lit(0).cast("long")))
-    found = F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    words = F.when(F.col("_part") == 0, "").when(F.col("_part") == F.col("size"), F.col(text)).otherwise(F.array_join(F.slice(found, 1, F.col("_part").cast("int")), " "))
-    return met.select(*[F.col(f"`{c}`") for c in keep], "size", "source_size", "target", (F.col("_epochs") * F.col("size") + F.col("_part")).alias("taken"), F.when(F.col("size") > 0, F.col("_epochs")).otherwise(F.lit(0)).alias("copies"), words.alias("part"))
+    found = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    words = F.when(F.col("_part") == 0, "").when(F.col("_part") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(found, 1, F.col("_part").cast("int")), " "))
+    taken = (F.col("_epochs") * F.col("size") + F.col("_part")).alias("taken")
+    copies = F.when(F.col("size") > 0, F.col("_epochs")).otherwise(F.lit(0)).alias("copies")
+    return met.select(*[F.col("row").getField(c).alias(c) for c in keep], "size", "source_size", "target", taken, copies, words.alias("part"))
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,15 +110,15 @@ def set_table(documents: DataFrame, words: int, key: str, text: str) -> DataFram
 
 
 def with_set_name(documents: DataFrame, words: int, text: str = "text") -> DataFrame:
-    """documents with the name of each row's set, as link_sets() has it, in _name_a and _name_b."""
-    at = documents.columns.index(text)
+    """(row, a, b): each row of documents packed, and the name of its set as link_sets() has it."""
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, a, b = _names(batch.column(at), words)
-            yield pa.RecordBatch.from_arrays([*batch.columns, a, b], [*batch.schema.names, "_name_a", "_name_b"])
+            _, a, b = _names(batch.column(1), words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), a, b], ["row", "a", "b"])
 
-    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField("_name_a", LongType()), StructField("_name_b", LongType())]))
+    return packed.mapInArrow(run, StructType([packed.schema["row"], StructField("a", LongType()), StructField("b", LongType())]))
 
 
 def heads(documents: DataFrame, words: int, per_cent: int, bits: int, text: str) -> DataFrame:

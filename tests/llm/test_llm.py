@@ -606,7 +606,7 @@ def test_fingerprints_add_up():
     w = words_of(rng, 400).split(" ")
     x, y, z = " ".join(w), " ".join(w[:300]) + " " + words_of(rng, 100), words_of(rng, 400)
     like = lambda s, t: fingerprints.likeness(*(np.stack([v]) for v in (*lanes(s), *lanes(t))))[0]
-    lanes = lambda s: (np.frombuffer(f(s), np.uint64, fingerprints.EXACT), np.frombuffer(f(s), np.uint16, fingerprints.LIKE, fingerprints.EXACT * 8))
+    lanes = lambda s: (np.frombuffer(f(s), np.uint64, fingerprints.EXACT), np.frombuffer(f(s), np.uint32, fingerprints.LIKE, fingerprints.EXACT * 8))
     assert like(x, x) == 1 and 0.6 < like(x, y) < 0.9 and like(x, z) < 0.2
 
 
