@@ -24,40 +24,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoform.llm import decontam, mixing, ngram_join, suffix_dedup, toxicity
-from echoform.llm._spark import release, split, written
+from echoform.llm._spark import owned, split, written
 from echoform.session import ship
 
 
+def stage(f):
+    """A stage: ships the package, and owns its scratch tables until the next stage of the same tables begins, when its result has been written."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with owned(ship(spark), f"pipeline {sf_dir}"):
+            return f(spark, docs, sf_dir)
+
+    run.__name__, run.__doc__ = f.__name__, f.__doc__
+    return run
+
+
+@stage
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs, toxicity.fit(docs, labels, held=-1))
 
 
+@stage
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(ship(spark))
     found = ngram_join.link_sets(docs, words=5, per_cent=80)
     # Rows whose id is not their component's least go, told by id and shingles: another text of the same id may stay, as do rows whose id is null or repeats a kept id.
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("name_a").alias("_name_a"), F.col("name_b").alias("_name_b")).distinct()
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("id"), F.col("name_a").alias("a"), F.col("name_b").alias("b")).distinct()
     gone = written(gone, "gone")
-    maybe, never = split(docs, "doc_id", gone)
-    named = ngram_join.with_set_name(maybe, 5).withColumn("_id", F.col("doc_id").cast("long"))
-    return named.join(gone, ["_id", "_name_a", "_name_b"], "left_anti").select(*docs.columns).unionByName(never)
+    maybe, never = split(docs, "doc_id", gone.select("id"))
+    named = ngram_join.with_set_name(maybe, 5).withColumn("id", F.col("row.doc_id").cast("long"))
+    return named.join(gone, ["id", "a", "b"], "left_anti").select("row.*").unionByName(never)
 
 
+@stage
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(ship(spark))
     out = suffix_dedup.strip(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
+@stage
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(ship(spark))
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(ship(spark))
     return mixing.take(docs)
 
 
@@ -75,6 +86,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+    for name, step in STAGES[:-1]:
+        docs = written(step(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
