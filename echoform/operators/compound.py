@@ -7,15 +7,16 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echoform.functions.prep import complement_code
+from echoform.functions.vectors import bind
 from echoform.operators.kernels import Kernel
 from echoform.operators.learners import Bicluster, Clusterer, Fusion, MapClassifier, OnlineValidity, TwoSided
-from echoform.operators.metrics import pearson
 from echoform.operators.search import Categories, learn
 from echoform.operators.train import Fitted, apply, first_label, fold, model_key
+from echoform.operators.validity import INDICES
 
 
 def centres(fitted: Fitted, module: str = "a", kernel: Kernel | None = None) -> DataFrame:
@@ -236,34 +237,48 @@ def transpose(rows: DataFrame, sample: str = "sample_id", x: str = "x") -> DataF
     return long.groupBy(F.col("c").cast("long").alias("sample_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "v"))), lambda s: s["v"]).alias("x"))
 
 
-def bicluster(rows: DataFrame, columns: DataFrame, kernel_a: Kernel, kernel_b: Kernel, eta: float, raw: str = "raw", x: str = "x", paper: bool = False) -> tuple[Fitted, Fitted, DataFrame]:
-    """BARTMAP over a square matrix: (rows' fit, columns' fit, biclusters).
+def _standard(v: Column) -> Column:
+    """A vector less its mean, scaled to length 1; null where it is constant."""
+    n = F.size(v)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, q: s + q)
+    centred = bind(total(v) / n, lambda m: F.transform(v, lambda q: q - m))
+    return bind(centred, lambda c: bind(F.sqrt(total(F.transform(c, lambda q: q * q))), lambda size: F.when(size > 0, F.transform(c, lambda q: q / size))))
+
+
+def bicluster(rows: DataFrame, columns: DataFrame, kernel_a: Kernel, kernel_b: Kernel, eta: float, raw: str = "raw", x: str = "x", paper: bool = False, by: Sequence[str] = ()) -> tuple[Fitted, Fitted, DataFrame]:
+    """BARTMAP over a square matrix for each key: (rows' fit, columns' fit, biclusters).
 
     Columns are clustered first. A row may join categories if, for some column cluster,
     its mean correlation with the rows that this cluster's numbers select, over its
     columns, is eta or more (paper: with all rows). The test does not depend on the
-    category, so it is one join and one aggregate before the fold.
+    category, so it comes before the fold. A correlation is the dot product of the rows
+    standardised over the columns, so the mean over members is one dot product with the
+    members' mean vector, and no two rows are paired. Constant rows have no correlation.
     """
-    by_column = fold(columns, Clusterer(kernel_b), "sample_id", [x])
-    label = by_column.labels.select(F.col("sample_id").alias("col"), first_label().alias("cb"))
-    groups = label.groupBy("cb").agg(F.array_sort(F.collect_list("col")).alias("cols"))
-    pick = lambda v: F.transform(F.col("cols"), lambda c: F.get(v, c.cast("int")))
-    left = rows.select(F.col("sample_id").alias("k"), F.col(raw).alias("_k"))
-    right = rows.select(F.col("sample_id").alias("l"), F.col(raw).alias("_l"))
-    members = groups.crossJoin(right) if paper else groups.join(right, F.array_contains("cols", F.col("l")))
-    r = members.crossJoin(left).groupBy("k", "cb").agg(F.avg(pearson(pick(F.col("_k")), pick(F.col("_l")))).alias("r"))
-    fits = r.groupBy("k").agg(F.max(F.coalesce(F.col("r") >= eta, F.lit(False)).cast("int")).alias("fits"))
-    by_row = fold(rows.join(fits, rows["sample_id"] == fits["k"]), Bicluster(kernel_a), "sample_id", [x, "fits"])
-    row_label = by_row.labels.select("sample_id", first_label().alias("ca"))
-    masks = row_label.groupBy("ca").agg(F.array_sort(F.collect_list("sample_id")).alias("rows"))
-    return by_row, by_column, masks.crossJoin(groups.withColumnRenamed("cb", "column_cluster")).select(F.col("ca").alias("row_cluster"), "column_cluster", "rows", F.col("cols").alias("columns"))
+    by_column = fold(columns, Clusterer(kernel_b), "sample_id", [x], by)
+    label = by_column.labels.select("model", F.col("sample_id").alias("k"), first_label().alias("cb"))
+    groups = label.groupBy("model", "cb").agg(F.array_sort(F.collect_list("k")).alias("cols"))
+    pick = _standard(F.transform(F.col("cols"), lambda c: F.get(F.col("v"), c.cast("int"))))
+    own = rows.select(model_key(by).alias("model"), F.col("sample_id").alias("k"), F.col(raw).alias("v"))
+    members = own.join(groups, "model") if paper else own.join(label, ["model", "k"]).join(groups, ["model", "cb"])
+    means = members.select("model", "cb", F.posexplode(pick)).groupBy("model", "cb", "pos").agg(F.avg("col").alias("mean"))
+    means = means.groupBy("model", "cb").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda s: s["mean"]).alias("mean"))
+    met = own.join(groups.join(means, ["model", "cb"]), "model")
+    r = F.aggregate(F.zip_with(pick, F.col("mean"), lambda a, b: a * b), F.lit(0.0), lambda s, q: s + q)
+    fits = met.groupBy("model", "k").agg(F.max(F.coalesce(r >= eta, F.lit(False)).cast("int")).alias("fits"))
+    tested = rows.withColumn("_model", model_key(by)).join(fits.select(F.col("model").alias("_model"), F.col("k").alias("sample_id"), "fits"), ["_model", "sample_id"], "left").withColumn("fits", F.coalesce("fits", F.lit(0)))
+    by_row = fold(tested, Bicluster(kernel_a), "sample_id", [x, "fits"], by)
+    masks = by_row.labels.select("model", "sample_id", first_label().alias("ca")).groupBy("model", "ca").agg(F.array_sort(F.collect_list("sample_id")).alias("rows"))
+    return by_row, by_column, masks.join(groups, "model").select("model", F.col("ca").alias("row_cluster"), F.col("cb").alias("column_cluster"), "rows", F.col("cols").alias("columns"))
 
 
 def validity_guided(rows: DataFrame, kernel: Kernel, index: str = "ch", by: Sequence[str] = (), order: str = "sample_id", x: str = "x", epochs: int = 1) -> DataFrame:
     """(model, sample_id, cluster_id): a category is accepted only if the validity index improves by it.
 
-    index: ch and silhouette are to grow, db to fall. The test looks at all rows of the
-    model for each candidate, so a model is one task and keys should be of bounded size.
+    index: ch and silhouette are to grow, db to fall. It is kept up to date from row to row
+    (validity.py): a candidate costs its two clusters for ch and db, one pass over the
+    model's rows for the silhouette. The rows of a model are held in one task, so keys
+    should be of bounded size.
     """
     if index not in ("ch", "db", "silhouette"):
         raise ValueError("index must be ch, db or silhouette")
@@ -271,19 +286,17 @@ def validity_guided(rows: DataFrame, kernel: Kernel, index: str = "ch", by: Sequ
     def run(key, pdf):
         pdf = pdf.sort_values(order)
         data = np.stack(pdf[x].to_numpy()).astype(float)
-        labels, cats = np.zeros(len(data), np.int64), Categories()
+        kept, cats = INDICES[index](data), Categories()
         for _ in range(epochs):
             for i, row in enumerate(data):
 
                 def better(c, i=i):
                     if cats.size < 2:
                         return True
-                    new = labels.copy()
-                    new[i] = c
-                    old_value, new_value = validity(data, labels, index), validity(data, new, index)
-                    return new_value < old_value if index == "db" else new_value > old_value
+                    return kept.moved(i, c) < kept.value if index == "db" else kept.moved(i, c) > kept.value
 
-                labels[i] = learn(kernel, cats, row, better)
+                kept.move(i, learn(kernel, cats, row, better))
+        labels = kept.labels
         return pd.DataFrame({"model": key[0], "sample_id": pdf[order].to_numpy(), "cluster_id": labels})
 
     return rows.select(model_key(by).alias("_g"), order, x).groupBy("_g").applyInPandas(run, "model string, sample_id long, cluster_id long")

@@ -13,7 +13,6 @@ from echoform.functions import kernels as native
 from echoform.functions import prep
 from echoform.functions.vectors import vector
 from echoform.operators import compound, metrics
-from echoform.operators.kernels import Fuzzy
 from echoform.operators.merging import merge_objects
 from echoform.operators.sequences import align, compress_dashes, joined_digits
 from echoform.plans import fits, oracles
@@ -226,17 +225,6 @@ def probabilistic_action(spark, sf_dir):
     return compound.probabilistic_action(rewards, 0.5)
 
 
-@query()
-def bartmap(spark, sf_dir):
-    """Biclusters of nations by regions of customers: the square matrix of nations' mean balances by segment products."""
-    rows = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("a")).agg(F.avg("c_acctbal").alias("v"))
-    grid = rows.crossJoin(rows.select(F.col("a").alias("b"), F.col("v").alias("u"))).withColumn("m", F.abs(F.sin(F.col("v") * (F.col("b") + 1)) + F.col("u") / 10000) / 2.2)
-    matrix = grid.groupBy(F.col("a").alias("sample_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "m"))), lambda s: s["m"]).alias("raw"))
-    code = lambda t, c: t.select("sample_id", F.col(c).alias("raw"), prep.complement_code(F.transform(F.col(c), lambda v: F.least(F.lit(1.0), v))).alias("x"))
-    _, _, masks = compound.bicluster(code(matrix, "raw"), code(compound.transpose(matrix, x="raw"), "x"), Fuzzy(0.6, 0.01), Fuzzy(0.6, 0.01), 0.01)
-    return masks.select("row_cluster", "column_cluster", F.size("rows").alias("n_rows"), F.size("columns").alias("n_columns"))
-
-
 @query("SELECT s_suppkey, round(acos(greatest(-1, least(1, sin(radians(s_nationkey)) * sin(radians(10.0)) + cos(radians(s_nationkey)) * cos(radians(10.0)) * cos(radians(s_acctbal / 100 - 20.0))))) / pi(), 6) AS angle FROM supplier")
 def great_circle(spark, sf_dir):
     a, b = prep.features("s_nationkey", F.col("s_acctbal") / 100), vector([10, 20])

@@ -338,6 +338,25 @@ def mapped_fusion(spark, sf_dir):
     return got.select("model", "sample_id", first_label().alias("cluster_id"), F.get("labels", F.lit(1)).alias("predicted"))
 
 
+@query()
+def bartmap(spark, sf_dir):
+    """For each order priority, biclusters of nations: what customers of one nation bought from suppliers of another, as shares of the largest sum."""
+    named = lambda t, key, nation, out: table(spark, sf_dir, t).select(F.col(key).alias(key), F.col(nation).alias(out))
+    sold = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice").join(named("supplier", "s_suppkey", "s_nationkey", "b").withColumnRenamed("s_suppkey", "l_suppkey"), "l_suppkey")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"), "o_orderpriority").join(named("customer", "c_custkey", "c_nationkey", "a"), "c_custkey")
+    cells = sold.join(orders, "l_orderkey").groupBy("o_orderpriority", "a", "b").agg(F.sum("l_extendedprice").alias("v"))
+    nations = table(spark, sf_dir, "nation").select("n_nationkey")
+    grid = cells.select("o_orderpriority").distinct().crossJoin(nations.select(F.col("n_nationkey").alias("a"))).crossJoin(nations.select(F.col("n_nationkey").alias("b")))  # 25 x 25 cells for each priority
+    full = grid.join(cells, ["o_orderpriority", "a", "b"], "left").withColumn("m", F.round(F.coalesce("v", F.lit(0.0)) / F.max("v").over(Window.partitionBy("o_orderpriority")), 9))
+
+    def matrix(row, column):
+        out = full.groupBy("o_orderpriority", F.col(row).cast("long").alias("sample_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(column, "m"))), lambda s: s["m"]).alias("raw"))
+        return out.withColumn("x", prep.complement_code(F.col("raw")))
+
+    _, _, masks = compound.bicluster(matrix("a", "b"), matrix("b", "a"), Fuzzy(0.6, 0.01), Fuzzy(0.6, 0.01), 0.01, by=["o_orderpriority"])
+    return masks.select("model", "row_cluster", "column_cluster", F.array_join("rows", ",").alias("rows"), F.array_join("columns", ",").alias("columns"))
+
+
 @query()
 def validity_guided(spark, sf_dir):
     return compound.validity_guided(customers(spark, sf_dir, True), Fuzzy(0.5, 0.01), "ch", NATION)
