@@ -265,9 +265,11 @@ def pairwise_distances(spark, sf_dir):
     return metrics.pairwise(_points(spark, sf_dir)).withColumn("dist", F.round("dist", 6))
 
 
-@query(oracles.vat(_PTS))
+@query(oracles.vat("SELECT c_nationkey::VARCHAR AS g, c_custkey AS i, c_acctbal / 1000 AS u, (c_custkey % 101)::DOUBLE AS v FROM customer"))
 def vat_order(spark, sf_dir):
-    return metrics.vat_order(metrics.pairwise(_points(spark, sf_dir)))
+    """The customers of each nation in an order that shows cluster tendency."""
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", F.col("c_custkey").alias("sample_id"), prep.features(F.col("c_acctbal") / 1000, F.col("c_custkey") % 101).alias("x"))
+    return metrics.vat_order(metrics.pairwise(rows, by=["c_nationkey"]))
 
 
 @query("SELECT l_suppkey, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY l_suppkey HAVING count(*) > 2")

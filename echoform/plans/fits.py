@@ -362,7 +362,7 @@ def validity_guided(spark, sf_dir):
     return compound.validity_guided(customers(spark, sf_dir, True), Fuzzy(0.5, 0.01), "ch", NATION)
 
 
-@query()
+@query(oracles.online_validity(of_customers(oracles.CODED), oracles.fuzzy(0.5, 0.01)))
 def online_validity(spark, sf_dir):
     return labels_of(fold(customers(spark, sf_dir, True), OnlineValidity(Fuzzy(0.5, 0.01)), "sample_id", ["x"], NATION))
 

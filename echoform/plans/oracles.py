@@ -289,21 +289,20 @@ def topology(rows: str, terms: Terms, beta_lower: float, tau: int, phi: int, lab
 
 
 def vat(points: str) -> str:
-    """position, sample_id: from the row of the largest distance, always the row nearest to those placed.
+    """model, position, sample_id of points (g, i, u, v): from the row of the largest distance, always the row nearest to those placed.
 
     Of equally near rows that of the earliest placed one comes first, then the least id.
     """
     return f"""WITH RECURSIVE q AS ({points}),
-d AS (SELECT a.i, list(sqrt((a.u - b.u) ** 2 + (a.v - b.v) ** 2) ORDER BY b.i) AS far FROM q a, q b GROUP BY a.i),
-m AS (SELECT list(i ORDER BY i) AS ids, list(far ORDER BY i) AS far, count(*) AS n FROM d),
-s AS (SELECT list_max(list_transform(far, lambda r, j: {{'d': list_max(r), 'k': -j}})).k AS k FROM m),
-f(pos, spot, best) AS (
-  SELECT 0::BIGINT, (-k)::BIGINT, list_transform(far[-k], lambda v, j: CASE WHEN j <> -k THEN {{'d': v, 'o': 0::BIGINT, 'j': j::BIGINT}} END) FROM s, m
+d AS (SELECT a.g, a.i, list(sqrt((a.u - b.u) ** 2 + (a.v - b.v) ** 2) ORDER BY b.i) AS far FROM q a JOIN q b USING (g) GROUP BY a.g, a.i),
+m AS (SELECT g, list(i ORDER BY i) AS ids, list(far ORDER BY i) AS far, count(*) AS n FROM d GROUP BY g),
+s AS (SELECT g, list_max(list_transform(far, lambda r, j: {{'d': list_max(r), 'k': -j}})).k AS k FROM m),
+f(g, pos, spot, best) AS (
+  SELECT g, 0::BIGINT, (-k)::BIGINT, list_transform(far[-k], lambda v, j: CASE WHEN j <> -k THEN {{'d': v, 'o': 0::BIGINT, 'j': j::BIGINT}} END) FROM s JOIN m USING (g)
   UNION ALL
-  SELECT pos, spot, list_transform(best, lambda b, j: CASE WHEN b IS NULL OR j = spot THEN NULL WHEN far[spot][j] < b.d THEN {{'d': far[spot][j], 'o': pos, 'j': b.j}} ELSE b END)
-  FROM (SELECT pos + 1 AS pos, list_min(list_filter(best, lambda b: b IS NOT NULL)).j AS spot, best, far FROM f, m WHERE pos + 1 < n))
-SELECT pos AS position, ids[spot] AS sample_id FROM f, m"""
-
+  SELECT g, pos, spot, list_transform(best, lambda b, j: CASE WHEN b IS NULL OR j = spot THEN NULL WHEN far[spot][j] < b.d THEN {{'d': far[spot][j], 'o': pos, 'j': b.j}} ELSE b END)
+  FROM (SELECT f.g, pos + 1 AS pos, list_min(list_filter(best, lambda b: b IS NOT NULL)).j AS spot, best, far FROM f JOIN m ON m.g = f.g AND pos + 1 < n))
+SELECT f.g AS model, pos AS position, ids[spot] AS sample_id FROM f JOIN m ON m.g = f.g"""
 
 
 def channel(terms: str, i: int) -> str:
@@ -361,3 +360,27 @@ def temporal(steps: str, channels: list[Terms], gamma: list[float], alpha: float
     scored = f"SELECT g, i, a, ws, {chosen(channels, gamma, (2,))} AS j FROM (SELECT c.g, c.i, c.x0, s.a, s.x1, ws FROM c JOIN z{rounds - 1} USING (g), (VALUES {space}) AS s(a, x1))"
     best = f"SELECT g, i, a, {centre.replace('@', 'j')} AS v, row_number() OVER (PARTITION BY g, i ORDER BY {centre.replace('@', 'j')} DESC, a) AS best FROM ({scored})"
     return f"WITH RECURSIVE {steps}, {', '.join(parts)}\nSELECT g AS model, i AS sample_id, a::BIGINT AS action_id, round(v, 12) AS reward FROM ({best}) WHERE best = 1"
+
+
+def online_validity(rows: str, terms: Terms) -> str:
+    """model, sample_id, cluster_id where a category takes a row only if the incremental Calinski-Harabasz index of the rows seen grows by it.
+
+    The state holds, for each cluster, {n, m, s}: rows, mean and scatter, and the rows and mean of all.
+    """
+    grown = "{'n': e.n + 1, 'm': list_transform(list_zip(e.m, x), lambda z: z[1] + (z[2] - z[1]) / (e.n + 1)), 's': e.s + e.n / (e.n + 1) * list_sum(list_transform(list_zip(e.m, x), lambda z: (z[2] - z[1]) ** 2))}"
+    one = "{'n': 1.0::DOUBLE, 'm': x, 's': 0.0::DOUBLE}"
+    every = "list_transform(list_zip(am, x), lambda z: z[1] + (z[2] - z[1]) / (an + 1))"
+
+    def value(clusters: str, n: str, mean: str) -> str:
+        between = f"list_sum(list_transform({clusters}, lambda e: e.n * list_sum(list_transform(list_zip(e.m, {mean}), lambda z: (z[1] - z[2]) ** 2))))"
+        within = f"list_sum(list_transform({clusters}, lambda e: e.s))"
+        return f"(CASE WHEN len({clusters}) < 2 OR {within} <= 0 THEN 0.0 ELSE {between} / {within} * ({n} - len({clusters})) / (len({clusters}) - 1) END)"
+
+    joined = f"list_transform(cl, lambda e, q: CASE WHEN q = j THEN {grown} ELSE e END)"
+    after = value(joined, "(an + 1)", every)
+    search = _searched(terms, "ws", f"{after} > now", "MT+", 0.0)
+    kind = "STRUCT(n DOUBLE, m DOUBLE[], s DOUBLE)[]"
+    inner = f"SELECT *, {search} AS best FROM (SELECT p.g, p.k, p.i, x, ws, cl, an, CASE WHEN an = 0 THEN list_transform(x, lambda v: 0.0::DOUBLE) ELSE am END AS am, {value('cl', 'an', 'am')} AS now {JOIN})"
+    step = f"i, {_next(terms, 'ws', 'best')}, CASE WHEN best IS NULL THEN list_append(cl, {one}) ELSE list_transform(cl, lambda e, q: CASE WHEN q = best THEN {grown} ELSE e END) END, an + 1, {every}, coalesce(best, len(ws) + 1) - 1"
+    fields = {"i": "0::BIGINT", "ws": _W, "cl": f"[]::{kind}", "an": "0.0::DOUBLE", "am": "[]::DOUBLE[]", "c": "-1::BIGINT"}
+    return f"WITH RECURSIVE {rows},\n{_state(fields, step, inner)}\nSELECT g AS model, i AS sample_id, c AS cluster_id FROM f WHERE k > 0"
