@@ -69,6 +69,18 @@ def thermometer(x: Column, bits: int) -> Column:
     return F.flatten(F.transform(x, lambda v: F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: (F.floor(v * bits) > i).cast("int"))))
 
 
+def pack_bits(x: Column) -> Column:
+    """An array of 0/1 numbers as an array of longs, 64 bits in each, the first number in the lowest bit."""
+    words = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / 64).cast("int"))
+    word = lambda k: F.aggregate(F.sequence(k * 64, F.least(k * 64 + 63, F.size(x) - 1)), F.lit(0).cast("long"), lambda s, i: s.bitwiseOR(F.when(F.get(x, i) != 0, F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)).otherwise(F.lit(0).cast("long"))))
+    return F.when(F.size(x) > 0, F.transform(words, word)).otherwise(F.array().cast("array<bigint>"))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Bits that two packed arrays share."""
+    return F.aggregate(F.zip_with(a, b, lambda u, v: F.bit_count(u.bitwiseAND(v))), F.lit(0), lambda s, n: s + n)
+
+
 def positions(widths: Sequence[int]) -> list[tuple[int, int]]:
     """(start, end) of each channel in the joined row."""
     out, at = [], 0

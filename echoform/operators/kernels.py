@@ -138,11 +138,26 @@ class Fuzzy(Kernel):
 
 @dataclass(frozen=True)
 class BinaryFuzzy(Fuzzy):
-    """Fuzzy on 0/1 rows; learning is an intersection, beta is 1."""
+    """Fuzzy on 0/1 rows; learning is an intersection, beta is 1.
+
+    Blocks of rows are scored on bits packed into 64-bit words: the overlap of a row and a
+    category is the number of bits of an AND, and vigilance and choice follow from counts.
+    """
 
     def __post_init__(self) -> None:
         self._need(0 <= self.rho <= 1 and self.alpha >= 0 and self.beta == 1, "rho in [0, 1], alpha >= 0, beta 1")
 
+    @staticmethod
+    def packed(v: np.ndarray) -> np.ndarray:
+        """Lines of 0/1 numbers as lines of 64-bit words."""
+        bits = np.packbits(v != 0, axis=1)
+        return np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.uint64)
+
+    def score_rows(self, w, x):
+        both = np.bitwise_count(self.packed(w)[None] & self.packed(x)[:, None]).sum(2, dtype=np.int64).astype(float)
+        below = np.broadcast_to(self.alpha + w.sum(1), both.shape)
+        return np.divide(both, below, out=np.zeros(both.shape), where=below != 0), both / (x.shape[1] / 2)
+
     def prepare(self, x):
         return np.trunc(super().prepare(x))
 

@@ -125,6 +125,19 @@ def clipped_prediction(spark, sf_dir):
     return apply(model.clipping().transform(rows), fitted, ["x"], by=NATION).select("model", "sample_id", first_label().alias("cluster_id"))
 
 
+_EMBEDDED_BITS = "list_transform(embedding, lambda v: (v > 0)::INT)"
+
+
+@query(f"WITH e AS (SELECT vec_id, vec_id % 10 AS shard, list_concat({_EMBEDDED_BITS}, list_transform({_EMBEDDED_BITS}, lambda v: 1 - v)) AS x FROM embeddings), h AS (SELECT shard, arg_min(x, vec_id) AS w FROM e GROUP BY shard) SELECT vec_id AS sample_id, round(list_sum(list_transform(list_zip(x, w), lambda z: z[1] * z[2])) / (0.01 + list_sum(w)), 6) AS choice, round(list_sum(list_transform(list_zip(x, w), lambda z: z[1] * z[2])) / 64.0, 6) AS match FROM e JOIN h USING (shard)")
+def packed_bits_choice(spark, sf_dir):
+    """Choice and match of each vector's signs against the first vector of its shard, on packed bits: an AND and a count of bits."""
+    x = prep.complement_code(F.transform("embedding", lambda v: (v > 0).cast("int")))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 10).alias("shard"), prep.pack_bits(x).alias("x"))
+    first = rows.groupBy("shard").agg(F.min_by("x", "vec_id").alias("w"))
+    both, size = prep.overlap(F.col("x"), F.col("w")), prep.overlap(F.col("w"), F.col("w"))
+    return rows.join(first, "shard").select(F.col("vec_id").alias("sample_id"), F.round(both / (F.lit(0.01) + size), 6).alias("choice"), F.round(both / DIMENSIONS, 6).alias("match"))
+
+
 # Line items
 
 
@@ -357,7 +370,7 @@ def bartmap(spark, sf_dir):
     return masks.select("model", "row_cluster", "column_cluster", F.array_join("rows", ",").alias("rows"), F.array_join("columns", ",").alias("columns"))
 
 
-@query()
+@query(oracles.guided(of_customers(oracles.CODED), oracles.fuzzy(0.5, 0.01)))
 def validity_guided(spark, sf_dir):
     return compound.validity_guided(customers(spark, sf_dir, True), Fuzzy(0.5, 0.01), "ch", NATION)
 

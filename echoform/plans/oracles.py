@@ -384,3 +384,25 @@ def online_validity(rows: str, terms: Terms) -> str:
     step = f"i, {_next(terms, 'ws', 'best')}, CASE WHEN best IS NULL THEN list_append(cl, {one}) ELSE list_transform(cl, lambda e, q: CASE WHEN q = best THEN {grown} ELSE e END) END, an + 1, {every}, coalesce(best, len(ws) + 1) - 1"
     fields = {"i": "0::BIGINT", "ws": _W, "cl": f"[]::{kind}", "an": "0.0::DOUBLE", "am": "[]::DOUBLE[]", "c": "-1::BIGINT"}
     return f"WITH RECURSIVE {rows},\n{_state(fields, step, inner)}\nSELECT g AS model, i AS sample_id, c AS cluster_id FROM f WHERE k > 0"
+
+
+def guided(rows: str, terms: Terms) -> str:
+    """model, sample_id, cluster_id where a category takes a row only if the Calinski-Harabasz index of all the model's rows grows by it; rows start in cluster 0."""
+
+    def index(labels: str) -> str:
+        members = f"list_transform(list_distinct({labels}), lambda o: list_transform(list_filter(range(1, len(xs) + 1), lambda q: {labels}[q] = o), lambda q: xs[q]))"
+        means = f"list_transform({members}, lambda o: {{'o': o, 'm': list_transform(range(1, len(x) + 1), lambda d: list_sum(list_transform(o, lambda v: v[d])) / len(o))}})"
+        far = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) ** 2))"
+        within = f"list_sum(list_transform(mm, lambda e: list_sum(list_transform(e.o, lambda v: {far('v', 'e.m')}))))"
+        between = f"list_sum(list_transform(mm, lambda e: len(e.o) * {far('e.m', 'am')}))"
+        return f"list_transform([{means}], lambda mm: CASE WHEN len(mm) < 2 OR len(mm) >= len(xs) OR {within} = 0 THEN 0.0 ELSE {between} / {within} * (len(xs) - len(mm)) / (len(mm) - 1) END)[1]"
+
+    moved = "list_transform(ls, lambda l, q: CASE WHEN q = k THEN j - 1 ELSE l END)"
+    search = _searched(terms, "ws", f"len(ws) < 2 OR {index(moved)} > now", "MT+", 0.0)
+    whole = "y AS MATERIALIZED (SELECT g, xs, list_transform(range(1, len(xs[1]) + 1), lambda d: list_sum(list_transform(xs, lambda v: v[d])) / len(xs)) AS am FROM (SELECT g, list(x ORDER BY k) AS xs FROM p GROUP BY g))"
+    inner = f"SELECT p.g, p.k, p.i, x, ws, ls, xs, am, {index('ls')} AS now {JOIN} JOIN y ON y.g = p.g"
+    inner = f"SELECT *, coalesce(best, len(ws) + 1) - 1 AS label FROM (SELECT *, {search} AS best FROM ({inner}))"
+    step = f"i, {_next(terms, 'ws', 'best')}, list_transform(ls, lambda l, q: CASE WHEN q = k THEN label ELSE l END), label"
+    start = "SELECT g, 0::BIGINT, 0::BIGINT, []::DOUBLE[][], list_transform(xs, lambda v: 0::BIGINT), -1::BIGINT FROM y"
+    state = _state({"i": "", "ws": "", "ls": "", "c": ""}, step, inner, start)
+    return f"WITH RECURSIVE {rows}, {whole},\n{state}\nSELECT g AS model, i AS sample_id, c AS cluster_id FROM f WHERE k > 0"

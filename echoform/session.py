@@ -30,9 +30,9 @@ BATCH_ROWS = "2000"
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send the package to the workers once for each application, so that they can import it wherever they run."""
-    context = spark.sparkContext
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    context, key = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "-7") == "-7":  # the caller has set nothing
+        spark.conf.set(key, BATCH_ROWS)
     if not getattr(context, "_echoform_shipped", False):
         here = Path(__file__).resolve().parent
         path = Path(tempfile.mkdtemp(prefix="echoform-")) / "echoform.zip"
