@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from echoform.functions.prep import complement_code
 from echoform.functions.vectors import bind
 from echoform.operators.kernels import Kernel
-from echoform.operators.learners import Bicluster, Clusterer, Fusion, MapClassifier, OnlineValidity, TwoSided
+from echoform.operators.learners import Bicluster, Clusterer, Fusion, Learner, MapClassifier, OnlineValidity, TwoSided
 from echoform.operators.search import Categories, learn
 from echoform.operators.train import Fitted, apply, first_label, fold, model_key
 from echoform.operators.validity import INDICES
@@ -368,6 +368,26 @@ def sweep(rows: DataFrame, base: Kernel, grid: Mapping[str, Sequence], truth: st
     return joint.join(left, "point").join(right, "point").join(table, "point").select("params", "clusters", ari.alias("ari"))
 
 
+def cross_validate(rows: DataFrame, learner: Learner, grid: Mapping[str, Sequence], folds: int = 3, inputs: Sequence[str] = ("x", "y"), order: str = "sample_id", fold_of: Column | None = None) -> DataFrame:
+    """(params, fold, n, right) for every combination of settings, by path, and every fold: a classifier learnt from the other folds, and how many of the fold's rows it gets right.
+
+    The last input is the class. All combinations and folds are models of one fit, keyed by
+    both, and of one application. A row's fold is its order modulo folds, unless given.
+    """
+    names = list(grid)
+    points = [dict(zip(names, v, strict=True)) for v in itertools.product(*grid.values())]
+    worker = _Choice([learner.with_params(**p) for p in points])
+    spark = rows.sparkSession
+    table = spark.createDataFrame([(i, str(p)) for i, p in enumerate(points)], "point long, params string")
+    own = F.pmod(F.col(order), F.lit(folds)).cast("long") if fold_of is None else fold_of.cast("long")
+    numbered = rows.select(F.col(order).alias("sample_id"), *inputs, own.alias("_own"))
+    keyed = numbered.crossJoin(F.broadcast(table.select("point"))).withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(folds - 1).cast("long"))))
+    fitted = fold(keyed.where("fold <> _own"), worker, "sample_id", ["point", *inputs], by=["point", "fold"])
+    tested = apply(keyed.where("fold = _own"), fitted, ["point", *inputs[:-1]], by=["point", "fold"], keep=["point", "fold", inputs[-1]])
+    found = tested.groupBy("point", "fold").agg(F.count("*").alias("n"), F.sum((F.get("labels", F.lit(1)) == F.col(inputs[-1])).cast("long")).alias("right"))
+    return found.join(F.broadcast(table), "point").select("params", "fold", "n", "right")
+
+
 class _Choice:
     """The learner that a row's first input names."""
 
@@ -384,14 +404,21 @@ class _Choice:
 
     def step_rows(self, columns):
         if self.chosen is None:
-            self.chosen = self.learners[int(columns[0][0])].fresh()
+            self.point = int(columns[0][0])
+            self.chosen = self.learners[self.point].fresh()
         return self.chosen.step_rows(columns[1:])
 
     def finish(self) -> None:
         pass
 
+    def predict_rows(self, columns):
+        return self.chosen.predict_rows(columns[1:])
+
     def export(self):
-        return self.chosen.export()
+        yield "choice", 0, [], 0, self.point, None
+        yield from self.chosen.export()
 
     def load(self, rows) -> None:
-        raise NotImplementedError("a sweep is not continued")
+        self.point = next(int(r[4]) for r in rows if r[0] == "choice")
+        self.chosen = self.learners[self.point].fresh()
+        self.chosen.load([r for r in rows if r[0] != "choice"])

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import copy
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 
@@ -36,6 +36,47 @@ class Learner:
         """The kernel whose rules each input must keep, or none."""
         return (getattr(self, "kernel", None),)
 
+    #: Names of the constructor's settings; kernels, modules and lists of them are reached by paths.
+    settings: tuple[str, ...] = ("kernel", "method", "epsilon")
+
+    def params(self) -> dict[str, object]:
+        """Every setting by its path, such as method, kernel__rho, kernels__1__beta or module__kernel__rho."""
+        out: dict[str, object] = {}
+        for name in self.settings:
+            value = getattr(self, name)
+            out[name] = value
+            for k, part in enumerate(value) if isinstance(value, tuple) else ((None, value),):
+                path = name if k is None else f"{name}__{k}"
+                if isinstance(part, Learner):
+                    out |= {f"{path}__{p}": v for p, v in part.params().items()}
+                elif isinstance(part, Kernel):
+                    out |= {f"{path}__{f.name}": getattr(part, f.name) for f in fields(part)}
+        return out
+
+    def with_params(self, **changes) -> Learner:
+        """A new, empty learner with settings changed by path; all rules of learners and kernels are checked again."""
+        unknown = set(changes) - set(self.params())
+        if unknown:
+            raise ValueError(f"{type(self).__name__} has no {', '.join(sorted(unknown))}")
+
+        def changed(value, inner: dict):
+            if not inner:
+                return value
+            if "" in inner:
+                value = inner.pop("")
+            return value.with_params(**inner) if inner else value
+
+        own = {}
+        for name in self.settings:
+            inner = {k.removeprefix(name).removeprefix("__"): v for k, v in changes.items() if k == name or k.startswith(f"{name}__")}
+            value = inner.pop("") if "" in inner else getattr(self, name)
+            if isinstance(value, tuple) and inner:
+                value = tuple(changed(v, {p.partition("__")[2]: x for p, x in inner.items() if p.partition("__")[0] == str(k)}) for k, v in enumerate(value))
+            else:
+                value = changed(value, inner)
+            own[name] = value
+        return type(self)(**own)
+
     def step(self, *row) -> tuple[int, ...]:
         raise NotImplementedError
 
@@ -123,6 +164,7 @@ class MapClassifier(Learner):
     cats: Categories = field(default_factory=Categories)
     classes: dict[int, int] = field(default_factory=dict)
     _class: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64), repr=False)
+    settings = ("kernel", "method", "epsilon", "vigilant")
     inputs = ("x", "y")
     outputs = 2
 
@@ -183,6 +225,7 @@ class TwoSided(Learner):
     kernel_b: Kernel
     method: str = "MT+"
     epsilon: float = 1e-10
+    settings = ("kernel_a", "kernel_b", "method", "epsilon")
     inputs = ("x", "y")
     outputs = 2
 
@@ -233,6 +276,8 @@ class DualVigilance(Learner):
     cats: Categories = field(default_factory=Categories)
     clusters: dict[int, int] = field(default_factory=dict)
 
+    settings = ("kernel", "rho_lower", "method", "epsilon")
+
     def __post_init__(self) -> None:
         if self.kernel.inverted:
             raise ValueError("dual vigilance needs a kernel whose vigilance bounds the match from below")
@@ -300,6 +345,8 @@ class Topology(Learner):
     prunes: int = 0
     log: list[dict[int, int]] = field(default_factory=list)
 
+    settings = ("kernel", "beta_lower", "tau", "phi", "method", "epsilon")
+
     def __post_init__(self) -> None:
         if not hasattr(self.kernel, "beta") or self.kernel.beta < self.beta_lower:
             raise ValueError("the kernel needs a beta of at least beta_lower")
@@ -446,6 +493,8 @@ class Deep(Learner):
     method: str = "MT+"
     epsilon: float = 0.0
 
+    settings = ("kernels", "supervised", "method", "epsilon")
+
     def __post_init__(self) -> None:
         ks = self.kernels
         if len(ks) < (1 if self.supervised else 2):
@@ -518,12 +567,14 @@ class Deep(Learner):
 class Smart(Deep):
     """The same rows at vigilances that rise from level to level (fall, where the vigilance bounds from above)."""
 
+    settings = ("kernel", "rhos", "method", "epsilon")
+
     def __init__(self, kernel: Kernel, rhos: tuple[float, ...], method: str = "MT+", epsilon: float = 0.0):
         down = kernel.inverted
         if any((b >= a) if down else (b <= a) for a, b in zip(rhos, rhos[1:], strict=False)):
             raise ValueError("vigilances must " + ("fall" if down else "rise"))
         super().__init__(tuple(kernel.with_params(rho=r) for r in rhos), False, method, epsilon)
-        self.inputs = ("x",)
+        self.inputs, self.kernel, self.rhos = ("x",), kernel, rhos
 
     def step(self, x):
         return super().step(*[x] * len(self.kernels))
@@ -552,6 +603,8 @@ class Fusion(Learner):
     epsilon: float = 0.0
     cats: list[Categories] = field(default_factory=list)
 
+    settings = ("kernels", "gamma", "method", "epsilon")
+
     def __post_init__(self) -> None:
         if len(self.gamma) != len(self.kernels) or not all(0 <= g <= 1 for g in self.gamma) or abs(sum(self.gamma) - 1) > 1e-12:
             raise ValueError("gamma needs a share in [0, 1] for each kernel, 1 in all")
@@ -762,6 +815,8 @@ def _of(path: str, rows: list[State]) -> list[State]:
 class Nested(Learner):
     """A learner around another one, its module; state rows of the module carry its path, so that trees of any depth are saved and continued."""
 
+    settings = ("module",)
+
     def __init__(self, module: Learner):
         self.module, self.inputs, self.outputs = module, module.inputs, module.outputs
 
@@ -847,6 +902,8 @@ class Guarded(Nested):
     fit goes on with it. The functions travel to the executors with the learner.
     """
 
+    settings = ("module", "allowed", "before", "after")
+
     def __init__(self, module: Learner, allowed=None, before=None, after=None, memory: dict | None = None):
         super().__init__(module)
         self.allowed, self.before, self.after, self.memory = allowed, before, after, memory or {}
@@ -957,6 +1014,8 @@ class OnlineValidity(Learner):
     cats: Categories = field(default_factory=Categories)
     index: CalinskiHarabasz = field(default_factory=CalinskiHarabasz)
 
+    settings = ("kernel", "offline", "method", "epsilon")
+
     def step(self, x):
         index, now = self.index, self.index.criterion
         grows = (lambda c: index.moved(x, 0, c) > now) if self.offline else (lambda c: index.added(x, c) > now)

@@ -392,6 +392,12 @@ def parameter_sweep(spark, sf_dir):
     return got.withColumn("ari", F.round("ari", 6))
 
 
+@query(oracles.cross_validated(f"SELECT i, {CODED} AS x, y FROM (SELECT vec_id AS i, {_PLAIN} AS plain, label::BIGINT AS y FROM embeddings)", "'{{''kernel__rho'': {0!r}}}'", lambda v: oracles.fuzzy(v, 1e-10), [0.5, 0.6, 0.7], 3, "rho"))
+def cross_validated_sweep(spark, sf_dir):
+    """Three vigilances of a classifier in three folds: nine models of one fit."""
+    return compound.cross_validate(embedded(spark, sf_dir), MapClassifier(Fuzzy(0.5, 1e-10)), {"kernel__rho": [0.5, 0.6, 0.7]})
+
+
 @query()
 def sequence_fit(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sample_id"), *BRAND, F.col("p_name").alias("x"))

@@ -406,3 +406,20 @@ def guided(rows: str, terms: Terms) -> str:
     start = "SELECT g, 0::BIGINT, 0::BIGINT, []::DOUBLE[][], list_transform(xs, lambda v: 0::BIGINT), -1::BIGINT FROM y"
     state = _state({"i": "", "ws": "", "ls": "", "c": ""}, step, inner, start)
     return f"WITH RECURSIVE {rows}, {whole},\n{state}\nSELECT g AS model, i AS sample_id, c AS cluster_id FROM f WHERE k > 0"
+
+
+def cross_validated(table: str, row: str, make, values: list[float], folds: int, name: str) -> str:
+    """params, fold, n, right: a supervised fit on the rows of other folds for every value, and its hits in each fold.
+
+    table: a query of (i, x, y); row: how a value is told; make(value): the kernel's terms.
+    """
+    parts = []
+    for k, v in enumerate(values):
+        terms = make(v)
+        best = f"-list_max(list_transform(ws, lambda w, j: {{'t': ({terms.choice})::DOUBLE, 'k': -j}})).k"
+        inner = f"SELECT p.g, p.k, x, y, ws, cs, {_mapped(terms, 'ws', 'cs', 'y')} AS best {JOIN}"
+        state = _state({"ws": _W, "cs": _C}, f"{_next(terms, 'ws', 'best')}, CASE WHEN best IS NULL THEN list_append(cs, y) ELSE cs END", inner)
+        learnt = re.sub(r"\bf\b(?=[\s().,]|$)", f"f{k}", f"{state}, {LAST.replace('z AS', f'z{k} AS')}")
+        parts.append((learnt, f"SELECT {row.format(v)} AS params, g::BIGINT AS fold, count(*) AS n, sum((cs[best] = y)::BIGINT)::BIGINT AS right FROM (SELECT z.g, e.y, cs, {best} AS best FROM e JOIN z{k} z ON z.g = (e.i % {folds})::VARCHAR) GROUP BY g"))
+    rows = f"e AS ({table}), p AS (SELECT d::VARCHAR AS g, i, x, y, row_number() OVER (PARTITION BY d ORDER BY i) AS k FROM e, range({folds}) AS r(d) WHERE d <> i % {folds})"
+    return f"WITH RECURSIVE {rows}, " + ", ".join(a for a, _ in parts) + "\n" + " UNION ALL ".join(f"({b})" for _, b in parts)

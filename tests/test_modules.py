@@ -210,3 +210,41 @@ def test_history_gives_the_model_after_any_step(spark, learner):
 def test_no_history_of_a_topology(spark):
     with pytest.raises(Exception, match="renumbers"):
         fold(frame(spark, coded(20)), Topology(Fuzzy(0.8, 0.01), 0.5, tau=10, phi=2), "sample_id", ["x"], history=True)
+
+
+# Settings by path
+
+
+def test_settings_by_path():
+    from echoform.operators.learners import Deep, Smart, TwoSided
+
+    nested = Guarded(Mapped(Topology(Fuzzy(0.6, 0.01), 0.5, tau=30, phi=3)), allowed=len)
+    changed = nested.with_params(module__module__kernel__rho=0.7, module__module__tau=40)
+    assert changed.module.module.kernel == Fuzzy(0.7, 0.01) and changed.module.module.tau == 40 and changed.allowed is len and nested.module.module.tau == 30
+    assert nested.params()["module__module__kernel__beta"] == 1.0
+    fused = Fusion((Fuzzy(0.6), Hypersphere(0.5)), (0.5, 0.5)).with_params(kernels__1__r_hat=2.0, method="MT0", kernels__0__rho=0.1)
+    assert fused.kernels == (Fuzzy(0.1), Hypersphere(0.5, r_hat=2.0)) and fused.method == "MT0"
+    assert TwoSided(Fuzzy(0.5), Fuzzy(0.6)).with_params(kernel_b__rho=0.9).b.kernel.rho == 0.9
+    assert Deep((Fuzzy(0.5), Fuzzy(0.6))).with_params(kernels__0__rho=0.2).layers[0].kernel.rho == 0.2
+    assert [k.rho for k in Smart(Fuzzy(), (0.1, 0.5)).with_params(rhos=(0.2, 0.6, 0.7)).kernels] == [0.2, 0.6, 0.7]
+    assert Clusterer(Fuzzy()).with_params(kernel=Hypersphere(0.3), kernel__rho=0.4).kernel == Hypersphere(0.4)
+    for bad in ({"kernel__nothing": 1}, {"kernel__rho": 2.0}, {"module__kernel__rho": 0.5}):
+        with pytest.raises(ValueError):
+            Clusterer(Fuzzy()).with_params(**bad)
+
+
+def test_cross_validation_equals_single_fits(spark):
+    xs = coded(60, seed=9)
+    ys = [int(3 * x[0]) for x in xs]
+    rows = frame(spark, xs, y=ys)
+    got = {(r["params"], r["fold"]): (r["n"], r["right"]) for r in compound.cross_validate(rows, Mapped(Clusterer(Fuzzy(0.5, 0.01))), {"module__kernel__rho": [0.3, 0.8], "module__method": ["MT+", "MT~"]}, folds=2).collect()}
+    assert len(got) == 8
+    for rho in (0.3, 0.8):
+        for method in ("MT+", "MT~"):
+            for k in range(2):
+                own = Mapped(Clusterer(Fuzzy(rho, 0.01), method))
+                for i in range(60):
+                    if i % 2 != k:
+                        own.step(xs[i], ys[i])
+                right = sum(own.predict(xs[i])[1] == ys[i] for i in range(60) if i % 2 == k)
+                assert got[str({"module__kernel__rho": rho, "module__method": method}), k] == (30, right)
