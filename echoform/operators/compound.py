@@ -137,6 +137,10 @@ def sarsa(steps: DataFrame, value: str, reward: str, alpha: float = 1.0, discoun
     return rows.where(F.col("_next").isNotNull() | (F.col("_n") == 1)).withColumn("target", F.when(F.col("_n") == 1, F.col(reward)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), target)))).drop("_next", "_n")
 
 
+#: Actions that are broadcast or read by the driver.
+MOST_ACTIONS = 10_000
+
+
 class Falcon:
     """Fusion of state, action and reward channels, an agent for each key. fit() is for plain rewards, td() learns from SARSA targets in rounds."""
 
@@ -169,16 +173,19 @@ class Falcon:
         return self.fitted
 
     def action_rewards(self, states: DataFrame, actions: DataFrame, state: str = "state", action: str = "action") -> DataFrame:
-        """(model, sample_id, action_id, reward) of every state with every action of a (small, broadcast) action space."""
-        pairs = states.crossJoin(F.broadcast(actions.select("action_id", action)))
+        """(model, sample_id, action_id, reward) of every state with every action of an action space, which is broadcast where it has at most MOST_ACTIONS rows."""
+        space = actions.select("action_id", action)
+        pairs = states.crossJoin(F.broadcast(space) if space.count() <= MOST_ACTIONS else space)
         return self.rewards(pairs, state, action, keep=["action_id"])
 
     def best_action(self, states: DataFrame, actions: DataFrame, optimality: str = "max", state: str = "state", action: str = "action") -> DataFrame:
         """(model, sample_id, action_id, reward): the best action of every state, the first of equal ones.
 
         A map: each state is scored with all actions where it lies. actions (action_id and
-        vector) is read by the driver and should be some hundreds at most.
+        vector) is read by the driver, and refused beyond MOST_ACTIONS rows.
         """
+        if actions.count() > MOST_ACTIONS:
+            raise ValueError(f"an action space of more than {MOST_ACTIONS} actions")
         space = sorted((r["action_id"], np.asarray(r[action], float)) for r in actions.select("action_id", action).collect())
         worker = _Acting(self.learner, [a for a, _ in space], [v for _, v in space], 1.0 if optimality == "max" else -1.0)
         got = apply(states, Fitted(worker, self.fitted.table), [state], by=self.by)
