@@ -53,7 +53,11 @@ def partial_fit(stream: DataFrame, root: str, checkpoint: str, learner: Learner,
 
 
 def keyed_partial_fit(stream: DataFrame, learner: Learner, key: str, order: str, x: str) -> DataFrame:
-    """(key, sample_id, cluster_id) of a stream, with a model per key in the state store."""
+    """(key, sample_id, cluster_id) of a stream, with a model per key in the state store.
+
+    Rows are put in order inside a micro-batch, for which a worker holds a key's rows of
+    that batch; the stream's own limits (maxFilesPerTrigger and the like) bound them.
+    """
     ship(stream.sparkSession)
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
