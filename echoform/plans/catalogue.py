@@ -295,7 +295,7 @@ def joined_digits_parts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", joined_digits(F.array(F.col("p_size").cast("long"), F.floor("p_retailprice"))).alias("s"))
 
 
-@query()
+@query(oracles.aligned("part", "p_partkey", "p_name", "small brass ring"))
 def needleman_wunsch(spark, sf_dir):
     got = align(F.col("p_name"), F.lit("small brass ring"))
     return table(spark, sf_dir, "part").withColumn("g", got).select("p_partkey", F.col("g.agreement").alias("agreement"), F.round("g.score", 6).alias("score"))

@@ -423,3 +423,22 @@ def cross_validated(table: str, row: str, make, values: list[float], folds: int,
         parts.append((learnt, f"SELECT {row.format(v)} AS params, g::BIGINT AS fold, count(*) AS n, sum((cs[best] = y)::BIGINT)::BIGINT AS right FROM (SELECT z.g, e.y, cs, {best} AS best FROM e JOIN z{k} z ON z.g = (e.i % {folds})::VARCHAR) GROUP BY g"))
     rows = f"e AS ({table}), p AS (SELECT d::VARCHAR AS g, i, x, y, row_number() OVER (PARTITION BY d ORDER BY i) AS k FROM e, range({folds}) AS r(d) WHERE d <> i % {folds})"
     return f"WITH RECURSIVE {rows}, " + ", ".join(a for a, _ in parts) + "\n" + " UNION ALL ".join(f"({b})" for _, b in parts)
+
+
+def aligned(table: str, key: str, text: str, other: str) -> str:
+    """key, agreement, score of global alignments of a column with a string: rows of the score table one after the other, with the way that leads to each cell.
+
+    A gap along a row is a maximum over the cells before; the way there is that of the last cell that is no such gap.
+    """
+    best = "list_prepend(-(i + 1), list_transform(range(1, len(b) + 1), lambda j: greatest(s[j] + CASE WHEN a[i + 1] = b[j] THEN 1 ELSE -1 END, s[j + 1] - 1)))"
+    score = "list_transform(best, lambda v, j: list_max(list_transform(best[1:j], lambda u, q: u - (j - q))))"
+    diagonal = "now[j] = s[j - 1] + CASE WHEN a[i + 1] = b[j - 1] THEN 1 ELSE -1 END"
+    way = f"list_transform(now, lambda v, j: CASE WHEN j = 1 THEN repeat('-', i + 1) WHEN {diagonal} THEN p[j - 1] || CASE WHEN a[i + 1] = b[j - 1] THEN a[i + 1] ELSE '-' END WHEN now[j] = s[j] - 1 THEN p[j] || '-' END)"
+    filled = "list_transform(way, lambda v, j: coalesce(v, list_transform([list_filter(list_transform(way[1:j], lambda u, q: CASE WHEN u IS NOT NULL THEN {'q': q, 'u': u} END), lambda u: u IS NOT NULL)[-1]], lambda e: e.u || repeat('-', (j - e.q)::BIGINT))[1]))"
+    return f"""WITH RECURSIVE o AS (SELECT string_split('{other}', '') AS b),
+f(k, a, b, i, s, p) AS (
+  SELECT {key}, string_split({text}, ''), b, 0::BIGINT, list_transform(range(len(b) + 1), lambda j: -j), list_transform(range(len(b) + 1), lambda j: repeat('-', j)) FROM {table}, o WHERE {text} IS NOT NULL
+  UNION ALL
+  SELECT k, a, b, i + 1, now, {filled}
+  FROM (SELECT *, {way} AS way FROM (SELECT *, {score} AS now FROM (SELECT *, {best} AS best FROM f WHERE i < len(a)))))
+SELECT k AS {key}, p[-1] AS agreement, round(s[-1] / greatest(len(a), len(b)), 6) AS score FROM f WHERE i = len(a)"""
