@@ -380,7 +380,7 @@ def online_validity(spark, sf_dir):
     return labels_of(fold(customers(spark, sf_dir, True), OnlineValidity(Fuzzy(0.5, 0.01)), "sample_id", ["x"], NATION))
 
 
-@query()
+@query(oracles.offline_validity(of_customers(oracles.CODED), oracles.fuzzy(0.5, 0.01)))
 def offline_validity(spark, sf_dir):
     return compound.validity_offline(customers(spark, sf_dir, True), Fuzzy(0.5, 0.01), NATION)
 

@@ -442,3 +442,26 @@ f(k, a, b, i, s, p) AS (
   SELECT k, a, b, i + 1, now, {filled}
   FROM (SELECT *, {way} AS way FROM (SELECT *, {score} AS now FROM (SELECT *, {best} AS best FROM f WHERE i < len(a)))))
 SELECT k AS {key}, p[-1] AS agreement, round(s[-1] / greatest(len(a), len(b)), 6) AS score FROM f WHERE i = len(a)"""
+
+
+def offline_validity(rows: str, terms: Terms) -> str:
+    """model, sample_id, cluster_id as by online_validity(), but with all rows in cluster 0 from the start, which they leave in turn."""
+    far = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) ** 2))"
+    grown = f"{{'n': e.n + 1, 'm': list_transform(list_zip(e.m, x), lambda z: z[1] + (z[2] - z[1]) / (e.n + 1)), 's': e.s + e.n / (e.n + 1) * {far('e.m', 'x')}}}"
+    before = "list_transform(list_zip(e.m, x), lambda z: z[1] - (z[2] - z[1]) / (e.n - 1))"
+    left = f"CASE WHEN e.n <= 1 THEN {{'n': 0.0::DOUBLE, 'm': e.m, 's': 0.0::DOUBLE}} ELSE {{'n': e.n - 1, 'm': {before}, 's': e.s - (e.n - 1) / e.n * {far('x', before)}}} END"
+
+    def value(clusters: str) -> str:
+        live = f"list_filter({clusters}, lambda e: e.n > 0)"
+        within = "list_sum(list_transform(mm, lambda e: e.s))"
+        between = f"list_sum(list_transform(mm, lambda e: e.n * {far('e.m', 'am')}))"
+        return f"list_transform([{live}], lambda mm: CASE WHEN len(mm) < 2 OR {within} <= 0 THEN 0.0 ELSE {between} / {within} * (an - len(mm)) / (len(mm) - 1) END)[1]"
+
+    moved = lambda j: f"list_transform(cl, lambda e, q: CASE WHEN {j} = 1 THEN e WHEN q = 1 THEN {left} WHEN q = {j} THEN {grown} ELSE e END)"
+    search = _searched(terms, "ws", f"{value(moved('j'))} > now", "MT+", 0.0)
+    whole = f"y AS (SELECT g, n AS an, am, list_sum(list_transform(xs, lambda v: {far('v', 'am')})) AS scatter FROM (SELECT g, xs, len(xs)::DOUBLE AS n, list_transform(range(1, len(xs[1]) + 1), lambda d: list_sum(list_transform(xs, lambda v: v[d])) / len(xs)) AS am FROM (SELECT g, list(x ORDER BY k) AS xs FROM p GROUP BY g)))"
+    inner = f"SELECT *, {search} AS best FROM (SELECT p.g, p.k, p.i, x, ws, cl, an, am, {value('cl')} AS now {JOIN} JOIN y ON y.g = p.g)"
+    new = f"list_append({moved(0)}, {{'n': 1.0::DOUBLE, 'm': x, 's': 0.0::DOUBLE}})"
+    step = f"i, {_next(terms, 'ws', 'best')}, CASE WHEN best IS NULL AND len(ws) = 0 THEN cl WHEN best IS NULL THEN {new} ELSE {moved('best')} END, coalesce(best, len(ws) + 1) - 1"
+    start = "SELECT g, 0::BIGINT, 0::BIGINT, []::DOUBLE[][], [{'n': an, 'm': am, 's': scatter}], -1::BIGINT FROM y"
+    return f"WITH RECURSIVE {rows}, {whole},\n{_state({'i': '', 'ws': '', 'cl': '', 'c': ''}, step, inner, start)}\nSELECT g AS model, i AS sample_id, c AS cluster_id FROM f WHERE k > 0"
