@@ -351,7 +351,11 @@ def mapped_fusion(spark, sf_dir):
     return got.select("model", "sample_id", first_label().alias("cluster_id"), F.get("labels", F.lit(1)).alias("predicted"))
 
 
-@query()
+_SALES = """sold AS (SELECT o_orderpriority AS g, c_nationkey AS a, s_nationkey AS b, sum(l_extendedprice) AS v FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
+full_grid AS (SELECT w.g, x.n_nationkey::BIGINT AS a, y.n_nationkey::BIGINT AS b, round(coalesce(v, 0) / max(v) OVER (PARTITION BY w.g), 9) AS m FROM (SELECT DISTINCT g FROM sold) w CROSS JOIN nation x CROSS JOIN nation y LEFT JOIN sold ON sold.g = w.g AND sold.a = x.n_nationkey AND sold.b = y.n_nationkey)"""
+
+
+@query(oracles.biclusters(_SALES, oracles.fuzzy(0.75, 0.01), oracles.fuzzy(0.75, 0.01), 0.01))
 def bartmap(spark, sf_dir):
     """For each order priority, biclusters of nations: what customers of one nation bought from suppliers of another, as shares of the largest sum."""
     named = lambda t, key, nation, out: table(spark, sf_dir, t).select(F.col(key).alias(key), F.col(nation).alias(out))
@@ -366,7 +370,7 @@ def bartmap(spark, sf_dir):
         out = full.groupBy("o_orderpriority", F.col(row).cast("long").alias("sample_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(column, "m"))), lambda s: s["m"]).alias("raw"))
         return out.withColumn("x", prep.complement_code(F.col("raw")))
 
-    _, _, masks = compound.bicluster(matrix("a", "b"), matrix("b", "a"), Fuzzy(0.6, 0.01), Fuzzy(0.6, 0.01), 0.01, by=["o_orderpriority"])
+    _, _, masks = compound.bicluster(matrix("a", "b"), matrix("b", "a"), Fuzzy(0.75, 0.01), Fuzzy(0.75, 0.01), 0.01, by=["o_orderpriority"])
     return masks.select("model", "row_cluster", "column_cluster", F.array_join("rows", ",").alias("rows"), F.array_join("columns", ",").alias("columns"))
 
 

@@ -465,3 +465,26 @@ def offline_validity(rows: str, terms: Terms) -> str:
     step = f"i, {_next(terms, 'ws', 'best')}, CASE WHEN best IS NULL AND len(ws) = 0 THEN cl WHEN best IS NULL THEN {new} ELSE {moved('best')} END, coalesce(best, len(ws) + 1) - 1"
     start = "SELECT g, 0::BIGINT, 0::BIGINT, []::DOUBLE[][], [{'n': an, 'm': am, 's': scatter}], -1::BIGINT FROM y"
     return f"WITH RECURSIVE {rows}, {whole},\n{_state({'i': '', 'ws': '', 'cl': '', 'c': ''}, step, inner, start)}\nSELECT g AS model, i AS sample_id, c AS cluster_id FROM f WHERE k > 0"
+
+
+def biclusters(cells: str, a: Terms, b: Terms, eta: float) -> str:
+    """model, row_cluster, column_cluster, rows, columns of square matrices: CTEs that end in full(g, a, b, m), a row and b column numbers. Correlations by pairs of rows."""
+    renamed = lambda text, n: re.sub(r"\b([fp])\b(?=[\s().,]|$)", rf"\g<1>{n}", text)
+    coded = "list_concat(v, list_transform(v, lambda q: 1 - q))"
+    lines = lambda row, column: f"SELECT g, {row} AS i, row_number() OVER (PARTITION BY g ORDER BY {row}) AS k, {coded} AS x FROM (SELECT g, {row}, list(m ORDER BY {column}) AS v FROM full_grid GROUP BY g, {row})"
+
+    def learnt(terms: Terms, best: str, more: str = "") -> str:
+        return _state({"i": "0::BIGINT", "ws": _W, "c": "-1::BIGINT"}, f"i, {_next(terms, 'ws', 'best')}, coalesce(best, len(ws) + 1) - 1", f"SELECT p.g, p.k, p.i, x, ws, {best} AS best {JOIN}")
+
+    return f"""WITH RECURSIVE {cells},
+p0 AS ({lines("b", "a")}),
+{renamed(learnt(b, _first(b, "ws")), 0)},
+lab AS (SELECT g, i, c AS cb FROM f0 WHERE k > 0),
+r AS (SELECT u.g, lab.cb, u.a AS one, w.a AS two, CASE WHEN stddev_pop(u.m) > 0 AND stddev_pop(w.m) > 0 THEN corr(u.m, w.m) END AS r
+      FROM full_grid u JOIN full_grid w ON u.g = w.g AND u.b = w.b JOIN lab ON lab.g = u.g AND lab.i = u.b JOIN lab me ON me.g = u.g AND me.i = w.a AND me.cb = lab.cb GROUP BY ALL),
+ok AS (SELECT g, one AS i, max((r >= {eta!r})::INT) AS ok FROM (SELECT g, cb, one, avg(r) AS r FROM r GROUP BY ALL) GROUP BY ALL),
+p1 AS (SELECT q.*, coalesce(ok, 0) = 1 AS ok FROM ({lines("a", "b")}) q LEFT JOIN ok ON ok.g = q.g AND ok.i = q.i),
+{renamed(learnt(a, _searched(a, "ws", "ok", "MT+", 0.0)), 1)},
+ra AS (SELECT g, c, string_agg(i::VARCHAR, ',' ORDER BY i) AS rows FROM f1 WHERE k > 0 GROUP BY g, c),
+rb AS (SELECT g, cb, string_agg(i::VARCHAR, ',' ORDER BY i) AS columns FROM lab GROUP BY g, cb)
+SELECT ra.g AS model, c AS row_cluster, cb AS column_cluster, rows, columns FROM ra JOIN rb ON ra.g = rb.g"""
