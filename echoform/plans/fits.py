@@ -389,7 +389,7 @@ def offline_validity(spark, sf_dir):
     return compound.validity_offline(customers(spark, sf_dir, True), Fuzzy(0.5, 0.01), NATION)
 
 
-@query()
+@query(oracles.swept(f"SELECT i, {CODED} AS x, y FROM (SELECT vec_id AS i, {_PLAIN} AS plain, label::BIGINT AS y FROM embeddings)", [(str({"rho": r, "beta": b}), oracles.slow(oracles.fuzzy(r, 0.01), b)) for r in (0.5, 0.6, 0.7, 0.8) for b in (0.5, 1.0)]))
 def parameter_sweep(spark, sf_dir):
     rows = embedded(spark, sf_dir).select("sample_id", "x", "y")
     got = compound.sweep(rows, Fuzzy(0.5, 0.01), {"rho": [0.5, 0.6, 0.7, 0.8], "beta": [0.5, 1.0]})

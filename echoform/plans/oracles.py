@@ -488,3 +488,27 @@ p1 AS (SELECT q.*, coalesce(ok, 0) = 1 AS ok FROM ({lines("a", "b")}) q LEFT JOI
 ra AS (SELECT g, c, string_agg(i::VARCHAR, ',' ORDER BY i) AS rows FROM f1 WHERE k > 0 GROUP BY g, c),
 rb AS (SELECT g, cb, string_agg(i::VARCHAR, ',' ORDER BY i) AS columns FROM lab GROUP BY g, cb)
 SELECT ra.g AS model, c AS row_cluster, cb AS column_cluster, rows, columns FROM ra JOIN rb ON ra.g = rb.g"""
+
+
+def swept(table: str, points: list[tuple[str, Terms]]) -> str:
+    """params, clusters, ari: a clustering of a query's rows (i, x, y) for every point, and its adjusted Rand index against y."""
+    parts = []
+    for k, (_, terms) in enumerate(points):
+        state = _state({"i": "0::BIGINT", "ws": _W, "c": "-1::BIGINT"}, f"i, {_next(terms, 'ws', 'best')}, coalesce(best, len(ws) + 1) - 1", f"SELECT p.g, p.k, p.i, x, ws, {_first(terms, 'ws')} AS best {JOIN}")
+        parts.append(re.sub(r"\bf\b(?=[\s().,]|$)", f"f{k}", state))
+    labels = " UNION ALL ".join(f"SELECT '{name.replace(chr(39), chr(39) * 2)}' AS params, i, c FROM f{k} WHERE k > 0" for k, (name, _) in enumerate(points))
+    pairs = lambda n: f"{n} * ({n} - 1) / 2"
+    return f"""WITH RECURSIVE e AS ({table}), p AS (SELECT '' AS g, i, x, y, row_number() OVER (ORDER BY i) AS k FROM e),
+{", ".join(parts)},
+t AS (SELECT params, c, y, count(*)::DOUBLE AS n FROM ({labels}) l JOIN e USING (i) GROUP BY ALL),
+j AS (SELECT params, sum({pairs('n')}) AS joint, sum(n) AS m, count(DISTINCT c) AS clusters FROM t GROUP BY params),
+l AS (SELECT params, sum({pairs('n')}) AS lefts FROM (SELECT params, sum(n) AS n FROM t GROUP BY params, c) GROUP BY params),
+r AS (SELECT params, sum({pairs('n')}) AS rights FROM (SELECT params, sum(n) AS n FROM t GROUP BY params, y) GROUP BY params)
+SELECT params, clusters, round(CASE WHEN (lefts + rights) / 2 = lefts * rights / ({pairs('m')}) THEN 1 ELSE (joint - lefts * rights / ({pairs('m')})) / ((lefts + rights) / 2 - lefts * rights / ({pairs('m')})) END, 6) AS ari
+FROM j JOIN l USING (params) JOIN r USING (params)"""
+
+
+def slow(terms: Terms, beta: float) -> Terms:
+    """A kernel that learns at a rate."""
+    update = f"list_transform(list_zip(w, ({terms.update})), lambda u: {beta!r} * u[2] + {(1 - beta)!r} * u[1])"
+    return Terms(terms.choice, terms.match, terms.rho, update, terms.new)
