@@ -548,9 +548,9 @@ def plain_fingerprint(text):
 
     exact, like = [0] * fingerprints.EXACT, [0] * fingerprints.LIKE
     for line in text.encode().split(b"\n"):
-        h = span(line)
+        wide = hashlib.blake2b(line, digest_size=64).digest()
         for k in range(fingerprints.EXACT):
-            exact[k] = (exact[k] + mix((h + (k + 1) * 0x9E3779B97F4A7C15) & top)) & top
+            exact[k] = (exact[k] + int.from_bytes(wide[8 * k : 8 * k + 8], "little")) & top
         words = [span(w) for w in re.findall(rb"[^\x20\x09-\x0D]+", line)]
         n = min(fingerprints.RUN, len(words))
         for i in range(len(words) - n + 1) if n else ():
