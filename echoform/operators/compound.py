@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from echoform.functions.prep import complement_code
 from echoform.functions.vectors import bind
 from echoform.operators.kernels import Kernel
-from echoform.operators.learners import Bicluster, Clusterer, Fusion, Learner, MapClassifier, OnlineValidity, TwoSided
+from echoform.operators.learners import Bicluster, Clusterer, Fusion, Learner, MapClassifier, OnlineValidity, Topology, TwoSided
 from echoform.operators.search import Categories, learn
 from echoform.operators.train import Fitted, apply, first_label, fold, model_key
 from echoform.operators.validity import INDICES
@@ -60,30 +60,50 @@ def regress(rows: DataFrame, fitted: Fitted, inputs: Sequence[str] = ("x",), sam
 def relabel(rows: DataFrame, fitted: Fitted, inputs: Sequence[str] = ("x",), sample: str = "sample_id", by: Sequence[str] = ()) -> DataFrame:
     """(model, sample_id, cluster_id) of a topology's rows under the categories that its prunes have left.
 
-    A row's label is of the numbering at its time. The prune log's maps are composed from
-    the last one back, one scan over a model's prunes, and met by the round of each row.
-    Only rows whose category is gone are looked at again: they go to the most active
-    category left (-1 where none is). Sample ids have to be unique in a model.
+    A row's label is of the numbering at its time. The prune log comes with the model, its
+    maps are composed from the last one back, and each row meets the one of its round. Only
+    rows whose category is gone are looked at again: they go to the most active category
+    left (-1 where none is). A fit that carries its input is all there is to read; with
+    others rows are joined for it, and sample ids have to be unique in a model.
     """
-    log = fitted.weights.where("module = 'pruned'").select("model", F.col("cluster_id").cast("long").alias("round"), "links")
-    rounds = log.groupBy("model").agg(F.sort_array(F.collect_list(F.struct((-F.col("round")).alias("back"), "links"))).alias("log"))
-    every = lambda links, first: F.filter(links, lambda _, i: i % 2 == first)
-    none = F.lit(None).cast("map<bigint,bigint>")
-    zero = F.struct(none.alias("now"), F.array().cast("array<struct<round: bigint, number: map<bigint,bigint>>>").alias("out"))
-
-    def step(state, prune):
-        number = F.map_from_arrays(every(prune["links"], 0), every(prune["links"], 1))
-        on = F.map_filter(F.transform_values(number, lambda _, v: F.element_at(state["now"], v)), lambda _, v: v.isNotNull())
-        composed = F.when(state["now"].isNull(), number).otherwise(on)
-        return F.struct(composed.alias("now"), F.array_append(state["out"], F.struct((-prune["back"]).alias("round"), composed.alias("number"))).alias("out"))
-
-    maps = rounds.select("model", F.explode(F.aggregate("log", zero, step, lambda s: s["out"])).alias("m")).select("model", "m.round", F.col("m.number").alias("number"), F.lit(True).alias("pruned"))
-    labels = fitted.table.where("kind = 'row'").select("model", "sample_id", first_label().alias("old"), F.col("n").alias("round"))
-    met = labels.join(maps, ["model", "round"], "left")
-    met = met.select("model", "sample_id", F.when(F.col("pruned"), F.element_at("number", F.col("old"))).otherwise(F.col("old")).alias("cluster_id"))
-    dead = rows.withColumn("_model", model_key(by)).join(met.where("cluster_id is null").select(F.col("model").alias("_model"), F.col("sample_id").alias(sample)), ["_model", sample], "left_semi")
-    again = apply(dead, fitted, inputs, sample, by).select("model", "sample_id", first_label().alias("cluster_id"))
-    return met.where("cluster_id is not null").unionByName(again)
+    labels = fitted.table.where("kind = 'row'").select("model", "sample_id", first_label().alias("old"), F.col("n").alias("round"), F.col("w").alias("_x"))
+    if not fitted.carried:
+        own = rows.select(model_key(by).alias("model"), F.col(sample).cast("long").alias("sample_id"), F.col(inputs[0]).alias("_x"))
+        labels = labels.drop("_x").join(own, ["model", "sample_id"])
+    got = apply(labels, Fitted(_Settled(fitted.learner), fitted.table), ["_x", "old", "round"], by=["model"])
+    return got.select("model", "sample_id", first_label().alias("cluster_id"))
+
+
+class _Settled:
+    """A topology that is given rows with their labels and rounds, and gives their labels under its last numbering."""
+
+    outputs = 1
+
+    def __init__(self, inner: Topology):
+        self.inner = inner
+
+    @property
+    def input_kernels(self):
+        return (*self.inner.input_kernels, None, None)
+
+    def fresh(self) -> _Settled:
+        return _Settled(self.inner.fresh())
+
+    def load(self, rows) -> None:
+        self.inner.load(rows)
+        self.number, now = {}, None
+        for k in range(len(self.inner.log) - 1, -1, -1):
+            prune = self.inner.log[k]
+            now = prune if now is None else {old: now[new] for old, new in prune.items() if new in now}
+            self.number[k] = now
+
+    def predict_rows(self, columns):
+        x, old, rounds = columns
+        out = np.array([self.number[r].get(j, -1) if r in self.number else j for j, r in zip(np.asarray(old).tolist(), np.asarray(rounds).tolist(), strict=True)], np.int64)
+        gone = np.flatnonzero(out < 0)
+        if len(gone):
+            out[gone] = self.inner.predict_rows([x[gone] if isinstance(x, np.ndarray) else [x[r] for r in gone]])[:, 0]
+        return out[:, None]
 
 
 def fusion_predict(rows: DataFrame, fitted: Fitted, inputs: Sequence[str | None], sample: str = "sample_id", by: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
