@@ -4,28 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echoform.functions.kernels import NativeKernel
 from echoform.functions.vectors import bind, vector
 from echoform.operators.train import model_key
 
-#: Rows that the native fold takes at most: each step copies its state. Larger fits go to operators.train.
-MOST_ROWS = 5_000
+#: Rows whose labels are one state of the native fold: a step copies its state, so labels of earlier rows are kept beside it.
+CHUNK_ROWS = 256
 
 
 def native_fit(rows: DataFrame, kernel: NativeKernel, rho: float, order: str = "sample_id", x: str = "x", inverted: bool = False, by: Sequence[str] = ()) -> DataFrame:
-    """(sample_id, cluster_id), with model if by is given, of elementary models, without Python: each bounded to MOST_ROWS rows.
+    """(sample_id, cluster_id), with model if by is given, of elementary models, without Python. The rows of a model are held in one task.
 
     A category resonates if its match is rho or more (at most rho, if inverted). Of those,
     the most active one takes the row, the oldest on ties: the search without a predicate
     comes to that, as categories that fail change nothing.
     """
-    place = F.row_number().over(Window.partitionBy("model").orderBy("i"))
-    first = rows.select(model_key(by).alias("model"), F.col(order).alias("i"), F.col(x).alias("x")).withColumn("_place", place).where(F.col("_place") <= MOST_ROWS + 1)
-    held = first.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("rows"))
-    zero = F.struct(F.array().cast("array<array<double>>").alias("w"), F.array().cast("array<int>").alias("labels"))
+    keyed = rows.select(model_key(by).alias("model"), F.col(order).alias("i"), F.col(x).alias("x"))
+    # A number of partitions of our own: rows are few bytes and much work, and would be put together in one task.
+    keyed = keyed.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "model")
+    held = keyed.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("rows"))
+    weights, ints = F.array().cast("array<array<double>>"), F.array().cast("array<int>")
+    empty = F.array().cast("array<array<int>>")
 
     def step(state: Column, row: Column) -> Column:
         v = row["x"]
@@ -40,8 +42,13 @@ def native_fit(rows: DataFrame, kernel: NativeKernel, rho: float, order: str = "
             ),
         )
 
-    done = held.select("model", F.when(F.size("rows") > MOST_ROWS, F.raise_error(F.lit(f"the native fold takes {MOST_ROWS} rows at most"))).otherwise(F.col("rows")).alias("rows"))
-    done = done.select("model", F.transform("rows", lambda r: r["i"]).alias("ids"), F.aggregate("rows", zero, step, lambda s: s["labels"]).alias("labels"))
+    def chunk(state: Column, first: Column) -> Column:
+        # Rows first to first + CHUNK_ROWS - 1, from the weights there are.
+        inner = F.aggregate(F.slice("rows", first, F.lit(CHUNK_ROWS)), F.struct(state["w"].alias("w"), ints.alias("labels")), step)
+        return bind(inner, lambda s: F.struct(s["w"].alias("w"), F.concat(state["labels"], F.array(s["labels"])).alias("labels")))
+
+    starts = F.sequence(F.lit(1), F.size("rows"), F.lit(CHUNK_ROWS))
+    done = held.select("model", F.transform("rows", lambda r: r["i"]).alias("ids"), F.flatten(F.aggregate(starts, F.struct(weights.alias("w"), empty.alias("labels")), chunk, lambda s: s["labels"])).alias("labels"))
     out = done.select("model", F.explode(F.arrays_zip("ids", "labels")).alias("z")).select("model", F.col("z.ids").alias("sample_id"), F.col("z.labels").cast("long").alias("cluster_id"))
     return out if by else out.drop("model")
 
