@@ -13,7 +13,7 @@ from echoform.functions import kernels as native
 from echoform.functions import prep
 from echoform.functions.vectors import vector
 from echoform.operators import compound, metrics
-from echoform.operators.merging import merge_objects
+from echoform.operators.merging import merge_close
 from echoform.operators.sequences import align, compress_dashes, joined_digits
 from echoform.plans import fits, oracles
 from echoform.plans.native import native_predict
@@ -282,7 +282,7 @@ def pearson(spark, sf_dir):
 r(a, b) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT a AS s_suppkey, min(b) AS component FROM r GROUP BY a""")
 def merge_components(spark, sf_dir):
-    return merge_objects(table(spark, sf_dir, "supplier"), "s_suppkey", "s_acctbal", lambda a, b: F.abs(a - b) <= 30)
+    return merge_close(table(spark, sf_dir, "supplier"), "s_suppkey", "s_acctbal", 30.0)
 
 
 @query("SELECT p_partkey, regexp_replace(regexp_replace(p_name, '[aeiou]', '-', 'g'), '-+', '-', 'g') AS s FROM part")
