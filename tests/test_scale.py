@@ -5,11 +5,15 @@ import sys
 import numpy as np
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
-from echoform.operators import compound, train
+from echoform.functions import kernels as native
+from echoform.operators import compound, metrics, train
 from echoform.operators.kernels import Fuzzy
 from echoform.operators.learners import Clusterer, Topology
+from echoform.operators.merging import merge_close, merge_objects
 from echoform.operators.train import Fitted, apply, fold
+from echoform.plans.native import native_fit
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -71,3 +75,63 @@ def test_relabel_of_a_carried_fit_joins_nothing(spark):
     alone = compound.relabel(rows, carried, by=["k"])
     assert result(alone) == result(compound.relabel(rows, plain, by=["k"]))
     assert "Join" not in alone._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_close_values_merge_as_pairs_do(spark):
+    rng = np.random.default_rng(4)
+    values = [*np.round(rng.random(60) * 40, 2).tolist(), *np.arange(-50, -20, 1.0).tolist(), 1e300, float("nan"), float("inf"), None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(rng.permutation(np.array(values, object)).tolist())], "k long, v double")
+    want = {r["k"]: r["component"] for r in merge_objects(rows.where("v < 1e9 or v is null"), "k", "v", lambda a, b: F.abs(a - b) <= 1).collect()}
+    plan = merge_close(rows, "k", "v", 1.0)
+    got = {r["k"]: r["component"] for r in plan.collect()}
+    assert {k: c for k, c in got.items() if k in want} == want and all(c == k for k, c in got.items() if k not in want)
+    assert "NestedLoop" not in plan._jdf.queryExecution().executedPlan().toString() and len(got) == len(values)
+
+
+def test_chains_of_any_length_merge(spark):
+    rows = spark.createDataFrame([(k, float(v)) for v, k in enumerate([*range(0, 40, 2), *range(39, 0, -2)])], "k long, v double")
+    got = {tuple(r)[1] for r in merge_objects(rows, "k", "v", lambda a, b: F.abs(a - b) <= 1).collect()}
+    assert got == {0}
+
+
+def test_correlation_of_long_groups(spark):
+    xs = np.random.default_rng(5).random((3_000, 2))
+    rows = spark.createDataFrame([(float(a), float(a + b)) for a, b in xs], "a double, b double")
+    want = np.corrcoef(xs[:, 0], xs.sum(1))[0, 1]
+    assert rows.agg(metrics.correlation("a", "b")).first()[0] == pytest.approx(want)
+    lists = rows.agg(F.collect_list(F.struct("a", "b")).alias("v")).select(metrics.pearson(F.transform("v", lambda s: s["a"]), F.transform("v", lambda s: s["b"])))
+    assert lists.first()[0] == pytest.approx(want)
+    assert rows.withColumn("b", F.lit(1.0)).agg(metrics.correlation("a", "b")).first()[0] is None
+
+
+def test_orders_and_distances_without_pairs(spark):
+    xs = np.random.default_rng(6).integers(0, 6, (150, 2))  # many ties
+    rows = spark.createDataFrame([(i, i % 3, float(a), float(b), [float(a), float(b)]) for i, (a, b) in enumerate(xs.tolist())], "sample_id long, g long, u double, v double, x array<double>")
+    ordered = lambda df: sorted(tuple(r) for r in df.collect())
+    assert ordered(metrics.vat_rows(rows, by=["g"])) == ordered(metrics.vat_order(metrics.pairwise(rows, by=["g"])))
+    few = rows.where("sample_id < 40")
+    assert ordered(metrics.pairwise_columns(few, ["u", "v"])) == ordered(metrics.pairwise(few))
+    want = few.select(F.round(F.lit(None).cast("double"), 2)).first()[0]
+    odd = spark.createDataFrame([(v,) for v in (0.125, 2.675, 1e12, float("nan"), float("inf"), None)], "d double")
+    got = [tuple(r) for r in odd.select(metrics.rounded(F.col("d"), 2), F.round("d", 2)).collect()]
+    assert want is None and all(a == b or (a != a and b != b) for a, b in got[:1] + got[2:])
+
+
+def test_silhouette_meets_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    xs, ys = rng.random((120, 2)), rng.integers(0, 3, 120)
+    rows = coded(spark, xs, cluster=ys)
+    want = compound.validity(np.concatenate([xs, 1 - xs], 1), ys, "silhouette")
+    monkeypatch.setattr(metrics, "BLOCK_ROWS", 3)
+    assert metrics.silhouette(rows).first()[0] == pytest.approx(want, rel=1e-9)
+    alone = rows.withColumn("cluster", F.when(F.col("sample_id") < 60, F.col("cluster")))  # the others count 0
+    want = compound.validity(np.concatenate([xs, 1 - xs], 1)[:60], ys[:60], "silhouette") / 2
+    assert metrics.silhouette(alone).first()[0] == pytest.approx(want, rel=1e-9)
+
+
+def test_native_fit_takes_any_number_of_rows(spark):
+    xs = np.random.default_rng(8).random((5_200, 2))
+    rows = coded(spark, xs)
+    got = [r[1] for r in sorted(native_fit(rows, native.fuzzy(2, 0.01), 0.6).collect())]
+    want = {r["sample_id"]: r["labels"][0] for r in fold(rows, Clusterer(Fuzzy(0.6, 0.01)), "sample_id", ["x"]).labels.collect()}
+    assert got == [want[i] for i in range(5_200)]
