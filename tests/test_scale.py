@@ -135,3 +135,13 @@ def test_native_fit_takes_any_number_of_rows(spark):
     got = [r[1] for r in sorted(native_fit(rows, native.fuzzy(2, 0.01), 0.6).collect())]
     want = {r["sample_id"]: r["labels"][0] for r in fold(rows, Clusterer(Fuzzy(0.6, 0.01)), "sample_id", ["x"]).labels.collect()}
     assert got == [want[i] for i in range(5_200)]
+
+
+@pytest.mark.parametrize("name", ["simple_artmap", "simple_artmap_mt_minus", "fuzzy_artmap", "binary_fuzzy_artmap"])
+def test_maps_learn_all_vectors_in_one_model(spark, tmp_path, name):
+    from echoform.plans.catalogue import QUERIES
+
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(v) for v in rng.uniform(-1, 1, 64)], int(rng.integers(0, 3))) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert {r["model"] for r in QUERIES[name](spark, str(tmp_path)).collect()} == {""}
