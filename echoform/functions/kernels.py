@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from echoform.functions.vectors import concat, dot, gap2, head, least, mix, product, total
+from echoform.functions.vectors import bind, concat, dot, gap2, head, least, mix, product, total
 
 one = lambda v: F.array(v)
 
@@ -69,13 +69,14 @@ def ellipsoid(d: int, alpha: float = 1e-10, beta: float = 1.0, mu: float = 0.8,
     along = lambda x, w: dot(axis(w), gap(x, w))
     r = lambda x, w: F.when(F.exists(axis(w), lambda v: v != 0), F.sqrt(F.greatest(F.lit(0.0), gap2(x, head(w, d)) - F.lit(1 - mu**2) * along(x, w) * along(x, w))) / F.lit(mu)).otherwise(F.sqrt(gap2(x, head(w, d))))
     most = lambda x, w: F.greatest(radius(w), r(x, w))
-    ratio = lambda x, w: F.when(r(x, w) == 0, F.lit(1.0)).otherwise(F.least(radius(w), r(x, w)) / F.when(r(x, w) == 0, F.lit(1.0)).otherwise(r(x, w)))
-    centre = lambda x, w: F.zip_with(x, head(w, d), lambda a, c: c + F.lit(beta / 2) * (a - c) * (F.lit(1.0) - ratio(x, w)))
-    size = lambda x, w: F.sqrt(gap2(x, centre(x, w)))
-    turned = lambda x, w: F.when((radius(w) != 0) & (size(x, w) != 0), F.zip_with(x, centre(x, w), lambda a, c: (a - c) / F.when(size(x, w) == 0, F.lit(1.0)).otherwise(size(x, w)))).otherwise(axis(w))
+    # Each step is computed once: inside a lambda it would be computed for every number.
+    near = lambda q, w: F.when(q == 0, F.lit(1.0)).otherwise(F.least(radius(w), q) / F.when(q == 0, F.lit(1.0)).otherwise(q))
+    centre = lambda x, w, q: bind(near(q, w), lambda n: F.zip_with(x, head(w, d), lambda a, c: c + F.lit(beta / 2) * (a - c) * (F.lit(1.0) - n)))
+    turned = lambda x, w, c: bind(F.sqrt(gap2(x, c)), lambda s: F.when((radius(w) != 0) & (s != 0), F.zip_with(x, c, lambda a, v: (a - v) / F.when(s == 0, F.lit(1.0)).otherwise(s))).otherwise(axis(w)))
+    update = lambda x, w: bind(r(x, w), lambda q: bind(centre(x, w, q), lambda c: concat(c, turned(x, w, c), one(radius(w) + F.lit(beta / 2) * (F.greatest(radius(w), q) - radius(w))))))
     return NativeKernel(
         lambda x, w: (F.lit(r_hat) - radius(w) - most(x, w)) / (F.lit(r_hat + alpha) - 2 * radius(w)), lambda x, w: F.lit(1.0) - (radius(w) + most(x, w)) / F.lit(r_hat),
-        lambda x, w: concat(centre(x, w), turned(x, w), one(radius(w) + F.lit(beta / 2) * (most(x, w) - radius(w)))), lambda x: concat(x, F.array_repeat(F.lit(0.0), d + 1)),
+        update, lambda x: concat(x, F.array_repeat(F.lit(0.0), d + 1)),
     )
 
 
@@ -114,13 +115,22 @@ def bayesian2(spread: Column | float = 1.0, variance: float = 1e-2) -> NativeKer
 def quadratic(d: int, s: float = 0.5, lr_b: float = 0.1, lr_w: float = 0.1, lr_s: float = 0.1) -> NativeKernel:
     matrix_row, b, width = (lambda w, i: F.slice(w, i * d + 1, d)), (lambda w: F.slice(w, d * d + 1, d)), (lambda w: F.get(w, F.lit(d * d + d)))
     z = lambda x, w: F.array(*[dot(matrix_row(w, i), x) for i in range(d)])
-    gap = lambda x, w: F.zip_with(z(x, w), b(w), lambda p, q: p - q)
-    t = lambda x, w: F.exp(-width(w) * width(w) * gap2(z(x, w), b(w)))
-    pull = lambda x, w, i: 2 * width(w) * width(w) * t(x, w) * F.get(gap(x, w), F.lit(i))
-    moved_row = lambda x, w, i: F.zip_with(matrix_row(w, i), x, lambda a, v: a - F.lit(lr_w) * pull(x, w, i) * v)
+    active = lambda zz, w: F.exp(-width(w) * width(w) * gap2(zz, b(w)))
+    t = lambda x, w: bind(z(x, w), lambda zz: active(zz, w))
+
+    def update(x: Column, w: Column) -> Column:
+        # Projection, activation and pulls are computed once, not for every number of the weight.
+        def moved(zz: Column, at: Column, pull: Column) -> Column:
+            row = lambda i: bind(F.get(pull, F.lit(i)), lambda p: F.zip_with(matrix_row(w, i), x, lambda a, v: a - F.lit(lr_w) * p * v))
+            rows = [row(i) for i in range(d)]
+            return concat(*rows, F.array(*[F.get(b(w), F.lit(i)) + F.lit(lr_b) * F.get(pull, F.lit(i)) for i in range(d)]), one(width(w) - F.lit(lr_s) * 2 * width(w) * at * gap2(zz, b(w))))
+
+        pulls = lambda zz, at: F.zip_with(zz, b(w), lambda p, q: 2 * width(w) * width(w) * at * (p - q))
+        return bind(z(x, w), lambda zz: bind(active(zz, w), lambda at: bind(pulls(zz, at), lambda pull: moved(zz, at, pull))))
+
     eye = [1.0 if i == j else 0.0 for i in range(d) for j in range(d)]
     return NativeKernel(
         t, t,
-        lambda x, w: concat(*[moved_row(x, w, i) for i in range(d)], F.array(*[F.get(b(w), F.lit(i)) + F.lit(lr_b) * pull(x, w, i) for i in range(d)]), one(width(w) - F.lit(lr_s) * 2 * width(w) * t(x, w) * gap2(z(x, w), b(w)))),
+        update,
         lambda x: concat(F.array(*[F.lit(v) for v in eye]), x, one(F.lit(s))),
     )
