@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,11 @@ from echoform.operators.search import by_activation
 Metric = Callable[[str, str], tuple[str, float]]
 
 
+#: Alignments that a worker remembers.
+REMEMBERED = 65_536
+
+
+@lru_cache(REMEMBERED)
 def needleman_wunsch(a: str, b: str, same: int = 1, other: int = -1, gap: int = -1) -> tuple[str, float]:
     """(agreement, score): the aligned characters, '-' where they differ, and the score over the longer length.
 

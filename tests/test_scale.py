@@ -145,3 +145,18 @@ def test_maps_learn_all_vectors_in_one_model(spark, tmp_path, name):
     rows = [(i, [float(v) for v in rng.uniform(-1, 1, 64)], int(rng.integers(0, 3))) for i in range(40)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert {r["model"] for r in QUERIES[name](spark, str(tmp_path)).collect()} == {""}
+
+
+@pytest.mark.parametrize(("kernel", "width", "most"), [(native.ellipsoid(3, 0.01, 0.5, 0.8, 2.0), 7, 12_000), (native.quadratic(3, 0.5, 0.1, 0.2, 0.3), 13, 12_000)])
+def test_native_updates_compute_their_steps_once(spark, kernel, width, most):
+    rows = spark.createDataFrame([([0.1] * 3, [0.2] * width)], "x array<double>, w array<double>")
+    plan = rows.select(kernel.update(F.col("x"), F.col("w")))._jdf.queryExecution().analyzed().toString()
+    assert len(plan) < most
+
+
+def test_alignments_are_remembered():
+    from echoform.operators.sequences import needleman_wunsch
+
+    first = needleman_wunsch("small brass ring", "brass rod")
+    hits = needleman_wunsch.cache_info().hits
+    assert needleman_wunsch("small brass ring", "brass rod") == first and needleman_wunsch.cache_info().hits == hits + 1
