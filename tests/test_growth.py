@@ -51,3 +51,17 @@ def test_search_without_an_order_equals_a_walk_in_order(method, epsilon, monkeyp
             with monkeypatch.context() as m:
                 m.setattr(search, "by_activation", None)
                 assert search.choose(kernel, t, match, own, method, epsilon) == want
+
+
+@pytest.mark.parametrize("width", range(1, search.NARROW))
+def test_narrow_weights_lie_by_columns_and_add_up_alike(width):
+    rng, cats = np.random.default_rng(width), search.Categories()
+    lines = rng.random((100, width))
+    for w in lines:
+        cats.add(w)
+    cats.keep(np.arange(100) % 3 > 0)
+    for w in lines:
+        cats.add(w)
+    held = np.concatenate([lines[np.arange(100) % 3 > 0], lines])
+    assert cats.w.flags.f_contiguous or cats.w[:, 0].strides == (8,)
+    assert (cats.w == held).all() and (cats.w.sum(1) == np.ascontiguousarray(held).sum(1)).all()
