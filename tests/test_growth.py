@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 
 from echoform.operators import search
-from echoform.operators.kernels import Fuzzy
-from echoform.operators.learners import CalinskiHarabasz, OnlineValidity
+from echoform.operators.kernels import ART1, Fuzzy
+from echoform.operators.learners import CalinskiHarabasz, Clusterer, OnlineValidity
 
 
 def test_index_of_each_cluster_by_one_look():
@@ -65,3 +65,19 @@ def test_narrow_weights_lie_by_columns_and_add_up_alike(width):
     held = np.concatenate([lines[np.arange(100) % 3 > 0], lines])
     assert cats.w.flags.f_contiguous or cats.w[:, 0].strides == (8,)
     assert (cats.w == held).all() and (cats.w.sum(1) == np.ascontiguousarray(held).sum(1)).all()
+
+
+@pytest.mark.parametrize("method", search.METHODS)
+def test_categories_that_no_row_can_join_are_not_looked_at(method, monkeypatch):
+    """Rows with few bits found categories without end; a row must be scored against those only that can pass."""
+    x = (np.random.default_rng(4).random((600, 8)) < 0.45).astype(float)
+    kernel, cats, looked, plain = ART1(0.5, 2.0), search.Categories(), [], ART1.activate
+    want = [search.learn(kernel, cats, v, None, method) for v in x]
+    own = Clusterer(kernel, method)
+    monkeypatch.setattr(ART1, "activate", lambda self, w, *a: looked.append(len(w)) or plain(self, w, *a))
+    got = [own.step(v)[0] for v in x[:300]]
+    held = Clusterer(kernel, method)
+    held.load(list(own.export()))  # a fit that goes on
+    got += [held.step(v)[0] for v in x[300:]]
+    assert got == want and (held.cats.w == cats.w).all() and (held.cats.n == cats.n).all()
+    assert cats.size > 250 and max(looked) < cats.size / 2
