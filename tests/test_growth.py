@@ -2,10 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from echoform.operators import search
 from echoform.operators.kernels import ART1, Fuzzy
 from echoform.operators.learners import CalinskiHarabasz, Clusterer, OnlineValidity
+from echoform.operators.train import fold
 
 
 def test_index_of_each_cluster_by_one_look():
@@ -81,3 +83,15 @@ def test_categories_that_no_row_can_join_are_not_looked_at(method, monkeypatch):
     got += [held.step(v)[0] for v in x[300:]]
     assert got == want and (held.cats.w == cats.w).all() and (held.cats.n == cats.n).all()
     assert cats.size > 250 and max(looked) < cats.size / 2
+
+
+def test_packed_rows_give_the_same_fit_and_the_model_sorts_blocks(spark):
+    """Models of many rows, with ties of the order column that only the inputs break."""
+    x = F.array(*[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 999 for k in range(2)])
+    rows = spark.range(30_000).select((F.col("id") / 3).cast("long").alias("sample_id"), F.when(F.col("id") % 7 > 0, F.col("id") % 2).alias("g"), x.alias("p"))
+    rows = rows.select("sample_id", "g", F.concat("p", F.transform("p", lambda v: 1 - v)).alias("x")).repartition(5)
+    plain, packed = (fold(rows, Clusterer(Fuzzy(0.9, 0.01)), "sample_id", ["x"], by=["g"], epochs=2, packed=p) for p in (False, True))
+    for a, b in ((plain.labels, packed.labels), (plain.weights, packed.weights)):
+        assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() and a.count() == b.count() > 0
+    with pytest.raises(ValueError, match="unpacked"):
+        fold(rows, Clusterer(Fuzzy(0.9, 0.01)), "sample_id", ["x"], by=["g"], start=plain.weights, packed=True)
