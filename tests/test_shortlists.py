@@ -7,7 +7,7 @@ from echoform.operators import search
 from echoform.operators.kernels import BinaryFuzzy, Fuzzy, Gaussian, Hypersphere
 from echoform.operators.learners import Clusterer, MapClassifier
 
-KERNELS = [Gaussian(0.05, 1e-10, (0.2,)), Hypersphere(0.8, 1e-10, 1.0, 3.0), BinaryFuzzy(0.7, 1e-10)]
+KERNELS = [Gaussian(0.05, 1e-10, (0.2,)), Hypersphere(0.8, 1e-10, 1.0, 3.0), BinaryFuzzy(0.7, 1e-10), Fuzzy(0.85, 1e-10), Fuzzy(0.85, 0.01, 0.5)]
 
 
 def vectors(kernel, n=1500, d=24):
