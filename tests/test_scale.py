@@ -57,6 +57,26 @@ def test_weights_are_copied_by_the_rows_of_a_model(spark, monkeypatch, hot, most
     assert 1 <= loads.value <= most
 
 
+@pytest.mark.parametrize("pairs", [10**9, 100])
+def test_long_models_share_no_task(spark, monkeypatch, pairs):
+    xs = np.random.default_rng(6).random((320, 2))
+    rows = coded(spark, xs, k=np.arange(320) % 8)
+    plain = fold(rows, Clusterer(Fuzzy(0.8, 0.01)), "sample_id", ["x"], by=["k"])
+    fitted = fold(rows, Clusterer(Fuzzy(0.8, 0.01)), "sample_id", ["x"], by=["k"], task=F.col("k"), tasks=8)
+    result = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    assert result(fitted.labels) == result(plain.labels) and result(fitted.weights) == result(plain.weights)
+    files = fitted.table.groupBy(F.input_file_name()).agg(F.count_distinct("model").alias("n"), F.count("*").alias("rows"))
+    assert [r["n"] for r in files.where("rows > 0").collect()] == [1] * 8
+    want = result(apply(rows, fitted, ["x"], by=["k"]))
+    monkeypatch.setattr(train, "BROADCAST_DOUBLES", 1)
+    monkeypatch.setattr(train, "HOT_PAIRS", pairs, raising=False)
+    got = apply(rows, fitted, ["x"], by=["k"])
+    assert result(got) == want
+    if pairs == 100:  # a model's rows are dealt to several tasks
+        met = got.groupBy(F.spark_partition_id()).agg(F.count_distinct("model").alias("n"))
+        assert met.count() > 8 and met.where("n > 1").count() == 0
+
+
 def test_many_models_are_built_once_each(spark):
     xs = np.random.default_rng(2).random((900, 2))
     rows = coded(spark, xs, k=np.arange(900) % 300).repartition(4)
