@@ -95,3 +95,36 @@ def test_packed_rows_give_the_same_fit_and_the_model_sorts_blocks(spark):
         assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() and a.count() == b.count() > 0
     with pytest.raises(ValueError, match="unpacked"):
         fold(rows, Clusterer(Fuzzy(0.9, 0.01)), "sample_id", ["x"], by=["g"], start=plain.weights, packed=True)
+
+
+def test_means_of_few_numbers_lie_by_columns_and_give_the_same():
+    rng, index, other = np.random.default_rng(4), CalinskiHarabasz(), CalinskiHarabasz()
+    for x, y in zip(rng.random((300, 4)), rng.integers(0, 40, 300).tolist(), strict=True):
+        index.add(x, y)
+        other.add(x, y)
+        other._means = np.ascontiguousarray(other._means)
+    assert index._means.flags.f_contiguous and not index._means.flags.c_contiguous
+    x = rng.random(4)
+    assert index.added_each(x).tolist() == other.added_each(x).tolist() and index.criterion == other.criterion
+    lines = index._lines
+    index.add(x, 3)
+    assert lines is not None and index._lines is lines  # no order of clusters is told anew for a row of a known one
+    index.add(x, 99)
+    assert np.allclose(index.added_each(x), [index.added(x, c) for c in sorted(index.clusters)], rtol=1e-12, atol=0)
+
+
+def test_each_nation_of_online_validity_has_a_task(spark, tmp_path, monkeypatch):
+    from echoform.plans import fits
+    from echoform.plans.catalogue import QUERIES
+
+    rows = [(i, i % 25, float(i * 37 % 1000)) for i in range(250)] + [(250 + i, None, float(i)) for i in range(3)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    tasks, own = [], fits.fold
+
+    def fold_(data, *a, task=None, **more):
+        tasks.append(data.where("c_nationkey IS NOT NULL").select("c_nationkey", task.alias("t")).distinct().collect())
+        return own(data, *a, task=task, **more)
+
+    monkeypatch.setattr(fits, "fold", fold_)
+    assert QUERIES["online_validity"](spark, str(tmp_path)).count() == 253
+    assert len(tasks[0]) == 25 == len({r["t"] for r in tasks[0]})
