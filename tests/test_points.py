@@ -34,6 +34,7 @@ def soon(monkeypatch):
     """Points are told apart from a few categories on."""
     monkeypatch.setattr(search, "POINTED", 40, raising=False)
     monkeypatch.setattr(search, "COVERED", 10**9)
+    monkeypatch.setattr(BinaryFuzzy, "alone", 0, raising=False)
     monkeypatch.setattr("echoform.operators.points.MANY", 20, raising=False)
 
 
